@@ -129,3 +129,59 @@ def doc_metrics_cte(lexicon=DOC_LEXICON, hedging=DOC_HEDGING) -> str:
 
 def density_sql(count: str, wc: str, per: str) -> str:
     return f"CASE WHEN {wc} IS NULL THEN NULL WHEN {wc} > 0 THEN {count} / {wc} * {per} ELSE 0.0 END"
+
+DISTORTED_CTE = """
+distorted AS (
+  SELECT firm, ticker, status, fiscal_year,
+    CASE WHEN fiscal_year = 2001 AND status = 'survived' THEN total_assets * 1000.0 ELSE total_assets END AS total_assets,
+    CASE WHEN fiscal_year = 1996 THEN total_assets ELSE total_liabilities END AS total_liabilities,
+    CASE WHEN fiscal_year = 1998 AND status = 'failed' THEN stockholders_equity * 100.0 ELSE stockholders_equity END AS stockholders_equity,
+    cash_and_equivalents, short_term_borrowings,
+    CASE WHEN fiscal_year = 2000 THEN total_assets ELSE net_income END AS net_income,
+    provision_for_loan_losses
+  FROM panel
+)"""
+
+GAPPY_CTE = """
+gappy AS (
+  SELECT firm, ticker, status, fiscal_year, total_assets, total_liabilities, stockholders_equity,
+    CASE WHEN fiscal_year = 1995 THEN NULL ELSE cash_and_equivalents END AS cash_and_equivalents,
+    short_term_borrowings,
+    CASE WHEN fiscal_year = 2001 AND status = 'failed' THEN NULL ELSE net_income END AS net_income,
+    provision_for_loan_losses
+  FROM panel
+)"""
+
+VALIDATION_INPUT_CTE = """
+scraped AS (
+  SELECT * FROM distorted WHERE NOT (fiscal_year = 1995 AND status = 'survived')
+),
+reference AS (
+  SELECT firm, ticker, status, fiscal_year,
+    total_assets * 1000000.0 AS total_assets, total_liabilities * 1000000.0 AS total_liabilities,
+    stockholders_equity * 1000000.0 AS stockholders_equity,
+    cash_and_equivalents * 1000000.0 AS cash_and_equivalents,
+    short_term_borrowings * 1000000.0 AS short_term_borrowings,
+    net_income * 1000000.0 AS net_income,
+    provision_for_loan_losses * 1000000.0 AS provision_for_loan_losses
+  FROM ref_panel WHERE fiscal_year <> 2001
+)"""
+
+
+def sanity_flags_sql(prefix: str = "") -> str:
+    ta, tl, se, ni = (f"{prefix}total_assets", f"{prefix}total_liabilities",
+                      f"{prefix}stockholders_equity", f"{prefix}net_income")
+    diff = f"(abs({ta} - ({tl} + {se})) / {ta} * 100)"
+    f1 = (f"CASE WHEN {ta} IS NOT NULL AND {ta} > 0 AND {tl} IS NOT NULL "
+          f"AND abs({tl} - {ta}) / {ta} < 0.01 THEN 'liabilities=assets' END")
+    f2 = (f"CASE WHEN {ta} IS NOT NULL AND {ta} > 0 AND {tl} IS NOT NULL AND {se} IS NOT NULL "
+          f"AND {diff} > 10 THEN 'balance_off_' || CAST(CAST(round_even({diff}, 0) AS BIGINT) AS VARCHAR) || '%' END")
+    f3 = (f"CASE WHEN {ta} IS NOT NULL AND {ta} > 0 AND {ni} IS NOT NULL "
+          f"AND abs({ni}) / {ta} > 0.5 THEN 'net_income_suspicious' END")
+    return f"concat_ws('; ', {f1}, {f2}, {f3})"
+
+
+def jump_sql(col: str, src: str) -> str:
+    prev = (f"last_value({col} IGNORE NULLS) OVER (PARTITION BY firm ORDER BY fiscal_year "
+            f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+    return f"({col} IS NOT NULL AND {prev} IS NOT NULL AND {prev} <> 0 AND abs({col} / NULLIF({prev}, 0)) > 100)"

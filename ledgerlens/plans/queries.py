@@ -159,3 +159,219 @@ def yoy_words(spark, sf_dir):
     m = _doc_metrics(spark, sf_dir).where(F.col("section") == "risk_factors")
     r = m.select("firm", "fiscal_year", F.col("wc").cast("double").alias("risk_section_wc"))
     return feat.yoy(r, ["risk_section_wc"], by="firm", order="fiscal_year")
+
+
+# ======================================================================
+# Sanity flags and unit jumps over the distorted panel
+# ======================================================================
+from ..operators import quality as qual  # noqa: E402
+
+_JUMP_MEASURES = ["total_assets", "stockholders_equity", "net_income"]
+
+
+def _flags_sql() -> str:
+    jumps = ",\n  ".join(
+        f"bool_or({O.jump_sql(m, 'j')}) OVER (PARTITION BY firm) AS jump_{m}" for m in _JUMP_MEASURES)
+    # window inside window is not allowed: compute per-row hits first
+    hits = ",\n  ".join(f"{O.jump_sql(m, 'd')} AS hit_{m}" for m in _JUMP_MEASURES)
+    return _with(O.PANEL_CTE, O.DISTORTED_CTE) + f"""
+, hits AS (SELECT *, {O.sanity_flags_sql()} AS base, {hits} FROM distorted)
+, firm_jumps AS (SELECT *, {', '.join(f"coalesce(bool_or(hit_{m}) OVER (PARTITION BY firm), false) AS jump_{m}" for m in _JUMP_MEASURES)} FROM hits)
+"""
+
+
+FLAGS_BASE_SQL = _flags_sql()
+QUALITY_FLAGS_SQL = FLAGS_BASE_SQL + f"""
+SELECT firm, fiscal_year,
+  concat_ws('; ', CASE WHEN base <> '' THEN base END,
+    {', '.join(f"CASE WHEN jump_{m} THEN 'unit_jump_{m}' END" for m in _JUMP_MEASURES)}) AS flags
+FROM firm_jumps
+"""
+
+
+def _flags_df(spark, sf_dir):
+    d = S.distorted_panel(S.panel(spark, sf_dir))
+    return qual.all_flags(d, _JUMP_MEASURES)
+
+
+@register("quality_flags", QUALITY_FLAGS_SQL)
+def quality_flags(spark, sf_dir):
+    return _flags_df(spark, sf_dir).select("firm", "fiscal_year", F.col("_flags").alias("flags"))
+
+
+FLAGGED_ROWS_SQL = f"SELECT * FROM ({QUALITY_FLAGS_SQL}) WHERE flags <> ''"
+
+
+@register("flagged_rows", FLAGGED_ROWS_SQL)
+def flagged_rows(spark, sf_dir):
+    return qual.flagged_rows(_flags_df(spark, sf_dir)).select(
+        "firm", "fiscal_year", F.col("_flags").alias("flags"))
+
+
+UNIT_JUMP_SQL = FLAGS_BASE_SQL + """
+SELECT DISTINCT firm, measure FROM (
+""" + "\nUNION ALL\n".join(
+    f"  SELECT firm, '{m}' AS measure FROM firm_jumps WHERE jump_{m}" for m in _JUMP_MEASURES) + "\n)"
+
+
+@register("unit_jump", UNIT_JUMP_SQL)
+def unit_jump(spark, sf_dir):
+    d = S.distorted_panel(S.panel(spark, sf_dir)).select("firm", "fiscal_year", *_JUMP_MEASURES)
+    j = qual.unit_jumps(d, _JUMP_MEASURES)
+    stack = ", ".join(f"'{m}', jump_{m}" for m in _JUMP_MEASURES)
+    long = j.selectExpr("firm", f"stack({len(_JUMP_MEASURES)}, {stack}) AS (measure, jumped)")
+    return long.where("jumped").select("firm", "measure").distinct()
+
+
+# ======================================================================
+# Comparison with a reference panel, validated panel
+# ======================================================================
+_MEASURES = list(qual.C.MEASURES)
+
+
+def _validation_inputs(spark, sf_dir):
+    scraped = S.scraped_for_validation(S.panel(spark, sf_dir))
+    ref = qual.scale_reference(S.reference_for_validation(S.supplier_panel(spark, sf_dir)))
+    return scraped, ref
+
+
+def _compare_cells_sql() -> str:
+    unions = "\nUNION ALL\n".join(
+        f"  SELECT coalesce(s.firm, r.firm) AS firm, coalesce(s.fiscal_year, r.fiscal_year) AS fiscal_year, "
+        f"'{m}' AS measure, s.{m} AS scraped, r.{m} AS reference "
+        f"FROM scraped s FULL OUTER JOIN reference r ON s.firm = r.firm AND s.fiscal_year = r.fiscal_year"
+        for m in _MEASURES)
+    return _with(O.PANEL_CTE, O.SUPPLIER_PANEL_CTE, O.DISTORTED_CTE, O.VALIDATION_INPUT_CTE) + f"""
+, cells AS (
+{unions}
+)
+, compared AS (
+  SELECT *, CASE WHEN scraped IS NULL THEN 'MISSING'
+    WHEN reference <> 0 AND abs(scraped - reference) / abs(reference) > 0.05 THEN 'MISMATCH'
+    ELSE 'MATCH' END AS result
+  FROM cells WHERE reference IS NOT NULL
+)
+"""
+
+
+COMPARE_CELLS_BASE = _compare_cells_sql()
+
+
+@register("compare_reference", COMPARE_CELLS_BASE + "SELECT * FROM compared")
+def compare_reference(spark, sf_dir):
+    s, r = _validation_inputs(spark, sf_dir)
+    return qual.compare_cells(s, r)
+
+
+@register("compare_summary", COMPARE_CELLS_BASE + """
+SELECT CAST(sum(CASE WHEN result = 'MATCH' THEN 1 ELSE 0 END) AS BIGINT) AS matched,
+  CAST(sum(CASE WHEN result = 'MISMATCH' THEN 1 ELSE 0 END) AS BIGINT) AS mismatched,
+  CAST(sum(CASE WHEN result = 'MISSING' THEN 1 ELSE 0 END) AS BIGINT) AS missing,
+  count(*) AS total_checks
+FROM compared
+""")
+def compare_summary(spark, sf_dir):
+    s, r = _validation_inputs(spark, sf_dir)
+    return qual.comparison_summary(qual.compare_cells(s, r))
+
+
+def _validated_sql() -> str:
+    cols, over, fill = [], [], []
+    for m in _MEASURES:
+        within = f"(r.{m} <> 0 AND abs(s.{m} - r.{m}) / abs(r.{m}) <= 0.05)"
+        cols.append(f"CASE WHEN s.firm IS NULL THEN r.{m} WHEN r.{m} IS NULL THEN s.{m} "
+                    f"WHEN s.{m} IS NULL THEN r.{m} WHEN {within} THEN s.{m} ELSE r.{m} END AS {m}")
+        over.append(f"CASE WHEN s.firm IS NOT NULL AND r.{m} IS NOT NULL AND s.{m} IS NOT NULL "
+                    f"AND NOT coalesce({within}, false) THEN 1 ELSE 0 END")
+        fill.append(f"CASE WHEN s.firm IS NOT NULL AND r.{m} IS NOT NULL AND s.{m} IS NULL THEN 1 ELSE 0 END")
+    return _with(O.PANEL_CTE, O.SUPPLIER_PANEL_CTE, O.DISTORTED_CTE, O.VALIDATION_INPUT_CTE) + f"""
+, validated AS (
+  SELECT r.firm, r.ticker, r.status, r.fiscal_year,
+    {', '.join(cols)},
+    {' + '.join(over)} AS _overridden,
+    CASE WHEN s.firm IS NULL THEN {len(_MEASURES)} ELSE {' + '.join(fill)} END AS _filled
+  FROM reference r LEFT JOIN scraped s ON r.firm = s.firm AND r.fiscal_year = s.fiscal_year
+)
+"""
+
+
+VALIDATED_BASE = _validated_sql()
+
+
+def _validated_df(spark, sf_dir):
+    s, r = _validation_inputs(spark, sf_dir)
+    return qual.validated_panel(s, r)
+
+
+@register("validated_panel", VALIDATED_BASE + f"SELECT firm, ticker, status, fiscal_year, {', '.join(_MEASURES)} FROM validated")
+def validated_panel(spark, sf_dir):
+    return _validated_df(spark, sf_dir).select("firm", "ticker", "status", "fiscal_year", *_MEASURES)
+
+
+@register("override_counts", VALIDATED_BASE + """
+SELECT CAST(sum(_overridden) AS BIGINT) AS overridden, CAST(sum(_filled) AS BIGINT) AS filled_from_reference
+FROM validated
+""")
+def override_counts(spark, sf_dir):
+    return qual.override_counts(_validated_df(spark, sf_dir))
+
+
+@register("identity_check", VALIDATED_BASE + """
+SELECT firm, fiscal_year,
+  CASE WHEN total_assets IS NOT NULL AND total_liabilities IS NOT NULL AND stockholders_equity IS NOT NULL
+    AND total_assets > 0 THEN abs(total_assets - (total_liabilities + stockholders_equity)) / total_assets * 100 END
+    AS identity_diff_pct,
+  CASE WHEN total_assets IS NOT NULL AND total_liabilities IS NOT NULL AND stockholders_equity IS NOT NULL
+    AND total_assets > 0 THEN abs(total_assets - (total_liabilities + stockholders_equity)) / total_assets * 100 < 5 END
+    AS identity_ok
+FROM validated
+""")
+def identity_check(spark, sf_dir):
+    return qual.identity_check(_validated_df(spark, sf_dir)).select(
+        "firm", "fiscal_year", "identity_diff_pct", "identity_ok")
+
+
+# ======================================================================
+# Coverage, completeness, missing fields over the gappy panel
+# ======================================================================
+def _coverage_sql() -> str:
+    unions = "\nUNION ALL\n".join(
+        f"  SELECT firm, '{m}' AS measure, count({m}) AS found, count(*) AS total, "
+        f"min(fiscal_year) AS min_year, max(fiscal_year) AS max_year FROM gappy GROUP BY firm"
+        for m in _MEASURES)
+    return _with(O.PANEL_CTE, O.GAPPY_CTE) + f"""
+SELECT *, CASE WHEN found = total THEN 'all' WHEN found > 0 THEN 'some' ELSE 'none' END AS coverage
+FROM (
+{unions}
+)"""
+
+
+@register("coverage", _coverage_sql())
+def coverage(spark, sf_dir):
+    return qual.coverage(S.gappy_panel(S.panel(spark, sf_dir)))
+
+
+@register("missing_fields", _with(O.PANEL_CTE, O.GAPPY_CTE) + f"""
+SELECT * FROM (
+  SELECT firm, fiscal_year,
+    concat_ws(', ', {', '.join(f"CASE WHEN {m} IS NULL THEN '{m}' END" for m in _MEASURES)}) AS missing,
+    {' + '.join(f"CASE WHEN {m} IS NULL THEN 1 ELSE 0 END" for m in _MEASURES)} AS n_missing
+  FROM gappy
+) WHERE n_missing > 0
+""")
+def missing_fields(spark, sf_dir):
+    return qual.missing_fields(S.gappy_panel(S.panel(spark, sf_dir)))
+
+
+_RATIO_COLS = ["leverage_ratio", "cash_coverage", "level3_pct", "provision_for_losses", "net_income",
+               "provision_for_losses_yoy_pct", "net_income_yoy_pct", "equity_to_assets_pct"]
+
+
+@register("completeness", f"""
+WITH rf AS ({RATIO_SQL})
+SELECT total, feature, non_null FROM (
+  SELECT count(*) AS total, {', '.join(f'count({c}) AS n__{c}' for c in _RATIO_COLS)} FROM rf
+) UNPIVOT (non_null FOR feature IN ({', '.join(f'n__{c} AS {O.sql_literal(c)}' for c in _RATIO_COLS)}))
+""")
+def completeness(spark, sf_dir):
+    return qual.completeness(ratio_features(spark, sf_dir), _RATIO_COLS)

@@ -137,3 +137,49 @@ def doc_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("lang").isin("en", "de"), "risk_factors").otherwise("mda").alias("section"),
         "text",
     )
+
+
+def distorted_panel(p: DataFrame) -> DataFrame:
+    """Deterministic distortions by key that trip each sanity rule:
+    1996 liabilities copy assets; failed firms in 1998 report equity in the
+    wrong unit (x100); 2000 net income copies assets; surviving firms in
+    2001 report assets x1000."""
+    y, st = F.col("fiscal_year"), F.col("status")
+    ta, tl = F.col("total_assets"), F.col("total_liabilities")
+    se, ni = F.col("stockholders_equity"), F.col("net_income")
+    return p.select(
+        "firm", "ticker", "status", "fiscal_year",
+        F.when((y == 2001) & (st == "survived"), ta * 1000.0).otherwise(ta).alias("total_assets"),
+        F.when(y == 1996, ta).otherwise(tl).alias("total_liabilities"),
+        F.when((y == 1998) & (st == "failed"), se * 100.0).otherwise(se).alias("stockholders_equity"),
+        "cash_and_equivalents", "short_term_borrowings",
+        F.when(y == 2000, ta).otherwise(ni).alias("net_income"),
+        "provision_for_loan_losses",
+    )
+
+
+def gappy_panel(p: DataFrame) -> DataFrame:
+    """NULLs by key rule: no cash in 1995, no net income for failed firms in
+    2001 (and no provisions for EUROPE, from the panel itself)."""
+    y, st = F.col("fiscal_year"), F.col("status")
+    return p.select(
+        "firm", "ticker", "status", "fiscal_year", "total_assets", "total_liabilities",
+        "stockholders_equity",
+        F.when(y == 1995, F.lit(None).cast("double")).otherwise(F.col("cash_and_equivalents"))
+         .alias("cash_and_equivalents"),
+        "short_term_borrowings",
+        F.when((y == 2001) & (st == "failed"), F.lit(None).cast("double")).otherwise(F.col("net_income"))
+         .alias("net_income"),
+        "provision_for_loan_losses",
+    )
+
+
+def scraped_for_validation(p: DataFrame) -> DataFrame:
+    """The scraped side: distorted panel without surviving firms' 1995 rows."""
+    d = distorted_panel(p)
+    return d.where(~((F.col("fiscal_year") == 1995) & (F.col("status") == "survived")))
+
+
+def reference_for_validation(r: DataFrame) -> DataFrame:
+    """The reference side (millions): no 2001 rows."""
+    return r.where(F.col("fiscal_year") != 2001)
