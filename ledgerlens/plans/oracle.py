@@ -185,3 +185,52 @@ def jump_sql(col: str, src: str) -> str:
     prev = (f"last_value({col} IGNORE NULLS) OVER (PARTITION BY firm ORDER BY fiscal_year "
             f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
     return f"({col} IS NOT NULL AND {prev} IS NOT NULL AND {prev} <> 0 AND abs({col} / NULLIF({prev}, 0)) > 100)"
+
+FILING_INDEX_CTE = """
+entries AS (
+  SELECT lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS cik,
+    row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn,
+    CASE o_orderpriority WHEN '1-URGENT' THEN '10-K' WHEN '2-HIGH' THEN '10-K/A'
+      WHEN '3-MEDIUM' THEN '10-Q' WHEN '4-NOT SPECIFIED' THEN '10-K' ELSE '8-K' END AS form,
+    CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '5-LOW' THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS filingDate,
+    lpad(CAST(o_custkey AS VARCHAR), 10, '0') || '-' || strftime(o_orderdate, '%y') || '-'
+      || lpad(CAST(o_orderkey AS VARCHAR), 6, '0') AS accessionNumber,
+    'd' || CAST(o_orderkey AS VARCHAR) || '.htm' AS primaryDocument,
+    CASE WHEN o_orderstatus = 'P' THEN '' ELSE strftime(CAST(o_orderdate AS DATE) - INTERVAL 2 MONTH, '%Y-%m-%d') END AS reportDate
+  FROM orders
+),
+packed0 AS (
+  SELECT cik, CAST(floor((rn - 1) / 8) AS INTEGER) AS page_no,
+    list(form ORDER BY rn) AS form, list(filingDate ORDER BY rn) AS filingDate,
+    list(accessionNumber ORDER BY rn) AS accessionNumber, list(primaryDocument ORDER BY rn) AS primaryDocument,
+    list(reportDate ORDER BY rn) AS reportDate
+  FROM entries GROUP BY ALL
+),
+packed AS (
+  SELECT cik, page_no, form, filingDate, accessionNumber, primaryDocument,
+    CASE WHEN page_no >= 1 AND page_no % 2 = 1 THEN reportDate[1:len(reportDate) - 1] ELSE reportDate END AS reportDate,
+    'CIK' || cik || '-submissions-' || lpad(CAST(page_no AS VARCHAR), 3, '0') || '.json' AS name
+  FROM packed0
+),
+blocks AS (
+  SELECT cik, '' AS page, form, filingDate, accessionNumber, primaryDocument, reportDate FROM packed WHERE page_no = 0
+  UNION ALL
+  SELECT cik, name AS page, form, filingDate, accessionNumber, primaryDocument, reportDate
+  FROM packed WHERE page_no >= 1 AND page_no <> 3 AND page_no <> 5
+),
+records AS (
+  SELECT cik, page, CAST(i - 1 AS INTEGER) AS entry_no,
+    coalesce(form[i], '') AS form, coalesce(filingDate[i], '') AS filingDate,
+    coalesce(accessionNumber[i], '') AS accessionNumber, coalesce(primaryDocument[i], '') AS primaryDocument,
+    coalesce(reportDate[i], '') AS reportDate
+  FROM (SELECT *, unnest(generate_series(1, len(form))) AS i FROM blocks)
+)"""
+
+ANNUAL_SQL = """
+annual AS (
+  SELECT cik, accessionNumber AS accession, filingDate AS filing_date, primaryDocument AS primary_doc,
+    CASE WHEN length(reportDate) >= 4 THEN CAST(substr(reportDate, 1, 4) AS INTEGER)
+         WHEN CAST(substr(filingDate, 6, 2) AS INTEGER) <= 4 THEN CAST(substr(filingDate, 1, 4) AS INTEGER) - 1
+         ELSE CAST(substr(filingDate, 1, 4) AS INTEGER) END AS fiscal_year
+  FROM records WHERE form = '10-K' AND filingDate <> ''
+)"""

@@ -375,3 +375,47 @@ SELECT total, feature, non_null FROM (
 """)
 def completeness(spark, sf_dir):
     return qual.completeness(ratio_features(spark, sf_dir), _RATIO_COLS)
+
+
+# ======================================================================
+# Filing index -> records -> annual filings -> locators
+# ======================================================================
+from ..operators import filings as fil  # noqa: E402
+
+FILING_YEARS = (1996, 2000)
+
+
+def _records_df(spark, sf_dir):
+    recent, listing, pages = S.filing_index(spark, sf_dir)
+    return fil.history_records(recent, listing, pages)
+
+
+@register("history_union", _with(O.FILING_INDEX_CTE) + "SELECT * FROM records")
+def history_union(spark, sf_dir):
+    return _records_df(spark, sf_dir)
+
+
+_ANNUAL_BASE = _with(O.FILING_INDEX_CTE, O.ANNUAL_SQL)
+
+
+@register("filing_select", _ANNUAL_BASE + f"""
+SELECT * FROM annual WHERE fiscal_year BETWEEN {FILING_YEARS[0]} AND {FILING_YEARS[1]}
+""")
+def filing_select(spark, sf_dir):
+    return fil.select_annual(_records_df(spark, sf_dir), *FILING_YEARS)
+
+
+@register("filing_locator", _ANNUAL_BASE + f"""
+, sel AS (SELECT * FROM annual WHERE fiscal_year BETWEEN {FILING_YEARS[0]} AND {FILING_YEARS[1]})
+, loc AS (SELECT *, replace(accession, '-', '') AS accession_nodash,
+    CASE WHEN regexp_replace(cik, '^0+', '') = '' THEN '0' ELSE regexp_replace(cik, '^0+', '') END AS cik_nodash
+  FROM sel)
+SELECT cik, accession, fiscal_year, accession_nodash, cik_nodash,
+  'https://www.sec.gov/Archives/edgar/data/' || cik_nodash || '/' || accession_nodash || '/' || primary_doc AS url_1,
+  'https://data.sec.gov/Archives/edgar/data/' || cik_nodash || '/' || accession_nodash || '/' || primary_doc AS url_2
+FROM loc
+""")
+def filing_locator(spark, sf_dir):
+    sel = fil.select_annual(_records_df(spark, sf_dir), *FILING_YEARS)
+    return fil.filing_locator(sel).select("cik", "accession", "fiscal_year", "accession_nodash",
+                                          "cik_nodash", "url_1", "url_2")

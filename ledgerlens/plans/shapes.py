@@ -183,3 +183,63 @@ def scraped_for_validation(p: DataFrame) -> DataFrame:
 def reference_for_validation(r: DataFrame) -> DataFrame:
     """The reference side (millions): no 2001 rows."""
     return r.where(F.col("fiscal_year") != 2001)
+
+
+# ---------------------------------------------------------------- filing index
+PAGE_SIZE = 8
+FORM_BY_PRIORITY = [("1-URGENT", "10-K"), ("2-HIGH", "10-K/A"), ("3-MEDIUM", "10-Q"),
+                    ("4-NOT SPECIFIED", "10-K")]
+
+
+def _form_col():
+    c = F.col("o_orderpriority")
+    expr = None
+    for prio, form in FORM_BY_PRIORITY:
+        expr = (F.when(c == prio, form) if expr is None else expr.when(c == prio, form))
+    return expr.otherwise("8-K")
+
+
+def filing_index(spark: SparkSession, sf_dir: str):
+    """Orders as filing-index entries, packed per customer into pages of
+    ``PAGE_SIZE`` entries (parallel arrays). Page 0 is the ``recent`` block;
+    later pages are listed by name, except that page 5 is listed without a
+    name and page 3 is listed but not available. Odd pages carry a
+    ``reportDate`` array one entry short (ragged arrays).
+
+    Returns (recent, listing, pages) DataFrames."""
+    from pyspark.sql import Window
+    o = table(spark, sf_dir, "orders")
+    cik = F.lpad(F.col("o_custkey").cast("string"), 10, "0")
+    e = o.select(
+        cik.alias("cik"),
+        F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("rn"),
+        _form_col().alias("form"),
+        F.when((F.col("o_orderstatus") == "F") & (F.col("o_orderpriority") == "5-LOW"), F.lit(""))
+         .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("filingDate"),
+        F.concat(cik, F.lit("-"), F.date_format("o_orderdate", "yy"), F.lit("-"),
+                 F.lpad(F.col("o_orderkey").cast("string"), 6, "0")).alias("accessionNumber"),
+        F.concat(F.lit("d"), F.col("o_orderkey").cast("string"), F.lit(".htm")).alias("primaryDocument"),
+        F.when(F.col("o_orderstatus") == "P", F.lit(""))
+         .otherwise(F.date_format(F.add_months(F.to_date("o_orderdate"), -2), "yyyy-MM-dd")).alias("reportDate"),
+    ).withColumn("page_no", F.floor((F.col("rn") - 1) / PAGE_SIZE).cast("int"))
+    fields = ["form", "filingDate", "accessionNumber", "primaryDocument", "reportDate"]
+    # every group is one page: at most PAGE_SIZE entries
+    packed = e.groupBy("cik", "page_no").agg(
+        F.sort_array(F.collect_list(F.struct("rn", *fields))).alias("_entries"))
+    def field_of(f):
+        return lambda x: x.getField(f)
+    arrays = [F.transform("_entries", field_of(f)).alias(f) for f in fields]
+    packed = packed.select("cik", "page_no", *arrays)
+    odd = (F.col("page_no") >= 1) & (F.pmod(F.col("page_no"), F.lit(2)) == 1)
+    packed = packed.withColumn(
+        "reportDate", F.when(odd, F.slice("reportDate", 1, F.size("reportDate") - 1))
+                       .otherwise(F.col("reportDate")))
+    block = F.struct(*fields).alias("block")
+    name = F.concat(F.lit("CIK"), F.col("cik"), F.lit("-submissions-"),
+                    F.lpad(F.col("page_no").cast("string"), 3, "0"), F.lit(".json"))
+    recent = packed.where(F.col("page_no") == 0).select("cik", block)
+    listing = packed.where(F.col("page_no") >= 1).select(
+        "cik", F.when(F.col("page_no") == 5, F.lit("")).otherwise(name).alias("name"))
+    pages = packed.where((F.col("page_no") >= 1) & (F.col("page_no") != 3)).select(
+        "cik", name.alias("name"), block)
+    return recent, listing, pages
