@@ -35,34 +35,75 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+_CLASS_SUBST = {"s": (WS, WS_CHARS), "d": (r"\p{Nd}", r"\p{Nd}"),
+                "w": (r"[\p{L}\p{N}_]", r"\p{L}\p{N}_")}
+
+
+def py_regex(pattern: str) -> str:
+    """Spell Python's Unicode ``\\s``, ``\\d`` and ``\\w`` as explicit classes
+    that mean the same in Java and RE2 (inside a ``[...]`` class the
+    members are inlined)."""
+    out, i, in_class = [], 0, False
+    while i < len(pattern):
+        ch = pattern[i]
+        if ch == "\\" and i + 1 < len(pattern):
+            nxt = pattern[i + 1]
+            if nxt in _CLASS_SUBST:
+                out.append(_CLASS_SUBST[nxt][1 if in_class else 0])
+            else:
+                out.append(pattern[i:i + 2])
+            i += 2
+            continue
+        if ch == "[" and not in_class:
+            in_class = True
+        elif ch == "]" and in_class:
+            in_class = False
+        out.append(ch)
+        i += 1
+    return "".join(out)
+
+
 def py_strip(col) -> Column:
     """str.strip(): remove leading and trailing Python whitespace."""
     return F.regexp_replace(_c(col), f"^{WS}+|{WS}+$", "")
 
 
 # ---------------------------------------------------------------- T1 / T2 / T3
+# HTML cleanup steps as (pattern, replacement, case-insensitive), in order.
+# The same list drives the Spark expression and the SQL oracle.
+FIN_BLOCK_TAGS = r"p|div|tr|li|h\d|td"
+SECTION_BLOCK_TAGS = r"p|div|tr|li|h\d"
+
+
+def html_steps(block_tags: str) -> list[tuple[str, str, bool]]:
+    return [
+        (py_regex(r"<br\s*/?>"), "\n", True),
+        (py_regex(rf"</({block_tags})>"), "\n", True),
+        (r"<[^>]+>", " ", False),
+        (r"&nbsp;", " ", True),
+        (r"&amp;", "&", True),
+        (r"&[a-zA-Z]+;", " ", False),
+        (py_regex(r"&#\d+;"), " ", False),
+        ("\u00a0", " ", False),
+        (r"[ \t]+", " ", False),
+    ]
+
+
 def _html_common(c: Column, block_tags: str) -> Column:
-    c = F.regexp_replace(c, r"(?iU)<br\s*/?>", "\n")
-    c = F.regexp_replace(c, rf"(?iU)</({block_tags})>", "\n")
-    c = F.regexp_replace(c, r"<[^>]+>", " ")
-    c = F.regexp_replace(c, r"(?i)&nbsp;", " ")
-    c = F.regexp_replace(c, r"(?i)&amp;", "&")
-    c = F.regexp_replace(c, r"&[a-zA-Z]+;", " ")
-    c = F.regexp_replace(c, r"(?U)&#\d+;", " ")
-    c = F.regexp_replace(c, "\u00a0", " ")
-    c = F.regexp_replace(c, r"[ \t]+", " ")
+    for pat, rep, ci in html_steps(block_tags):
+        c = F.regexp_replace(c, ("(?iu)" if ci else "") + pat, rep)
     return c
 
 
 def html_to_text_financial(col) -> Column:
     """HTML -> text for line-item search (td closes a line, no trim)."""
-    return _html_common(_c(col), r"p|div|tr|li|h\d|td")
+    return _html_common(_c(col), FIN_BLOCK_TAGS)
 
 
 def html_to_text_section(col) -> Column:
     """HTML -> text for section search (blank-line runs -> one blank
     line, trimmed; td does not close a line)."""
-    c = _html_common(_c(col), r"p|div|tr|li|h\d")
+    c = _html_common(_c(col), SECTION_BLOCK_TAGS)
     c = F.regexp_replace(c, f"\n{WS}*\n", "\n\n")
     return py_strip(c)
 

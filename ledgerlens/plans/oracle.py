@@ -234,3 +234,67 @@ annual AS (
          ELSE CAST(substr(filingDate, 1, 4) AS INTEGER) END AS fiscal_year
   FROM records WHERE form = '10-K' AND filingDate <> ''
 )"""
+
+M1_SQL, M2_SQL = "chr(57344)", "chr(57345)"
+
+
+def py_pattern_sql(p: str, ci: bool = True) -> str:
+    from ..functions.text import py_regex
+    return sql_literal(("(?i)" if ci else "") + py_regex(p))
+
+
+def normalize_ws_sql(x: str) -> str:
+    return strip_sql(f"regexp_replace({x}, '{WS}+', ' ', 'g')")
+
+
+def html_sql(text: str, block_tags: str, section: bool) -> str:
+    from ..functions.text import html_steps
+    x = text
+    for pat, rep, ci in html_steps(block_tags):
+        rep_sql = "chr(10)" if rep == "\n" else sql_literal(rep)
+        pat_sql = "chr(160)" if pat == " " else sql_literal(("(?i)" if ci else "") + pat)
+        x = f"regexp_replace({x}, {pat_sql}, {rep_sql}, 'g')"
+    if section:
+        x = f"regexp_replace({x}, chr(10) || '{WS}*' || chr(10), chr(10) || chr(10), 'g')"
+        x = strip_sql(x)
+    return x
+
+
+def section_sql(text: str, starts, ends, min_chars: int = 500, fallback: int = 200000) -> str:
+    """T4 in DuckDB with the same marker technique as the Spark side."""
+    cands = []
+    for sp in starts:
+        marked = f"regexp_replace({text}, {py_pattern_sql(sp)}, {M1_SQL} || '\\0' || {M2_SQL}, 'g')"
+        tail = f"string_split({marked}, {M1_SQL})[-1]"
+        found = f"contains({marked}, {M1_SQL})"
+        match = f"string_split({tail}, {M2_SQL})[1]"
+        rest = f"coalesce(string_split({tail}, {M2_SQL})[2], '')"
+        for ep in ends:
+            parts = f"string_split_regex({rest}, {py_pattern_sql(ep)})"
+            sec = normalize_ws_sql(f"({match} || {parts}[1])")
+            cands.append(f"CASE WHEN {found} AND len({parts}) >= 2 AND length({sec}) > {min_chars} THEN {sec} END")
+        fb = normalize_ws_sql(f"substring({match} || {rest}, 1, {fallback})")
+        cands.append(f"CASE WHEN {found} AND length({fb}) > {min_chars} THEN {fb} END")
+    return "coalesce(" + ",\n    ".join(cands) + ")"
+
+
+DOC_FILINGS_CTE = """
+doc_filings AS (
+  SELECT doc_id, lang,
+    'TABLE OF CONTENTS' || chr(10) || 'Item 1A. Risk Factors 12' || chr(10) || 'Item 1B. Unresolved Staff Comments 20' || chr(10)
+    || 'Item 7. Management''s Discussion and Analysis 31' || chr(10) || 'Item 8. Financial Statements 55' || chr(10) || chr(10)
+    || CASE WHEN lang = 'fr' THEN 'ITEM 1A (continued) - RISK FACTORS' || chr(10)
+            WHEN lang = 'es' THEN 'Risk Factors' || chr(10)
+            ELSE 'Item 1A. Risk Factors' || chr(10) END
+    || coalesce(text, '')
+    || CASE WHEN lang = 'fr' THEN chr(10) || 'Item 2. Properties' || chr(10) || 'None.' || chr(10)
+            WHEN lang = 'es' THEN chr(10)
+            ELSE chr(10) || 'Item 1B. Unresolved Staff Comments' || chr(10) || 'None.' || chr(10) END
+    || CASE WHEN lang = 'de' THEN 'Management' || chr(8217) || 's Discussion and Analysis' || chr(10)
+            ELSE 'Item 7. Management''s Discussion and Analysis' || chr(10) END
+    || coalesce(text, '')
+    || CASE WHEN lang = 'de' THEN chr(10) || 'Item 7A. Market Risk' || chr(10)
+            WHEN lang = 'es' THEN chr(10)
+            ELSE chr(10) || 'Item 8. Financial Statements' || chr(10) END AS filing
+  FROM documents
+)"""

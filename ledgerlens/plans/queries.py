@@ -419,3 +419,77 @@ def filing_locator(spark, sf_dir):
     sel = fil.select_annual(_records_df(spark, sf_dir), *FILING_YEARS)
     return fil.filing_locator(sel).select("cik", "accession", "fiscal_year", "accession_nodash",
                                           "cik_nodash", "url_1", "url_2")
+
+
+# ======================================================================
+# HTML to text over pages
+# ======================================================================
+from ..functions import text as TX  # noqa: E402
+from ..operators import extract as ex  # noqa: E402
+from ..sources.tables import table as _table  # noqa: E402
+
+
+@register("html_to_text_fin", f"SELECT page_id, {O.html_sql('html', TX.FIN_BLOCK_TAGS, False)} AS text FROM pages")
+def html_to_text_fin(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", TX.html_to_text_financial("html").alias("text"))
+
+
+@register("html_to_text_section", f"SELECT page_id, {O.html_sql('html', TX.SECTION_BLOCK_TAGS, True)} AS text FROM pages")
+def html_to_text_section(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", TX.html_to_text_section("html").alias("text"))
+
+
+# ======================================================================
+# Section extraction over documents wrapped as filings
+# ======================================================================
+_SEC = qual.C.SECTION_PATTERNS
+
+
+def _sections_sql() -> str:
+    parts = []
+    for s in qual.C.SECTIONS:
+        parts.append(f"SELECT doc_id, '{s}' AS section, "
+                     f"{O.section_sql('filing', _SEC[s]['start'], _SEC[s]['end'])} AS section_text FROM doc_filings")
+    return _with(O.DOC_FILINGS_CTE) + ", secs AS (\n" + "\nUNION ALL\n".join(parts) + "\n)\n"
+
+
+SECTIONS_BASE = _sections_sql()
+
+
+def _sections_df(spark, sf_dir):
+    f = S.doc_filings(spark, sf_dir)
+    return ex.extract_sections(f, "filing", keep=["doc_id"])
+
+
+@register("section_extract", SECTIONS_BASE + """
+SELECT doc_id, section, section_text, CAST(length(section_text) AS INTEGER) AS n_chars FROM secs
+""")
+def section_extract(spark, sf_dir):
+    s = _sections_df(spark, sf_dir)
+    return s.select("doc_id", "section", "section_text", F.length("section_text").alias("n_chars"))
+
+
+@register("extraction_status", SECTIONS_BASE + """
+SELECT section, CASE WHEN section_text IS NULL THEN 'failed' ELSE 'ok' END AS status, count(*) AS n
+FROM secs GROUP BY ALL
+""")
+def extraction_status(spark, sf_dir):
+    s = _sections_df(spark, sf_dir).withColumn("has_text", F.lit(True))
+    return ex.extraction_status(s).groupBy("section", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _headers_sql() -> str:
+    pat = O.py_pattern_sql(qual.C.HEADER_PATTERN)
+    hits = f"regexp_extract_all(substring(text, 1, {qual.C.HEADER_SCAN_CHARS}), {pat})"
+    return f"""
+WITH h AS (SELECT doc_id, {hits}[1:{qual.C.HEADER_FIRST_HITS}] AS hits FROM documents)
+SELECT doc_id,
+  array_to_string(list_filter(hits, lambda x, i: list_position(hits, x) = i)[1:{qual.C.HEADER_SHOWN}], ' | ') AS headers
+FROM h
+"""
+
+
+@register("headers_found", _headers_sql())
+def headers_found_q(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.array_join(ex.headers_found("text"), " | ").alias("headers"))

@@ -243,3 +243,34 @@ def filing_index(spark: SparkSession, sf_dir: str):
     pages = packed.where((F.col("page_no") >= 1) & (F.col("page_no") != 3)).select(
         "cik", name.alias("name"), block)
     return recent, listing, pages
+
+
+# ---------------------------------------------------------------- filings text
+_TOC = ("TABLE OF CONTENTS\nItem 1A. Risk Factors 12\nItem 1B. Unresolved Staff Comments 20\n"
+        "Item 7. Management's Discussion and Analysis 31\nItem 8. Financial Statements 55\n\n")
+
+
+def doc_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents -> (doc_id, lang, filing): each document wrapped as a
+    filing with a table of contents, a risk-factor section and an MD&A
+    section (both bodies are the document text). Header styles vary by
+    language so that every start/end pattern and the fallback are used:
+    en standard; fr 'ITEM 1A (continued) - RISK FACTORS' and no Item 1B;
+    es a bare 'Risk Factors' line and no end marker; de the MD&A opens
+    with a bare title and ends at Item 7A."""
+    d = table(spark, sf_dir, "documents")
+    lang, t = F.col("lang"), F.col("text")
+    risk_head = (F.when(lang == "fr", F.lit("ITEM 1A (continued) - RISK FACTORS\n"))
+                 .when(lang == "es", F.lit("Risk Factors\n"))
+                 .otherwise(F.lit("Item 1A. Risk Factors\n")))
+    risk_end = (F.when(lang == "fr", F.lit("\nItem 2. Properties\nNone.\n"))
+                .when(lang == "es", F.lit("\n"))
+                .otherwise(F.lit("\nItem 1B. Unresolved Staff Comments\nNone.\n")))
+    mda_head = (F.when(lang == "de", F.lit("Management’s Discussion and Analysis\n"))
+                .otherwise(F.lit("Item 7. Management's Discussion and Analysis\n")))
+    mda_end = (F.when(lang == "de", F.lit("\nItem 7A. Market Risk\n"))
+               .when(lang == "es", F.lit("\n"))
+               .otherwise(F.lit("\nItem 8. Financial Statements\n")))
+    filing = F.concat(F.lit(_TOC), risk_head, F.coalesce(t, F.lit("")), risk_end, mda_head,
+                      F.coalesce(t, F.lit("")), mda_end)
+    return d.select("doc_id", "lang", filing.alias("filing"))
