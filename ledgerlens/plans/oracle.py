@@ -298,3 +298,38 @@ doc_filings AS (
             ELSE chr(10) || 'Item 8. Financial Statements' || chr(10) END AS filing
   FROM documents
 )"""
+
+SENTENCES_CTE = f"""
+sent_raw AS (
+  SELECT doc_id, list_filter(list_transform(
+      string_split(regexp_replace(text, '([.!?]){WS}+([A-Z])', '\\1' || chr(57344) || '\\2', 'g'), chr(57344)),
+      lambda s: regexp_replace(s, '^{WS}+|{WS}+$', '', 'g')), lambda s: s <> '') AS ss
+  FROM documents
+),
+sentences AS (
+  SELECT doc_id, CAST(generate_subscripts(ss, 1) - 1 AS INTEGER) AS sentence_no, unnest(ss) AS sentence FROM sent_raw
+)"""
+
+
+def quality_sql(s: str) -> str:
+    from .. import config as C
+    from ..functions.text import NON_WS, py_regex
+    bp = "(?i)^(?:" + "|".join(py_regex(p) for p in C.BOILERPLATE_PREFIXES) + ")"
+    nw = f"len(regexp_extract_all({s}, '{NON_WS}+'))"
+    alpha = f"length(regexp_replace({s}, '[^\\pL]', '', 'g'))"
+    return (f"({nw} BETWEEN {C.SENTENCE_MIN_WORDS} AND {C.SENTENCE_MAX_WORDS} "
+            f"AND (length({s}) = 0 OR {alpha} / length({s}) >= {C.SENTENCE_MIN_ALPHA}) "
+            f"AND NOT regexp_matches({s}, {sql_literal(bp)}))")
+
+
+def scored_cte(pos, neg) -> str:
+    p, n = term_count_sql("sentence", pos), term_count_sql("sentence", neg)
+    return f"""
+qsent AS (SELECT * FROM sentences WHERE {quality_sql('sentence')}),
+counted AS (SELECT doc_id, sentence_no, substring(sentence, 1, 120) AS text, {p} AS pos, {n} AS neg FROM qsent),
+scored AS (
+  SELECT doc_id, sentence_no, text,
+    CASE WHEN pos > neg THEN 'positive' WHEN neg > pos THEN 'negative' ELSE 'neutral' END AS label,
+    0.5 + 0.5 * abs(pos - neg) / (pos + neg + 1) AS score
+  FROM counted
+)"""

@@ -493,3 +493,97 @@ FROM h
 def headers_found_q(spark, sf_dir):
     d = _table(spark, sf_dir, "documents")
     return d.select("doc_id", F.array_join(ex.headers_found("text"), " | ").alias("headers"))
+
+
+# ======================================================================
+# Sentences and sentiment over documents
+# ======================================================================
+from ..operators import sentiment as sen  # noqa: E402
+
+_SCORER = sen.lexicon_scorer(S.DOC_POSITIVE, S.DOC_NEGATIVE)
+_SENT_BASE = _with(O.SENTENCES_CTE)
+_SCORED_BASE = _with(O.SENTENCES_CTE, O.scored_cte(S.DOC_POSITIVE, S.DOC_NEGATIVE))
+_SKEYS = ["firm", "fiscal_year", "section"]
+
+
+@register("sentences", _SENT_BASE + "SELECT * FROM sentences")
+def sentences_q(spark, sf_dir):
+    return sen.sentences(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", ["doc_id"])
+
+
+@register("quality_sentences", _SENT_BASE + f"SELECT * FROM sentences WHERE {O.quality_sql('sentence')}")
+def quality_sentences_q(spark, sf_dir):
+    return sen.quality_sentences(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", ["doc_id"])
+
+
+def _scored_df(spark, sf_dir, keys=("doc_id",)):
+    d = S.doc_sections(spark, sf_dir).select(*dict.fromkeys(["doc_id", *keys]), "text")
+    q = sen.quality_sentences(d, "text")
+    return sen.score_sentences(q, _SCORER)
+
+
+@register("sentence_scores", _SCORED_BASE + "SELECT * FROM scored")
+def sentence_scores(spark, sf_dir):
+    return _scored_df(spark, sf_dir)
+
+
+_SECTION_SENT_SQL = _with(O.DOC_SECTIONS_CTE, O.SENTENCES_CTE, O.scored_cte(S.DOC_POSITIVE, S.DOC_NEGATIVE)) + """
+, keyed AS (SELECT d.firm, d.fiscal_year, d.section, s.* FROM scored s JOIN doc_sections d USING (doc_id))
+, agg AS (
+  SELECT firm, fiscal_year, section, count(*) AS n,
+    count(CASE WHEN label = 'positive' THEN 1 END) / count(*) AS pr,
+    count(CASE WHEN label = 'negative' THEN 1 END) / count(*) AS nr,
+    count(CASE WHEN label = 'neutral' THEN 1 END) / count(*) AS ur,
+    coalesce(avg(CASE WHEN label = 'positive' THEN score END), 0.0) AS pc,
+    coalesce(avg(CASE WHEN label = 'negative' THEN score END), 0.0) AS nc
+  FROM keyed GROUP BY ALL
+)
+, scaffold AS (SELECT DISTINCT firm, fiscal_year, section FROM doc_sections)
+, section_sentiment AS (
+  SELECT s.firm, s.fiscal_year, s.section, CAST(coalesce(a.n, 0) AS INTEGER) AS n_sentences,
+    CASE WHEN a.n >= 10 THEN pr END AS positive_ratio,
+    CASE WHEN a.n >= 10 THEN nr END AS negative_ratio,
+    CASE WHEN a.n >= 10 THEN ur END AS neutral_ratio,
+    CASE WHEN a.n >= 10 THEN pc END AS avg_positive_conf,
+    CASE WHEN a.n >= 10 THEN nc END AS avg_negative_conf,
+    CASE WHEN a.n >= 10 THEN pr END - CASE WHEN a.n >= 10 THEN nr END AS sentiment_score
+  FROM scaffold s LEFT JOIN agg a USING (firm, fiscal_year, section)
+)
+"""
+
+
+def _section_sentiment_df(spark, sf_dir):
+    scored = _scored_df(spark, sf_dir, ["doc_id", *_SKEYS])
+    agg = sen.section_sentiment(scored, _SKEYS)
+    scaffold = S.doc_sections(spark, sf_dir).select(*_SKEYS).distinct()
+    return sen.with_scaffold(agg, scaffold, _SKEYS)
+
+
+@register("section_sentiment", _SECTION_SENT_SQL + "SELECT * FROM section_sentiment")
+def section_sentiment_q(spark, sf_dir):
+    return _section_sentiment_df(spark, sf_dir).select(
+        *_SKEYS, "n_sentences", "positive_ratio", "negative_ratio", "neutral_ratio",
+        "avg_positive_conf", "avg_negative_conf", "sentiment_score")
+
+
+@register("most_negative", _SECTION_SENT_SQL + """
+SELECT firm, fiscal_year, section, text, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY firm, fiscal_year, section
+                               ORDER BY score DESC, doc_id, sentence_no) AS rn
+  FROM keyed WHERE label = 'negative'
+) WHERE rn = 1
+""")
+def most_negative_q(spark, sf_dir):
+    return sen.most_negative(_scored_df(spark, sf_dir, ["doc_id", *_SKEYS]), _SKEYS)
+
+
+DOC_YEARS = list(range(2000, 2018))
+
+
+@register("sentiment_pivot", _SECTION_SENT_SQL + f"""
+SELECT firm, {', '.join(f'first(sentiment_score) FILTER (WHERE fiscal_year = {y}) AS "{y}"' for y in DOC_YEARS)}
+FROM section_sentiment WHERE section = 'risk_factors' AND sentiment_score IS NOT NULL GROUP BY firm
+""")
+def sentiment_pivot(spark, sf_dir):
+    s = _section_sentiment_df(spark, sf_dir).where(F.col("section") == "risk_factors")
+    return sen.pivot_by_year(s, "sentiment_score", DOC_YEARS)

@@ -274,3 +274,9 @@ def doc_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     filing = F.concat(F.lit(_TOC), risk_head, F.coalesce(t, F.lit("")), risk_end, mda_head,
                       F.coalesce(t, F.lit("")), mda_end)
     return d.select("doc_id", "lang", filing.alias("filing"))
+
+
+# scorer vocabulary for the benchmark documents (frequent fragments of the
+# invented prose, so every label occurs); a plain operator parameter
+DOC_POSITIVE = ["an", "en"]
+DOC_NEGATIVE = ["ou", "re"]
