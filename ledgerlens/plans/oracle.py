@@ -333,3 +333,17 @@ scored AS (
     0.5 + 0.5 * abs(pos - neg) / (pos + neg + 1) AS score
   FROM counted
 )"""
+
+LABELLED_CTE = f"""
+labelled AS (
+  SELECT d.doc_id, CASE WHEN quality = 0 THEN 'failed' ELSE 'survived' END AS status,
+    CAST(n_chars AS DOUBLE) AS n_chars,
+    CAST({word_count_sql('text')} AS DOUBLE) AS words,
+    CAST({term_count_sql('text', ['the'])} / NULLIF({word_count_sql('text')}, 0) AS DOUBLE) * 1000.0 AS article_density,
+    CAST(toxic AS DOUBLE) AS toxic
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+),
+long AS (
+  SELECT status, feature, value FROM labelled
+  UNPIVOT (value FOR feature IN (n_chars, words, article_density, toxic))
+)"""

@@ -587,3 +587,136 @@ FROM section_sentiment WHERE section = 'risk_factors' AND sentiment_score IS NOT
 def sentiment_pivot(spark, sf_dir):
     s = _section_sentiment_df(spark, sf_dir).where(F.col("section") == "risk_factors")
     return sen.pivot_by_year(s, "sentiment_score", DOC_YEARS)
+
+
+# ======================================================================
+# Two-group statistics, ranks, Spearman, lead/lag
+# ======================================================================
+from ..operators import stats as st  # noqa: E402
+
+_STAT_FEATURES = ["n_chars", "words", "article_density", "toxic"]
+
+
+def _long_labelled(spark, sf_dir):
+    return st.melt(S.labelled_features(spark, sf_dir), _STAT_FEATURES, ["status"])
+
+
+_MOMENTS_SQL = _with(O.LABELLED_CTE) + """
+, m AS (
+  SELECT feature,
+    count(CASE WHEN status = 'failed' THEN value END) AS n1,
+    avg(CASE WHEN status = 'failed' THEN value END) AS mean1,
+    stddev_samp(CASE WHEN status = 'failed' THEN value END) AS sd1,
+    count(CASE WHEN status = 'survived' THEN value END) AS n2,
+    avg(CASE WHEN status = 'survived' THEN value END) AS mean2,
+    stddev_samp(CASE WHEN status = 'survived' THEN value END) AS sd2
+  FROM long GROUP BY feature
+)
+"""
+
+
+@register("welch_cohen", _MOMENTS_SQL + """
+SELECT feature, n1, n2, mean1, mean2, sd1, sd2,
+  (mean1 - mean2) / sqrt(sd1 * sd1 / n1 + sd2 * sd2 / n2) AS t_stat,
+  (sd1 * sd1 / n1 + sd2 * sd2 / n2) * (sd1 * sd1 / n1 + sd2 * sd2 / n2)
+    / ((sd1 * sd1 / n1) * (sd1 * sd1 / n1) / (n1 - 1) + (sd2 * sd2 / n2) * (sd2 * sd2 / n2) / (n2 - 1)) AS welch_df,
+  CASE WHEN sqrt((sd1 * sd1 + sd2 * sd2) / 2) > 0 THEN (mean1 - mean2) / sqrt((sd1 * sd1 + sd2 * sd2) / 2) ELSE 0.0 END
+    AS cohens_d
+FROM m WHERE n1 >= 2 AND n2 >= 2
+""")
+def welch_cohen(spark, sf_dir):
+    return st.welch(st.group_moments(_long_labelled(spark, sf_dir)))
+
+
+@register("p_values", None)
+def p_values(spark, sf_dir):
+    w = st.with_welch_p(st.welch(st.group_moments(_long_labelled(spark, sf_dir))))
+    return w.select("feature", "t_stat", "welch_df", "p_value", "significant",
+                    st.p_label(F.col("p_value")).alias("p_label"))
+
+
+@register("mann_whitney_u", _with(O.LABELLED_CTE) + """
+, ranked AS (
+  SELECT *, rank() OVER (PARTITION BY feature ORDER BY value)
+    + (count(*) OVER (PARTITION BY feature, value) - 1) / 2.0 AS avg_rank
+  FROM long
+)
+, ties AS (SELECT feature, value, count(*) AS c FROM long GROUP BY ALL)
+, agg AS (
+  SELECT feature, sum(CASE WHEN status = 'failed' THEN avg_rank ELSE 0 END) AS r1,
+    count(CASE WHEN status = 'failed' THEN 1 END) AS n1, count(CASE WHEN status <> 'failed' THEN 1 END) AS n2
+  FROM ranked GROUP BY feature
+)
+SELECT a.feature, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, r1 - n1 * (n1 + 1) / 2.0 AS u_stat,
+  CAST((SELECT sum(c * c * c - c) FROM ties t WHERE t.feature = a.feature) AS DOUBLE) AS tie_term
+FROM agg a WHERE n1 >= 2 AND n2 >= 2
+""")
+def mann_whitney_u(spark, sf_dir):
+    return st.mann_whitney(_long_labelled(spark, sf_dir))
+
+
+@register("mann_whitney_p", None)
+def mann_whitney_p(spark, sf_dir):
+    return st.mann_whitney_with_p(_long_labelled(spark, sf_dir))
+
+
+@register("group_sem", _with(O.LABELLED_CTE) + """
+SELECT feature, status, count(*) AS n, avg(value) AS mean, stddev_samp(value) / sqrt(count(*)) AS sem
+FROM long GROUP BY ALL
+""")
+def group_sem(spark, sf_dir):
+    return st.group_sem(_long_labelled(spark, sf_dir))
+
+
+_CORR = ["leverage_ratio", "cash_coverage", "equity_to_assets_pct", "net_income",
+         "provision_for_losses", "net_income_yoy_pct"]
+
+
+def _spearman_sql() -> str:
+    pairs = [(i, j) for i in range(len(_CORR)) for j in range(len(_CORR)) if i > j]
+    unions = "\nUNION ALL\n".join(
+        f"  SELECT '{_CORR[i]}' AS feature_x, '{_CORR[j]}' AS feature_y, {_CORR[i]} AS x, {_CORR[j]} AS y FROM base"
+        for i, j in pairs)
+    nn = " UNION ALL ".join(f"SELECT '{c}' AS feature, count({c}) AS nn FROM base" for c in _CORR)
+    return f"""
+WITH rf AS ({RATIO_SQL}),
+base AS (SELECT * FROM rf WHERE NOT ({' AND '.join(f'{c} IS NULL' for c in _CORR)})),
+okf AS (SELECT feature FROM ({nn}) WHERE nn > 3),
+pairs AS (
+{unions}
+),
+pp AS (SELECT * FROM pairs WHERE x IS NOT NULL AND y IS NOT NULL
+       AND feature_x IN (SELECT feature FROM okf) AND feature_y IN (SELECT feature FROM okf)),
+r AS (
+  SELECT feature_x, feature_y,
+    rank() OVER (PARTITION BY feature_x, feature_y ORDER BY x) + (count(*) OVER (PARTITION BY feature_x, feature_y, x) - 1) / 2.0 AS rank_x,
+    rank() OVER (PARTITION BY feature_x, feature_y ORDER BY y) + (count(*) OVER (PARTITION BY feature_x, feature_y, y) - 1) / 2.0 AS rank_y
+  FROM pp
+)
+SELECT feature_x, feature_y, count(*) AS n, corr(rank_x, rank_y) AS rho FROM r GROUP BY ALL
+"""
+
+
+@register("spearman_pairs", _spearman_sql())
+def spearman_pairs_q(spark, sf_dir):
+    return st.spearman_pairs(ratio_features(spark, sf_dir), _CORR)
+
+
+@register("lead_lag", f"""
+WITH rf AS ({RATIO_SQL}),
+x AS (
+  SELECT firm, fiscal_year, provision_for_losses AS n_, leverage_ratio AS f_,
+    count(*) OVER (PARTITION BY firm) AS rows_, count(provision_for_losses) OVER (PARTITION BY firm) AS nn,
+    count(leverage_ratio) OVER (PARTITION BY firm) AS fn,
+    lag(fiscal_year) OVER (PARTITION BY firm ORDER BY fiscal_year) AS from_year,
+    provision_for_losses - lag(provision_for_losses) OVER (PARTITION BY firm ORDER BY fiscal_year) AS nlp_change,
+    leverage_ratio - lag(leverage_ratio) OVER (PARTITION BY firm ORDER BY fiscal_year) AS fin_change
+  FROM rf
+)
+SELECT firm, from_year, fiscal_year AS to_year, nlp_change,
+  CASE WHEN nlp_change > 0 THEN 'UP' ELSE 'DOWN' END AS nlp_dir, fin_change,
+  CASE WHEN fin_change > 0 THEN 'UP' ELSE 'DOWN' END AS fin_dir
+FROM x WHERE rows_ >= 2 AND nn > 0 AND fn > 0 AND from_year IS NOT NULL
+""")
+def lead_lag(spark, sf_dir):
+    return st.lead_lag(ratio_features(spark, sf_dir), "provision_for_losses", "leverage_ratio")

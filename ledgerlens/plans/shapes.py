@@ -280,3 +280,22 @@ def doc_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
 # invented prose, so every label occurs); a plain operator parameter
 DOC_POSITIVE = ["an", "en"]
 DOC_NEGATIVE = ["ou", "re"]
+
+
+def labelled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents joined to labels: status 'failed' for quality 0, else
+    'survived'; features n_chars, words, article_density (per 1000 words),
+    toxic."""
+    from ..functions.text import term_count, word_count
+    d = table(spark, sf_dir, "documents")
+    lab = table(spark, sf_dir, "labels")
+    j = d.join(lab, "doc_id")
+    words = word_count(F.col("text"))
+    return j.select(
+        "doc_id",
+        F.when(F.col("quality") == 0, "failed").otherwise("survived").alias("status"),
+        F.col("n_chars").cast("double").alias("n_chars"),
+        words.cast("double").alias("words"),
+        F.try_divide(term_count(F.col("text"), ["the"]), words).cast("double").alias("_d"),
+        F.col("toxic").cast("double").alias("toxic"),
+    ).withColumn("article_density", F.col("_d") * 1000.0).drop("_d")
