@@ -720,3 +720,128 @@ FROM x WHERE rows_ >= 2 AND nn > 0 AND fn > 0 AND from_year IS NOT NULL
 """)
 def lead_lag(spark, sf_dir):
     return st.lead_lag(ratio_features(spark, sf_dir), "provision_for_losses", "leverage_ratio")
+
+
+# ======================================================================
+# Chart frames, pivots, outer merge
+# ======================================================================
+from ..operators import frames as fr  # noqa: E402
+
+PANEL_YEARS = list(range(1995, 2002))
+_PANEL_SERIES = ["leverage_ratio", "cash_coverage", "net_income", "provision_for_losses"]
+
+
+@register("pivot_first", f"""
+WITH rf AS ({RATIO_SQL})
+SELECT firm, {', '.join(f'first(leverage_ratio) FILTER (WHERE fiscal_year = {y}) AS "{y}"' for y in PANEL_YEARS)}
+FROM rf WHERE leverage_ratio IS NOT NULL GROUP BY firm
+""")
+def pivot_first(spark, sf_dir):
+    return sen.pivot_by_year(ratio_features(spark, sf_dir), "leverage_ratio", PANEL_YEARS)
+
+
+_SERIES_UNION = "\nUNION ALL\n".join(
+    f"SELECT firm, fiscal_year, status, '{f}' AS feature, {f} AS value FROM rf" for f in _PANEL_SERIES)
+
+
+@register("series_long", f"""
+WITH rf AS ({RATIO_SQL}), s AS ({_SERIES_UNION})
+SELECT * FROM s WHERE feature <> 'provision_for_losses' OR value IS NOT NULL
+""")
+def series_long(spark, sf_dir):
+    return fr.series_long(ratio_features(spark, sf_dir), _PANEL_SERIES)
+
+
+@register("dashboard_long", f"""
+WITH rf AS ({RATIO_SQL}), s AS ({_SERIES_UNION})
+SELECT firm, fiscal_year, status, feature, value FROM (
+  SELECT *, count(value) OVER (PARTITION BY firm, feature) AS nn FROM s) WHERE nn > 0
+""")
+def dashboard_long(spark, sf_dir):
+    return fr.dashboard_long(ratio_features(spark, sf_dir), _PANEL_SERIES)
+
+
+@register("value_labels", f"""
+WITH rf AS ({RATIO_SQL})
+SELECT firm, fiscal_year,
+  printf('$%.0fB', net_income / 1e9) AS net_income_label,
+  printf('%.1f%%', equity_to_assets_pct) AS equity_pct_label
+FROM rf
+""")
+def value_labels(spark, sf_dir):
+    rf = ratio_features(spark, sf_dir)
+    return rf.select("firm", "fiscal_year", fr.billions_label(F.col("net_income")).alias("net_income_label"),
+                     fr.pct_label(F.col("equity_to_assets_pct")).alias("equity_pct_label"))
+
+
+@register("event_annotations", f"""
+WITH rf AS ({RATIO_SQL}),
+mx AS (SELECT {', '.join(f'max({f}) AS {f}' for f in _PANEL_SERIES)} FROM rf),
+h AS (SELECT feature, max_value, max_value * 0.9 AS y_pos FROM mx
+      UNPIVOT (max_value FOR feature IN ({', '.join(_PANEL_SERIES)})))
+SELECT feature, max_value, y_pos, event_year, label FROM h,
+  (VALUES {', '.join(f"({y}, {O.sql_literal(lab)})" for y, lab in sorted(qual.C.CHART_EVENTS.items()))}) ev(event_year, label)
+""")
+def event_annotations(spark, sf_dir):
+    return fr.event_annotations(ratio_features(spark, sf_dir), _PANEL_SERIES)
+
+
+@register("distinct_firms", f"""
+WITH p AS (SELECT * FROM ({_with(O.PANEL_CTE)} SELECT * FROM panel))
+SELECT firm, min(fiscal_year) AS first_year FROM p GROUP BY firm
+""")
+def distinct_firms(spark, sf_dir):
+    return fr.distinct_firms(S.panel(spark, sf_dir))
+
+
+@register("sentiment_series", _SECTION_SENT_SQL + """
+SELECT firm, fiscal_year, section, status, score, negative_pct FROM (
+  SELECT s.firm, s.fiscal_year, s.section, d.status, s.sentiment_score AS score, s.negative_ratio * 100 AS negative_pct,
+    count(s.sentiment_score) OVER (PARTITION BY s.firm, s.section) AS n1
+  FROM section_sentiment s JOIN (SELECT DISTINCT firm, status FROM doc_sections) d USING (firm)
+) WHERE n1 > 0
+""")
+def sentiment_series(spark, sf_dir):
+    s = _section_sentiment_df(spark, sf_dir)
+    st_ = S.doc_sections(spark, sf_dir).select("firm", "status").distinct()
+    return fr.sentiment_series(s.join(st_, "firm"))
+
+
+def _nations_nlp(spark, sf_dir):
+    w = _nlp_wide_df(spark, sf_dir).drop("status", "ticker")
+    return w.withColumn("firm", F.concat(F.lit("NATION_"), F.substring("firm", 4, 10)))
+
+
+@register("combine_outer", f"""
+WITH rf AS ({RATIO_SQL}),
+nlp AS (SELECT * EXCLUDE (firm, status, ticker), 'NATION_' || substring(firm, 4, 10) AS firm FROM ({NLP_WIDE_SQL}))
+SELECT firm, fiscal_year, rf.leverage_ratio, rf.net_income, nlp.risk_section_wc, nlp.risk_total_crisis_density,
+  nlp.hedging_language_pct
+FROM rf FULL OUTER JOIN nlp USING (firm, fiscal_year)
+""")
+def combine_outer(spark, sf_dir):
+    q = ratio_features(spark, sf_dir).select("firm", "fiscal_year", "leverage_ratio", "net_income")
+    n = _nations_nlp(spark, sf_dir).select("firm", "fiscal_year", "risk_section_wc",
+                                             "risk_total_crisis_density", "hedging_language_pct")
+    return feat.combine_outer(q, n, ["firm", "fiscal_year"])
+
+
+# ======================================================================
+# Skip work already materialised
+# ======================================================================
+from ..operators import sinks as snk  # noqa: E402
+
+
+@register("incremental_sections", f"""
+WITH scaffold AS (SELECT doc_id, s.section FROM documents, (VALUES ('risk_factors'), ('mda')) s(section)),
+done AS (SELECT DISTINCT doc_id, 'risk_factors' AS section FROM documents
+         WHERE lang IN ('en', 'de') AND octet_length(encode(text)) > 500)
+SELECT sc.doc_id, sc.section, CASE WHEN d.doc_id IS NOT NULL THEN 'cached' ELSE 'pending' END AS status
+FROM scaffold sc LEFT JOIN done d ON sc.doc_id = d.doc_id AND sc.section = d.section
+""")
+def incremental_sections(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents")
+    scaffold = d.select("doc_id", F.explode(F.array(F.lit("risk_factors"), F.lit("mda"))).alias("section"))
+    done = d.where(F.col("lang").isin("en", "de")).select(
+        "doc_id", F.lit("risk_factors").alias("section"), F.col("text").alias("section_text"))
+    return snk.work_status(scaffold, done, ["doc_id", "section"])
