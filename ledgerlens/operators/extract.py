@@ -143,3 +143,140 @@ def extraction_status(sections: DataFrame, text_present: str = "has_text") -> Da
     st = (F.when(~F.col(text_present), "no_html")
           .when(F.col("section_text").isNotNull(), "ok").otherwise("failed"))
     return sections.withColumn("status", st)
+
+
+# ------------------------------------------------------------------ T6 / T7
+def _label_regex(label: str, window: int) -> str:
+    """Label match as group 1 and the next ``window`` chars as group 2. The
+    look-ahead captures the window without consuming it, so the label
+    matches are the same non-overlapping sequence as a plain scan."""
+    return FLAGS_IM + "(" + py_regex(label) + ")(?=((?s:.{0," + str(window) + "})))"
+
+
+def label_windows(text, label: str, window: int = C.NUMBER_WINDOW) -> tuple[Column, Column]:
+    """(label matches, windows after them) as two aligned arrays."""
+    rx = F.lit(_label_regex(label, window))
+    return F.regexp_extract_all(_c(text), rx, 1), F.regexp_extract_all(_c(text), rx, 2)
+
+
+def numbers_from_windows(labels: Column, windows: Column, number_pattern: str = C.NUMBER_PATTERN,
+                         min_value: float = C.NUMBER_MIN_VALUE, context_after: int = C.CONTEXT_AFTER,
+                         context_max: int = C.CONTEXT_MAX) -> Column:
+    """T6 core: array<struct<match_no, value, raw, context>>, one per label
+    match that has a number >= ``min_value`` in its window; the closest
+    (first) such number is kept, negative when its token holds both '('
+    and ')'. The lambda only sees the zipped element, so no regex is
+    re-evaluated per element."""
+    from ..functions.text import py_strip
+    num = F.lit(py_regex(number_pattern))
+
+    def value_of(raw: Column) -> Column:
+        # the token without '(', '$', ',', ')' and blanks is the number
+        return F.regexp_replace(raw, r"[^0-9.]", "").try_cast("double")
+
+    def per_match(z, i):
+        win = z["w"]
+        raw = F.get(F.filter(F.regexp_extract_all(win, num, 0),
+                             lambda r: value_of(r) >= F.lit(float(min_value))), 0)
+        v = value_of(raw)
+        neg = F.contains(raw, F.lit("(")) & F.contains(raw, F.lit(")"))
+        ctx = F.concat(z["l"], F.substring(win, 1, context_after))
+        ctx = F.substring(py_strip(F.regexp_replace(ctx, "\n", " ")), 1, context_max)
+        return F.struct(i.alias("match_no"), F.when(neg, -v).otherwise(v).alias("value"),
+                        py_strip(raw).alias("raw"), ctx.alias("context"))
+
+    zipped = F.arrays_zip(labels.alias("l"), windows.alias("w"))
+    return F.filter(F.transform(zipped, per_match), lambda x: x["value"].isNotNull())
+
+
+def numbers_near_label(text, label: str, window: int = C.NUMBER_WINDOW, **kw) -> Column:
+    """T6 on one label pattern (see ``numbers_from_windows``)."""
+    labels, windows = label_windows(text, label, window)
+    return numbers_from_windows(labels, windows, **kw)
+
+
+def _tag(k: int):
+    return lambda s: F.struct(F.lit(k).alias("pattern_no"), s["match_no"].alias("match_no"),
+                              s["value"].alias("value"), s["raw"].alias("raw"), s["context"].alias("context"))
+
+
+def _first_largest(allm: Column) -> Column:
+    """T7 scan: strictly larger |value| replaces the current best."""
+    return F.aggregate(allm, F.get(allm, 0),
+                       lambda acc, x: F.when(F.abs(x["value"]) > F.abs(acc["value"]), x).otherwise(acc))
+
+
+def best_value(text, patterns: Sequence[str], **kw) -> Column:
+    """Over a field's patterns in order, the first match with the
+    largest |value| (a strictly larger value from a later pattern wins)."""
+    parts = [F.transform(numbers_near_label(text, p, **kw), _tag(k)) for k, p in enumerate(patterns)]
+    return _first_largest(F.concat(*parts) if len(parts) > 1 else parts[0])
+
+
+# ------------------------------------------------------------------ T8 / T9
+def unit_multiplier(text, patterns: Sequence[tuple[str, int]] = tuple(C.UNIT_PATTERNS),
+                    scans: Sequence[int] = C.UNIT_SCAN_CHARS) -> Column:
+    """In each scanned prefix (lower-cased) the first pattern in
+    priority order that occurs gives the multiplier; 1 when none."""
+    t = _c(text)
+    levels = []
+    for n in scans:
+        head = F.lower(F.substring(t, 1, n))
+        expr = None
+        for p, mult in patterns:
+            cond = head.rlike(py_regex(p))
+            expr = F.when(cond, F.lit(mult)) if expr is None else expr.when(cond, F.lit(mult))
+        levels.append(expr)
+    return F.coalesce(*levels, F.lit(1)).cast("long")
+
+
+def scrape_filing(df: DataFrame, html: str = "html", keep: Sequence[str] | None = None,
+                  fields: Mapping[str, Sequence[str]] = C.FIELD_PATTERNS, text_is_html: bool = True) -> DataFrame:
+    """Filing -> wide row of line items (value x unit multiplier, NULL
+    when not found). Staged projections: text once, label windows once per
+    pattern, numbers per window, then the best match per field."""
+    from ..functions.text import html_to_text_financial
+    keep = [c for c in (keep or df.columns) if c != html]
+    t = html_to_text_financial(F.col(html)) if text_is_html else F.col(html)
+    x = df.select(*keep, t.alias("_text"))
+    idx = [(fi, k, p) for fi, (_f, pats) in enumerate(fields.items()) for k, p in enumerate(pats)]
+    win_cols = []
+    for fi, k, p in idx:
+        lab, win = label_windows(F.col("_text"), p)
+        win_cols += [lab.alias(f"_l{fi}_{k}"), win.alias(f"_w{fi}_{k}")]
+    x = x.select(*keep, unit_multiplier(F.col("_text")).alias("unit_multiplier"), *win_cols)
+    x = x.select(*keep, "unit_multiplier", *[
+        F.transform(numbers_from_windows(F.col(f"_l{fi}_{k}"), F.col(f"_w{fi}_{k}")), _tag(k)).alias(f"_n{fi}_{k}")
+        for fi, k, _p in idx])
+    alls = []
+    for fi, (_f, pats) in enumerate(fields.items()):
+        cols = [F.col(f"_n{fi}_{k}") for k in range(len(pats))]
+        alls.append((F.concat(*cols) if len(cols) > 1 else cols[0]).alias(f"_a{fi}"))
+    x = x.select(*keep, "unit_multiplier", *alls)
+    x = x.select(*keep, "unit_multiplier",
+                 *[_first_largest(F.col(f"_a{fi}")).alias(f"_b{fi}") for fi in range(len(fields))])
+    return x.select(*keep, "unit_multiplier",
+                    *[(F.col(f"_b{fi}.value") * F.col("unit_multiplier")).alias(f) for fi, f in enumerate(fields)])
+
+
+# ------------------------------------------------------------------ T17
+def keyword_in_context(text, term: str, before: int = 20, after: int = 50, shown: int = 3,
+                       max_chars: int = 80) -> tuple[Column, Column]:
+    """(count of case-insensitive matches, first ``shown`` snippets of
+    ``before`` chars + match + ``after`` chars, trimmed, cut to
+    ``max_chars``). The look-behind alternative ``^.{0,n-1}`` covers matches
+    near the start, where fewer than ``before`` chars exist."""
+    t = _c(text)
+    body = py_regex(term)
+    count = F.regexp_count(t, F.lit(FLAGS_I + body))
+    # the leading look-ahead fails fast where the term does not start, so the
+    # look-behind only runs at real matches
+    rx = (FLAGS_I + "(?=" + body + ")(?<=((?s:.{" + str(before) + "}|^.{0," + str(before - 1) + "})))("
+          + body + ")(?=((?s:.{0," + str(after) + "})))")
+    pre = F.regexp_extract_all(t, F.lit(rx), 1)
+    hit = F.regexp_extract_all(t, F.lit(rx), 2)
+    post = F.regexp_extract_all(t, F.lit(rx), 3)
+    from ..functions.text import py_strip
+    snippets = F.transform(F.slice(F.arrays_zip(pre.alias("a"), hit.alias("b"), post.alias("c")), 1, shown),
+                           lambda z: F.substring(py_strip(F.concat(z["a"], z["b"], z["c"])), 1, max_chars))
+    return count, snippets

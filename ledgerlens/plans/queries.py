@@ -845,3 +845,87 @@ def incremental_sections(spark, sf_dir):
     done = d.where(F.col("lang").isin("en", "de")).select(
         "doc_id", F.lit("risk_factors").alias("section"), F.col("text").alias("section_text"))
     return snk.work_status(scaffold, done, ["doc_id", "section"])
+
+
+# ======================================================================
+# Amounts near labels, unit multiplier, scraped rows, KWIC
+# ======================================================================
+def _statement_text(spark, sf_dir):
+    s = S.statements(spark, sf_dir)
+    return s.select("doc_id", TX.html_to_text_financial("html").alias("text"))
+
+
+@register("numbers_near_label", None)
+def numbers_near_label(spark, sf_dir):
+    t = _statement_text(spark, sf_dir)
+    parts = []
+    for field, pats in qual.C.FIELD_PATTERNS.items():
+        for k, p in enumerate(pats):
+            parts.append(t.select("doc_id", F.lit(field).alias("field"), F.lit(k).alias("pattern_no"),
+                                  F.explode(ex.numbers_near_label(F.col("text"), p)).alias("m")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("doc_id", "field", "pattern_no", "m.match_no", "m.value", "m.raw", "m.context")
+
+
+def _unit_sql() -> str:
+    levels = []
+    for n in qual.C.UNIT_SCAN_CHARS:
+        whens = " ".join(f"WHEN regexp_matches(lower(substring(text, 1, {n})), {O.py_pattern_sql(p, ci=False)}) THEN {m}"
+                         for p, m in qual.C.UNIT_PATTERNS)
+        levels.append(f"CASE {whens} END")
+    return f"coalesce({', '.join(levels)}, 1)"
+
+
+def _statements_sql() -> str:
+    return """
+WITH o AS (SELECT *, o_totalprice AS price FROM orders)
+"""
+
+
+@register("unit_multiplier", None)
+def unit_multiplier_q(spark, sf_dir):
+    t = _statement_text(spark, sf_dir)
+    return t.select("doc_id", ex.unit_multiplier(F.col("text")).alias("unit_multiplier"))
+
+
+@register("unit_multiplier_docs", f"SELECT doc_id, CAST({_unit_sql()} AS BIGINT) AS unit_multiplier FROM documents")
+def unit_multiplier_docs(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents")
+    return d.select("doc_id", ex.unit_multiplier(F.col("text")).alias("unit_multiplier"))
+
+
+@register("scraped_row", None)
+def scraped_row(spark, sf_dir):
+    return ex.scrape_filing(S.statements(spark, sf_dir), "html", keep=["doc_id"])
+
+
+KWIC_TERMS = ["the", "und", "que"]
+
+
+@register("kwic_counts", "\nUNION ALL\n".join(
+    f"SELECT doc_id, '{t}' AS term, CAST(len(regexp_extract_all(text, '(?i){t}')) AS INTEGER) AS n_matches FROM documents"
+    for t in KWIC_TERMS))
+def kwic_counts(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents")
+    parts = [d.select("doc_id", F.lit(t).alias("term"), ex.keyword_in_context(F.col("text"), t)[0].alias("n_matches"))
+             for t in KWIC_TERMS]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("kwic", None)
+def kwic(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents")
+    parts = []
+    for t in KWIC_TERMS:
+        n, snips = ex.keyword_in_context(F.col("text"), t)
+        parts.append(d.select("doc_id", F.lit(t).alias("term"), n.alias("n_matches"),
+                              F.posexplode(snips).alias("k", "snippet")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

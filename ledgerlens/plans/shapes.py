@@ -299,3 +299,38 @@ def labelled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.try_divide(term_count(F.col("text"), ["the"]), words).cast("double").alias("_d"),
         F.col("toxic").cast("double").alias("toxic"),
     ).withColumn("article_density", F.col("_d") * 1000.0).drop("_d")
+
+
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders -> small HTML balance-sheet filings, one per order, with the
+    quirks line-item search has to cope with: a unit header by priority, a
+    footnote marker before an amount, 'Total liabilities and equity',
+    amounts in parentheses, a value on the next line, a date before an
+    amount, and a missing line."""
+    o = table(spark, sf_dir, "orders")
+    pr, stt = F.col("o_orderpriority"), F.col("o_orderstatus")
+    price = F.col("o_totalprice")
+    unit = (F.when(pr == "1-URGENT", F.lit("(in thousands)"))
+            .when(pr == "2-HIGH", F.lit("(Dollars in millions)"))
+            .when(pr == "5-LOW", F.lit("in millions, except in thousands"))
+            .otherwise(F.lit("")))
+
+    def row(label, amount):
+        return F.concat(F.lit("<tr><td>"), F.lit(label), F.lit("</td><td>"), amount, F.lit("</td></tr>"))
+    eq = F.format_number(F.round(price / 12, 2), 2)
+    html = F.concat(
+        F.lit("<html><body><h2>Consolidated Statement of Condition</h2><p>"), unit, F.lit("</p><table>"),
+        row("Total assets", F.concat(F.lit("$ "), F.format_number(price, 2))),
+        row("Total liabilities (1)", F.format_number(F.round(price * 11 / 12, 2), 2)),
+        row("Total liabilities and equity", F.format_number(price, 2)),
+        row("Total stockholders&#8217; equity",
+            F.when(stt == "F", F.concat(F.lit("("), eq, F.lit(")"))).otherwise(eq)),
+        row("Cash and cash equivalents",
+            F.when(stt == "O", F.concat(F.lit("December 31, "), F.format_number(F.col("o_custkey") * 3, 0)))
+             .otherwise(F.format_number(F.col("o_custkey") * 3, 0))),
+        F.when(stt != "P", row("Short-term borrowings", F.format_number(F.col("o_orderkey"), 0)))
+         .otherwise(F.lit("")),
+        F.lit("<tr><td>Net income<br/>"), F.format_number(F.round(price / 40, 2), 2), F.lit("</td></tr>"),
+        F.lit("</table></body></html>"),
+    )
+    return o.select(F.col("o_orderkey").alias("doc_id"), html.alias("html"))
