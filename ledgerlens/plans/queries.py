@@ -929,3 +929,37 @@ def kwic(spark, sf_dir):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+# ======================================================================
+# Structured facts with tag fallback (events as facts)
+# ======================================================================
+from ..operators import facts as fct  # noqa: E402
+
+_PRIO_VALUES = ", ".join(f"('{f}', '{t}', {i})" for f, tags in S.EVENT_FIELD_TAGS.items()
+                         for i, t in enumerate(tags))
+
+
+@register("fact_tag_fallback", f"""
+WITH facts AS (
+  SELECT user_id AS cik, event_type AS tag, strftime(ts, '%Y-%m') AS "end", value AS val,
+    lpad(CAST(event_id AS VARCHAR), 10, '0') AS accn, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS filed
+  FROM events
+),
+latest AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cik, tag, "end" ORDER BY filed DESC, accn DESC) AS rn
+                 FROM facts) WHERE rn = 1
+),
+prio AS (SELECT * FROM (VALUES {_PRIO_VALUES}) p(field, tag, priority)),
+ranked AS (
+  SELECT l.cik, l."end", p.field, l.tag, l.val, l.accn, l.filed,
+    row_number() OVER (PARTITION BY l.cik, l."end", p.field ORDER BY p.priority) AS rn2
+  FROM latest l JOIN prio p ON l.tag = p.tag
+)
+SELECT cik, "end", field, tag, val, accn, filed FROM ranked WHERE rn2 = 1
+""")
+def fact_tag_fallback(spark, sf_dir):
+    f = S.event_facts(spark, sf_dir)
+    latest = fct.latest_facts(f)
+    out = fct.facts_by_field(latest, fct.tag_priorities(spark, S.EVENT_FIELD_TAGS))
+    return out.select("cik", "end", "field", "tag", "val", "accn", "filed")

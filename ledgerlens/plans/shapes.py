@@ -334,3 +334,22 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("</table></body></html>"),
     )
     return o.select(F.col("o_orderkey").alias("doc_id"), html.alias("html"))
+
+
+# structured facts from events: each event type is a tag with fallbacks
+EVENT_FIELD_TAGS = {
+    "activity": ["purchase", "click"],
+    "attention": ["view", "signup"],
+    "faults": ["error"],
+}
+
+
+def event_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as facts: company = user, tag = event type, period end = the
+    event month, filed = event time; all annual 10-K facts."""
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("user_id").alias("cik"), F.col("event_type").alias("tag"),
+                    F.date_format("ts", "yyyy-MM").alias("end"), F.col("value").alias("val"),
+                    F.lpad(F.col("event_id").cast("string"), 10, "0").alias("accn"),
+                    F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("filed"),
+                    F.lit("10-K").alias("form"), F.lit("FY").alias("fp"))
