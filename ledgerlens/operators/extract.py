@@ -159,33 +159,47 @@ def label_windows(text, label: str, window: int = C.NUMBER_WINDOW) -> tuple[Colu
     return F.regexp_extract_all(_c(text), rx, 1), F.regexp_extract_all(_c(text), rx, 2)
 
 
-def numbers_from_windows(labels: Column, windows: Column, number_pattern: str = C.NUMBER_PATTERN,
+def label_windows_only(text, label: str, window: int = C.NUMBER_WINDOW) -> Column:
+    """Windows after each label match (one regex scan)."""
+    return F.regexp_extract_all(_c(text), F.lit(_label_regex(label, window)), 2)
+
+
+def _first_number(win: Column, num: Column, min_value: float) -> Column:
+    """struct<raw, v> of the first number token >= min_value in a window.
+    Two regex scans per window (token, digits); the per-token work is plain
+    string replace + cast."""
+    toks = F.arrays_zip(F.regexp_extract_all(win, num, 0).alias("raw"),
+                        F.regexp_extract_all(win, num, 1).alias("d"))
+    vals = F.transform(toks, lambda y: F.struct(
+        y["raw"].alias("raw"), F.replace(y["d"], F.lit(","), F.lit("")).try_cast("double").alias("v")))
+    return F.get(F.filter(vals, lambda y: y["v"] >= F.lit(float(min_value))), 0)
+
+
+def numbers_from_windows(labels: Column | None, windows: Column, number_pattern: str = C.NUMBER_PATTERN,
                          min_value: float = C.NUMBER_MIN_VALUE, context_after: int = C.CONTEXT_AFTER,
                          context_max: int = C.CONTEXT_MAX) -> Column:
-    """T6 core: array<struct<match_no, value, raw, context>>, one per label
+    """T6 core: array<struct<match_no, value[, raw, context]>>, one per label
     match that has a number >= ``min_value`` in its window; the closest
     (first) such number is kept, negative when its token holds both '('
-    and ')'. The lambda only sees the zipped element, so no regex is
-    re-evaluated per element."""
+    and ')'. Without ``labels`` only values are produced (the cheap path
+    used by ``scrape_filing``). The lambdas see zipped elements only, so no
+    regex is re-evaluated per element."""
     from ..functions.text import py_strip
     num = F.lit(py_regex(number_pattern))
 
-    def value_of(raw: Column) -> Column:
-        # the token without '(', '$', ',', ')' and blanks is the number
-        return F.regexp_replace(raw, r"[^0-9.]", "").try_cast("double")
-
     def per_match(z, i):
-        win = z["w"]
-        raw = F.get(F.filter(F.regexp_extract_all(win, num, 0),
-                             lambda r: value_of(r) >= F.lit(float(min_value))), 0)
-        v = value_of(raw)
+        best = _first_number(z["w"], num, min_value)
+        raw = best["raw"]
         neg = F.contains(raw, F.lit("(")) & F.contains(raw, F.lit(")"))
-        ctx = F.concat(z["l"], F.substring(win, 1, context_after))
-        ctx = F.substring(py_strip(F.regexp_replace(ctx, "\n", " ")), 1, context_max)
-        return F.struct(i.alias("match_no"), F.when(neg, -v).otherwise(v).alias("value"),
-                        py_strip(raw).alias("raw"), ctx.alias("context"))
-
-    zipped = F.arrays_zip(labels.alias("l"), windows.alias("w"))
+        fields = [i.alias("match_no"), F.when(neg, -best["v"]).otherwise(best["v"]).alias("value")]
+        if labels is not None:
+            ctx = F.concat(z["l"], F.substring(z["w"], 1, context_after))
+            ctx = F.substring(py_strip(F.regexp_replace(ctx, "\n", " ")), 1, context_max)
+            fields += [py_strip(raw).alias("raw"), ctx.alias("context")]
+        return F.struct(*fields)
+
+    zipped = (F.arrays_zip(labels.alias("l"), windows.alias("w")) if labels is not None
+              else F.transform(windows, lambda w: F.struct(w.alias("w"))))
     return F.filter(F.transform(zipped, per_match), lambda x: x["value"].isNotNull())
 
 
@@ -195,7 +209,10 @@ def numbers_near_label(text, label: str, window: int = C.NUMBER_WINDOW, **kw) ->
     return numbers_from_windows(labels, windows, **kw)
 
 
-def _tag(k: int):
+def _tag(k: int, full: bool = True):
+    if not full:
+        return lambda s: F.struct(F.lit(k).alias("pattern_no"), s["match_no"].alias("match_no"),
+                                  s["value"].alias("value"))
     return lambda s: F.struct(F.lit(k).alias("pattern_no"), s["match_no"].alias("match_no"),
                               s["value"].alias("value"), s["raw"].alias("raw"), s["context"].alias("context"))
 
@@ -214,14 +231,16 @@ def best_value(text, patterns: Sequence[str], **kw) -> Column:
 
 
 # ------------------------------------------------------------------ T8 / T9
-def unit_multiplier(text, patterns: Sequence[tuple[str, int]] = tuple(C.UNIT_PATTERNS),
-                    scans: Sequence[int] = C.UNIT_SCAN_CHARS) -> Column:
-    """In each scanned prefix (lower-cased) the first pattern in
-    priority order that occurs gives the multiplier; 1 when none."""
-    t = _c(text)
+def unit_heads(text, scans: Sequence[int] = C.UNIT_SCAN_CHARS) -> list[Column]:
+    """The lower-cased prefixes that unit detection scans (each prefix is
+    cut first and lower-cased after, as the rule states)."""
+    return [F.lower(F.substring(_c(text), 1, n)) for n in scans]
+
+
+def unit_multiplier_from_heads(heads: Sequence[Column],
+                               patterns: Sequence[tuple[str, int]] = tuple(C.UNIT_PATTERNS)) -> Column:
     levels = []
-    for n in scans:
-        head = F.lower(F.substring(t, 1, n))
+    for head in heads:
         expr = None
         for p, mult in patterns:
             cond = head.rlike(py_regex(p))
@@ -230,6 +249,13 @@ def unit_multiplier(text, patterns: Sequence[tuple[str, int]] = tuple(C.UNIT_PAT
     return F.coalesce(*levels, F.lit(1)).cast("long")
 
 
+def unit_multiplier(text, patterns: Sequence[tuple[str, int]] = tuple(C.UNIT_PATTERNS),
+                    scans: Sequence[int] = C.UNIT_SCAN_CHARS) -> Column:
+    """In each scanned prefix (lower-cased) the first pattern in
+    priority order that occurs gives the multiplier; 1 when none."""
+    return unit_multiplier_from_heads(unit_heads(text, scans), patterns)
+
+
 def scrape_filing(df: DataFrame, html: str = "html", keep: Sequence[str] | None = None,
                   fields: Mapping[str, Sequence[str]] = C.FIELD_PATTERNS, text_is_html: bool = True) -> DataFrame:
     """Filing -> wide row of line items (value x unit multiplier, NULL
@@ -240,13 +266,13 @@ def scrape_filing(df: DataFrame, html: str = "html", keep: Sequence[str] | None
     t = html_to_text_financial(F.col(html)) if text_is_html else F.col(html)
     x = df.select(*keep, t.alias("_text"))
     idx = [(fi, k, p) for fi, (_f, pats) in enumerate(fields.items()) for k, p in enumerate(pats)]
-    win_cols = []
-    for fi, k, p in idx:
-        lab, win = label_windows(F.col("_text"), p)
-        win_cols += [lab.alias(f"_l{fi}_{k}"), win.alias(f"_w{fi}_{k}")]
-    x = x.select(*keep, unit_multiplier(F.col("_text")).alias("unit_multiplier"), *win_cols)
+    win_cols = [label_windows_only(F.col("_text"), p).alias(f"_w{fi}_{k}") for fi, k, p in idx]
+    heads = [h.alias(f"_h{i}") for i, h in enumerate(unit_heads(F.col("_text")))]
+    x = x.select(*keep, *heads, *win_cols)
+    x = x.select(*keep, unit_multiplier_from_heads([F.col(f"_h{i}") for i in range(len(heads))])
+                 .alias("unit_multiplier"), *[F.col(f"_w{fi}_{k}") for fi, k, _p in idx])
     x = x.select(*keep, "unit_multiplier", *[
-        F.transform(numbers_from_windows(F.col(f"_l{fi}_{k}"), F.col(f"_w{fi}_{k}")), _tag(k)).alias(f"_n{fi}_{k}")
+        F.transform(numbers_from_windows(None, F.col(f"_w{fi}_{k}")), _tag(k, full=False)).alias(f"_n{fi}_{k}")
         for fi, k, _p in idx])
     alls = []
     for fi, (_f, pats) in enumerate(fields.items()):

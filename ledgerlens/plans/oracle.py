@@ -240,7 +240,7 @@ M1_SQL, M2_SQL = "chr(57344)", "chr(57345)"
 
 def py_pattern_sql(p: str, ci: bool = True) -> str:
     from ..functions.text import py_regex
-    return sql_literal(("(?i)" if ci else "") + py_regex(p))
+    return sql_literal(("(?i)" if ci else "") + py_regex(p, "re2"))
 
 
 def normalize_ws_sql(x: str) -> str:
@@ -250,7 +250,7 @@ def normalize_ws_sql(x: str) -> str:
 def html_sql(text: str, block_tags: str, section: bool) -> str:
     from ..functions.text import html_steps
     x = text
-    for pat, rep, ci in html_steps(block_tags):
+    for pat, rep, ci in html_steps(block_tags, "re2"):
         rep_sql = "chr(10)" if rep == "\n" else sql_literal(rep)
         pat_sql = "chr(160)" if pat == " " else sql_literal(("(?i)" if ci else "") + pat)
         x = f"regexp_replace({x}, {pat_sql}, {rep_sql}, 'g')"
@@ -314,7 +314,7 @@ sentences AS (
 def quality_sql(s: str) -> str:
     from .. import config as C
     from ..functions.text import NON_WS, py_regex
-    bp = "(?i)^(?:" + "|".join(py_regex(p) for p in C.BOILERPLATE_PREFIXES) + ")"
+    bp = "(?i)^(?:" + "|".join(py_regex(p, "re2") for p in C.BOILERPLATE_PREFIXES) + ")"
     nw = f"len(regexp_extract_all({s}, '{NON_WS}+'))"
     alpha = f"length(regexp_replace({s}, '[^\\pL]', '', 'g'))"
     return (f"({nw} BETWEEN {C.SENTENCE_MIN_WORDS} AND {C.SENTENCE_MAX_WORDS} "
