@@ -135,12 +135,14 @@ def _literal_count(lowered: Column, term: str) -> Column:
             / F.lit(len(t))).cast("long")
 
 
-def term_count(col, terms: Iterable[str], word_boundary: bool = False) -> Column:
+def term_count(col, terms: Iterable[str], word_boundary: bool = False,
+               lowered: bool = False) -> Column:
     """Case-insensitive sum of non-overlapping substring counts.
 
-    ``word_boundary=True`` counts whole-word hits instead (an option the
-    study does not use)."""
-    lowered = F.lower(_c(col))
+    ``lowered=True`` means ``col`` is already lower-cased (stage it once per
+    row when several term lists are counted). ``word_boundary=True`` counts
+    whole-word hits instead (an option the study does not use)."""
+    lowered = _c(col) if lowered else F.lower(_c(col))
     parts = []
     for term in terms:
         if word_boundary:

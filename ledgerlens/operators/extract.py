@@ -164,15 +164,24 @@ def label_windows_only(text, label: str, window: int = C.NUMBER_WINDOW) -> Colum
     return F.regexp_extract_all(_c(text), F.lit(_label_regex(label, window)), 2)
 
 
-def _first_number(win: Column, num: Column, min_value: float) -> Column:
+def _first_number(win: Column, num: str, min_value: float) -> Column:
     """struct<raw, v> of the first number token >= min_value in a window.
-    Two regex scans per window (token, digits); the per-token work is plain
-    string replace + cast."""
+
+    Fast path: the first token alone (``regexp_extract`` stops at the first
+    match), which is the answer whenever it is large enough. Only when it
+    is not (a footnote marker, a day of month) the window is scanned in
+    full; ``coalesce`` evaluates that branch lazily."""
+    num_s = num if isinstance(num, str) else None
+    num = F.lit(num) if isinstance(num, str) else num
+    raw0 = F.regexp_extract(win, num_s, 0)
+    v0 = F.replace(F.regexp_extract(win, num_s, 1), F.lit(","), F.lit("")).try_cast("double")
+    fast = F.when(v0 >= F.lit(float(min_value)), F.struct(raw0.alias("raw"), v0.alias("v")))
     toks = F.arrays_zip(F.regexp_extract_all(win, num, 0).alias("raw"),
                         F.regexp_extract_all(win, num, 1).alias("d"))
     vals = F.transform(toks, lambda y: F.struct(
         y["raw"].alias("raw"), F.replace(y["d"], F.lit(","), F.lit("")).try_cast("double").alias("v")))
-    return F.get(F.filter(vals, lambda y: y["v"] >= F.lit(float(min_value))), 0)
+    slow = F.get(F.filter(vals, lambda y: y["v"] >= F.lit(float(min_value))), 0)
+    return F.coalesce(fast, slow)
 
 
 def numbers_from_windows(labels: Column | None, windows: Column, number_pattern: str = C.NUMBER_PATTERN,
@@ -185,7 +194,7 @@ def numbers_from_windows(labels: Column | None, windows: Column, number_pattern:
     used by ``scrape_filing``). The lambdas see zipped elements only, so no
     regex is re-evaluated per element."""
     from ..functions.text import py_strip
-    num = F.lit(py_regex(number_pattern))
+    num = py_regex(number_pattern)
 
     def per_match(z, i):
         best = _first_number(z["w"], num, min_value)

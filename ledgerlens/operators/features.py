@@ -66,13 +66,15 @@ def section_metrics(sections: DataFrame, text_col: str = "text",
     ``{category}_count`` and ``hedge_count``. The text column is dropped
     here, so downstream shuffles carry numbers only."""
     keep = [c for c in (keep or sections.columns) if c != text_col]
-    t = F.col(text_col)
+    # lower-case once per row; every term count reads the staged column
+    x = sections.select(*keep, F.col(text_col).alias("_t"), F.lower(F.col(text_col)).alias("_lt"))
+    t, lt = F.col("_t"), F.col("_lt")
     present = t.isNotNull() & (t != F.lit(""))
     cols = [word_count(t).alias("wc")]
     for cat, terms in lexicon.items():
-        cols.append(F.when(present, term_count(t, terms)).alias(f"{cat}_count"))
-    cols.append(F.when(present, term_count(t, hedging)).alias("hedge_count"))
-    return sections.select(*keep, *cols)
+        cols.append(F.when(present, term_count(lt, terms, lowered=True)).alias(f"{cat}_count"))
+    cols.append(F.when(present, term_count(lt, hedging, lowered=True)).alias("hedge_count"))
+    return x.select(*keep, *cols)
 
 
 def add_densities(df: DataFrame, lexicon: Mapping[str, Sequence[str]] = C.CRISIS_TERMS,

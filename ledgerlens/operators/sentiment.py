@@ -46,7 +46,8 @@ def lexicon_scorer(positive: Sequence[str] = POSITIVE_TERMS,
     """N1 default: label by substring hits of two term lists; the score is a
     confidence in [0.5, 1): 0.5 + 0.5 * |pos - neg| / (pos + neg + 1)."""
     def score(s: Column) -> Column:
-        pos, neg = term_count(s, positive), term_count(s, negative)
+        ls = F.lower(s)
+        pos, neg = term_count(ls, positive, lowered=True), term_count(ls, negative, lowered=True)
         label = F.when(pos > neg, "positive").when(neg > pos, "negative").otherwise("neutral")
         conf = F.lit(0.5) + F.lit(0.5) * F.abs(pos - neg) / (pos + neg + 1)
         return F.struct(label.alias("label"), conf.alias("score"))
@@ -79,6 +80,7 @@ def score_sentences(sents: DataFrame, scorer: Callable[[Column], Column] | None
     """(…, sentence_no, text[:120], label, score)."""
     scorer = scorer or lexicon_scorer()
     x = sents.withColumn("_s", scorer(F.col("sentence")))
+    # the struct is read twice below; keep it as one staged column
     keep = [c for c in sents.columns if c != "sentence"]
     return x.select(*keep, F.substring("sentence", 1, text_chars).alias("text"),
                     F.col("_s.label").alias("label"), F.col("_s.score").alias("score"))
