@@ -115,9 +115,18 @@ def html_to_text_section(col) -> Column:
     return py_strip(c)
 
 
+# whitespace runs that a collapse to one space actually changes: two or more
+# characters, or a single character other than ' '
+_WS_TO_COLLAPSE = f"{JWS}{{2,}}|[{JWS_CHARS}&&[^ ]]"
+
+
 def normalize_ws(col) -> Column:
-    """Every whitespace run -> one space, trimmed."""
-    return py_strip(F.regexp_replace(_c(col), f"{JWS}+", " "))
+    """Every whitespace run -> one space, trimmed.
+
+    Only runs that change are rewritten (single spaces, the vast majority,
+    are left alone); afterwards the ends hold at most one plain space, which
+    ``trim`` removes."""
+    return F.trim(F.regexp_replace(_c(col), _WS_TO_COLLAPSE, " "))
 
 
 # ---------------------------------------------------------------- T10 / T11
