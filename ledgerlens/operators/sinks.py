@@ -47,3 +47,14 @@ def work_status(scaffold: DataFrame, done: DataFrame, keys: Sequence[str], text:
     m = materialised_keys(done, keys, text, min_bytes).withColumn("_cached", F.lit(True))
     j = scaffold.join(m, on=list(keys), how="left")
     return j.select(*scaffold.columns, F.when(F.col("_cached"), "cached").otherwise("pending").alias("status"))
+
+
+def stage_table(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate result as parquet under the shared checkpoint
+    folder (``spark.checkpoint.dir``) and read it back: the lineage is cut,
+    and a lost executor costs a re-read of the table instead of a
+    recomputation of everything upstream."""
+    from ..session import scratch_path
+    path = scratch_path(df.sparkSession, f"stage-{name}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

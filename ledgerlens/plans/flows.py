@@ -59,11 +59,16 @@ def validate(scraped: DataFrame, reference_scaled: DataFrame) -> dict[str, DataF
     }
 
 
-def sections_from_html(html: DataFrame, keys: Sequence[str] = ("ticker", "fiscal_year")) -> DataFrame:
-    """Flow 2a: HTML converted once, both sections extracted (long form)."""
+def sections_from_html(html: DataFrame, keys: Sequence[str] = ("ticker", "fiscal_year"),
+                       stage: bool = True) -> DataFrame:
+    """Flow 2a: HTML converted once, both sections extracted (long form).
+    The result feeds both text features and sentiment, so by default it is
+    written once to the shared checkpoint folder and read back."""
     from ..functions.text import html_to_text_section
+    from ..operators.sinks import stage_table
     docs = html.select(*keys, html_to_text_section(F.col("html")).alias("text"))
-    return ex.extract_sections(docs, "text", keep=list(keys)).withColumnRenamed("section_text", "text")
+    secs = ex.extract_sections(docs, "text", keep=list(keys)).withColumnRenamed("section_text", "text")
+    return stage_table(secs, "sections") if stage else secs
 
 
 def combined_features(validated: DataFrame, sections: DataFrame, scaffold: DataFrame) -> DataFrame:
