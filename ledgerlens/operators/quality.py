@@ -121,9 +121,16 @@ def comparison_summary(cells: DataFrame) -> DataFrame:
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """J2 helper: keep the first row per key under a stable total order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """J2 helper: keep the first row per key under a stable total order.
+
+    An aggregate (``min_by`` over the order columns) rather than a window:
+    partial aggregation keeps a key with very many rows out of one task."""
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.select(*keys).distinct()
+    ordering = F.struct(*[F.col(o) for o in order])
+    payload = F.struct(*[F.col(c) for c in rest])
+    return df.groupBy(*keys).agg(F.min_by(payload, ordering).alias("_first")).select(*keys, "_first.*")
 
 
 def validated_panel(scraped: DataFrame, reference: DataFrame,

@@ -6,7 +6,8 @@ feature with map-side partial aggregates (count / sum / sum of squares),
 so a feature or group holding most rows is still combined from partials.
 Ranks (W4) are computed on (value, count) aggregates instead of raw rows:
 the average rank of a value is the number of smaller values plus
-(ties + 1) / 2, from a running sum over the distinct values.
+(ties + 1) / 2, from running sums inside range partitions plus a
+per-partition offset (no window holds a whole feature).
 Tail probabilities (A3, A5 p) run in a pandas UDF on one row per feature.
 """
 
@@ -92,15 +93,35 @@ def test_table(features: DataFrame, feature_labels: Sequence[tuple[str, str]] =
 
 
 # ------------------------------------------------------------------ ranks
-def value_ranks(long: DataFrame, part: Sequence[str], value: str = "value") -> DataFrame:
-    """Average rank of each distinct value within ``part``.
+def ranks_from_counts(counts: DataFrame, part: Sequence[str], value: str = "value",
+                      cnt: str = "_cnt", partitions: int | None = None) -> DataFrame:
+    """W4 on (part..., value, cnt) rows with distinct values: adds
+    ``avg_rank`` = (number of smaller values in the part) + (cnt + 1) / 2.
+
+    Scales without a single-task window: the rows are range-partitioned by
+    (part, value); each range partition computes running counts locally,
+    the per-partition totals (a table of partitions x parts rows) give each
+    partition its offset, and a broadcast join adds it back."""
+    spark = counts.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = counts.repartitionByRange(n, *part, value).withColumn("_pid", F.spark_partition_id())
+    wl = Window.partitionBy("_pid", *part).orderBy(value)
+    local = (ranged.withColumn("_below", F.coalesce(
+                 F.sum(cnt).over(wl.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+             .withColumn("_ptotal", F.sum(cnt).over(Window.partitionBy("_pid", *part))))
+    totals = local.select("_pid", *part, "_ptotal").distinct()
+    wo = Window.partitionBy(*part).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_pid", *part, F.coalesce(F.sum("_ptotal").over(wo), F.lit(0)).alias("_offset"))
+    out = local.join(F.broadcast(offsets), ["_pid", *part])
+    return out.withColumn("avg_rank", F.col("_offset") + F.col("_below") + (F.col(cnt) + 1) / 2.0).drop(
+        "_pid", "_below", "_ptotal", "_offset")
+
 
-    Aggregates to (part, value, count) first, so the window runs over
-    distinct values, not rows."""
+def value_ranks(long: DataFrame, part: Sequence[str], value: str = "value") -> DataFrame:
+    """Average rank of each distinct value within ``part``. Aggregates
+    to (part, value, count) first, so ranking runs over distinct values."""
     counts = long.groupBy(*part, value).agg(F.count(F.lit(1)).alias("_cnt"))
-    w = Window.partitionBy(*part).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("_cnt").over(w), F.lit(0))
-    return counts.withColumn("avg_rank", below + (F.col("_cnt") + 1) / 2.0)
+    return ranks_from_counts(counts, part, value)
 
 
 def mann_whitney(long: DataFrame, group: str = "status", first: str = "failed") -> DataFrame:
@@ -109,18 +130,15 @@ def mann_whitney(long: DataFrame, group: str = "status", first: str = "failed")
     g = long.withColumn("_in1", (F.col(group) == first).cast("int"))
     per_value = g.groupBy("feature", "value").agg(
         F.count(F.lit(1)).alias("_cnt"), F.sum("_in1").alias("_c1"))
-    w = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = per_value.withColumn(
-        "avg_rank", F.coalesce(F.sum("_cnt").over(w), F.lit(0)) + (F.col("_cnt") + 1) / 2.0)
+    ranked = ranks_from_counts(per_value, ["feature"], "value")
     agg = ranked.groupBy("feature").agg(
         F.sum(F.col("_c1") * F.col("avg_rank")).alias("r1"),
         F.sum("_c1").alias("n1"), (F.sum("_cnt") - F.sum("_c1")).alias("n2"),
         F.sum(F.col("_cnt") * F.col("_cnt") * F.col("_cnt") - F.col("_cnt")).cast("double").alias("tie_term"))
     agg = agg.where((F.col("n1") >= 2) & (F.col("n2") >= 2))
     u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2.0
-    out = agg.select("feature", F.col("n1").cast("long").alias("n1"), F.col("n2").cast("long").alias("n2"),
-                     u.alias("u_stat"), "tie_term")
-    return out
+    return agg.select("feature", F.col("n1").cast("long").alias("n1"), F.col("n2").cast("long").alias("n2"),
+                      u.alias("u_stat"), "tie_term")
 
 
 def mann_whitney_with_p(long: DataFrame, group: str = "status", first: str = "failed") -> DataFrame:

@@ -188,8 +188,8 @@ def jump_sql(col: str, src: str) -> str:
 
 FILING_INDEX_CTE = """
 entries AS (
-  SELECT lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS cik,
-    row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn,
+  SELECT lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS cik, o_orderkey, o_orderpriority, o_orderstatus,
+    CAST(floor(o_orderkey / 64) AS BIGINT) AS page_no,
     CASE o_orderpriority WHEN '1-URGENT' THEN '10-K' WHEN '2-HIGH' THEN '10-K/A'
       WHEN '3-MEDIUM' THEN '10-Q' WHEN '4-NOT SPECIFIED' THEN '10-K' ELSE '8-K' END AS form,
     CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '5-LOW' THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS filingDate,
@@ -200,23 +200,26 @@ entries AS (
   FROM orders
 ),
 packed0 AS (
-  SELECT cik, CAST(floor((rn - 1) / 8) AS INTEGER) AS page_no,
-    list(form ORDER BY rn) AS form, list(filingDate ORDER BY rn) AS filingDate,
-    list(accessionNumber ORDER BY rn) AS accessionNumber, list(primaryDocument ORDER BY rn) AS primaryDocument,
-    list(reportDate ORDER BY rn) AS reportDate
+  SELECT cik, page_no,
+    list(form ORDER BY o_orderkey) AS form, list(filingDate ORDER BY o_orderkey) AS filingDate,
+    list(accessionNumber ORDER BY o_orderkey) AS accessionNumber,
+    list(primaryDocument ORDER BY o_orderkey) AS primaryDocument,
+    list(reportDate ORDER BY o_orderkey) AS reportDate,
+    arg_min(o_orderpriority, o_orderkey) AS prio, arg_min(o_orderstatus, o_orderkey) AS status
   FROM entries GROUP BY ALL
 ),
 packed AS (
-  SELECT cik, page_no, form, filingDate, accessionNumber, primaryDocument,
-    CASE WHEN page_no >= 1 AND page_no % 2 = 1 THEN reportDate[1:len(reportDate) - 1] ELSE reportDate END AS reportDate,
-    'CIK' || cik || '-submissions-' || lpad(CAST(page_no AS VARCHAR), 3, '0') || '.json' AS name
+  SELECT cik, page_no, prio, status, form, filingDate, accessionNumber, primaryDocument,
+    CASE WHEN status = 'F' THEN reportDate[1:len(reportDate) - 1] ELSE reportDate END AS reportDate,
+    'CIK' || cik || '-submissions-' || lpad(CAST(page_no AS VARCHAR), 6, '0') || '.json' AS name,
+    page_no = min(page_no) OVER (PARTITION BY cik) AS is_recent
   FROM packed0
 ),
 blocks AS (
-  SELECT cik, '' AS page, form, filingDate, accessionNumber, primaryDocument, reportDate FROM packed WHERE page_no = 0
+  SELECT cik, '' AS page, form, filingDate, accessionNumber, primaryDocument, reportDate FROM packed WHERE is_recent
   UNION ALL
   SELECT cik, name AS page, form, filingDate, accessionNumber, primaryDocument, reportDate
-  FROM packed WHERE page_no >= 1 AND page_no <> 3 AND page_no <> 5
+  FROM packed WHERE NOT is_recent AND prio <> '5-LOW' AND status <> 'P'
 ),
 records AS (
   SELECT cik, page, CAST(i - 1 AS INTEGER) AS entry_no,

@@ -54,14 +54,16 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     # nation and region are fixed-size dimensions (25 and 5 rows)
     nation = F.broadcast(table(spark, sf_dir, "nation"))
     region = F.broadcast(table(spark, sf_dir, "region"))
-    j = (per_order.join(orders, per_order.l_orderkey == orders.o_orderkey)
-         .join(cust, F.col("o_custkey") == F.col("c_custkey"))
+    sums = ("assets", "equity", "cash", "stb", "income", "prov")
+    # second partial total per (customer, year): a customer holding a large
+    # share of all orders reaches the customer join as one row per year
+    per_cust = (per_order.join(orders, per_order.l_orderkey == orders.o_orderkey)
+                .groupBy("o_custkey", "fiscal_year").agg(*[F.sum(c).alias(c) for c in sums]))
+    j = (per_cust.join(cust, F.col("o_custkey") == F.col("c_custkey"))
          .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
          .join(region, F.col("n_regionkey") == F.col("r_regionkey")))
     g = j.groupBy("n_name", "n_nationkey", "r_name", "fiscal_year").agg(
-        F.sum("assets").alias("assets"), F.sum("equity").alias("equity"),
-        F.sum("cash").alias("cash"), F.sum("stb").alias("stb"),
-        F.sum("income").alias("income"), F.sum("prov").alias("prov"))
+        *[F.sum(c).alias(c) for c in sums])
     return g.select(
         F.col("n_name").alias("firm"),
         F.concat(F.lit("N"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("ticker"),
@@ -186,7 +188,7 @@ def reference_for_validation(r: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- filing index
-PAGE_SIZE = 8
+PAGE_SPAN = 64   # order keys per index page: a page holds at most this many entries
 FORM_BY_PRIORITY = [("1-URGENT", "10-K"), ("2-HIGH", "10-K/A"), ("3-MEDIUM", "10-Q"),
                     ("4-NOT SPECIFIED", "10-K")]
 
@@ -200,19 +202,23 @@ def _form_col():
 
 
 def filing_index(spark: SparkSession, sf_dir: str):
-    """Orders as filing-index entries, packed per customer into pages of
-    ``PAGE_SIZE`` entries (parallel arrays). Page 0 is the ``recent`` block;
-    later pages are listed by name, except that page 5 is listed without a
-    name and page 3 is listed but not available. Odd pages carry a
-    ``reportDate`` array one entry short (ragged arrays).
+    """Orders as filing-index entries packed into pages of parallel arrays.
+
+    A page is (customer, order-key span of ``PAGE_SPAN``), so a page never
+    holds more than ``PAGE_SPAN`` entries however many orders a customer
+    has (no per-customer window or list). The customer's first page is its
+    ``recent`` block; the other pages are listed by name, except that a page
+    whose first entry has priority '5-LOW' is listed without a name, and a
+    page whose first entry has status 'P' is listed but not available. Pages
+    whose first entry has status 'F' carry a ``reportDate`` array one entry
+    short (ragged arrays).
 
     Returns (recent, listing, pages) DataFrames."""
-    from pyspark.sql import Window
     o = table(spark, sf_dir, "orders")
     cik = F.lpad(F.col("o_custkey").cast("string"), 10, "0")
     e = o.select(
-        cik.alias("cik"),
-        F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("rn"),
+        cik.alias("cik"), "o_orderkey", "o_orderpriority", "o_orderstatus",
+        F.floor(F.col("o_orderkey") / PAGE_SPAN).cast("long").alias("page_no"),
         _form_col().alias("form"),
         F.when((F.col("o_orderstatus") == "F") & (F.col("o_orderpriority") == "5-LOW"), F.lit(""))
          .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("filingDate"),
@@ -221,27 +227,30 @@ def filing_index(spark: SparkSession, sf_dir: str):
         F.concat(F.lit("d"), F.col("o_orderkey").cast("string"), F.lit(".htm")).alias("primaryDocument"),
         F.when(F.col("o_orderstatus") == "P", F.lit(""))
          .otherwise(F.date_format(F.add_months(F.to_date("o_orderdate"), -2), "yyyy-MM-dd")).alias("reportDate"),
-    ).withColumn("page_no", F.floor((F.col("rn") - 1) / PAGE_SIZE).cast("int"))
+    )
     fields = ["form", "filingDate", "accessionNumber", "primaryDocument", "reportDate"]
-    # every group is one page: at most PAGE_SIZE entries
     packed = e.groupBy("cik", "page_no").agg(
-        F.sort_array(F.collect_list(F.struct("rn", *fields))).alias("_entries"))
+        F.sort_array(F.collect_list(F.struct("o_orderkey", *fields))).alias("_entries"),
+        F.min_by("o_orderpriority", "o_orderkey").alias("_prio"),
+        F.min_by("o_orderstatus", "o_orderkey").alias("_status"))
+
     def field_of(f):
         return lambda x: x.getField(f)
     arrays = [F.transform("_entries", field_of(f)).alias(f) for f in fields]
-    packed = packed.select("cik", "page_no", *arrays)
-    odd = (F.col("page_no") >= 1) & (F.pmod(F.col("page_no"), F.lit(2)) == 1)
+    packed = packed.select("cik", "page_no", "_prio", "_status", *arrays)
     packed = packed.withColumn(
-        "reportDate", F.when(odd, F.slice("reportDate", 1, F.size("reportDate") - 1))
+        "reportDate", F.when(F.col("_status") == "F", F.slice("reportDate", 1, F.size("reportDate") - 1))
                        .otherwise(F.col("reportDate")))
+    # first page per customer: an aggregate joined back (AQE splits a hot customer)
+    first = packed.groupBy("cik").agg(F.min("page_no").alias("_first"))
+    packed = packed.join(first, "cik").withColumn("_recent", F.col("page_no") == F.col("_first"))
     block = F.struct(*fields).alias("block")
     name = F.concat(F.lit("CIK"), F.col("cik"), F.lit("-submissions-"),
-                    F.lpad(F.col("page_no").cast("string"), 3, "0"), F.lit(".json"))
-    recent = packed.where(F.col("page_no") == 0).select("cik", block)
-    listing = packed.where(F.col("page_no") >= 1).select(
-        "cik", F.when(F.col("page_no") == 5, F.lit("")).otherwise(name).alias("name"))
-    pages = packed.where((F.col("page_no") >= 1) & (F.col("page_no") != 3)).select(
-        "cik", name.alias("name"), block)
+                    F.lpad(F.col("page_no").cast("string"), 6, "0"), F.lit(".json"))
+    recent = packed.where(F.col("_recent")).select("cik", block)
+    older = packed.where(~F.col("_recent"))
+    listing = older.select("cik", F.when(F.col("_prio") == "5-LOW", F.lit("")).otherwise(name).alias("name"))
+    pages = older.where(F.col("_status") != "P").select("cik", name.alias("name"), block)
     return recent, listing, pages
 
 

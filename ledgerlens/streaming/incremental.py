@@ -59,9 +59,13 @@ def html_stream(spark: SparkSession, html_dir: str) -> DataFrame:
                       F.col("value").alias("html"))
 
 
-def run(spark: SparkSession, html_dir: str, out_path: str, name: str = "sections",
+def run(spark: SparkSession, html_dir: str, out_path: str, name: str | None = None,
         available_now: bool = True):
-    """Start (and with ``available_now`` finish) the incremental job."""
+    """Start (and with ``available_now`` finish) the incremental job. The
+    checkpoint is named after the job (by default after its input and
+    output paths), so reruns resume and different jobs never share one."""
+    import hashlib
+    name = name or "sections-" + hashlib.sha1(f"{html_dir}|{out_path}".encode()).hexdigest()[:16]
     ckpt = os.path.join(checkpoint_dir(spark), f"stream-{name}")
     q = (html_stream(spark, html_dir).writeStream
          .foreachBatch(lambda b, _id: process_batch(b, out_path))

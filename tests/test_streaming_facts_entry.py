@@ -23,13 +23,13 @@ def test_incremental_stream_skips_materialised(spark):
     os.makedirs(src)
     with open(os.path.join(src, "AAA_2006.html"), "w") as f:
         f.write(_html("first"))
-    inc.run(spark, src, out, name="t1")
+    inc.run(spark, src, out)
     first = spark.read.parquet(out)
     assert first.count() == 2
     # a new file is picked up; the already written keys are not written again
     with open(os.path.join(src, "BBB_2007.html"), "w") as f:
         f.write(_html("second"))
-    inc.run(spark, src, out, name="t1")
+    inc.run(spark, src, out)
     allr = spark.read.parquet(out)
     assert allr.count() == 4
     assert allr.groupBy("ticker", "fiscal_year", "section").count().where("count > 1").count() == 0
