@@ -37,53 +37,57 @@ def java_pattern(p: str, multiline: bool = False) -> str:
 
 
 # ------------------------------------------------------------------ T4
-def last_match_parts(text: Column, pattern: str) -> tuple[Column, Column, Column]:
-    """(found, last match, text after it) for the last non-overlapping match."""
-    marked = F.regexp_replace(text, java_pattern(pattern), M1 + "$0" + M2)
-    tail = F.substring_index(marked, M1, -1)
-    return (F.instr(marked, M1) > 0,
-            F.substring_index(tail, M2, 1),
-            F.substring_index(tail, M2, -1))
-
-
-def section_end_candidates(found: Column, match: Column, rest: Column, ends: Sequence[str],
-                           min_chars: int = C.SECTION_MIN_CHARS) -> list[Column]:
-    out = []
-    for ep in ends:
-        parts = F.split(rest, java_pattern(ep), 2)
-        sec = normalize_ws(F.concat(match, F.get(parts, 0)))
-        out.append(F.when(found & (F.size(parts) == 2) & (F.length(sec) > min_chars), sec))
-    return out
-
-
-def section_candidates(text: Column, starts: Sequence[str], ends: Sequence[str],
+def _bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body`` (a
+    single-element lambda): keeps each regex pass to one evaluation inside
+    lazily evaluated ``coalesce`` / ``when`` branches."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _accept(candidate: Column, min_chars: int) -> Column:
+    return _bind(candidate, lambda c: F.when(F.length(c) > min_chars, c))
+
+
+def section_from_start(text: Column, start: str, ends: Sequence[str],
                        min_chars: int = C.SECTION_MIN_CHARS,
-                       fallback_chars: int = C.SECTION_FALLBACK_CHARS) -> list[Column]:
-    """The ordered candidate sections: for each start pattern (last match),
-    each end pattern (first match after the start) and then the fallback
-    chunk. A candidate is NULL unless it exists and is longer than
-    ``min_chars`` after whitespace normalisation."""
-    cands = []
-    for sp in starts:
-        found, match, rest = last_match_parts(text, sp)
-        for ep in ends:
-            parts = F.split(rest, java_pattern(ep), 2)
-            sec = normalize_ws(F.concat(match, F.get(parts, 0)))
-            cands.append(F.when(found & (F.size(parts) == 2) & (F.length(sec) > min_chars), sec))
-        fb = normalize_ws(F.substring(F.concat(match, rest), 1, fallback_chars))
-        cands.append(F.when(found & (F.length(fb) > min_chars), fb))
-    return cands
+                       fallback_chars: int = C.SECTION_FALLBACK_CHARS) -> Column:
+    """The section for one start pattern: its last match, then each end
+    pattern in order (first match after the start), then the fallback
+    chunk; NULL when the start pattern does not occur or nothing is long
+    enough."""
+    marked = F.regexp_replace(text, java_pattern(start), M1 + "$0" + M2)
+
+    def with_tail(tail):
+        def with_match(match):
+            def with_rest(rest):
+                cands = []
+                for ep in ends:
+                    cands.append(_bind(F.split(rest, java_pattern(ep), 2), lambda parts: F.when(
+                        F.size(parts) == 2,
+                        _accept(normalize_ws(F.concat(match, F.get(parts, 0))), min_chars))))
+                cands.append(_accept(normalize_ws(F.substring(F.concat(match, rest), 1, fallback_chars)),
+                                     min_chars))
+                return F.coalesce(*cands)
+            return _bind(F.substring_index(tail, M2, -1), with_rest)
+        return _bind(F.substring_index(tail, M2, 1), with_match)
+
+    return _bind(marked, lambda mk: F.when(F.instr(mk, M1) > 0,
+                                           _bind(F.substring_index(mk, M1, -1), with_tail)))
 
 
 def extract_section(text, section: str,
                     patterns: Mapping[str, Mapping[str, Sequence[str]]] = C.SECTION_PATTERNS,
                     min_chars: int = C.SECTION_MIN_CHARS,
                     fallback_chars: int = C.SECTION_FALLBACK_CHARS) -> Column:
-    """T4: the first acceptable candidate, NULL when none (or unknown section)."""
+    """T4: the first acceptable candidate over the start patterns in order,
+    NULL when none (or for an unknown section). Evaluation is lazy: a later
+    start pattern is only searched when the earlier ones gave nothing."""
     cfg = patterns.get(section)
     if not cfg:
         return F.lit(None).cast("string")
-    return F.coalesce(*section_candidates(_c(text), cfg["start"], cfg["end"], min_chars, fallback_chars))
+    t = _c(text)
+    return F.coalesce(*[section_from_start(t, sp, cfg["end"], min_chars, fallback_chars)
+                        for sp in cfg["start"]])
 
 
 def extract_sections(df: DataFrame, text: str = "text", sections: Sequence[str] = C.SECTIONS,
@@ -92,39 +96,10 @@ def extract_sections(df: DataFrame, text: str = "text", sections: Sequence[str]
                      min_chars: int = C.SECTION_MIN_CHARS,
                      fallback_chars: int = C.SECTION_FALLBACK_CHARS) -> DataFrame:
     """T4 for several sections at once, long output (keys, section,
-    section_text).
-
-    Built in stages (marked text -> last start match and rest -> end splits
-    -> candidates -> first acceptable) so that each regex runs once per row
-    and every projection stays small enough for whole-stage codegen; each
-    intermediate column is used several times, so the optimizer keeps the
-    stages instead of inlining them."""
+    section_text). The text is read once per row."""
     keep = [c for c in (keep or df.columns) if c != text]
-    t = F.col(text)
-    idx = [(s, i, sp) for s in sections for i, sp in enumerate(patterns[s]["start"])]
-    x = df.select(*keep, t, *[F.regexp_replace(t, java_pattern(sp), M1 + "$0" + M2).alias(f"_mk_{s}_{i}")
-                              for s, i, sp in idx])
-    cols = []
-    for s, i, _ in idx:
-        mk = F.col(f"_mk_{s}_{i}")
-        tail = F.substring_index(mk, M1, -1)
-        cols += [(F.instr(mk, M1) > 0).alias(f"_f_{s}_{i}"),
-                 F.substring_index(tail, M2, 1).alias(f"_m_{s}_{i}"),
-                 F.substring_index(tail, M2, -1).alias(f"_r_{s}_{i}")]
-    x = x.select(*keep, *cols)
-    # last stage: the ordered candidates stay inside one lazy coalesce, so
-    # splits and whitespace normalisation run only until a candidate is
-    # accepted (usually the first one)
-    out = []
-    for s in sections:
-        cands = []
-        for i, _sp in enumerate(patterns[s]["start"]):
-            found, match, rest = F.col(f"_f_{s}_{i}"), F.col(f"_m_{s}_{i}"), F.col(f"_r_{s}_{i}")
-            cands += section_end_candidates(found, match, rest, patterns[s]["end"], min_chars)
-            fb = normalize_ws(F.substring(F.concat(match, rest), 1, fallback_chars))
-            cands.append(F.when(found & (F.length(fb) > min_chars), fb))
-        out.append(F.coalesce(*cands).alias(f"_sec_{s}"))
-    wide = x.select(*keep, *out)
+    wide = df.select(*keep, *[extract_section(F.col(text), s, patterns, min_chars, fallback_chars)
+                              .alias(f"_sec_{s}") for s in sections])
     stack = ", ".join(f"'{s}', `_sec_{s}`" for s in sections)
     return wide.selectExpr(*[f"`{k}`" for k in keep], f"stack({len(sections)}, {stack}) AS (section, section_text)")
 
