@@ -139,22 +139,25 @@ def label_windows_only(text, label: str, window: int = C.NUMBER_WINDOW) -> Colum
     return F.regexp_extract_all(_c(text), F.lit(_label_regex(label, window)), 2)
 
 
+def _token_value(d: Column) -> Column:
+    return F.replace(d, F.lit(","), F.lit("")).try_cast("double")
+
+
 def _first_number(win: Column, num: str, min_value: float) -> Column:
     """struct<raw, v> of the first number token >= min_value in a window.
 
     Fast path: the first token alone (``regexp_extract`` stops at the first
     match), which is the answer whenever it is large enough. Only when it
     is not (a footnote marker, a day of month) the window is scanned in
-    full; ``coalesce`` evaluates that branch lazily."""
-    num_s = num if isinstance(num, str) else None
-    num = F.lit(num) if isinstance(num, str) else num
-    raw0 = F.regexp_extract(win, num_s, 0)
-    v0 = F.replace(F.regexp_extract(win, num_s, 1), F.lit(","), F.lit("")).try_cast("double")
-    fast = F.when(v0 >= F.lit(float(min_value)), F.struct(raw0.alias("raw"), v0.alias("v")))
-    toks = F.arrays_zip(F.regexp_extract_all(win, num, 0).alias("raw"),
-                        F.regexp_extract_all(win, num, 1).alias("d"))
-    vals = F.transform(toks, lambda y: F.struct(
-        y["raw"].alias("raw"), F.replace(y["d"], F.lit(","), F.lit("")).try_cast("double").alias("v")))
+    full; ``coalesce`` evaluates that branch lazily. Every regex result is
+    bound once (``_bind``), never re-evaluated."""
+    lit_num = F.lit(num)
+    first = F.struct(F.regexp_extract(win, num, 0).alias("raw"),
+                     _token_value(F.regexp_extract(win, num, 1)).alias("v"))
+    fast = _bind(first, lambda f: F.when(f["v"] >= F.lit(float(min_value)), f))
+    toks = F.arrays_zip(F.regexp_extract_all(win, lit_num, 0).alias("raw"),
+                        F.regexp_extract_all(win, lit_num, 1).alias("d"))
+    vals = F.transform(toks, lambda y: F.struct(y["raw"].alias("raw"), _token_value(y["d"]).alias("v")))
     slow = F.get(F.filter(vals, lambda y: y["v"] >= F.lit(float(min_value))), 0)
     return F.coalesce(fast, slow)
 
@@ -172,15 +175,16 @@ def numbers_from_windows(labels: Column | None, windows: Column, number_pattern:
     num = py_regex(number_pattern)
 
     def per_match(z, i):
-        best = _first_number(z["w"], num, min_value)
-        raw = best["raw"]
-        neg = F.contains(raw, F.lit("(")) & F.contains(raw, F.lit(")"))
-        fields = [i.alias("match_no"), F.when(neg, -best["v"]).otherwise(best["v"]).alias("value")]
-        if labels is not None:
-            ctx = F.concat(z["l"], F.substring(z["w"], 1, context_after))
-            ctx = F.substring(py_strip(F.regexp_replace(ctx, "\n", " ")), 1, context_max)
-            fields += [py_strip(raw).alias("raw"), ctx.alias("context")]
-        return F.struct(*fields)
+        def from_best(best):
+            raw = best["raw"]
+            neg = F.contains(raw, F.lit("(")) & F.contains(raw, F.lit(")"))
+            fields = [i.alias("match_no"), F.when(neg, -best["v"]).otherwise(best["v"]).alias("value")]
+            if labels is not None:
+                ctx = F.concat(z["l"], F.substring(z["w"], 1, context_after))
+                ctx = F.substring(py_strip(F.regexp_replace(ctx, "\n", " ")), 1, context_max)
+                fields += [py_strip(raw).alias("raw"), ctx.alias("context")]
+            return F.struct(*fields)
+        return _bind(_first_number(z["w"], num, min_value), from_best)
 
     zipped = (F.arrays_zip(labels.alias("l"), windows.alias("w")) if labels is not None
               else F.transform(windows, lambda w: F.struct(w.alias("w"))))
