@@ -350,3 +350,116 @@ long AS (
   SELECT status, feature, value FROM labelled
   UNPIVOT (value FOR feature IN (n_chars, words, article_density, toxic))
 )"""
+
+STATEMENTS_CTE = """
+st AS (
+  SELECT o_orderkey AS doc_id,
+    '<html><body><h2>Consolidated Statement of Condition</h2><p>'
+    || CASE o_orderpriority WHEN '1-URGENT' THEN '(in thousands)' WHEN '2-HIGH' THEN '(Dollars in millions)'
+         WHEN '5-LOW' THEN 'in millions, except in thousands' ELSE '' END
+    || '</p><table>'
+    || '<tr><td>Total assets</td><td>$ ' || format('{:,.2f}', o_totalprice) || '</td></tr>'
+    || '<tr><td>Total liabilities (1)</td><td>' || format('{:,}', CAST(floor(o_totalprice * 11 / 12) AS BIGINT)) || '</td></tr>'
+    || '<tr><td>Total liabilities and equity</td><td>' || format('{:,.2f}', o_totalprice) || '</td></tr>'
+    || '<tr><td>Total stockholders&#8217; equity</td><td>'
+    || CASE WHEN o_orderstatus = 'F' THEN '(' || format('{:,}', CAST(floor(o_totalprice / 12) AS BIGINT)) || ')'
+            ELSE format('{:,}', CAST(floor(o_totalprice / 12) AS BIGINT)) END || '</td></tr>'
+    || '<tr><td>Cash and cash equivalents</td><td>'
+    || CASE WHEN o_orderstatus = 'O' THEN 'December 31, ' ELSE '' END || format('{:,}', o_custkey * 3) || '</td></tr>'
+    || CASE WHEN o_orderstatus <> 'P' THEN '<tr><td>Short-term borrowings</td><td>' || format('{:,}', o_orderkey)
+            || '</td></tr>' ELSE '' END
+    || '<tr><td>Net income<br/>' || format('{:,}', CAST(floor(o_totalprice / 40) AS BIGINT)) || '</td></tr>'
+    || '</table></body></html>' AS html
+  FROM orders
+)"""
+
+
+def _label_matches_sql(field: str, pno: int, pattern: str, text_cte: str) -> str:
+    """Label matches of one pattern with their windows, by marker positions.
+    A trailing negative look-ahead ``(?!X)`` (RE2 has none) is applied as a
+    filter on the text after the match: a rejected candidate cannot hide
+    another match, since every match starts with the pattern's first word."""
+    from .. import config as C
+    look = None
+    core = pattern
+    if pattern.endswith(")") and "(?!" in pattern:
+        i = pattern.rindex("(?!")
+        core, look = pattern[:i], pattern[i + 3:-1]
+    pat = py_pattern_sql(core).replace("'(?i)", "'(?im)", 1)
+    keep = "TRUE" if look is None else f"NOT regexp_matches(after, {py_pattern_sql('^' + look)})"
+    return f"""
+SELECT doc_id, '{field}' AS field, {pno} AS pattern_no, k, label, win FROM (
+  SELECT doc_id, k, label, substring(text, pos + length(label) + 1, {C.NUMBER_WINDOW}) AS win,
+    substring(text, pos + length(label) + 1) AS after
+  FROM (
+    SELECT doc_id, text, k, string_split(segs[k], {M2_SQL})[1] AS label,
+      CAST(length(segs[1]) + coalesce(list_sum(list_transform(segs[2:k - 1], lambda s: length(s) - 1)), 0) AS BIGINT) AS pos
+    FROM (SELECT doc_id, text, string_split(regexp_replace(text, {pat}, {M1_SQL} || '\\0' || {M2_SQL}, 'g'), {M1_SQL}) AS segs
+          FROM {text_cte}),
+      LATERAL (SELECT unnest(generate_series(2, len(segs))) AS k)
+  )
+) WHERE {keep}"""
+
+
+def numbers_near_label_sql(text_cte: str = "tx") -> str:
+    """T6 for every field pattern, as rows (doc_id, field, pattern_no,
+    match_no, value, raw, context)."""
+    from .. import config as C
+    from ..functions.text import py_regex
+    num = sql_literal(py_regex(C.NUMBER_PATTERN, "re2"))
+    parts = []
+    for field, pats in C.FIELD_PATTERNS.items():
+        for pno, p in enumerate(pats):
+            parts.append(_label_matches_sql(field, pno, p, text_cte))
+    labels = "\nUNION ALL\n".join(parts)
+    return f"""
+lm AS ({labels}),
+lmn AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, field, pattern_no ORDER BY k) - 1 AS INTEGER) AS match_no,
+    regexp_extract_all(win, {num}, 0) AS toks0, regexp_extract_all(win, {num}, 1) AS toks1
+  FROM lm
+),
+firsts AS (
+  SELECT *, list_filter(range(1, len(toks1) + 1),
+                        lambda i: TRY_CAST(replace(toks1[i], ',', '') AS DOUBLE) >= {float(C.NUMBER_MIN_VALUE)})[1] AS idx
+  FROM lmn
+),
+nums AS (
+  SELECT doc_id, field, pattern_no, match_no,
+    CASE WHEN contains(toks0[idx], '(') AND contains(toks0[idx], ')')
+         THEN -TRY_CAST(replace(toks1[idx], ',', '') AS DOUBLE)
+         ELSE TRY_CAST(replace(toks1[idx], ',', '') AS DOUBLE) END AS value,
+    {strip_sql('toks0[idx]')} AS raw,
+    substring({strip_sql("replace(label || substring(win, 1, " + str(C.CONTEXT_AFTER) + "), chr(10), ' ')")}, 1, {C.CONTEXT_MAX}) AS context
+  FROM firsts WHERE idx IS NOT NULL
+)"""
+
+
+def unit_multiplier_sql(text: str) -> str:
+    from .. import config as C
+    levels = []
+    for n in C.UNIT_SCAN_CHARS:
+        whens = " ".join(f"WHEN regexp_matches(lower(substring({text}, 1, {n})), {py_pattern_sql(p, ci=False)}) THEN {m}"
+                         for p, m in C.UNIT_PATTERNS)
+        levels.append(f"CASE {whens} END")
+    return f"CAST(coalesce({', '.join(levels)}, 1) AS BIGINT)"
+
+
+def kwic_sql(terms, before: int = 20, after: int = 50, shown: int = 3, max_chars: int = 80) -> str:
+    """T17 snippets by marker positions: text[max(0, start-20) : end+50],
+    stripped, cut to 80, first ``shown`` matches per (doc, term)."""
+    parts = []
+    for t in terms:
+        pat = py_pattern_sql(t)
+        parts.append(f"""
+SELECT doc_id, '{t}' AS term, n_matches, CAST(k - 2 AS INTEGER) AS k,
+  substring({strip_sql(f"substring(text, greatest(pos - {before}, 0) + 1, pos - greatest(pos - {before}, 0) + length(hit) + {after})")}, 1, {max_chars}) AS snippet
+FROM (
+  SELECT doc_id, text, k, n_matches, string_split(segs[k], {M2_SQL})[1] AS hit,
+    CAST(length(segs[1]) + coalesce(list_sum(list_transform(segs[2:k - 1], lambda s: length(s) - 1)), 0) AS BIGINT) AS pos
+  FROM (SELECT doc_id, text, CAST(len(segs) - 1 AS BIGINT) AS n_matches, segs FROM (
+          SELECT doc_id, text, string_split(regexp_replace(text, {pat}, {M1_SQL} || '\\0' || {M2_SQL}, 'g'), {M1_SQL}) AS segs
+          FROM documents)),
+    LATERAL (SELECT unnest(generate_series(2, least(len(segs), {shown + 1}))) AS k)
+)""")
+    return "\nUNION ALL\n".join(parts)

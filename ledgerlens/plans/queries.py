@@ -855,7 +855,11 @@ def _statement_text(spark, sf_dir):
     return s.select("doc_id", TX.html_to_text_financial("html").alias("text"))
 
 
-@register("numbers_near_label", None)
+_STMT_BASE = (_with(O.STATEMENTS_CTE) + f", tx AS (SELECT doc_id, {O.html_sql('html', TX.FIN_BLOCK_TAGS, False)} "
+              f"AS text FROM st),\n" + O.numbers_near_label_sql("tx").strip() + "\n")
+
+
+@register("numbers_near_label", _STMT_BASE + "SELECT * FROM nums")
 def numbers_near_label(spark, sf_dir):
     t = _statement_text(spark, sf_dir)
     parts = []
@@ -884,7 +888,10 @@ WITH o AS (SELECT *, o_totalprice AS price FROM orders)
 """
 
 
-@register("unit_multiplier", None)
+@register("unit_multiplier", _with(O.STATEMENTS_CTE) + f""", tx AS (
+  SELECT doc_id, {O.html_sql('html', TX.FIN_BLOCK_TAGS, False)} AS text FROM st)
+SELECT doc_id, {O.unit_multiplier_sql('text')} AS unit_multiplier FROM tx
+""")
 def unit_multiplier_q(spark, sf_dir):
     t = _statement_text(spark, sf_dir)
     return t.select("doc_id", ex.unit_multiplier(F.col("text")).alias("unit_multiplier"))
@@ -896,7 +903,23 @@ def unit_multiplier_docs(spark, sf_dir):
     return d.select("doc_id", ex.unit_multiplier(F.col("text")).alias("unit_multiplier"))
 
 
-@register("scraped_row", None)
+def _scraped_row_sql() -> str:
+    fields = list(qual.C.FIELD_PATTERNS)
+    cols = ", ".join(f"max(CASE WHEN field = '{f}' THEN value END) * unit_multiplier AS {f}" for f in fields)
+    return _STMT_BASE + f"""
+, best AS (
+  SELECT doc_id, field, value FROM (
+    SELECT *, row_number() OVER (PARTITION BY doc_id, field ORDER BY abs(value) DESC, pattern_no, match_no) AS rn
+    FROM nums) WHERE rn = 1
+)
+, units AS (SELECT doc_id, {O.unit_multiplier_sql('text')} AS unit_multiplier FROM tx)
+SELECT u.doc_id, u.unit_multiplier, {cols}
+FROM units u LEFT JOIN best b ON u.doc_id = b.doc_id
+GROUP BY u.doc_id, u.unit_multiplier
+"""
+
+
+@register("scraped_row", _scraped_row_sql())
 def scraped_row(spark, sf_dir):
     return ex.scrape_filing(S.statements(spark, sf_dir), "html", keep=["doc_id"])
 
@@ -917,7 +940,7 @@ def kwic_counts(spark, sf_dir):
     return out
 
 
-@register("kwic", None)
+@register("kwic", O.kwic_sql(KWIC_TERMS))
 def kwic(spark, sf_dir):
     d = _table(spark, sf_dir, "documents")
     parts = []

@@ -326,11 +326,15 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def row(label, amount):
         return F.concat(F.lit("<tr><td>"), F.lit(label), F.lit("</td><td>"), amount, F.lit("</td></tr>"))
-    eq = F.format_number(F.round(price / 12, 2), 2)
+
+    def whole(x):
+        # whole-unit amounts (floor), formatted with thousands separators
+        return F.format_number(F.floor(x), 0)
+    eq = whole(price / 12)
     html = F.concat(
         F.lit("<html><body><h2>Consolidated Statement of Condition</h2><p>"), unit, F.lit("</p><table>"),
         row("Total assets", F.concat(F.lit("$ "), F.format_number(price, 2))),
-        row("Total liabilities (1)", F.format_number(F.round(price * 11 / 12, 2), 2)),
+        row("Total liabilities (1)", whole(price * 11 / 12)),
         row("Total liabilities and equity", F.format_number(price, 2)),
         row("Total stockholders&#8217; equity",
             F.when(stt == "F", F.concat(F.lit("("), eq, F.lit(")"))).otherwise(eq)),
@@ -339,7 +343,7 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
              .otherwise(F.format_number(F.col("o_custkey") * 3, 0))),
         F.when(stt != "P", row("Short-term borrowings", F.format_number(F.col("o_orderkey"), 0)))
          .otherwise(F.lit("")),
-        F.lit("<tr><td>Net income<br/>"), F.format_number(F.round(price / 40, 2), 2), F.lit("</td></tr>"),
+        F.lit("<tr><td>Net income<br/>"), whole(price / 40), F.lit("</td></tr>"),
         F.lit("</table></body></html>"),
     )
     return o.select(F.col("o_orderkey").alias("doc_id"), html.alias("html"))
