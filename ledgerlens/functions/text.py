@@ -70,9 +70,16 @@ def py_regex(pattern: str, dialect: str = "java") -> str:
     return "".join(out)
 
 
+# the same set as literal characters, for the non-regex ``btrim``
+PY_WS_LITERAL = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+                 + "".join(chr(c) for c in range(0x2000, 0x200B))
+                 + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def py_strip(col) -> Column:
-    """str.strip(): remove leading and trailing Python whitespace."""
-    return F.regexp_replace(_c(col), f"^{JWS}+|{JWS}+$", "")
+    """str.strip(): remove leading and trailing Python whitespace (a
+    character-set trim, no regex)."""
+    return F.btrim(_c(col), F.lit(PY_WS_LITERAL))
 
 
 # ---------------------------------------------------------------- T1 / T2 / T3

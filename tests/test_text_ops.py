@@ -118,3 +118,18 @@ def test_headers_found(spark):
     for r in df.collect():
         hits = re.findall(C.HEADER_PATTERN, (r.text or "")[:50000], re.I)
         assert r.h == list(dict.fromkeys(hits[:15]))[:8]
+
+
+def test_whitespace_classes_equal_python(spark):
+    """The Java class, the RE2 class and the trim set all equal str.isspace()."""
+    import duckdb
+    cps = list(range(0, 0x3100)) + [0xFEFF, 0x180E]
+    chars = [chr(c) for c in cps if not (0xD800 <= c <= 0xDFFF)]
+    want = {ch for ch in chars if ch.isspace()}
+    df = spark.createDataFrame([(ch,) for ch in chars], "c string")
+    got_java = {r.c for r in df.where(F.col("c").rlike("^" + TX.JWS + "$")).collect()}
+    assert got_java == want
+    con = duckdb.connect()
+    got_re2 = {ch for ch in chars if con.execute("SELECT regexp_full_match(?, ?)", [ch, TX.WS]).fetchone()[0]}
+    assert got_re2 == want
+    assert set(TX.PY_WS_LITERAL) == want
