@@ -73,7 +73,7 @@ SELECT doc_id, {O.word_count_sql('text')} AS words FROM documents
 def word_counts(spark, sf_dir):
     from ..functions.text import word_count
     from ..sources.tables import table
-    return table(spark, sf_dir, "documents").select("doc_id", word_count("text").alias("words"))
+    return table(spark, sf_dir, "documents", balance=True).select("doc_id", word_count("text").alias("words"))
 
 
 def _term_density_sql() -> str:
@@ -431,12 +431,12 @@ from ..sources.tables import table as _table  # noqa: E402
 
 @register("html_to_text_fin", f"SELECT page_id, {O.html_sql('html', TX.FIN_BLOCK_TAGS, False)} AS text FROM pages")
 def html_to_text_fin(spark, sf_dir):
-    return _table(spark, sf_dir, "pages").select("page_id", TX.html_to_text_financial("html").alias("text"))
+    return _table(spark, sf_dir, "pages", balance=True).select("page_id", TX.html_to_text_financial("html").alias("text"))
 
 
 @register("html_to_text_section", f"SELECT page_id, {O.html_sql('html', TX.SECTION_BLOCK_TAGS, True)} AS text FROM pages")
 def html_to_text_section(spark, sf_dir):
-    return _table(spark, sf_dir, "pages").select("page_id", TX.html_to_text_section("html").alias("text"))
+    return _table(spark, sf_dir, "pages", balance=True).select("page_id", TX.html_to_text_section("html").alias("text"))
 
 
 # ======================================================================
@@ -491,7 +491,7 @@ FROM h
 
 @register("headers_found", _headers_sql())
 def headers_found_q(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents")
+    d = _table(spark, sf_dir, "documents", balance=True)
     return d.select("doc_id", F.array_join(ex.headers_found("text"), " | ").alias("headers"))
 
 
@@ -508,12 +508,12 @@ _SKEYS = ["firm", "fiscal_year", "section"]
 
 @register("sentences", _SENT_BASE + "SELECT * FROM sentences")
 def sentences_q(spark, sf_dir):
-    return sen.sentences(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", ["doc_id"])
+    return sen.sentences(_table(spark, sf_dir, "documents", balance=True).select("doc_id", "text"), "text", ["doc_id"])
 
 
 @register("quality_sentences", _SENT_BASE + f"SELECT * FROM sentences WHERE {O.quality_sql('sentence')}")
 def quality_sentences_q(spark, sf_dir):
-    return sen.quality_sentences(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", ["doc_id"])
+    return sen.quality_sentences(_table(spark, sf_dir, "documents", balance=True).select("doc_id", "text"), "text", ["doc_id"])
 
 
 def _scored_df(spark, sf_dir, keys=("doc_id",)):
@@ -840,7 +840,7 @@ SELECT sc.doc_id, sc.section, CASE WHEN d.doc_id IS NOT NULL THEN 'cached' ELSE
 FROM scaffold sc LEFT JOIN done d ON sc.doc_id = d.doc_id AND sc.section = d.section
 """)
 def incremental_sections(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents")
+    d = _table(spark, sf_dir, "documents", balance=True)
     scaffold = d.select("doc_id", F.explode(F.array(F.lit("risk_factors"), F.lit("mda"))).alias("section"))
     done = d.where(F.col("lang").isin("en", "de")).select(
         "doc_id", F.lit("risk_factors").alias("section"), F.col("text").alias("section_text"))
@@ -899,7 +899,7 @@ def unit_multiplier_q(spark, sf_dir):
 
 @register("unit_multiplier_docs", f"SELECT doc_id, CAST({_unit_sql()} AS BIGINT) AS unit_multiplier FROM documents")
 def unit_multiplier_docs(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents")
+    d = _table(spark, sf_dir, "documents", balance=True)
     return d.select("doc_id", ex.unit_multiplier(F.col("text")).alias("unit_multiplier"))
 
 
@@ -931,7 +931,7 @@ KWIC_TERMS = ["the", "und", "que"]
     f"SELECT doc_id, '{t}' AS term, CAST(len(regexp_extract_all(text, '(?i){t}')) AS INTEGER) AS n_matches FROM documents"
     for t in KWIC_TERMS))
 def kwic_counts(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents")
+    d = _table(spark, sf_dir, "documents", balance=True)
     parts = [d.select("doc_id", F.lit(t).alias("term"), ex.keyword_in_context(F.col("text"), t)[0].alias("n_matches"))
              for t in KWIC_TERMS]
     out = parts[0]
@@ -942,7 +942,7 @@ def kwic_counts(spark, sf_dir):
 
 @register("kwic", O.kwic_sql(KWIC_TERMS))
 def kwic(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents")
+    d = _table(spark, sf_dir, "documents", balance=True)
     parts = []
     for t in KWIC_TERMS:
         n, snips = ex.keyword_in_context(F.col("text"), t)

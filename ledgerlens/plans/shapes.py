@@ -129,7 +129,7 @@ def supplier_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents -> (doc_id, firm, ticker, status, fiscal_year, section, text)."""
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents", balance=True)
     return d.select(
         "doc_id",
         F.col("source").alias("firm"),
@@ -267,7 +267,7 @@ def doc_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     en standard; fr 'ITEM 1A (continued) - RISK FACTORS' and no Item 1B;
     es a bare 'Risk Factors' line and no end marker; de the MD&A opens
     with a bare title and ends at Item 7A."""
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents", balance=True)
     lang, t = F.col("lang"), F.col("text")
     risk_head = (F.when(lang == "fr", F.lit("ITEM 1A (continued) - RISK FACTORS\n"))
                  .when(lang == "es", F.lit("Risk Factors\n"))
@@ -296,7 +296,7 @@ def labelled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     'survived'; features n_chars, words, article_density (per 1000 words),
     toxic."""
     from ..functions.text import term_count, word_count
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents", balance=True)
     lab = table(spark, sf_dir, "labels")
     j = d.join(lab, "doc_id")
     words = word_count(F.col("text"))
@@ -316,7 +316,7 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     footnote marker before an amount, 'Total liabilities and equity',
     amounts in parentheses, a value on the next line, a date before an
     amount, and a missing line."""
-    o = table(spark, sf_dir, "orders")
+    o = table(spark, sf_dir, "orders", balance=True)
     pr, stt = F.col("o_orderpriority"), F.col("o_orderstatus")
     price = F.col("o_totalprice")
     unit = (F.when(pr == "1-URGENT", F.lit("(in thousands)"))
