@@ -14,13 +14,13 @@ from .shapes import DOC_HEDGING, DOC_LEXICON
 PANEL_CTE = """
 per_order AS (
   SELECT l_orderkey,
-    SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS assets,
-    SUM(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(18,2))) AS equity,
-    SUM(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_tax AS DECIMAL(18,2))) AS cash,
-    SUM(CASE WHEN l_returnflag = 'R' THEN CAST(l_extendedprice AS DECIMAL(18,2)) ELSE 0 END) AS stb,
-    SUM(CASE WHEN l_returnflag = 'A' THEN CAST(l_extendedprice AS DECIMAL(18,2))
-             WHEN l_returnflag = 'N' THEN -CAST(l_extendedprice AS DECIMAL(18,2)) ELSE 0 END) AS income,
-    SUM(CASE WHEN l_linestatus = 'F' THEN CAST(l_extendedprice AS DECIMAL(18,2)) ELSE 0 END) AS prov
+    SUM(CAST(round(l_extendedprice * 100) AS BIGINT)) AS assets,
+    SUM(CAST(round(l_extendedprice * 100) AS BIGINT) * CAST(round(l_discount * 100) AS BIGINT)) AS equity,
+    SUM(CAST(round(l_extendedprice * 100) AS BIGINT) * CAST(round(l_tax * 100) AS BIGINT)) AS cash,
+    SUM(CASE WHEN l_returnflag = 'R' THEN CAST(round(l_extendedprice * 100) AS BIGINT) ELSE 0 END) AS stb,
+    SUM(CASE WHEN l_returnflag = 'A' THEN CAST(round(l_extendedprice * 100) AS BIGINT)
+             WHEN l_returnflag = 'N' THEN -CAST(round(l_extendedprice * 100) AS BIGINT) ELSE 0 END) AS income,
+    SUM(CASE WHEN l_linestatus = 'F' THEN CAST(round(l_extendedprice * 100) AS BIGINT) ELSE 0 END) AS prov
   FROM lineitem GROUP BY l_orderkey
 ),
 panel_g AS (
@@ -38,26 +38,26 @@ panel AS (
   SELECT n_name AS firm, 'N' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS ticker,
     CASE WHEN r_name IN ('ASIA', 'AFRICA') THEN 'failed' ELSE 'survived' END AS status,
     fiscal_year,
-    CAST(assets AS DOUBLE) AS total_assets,
-    CAST(assets - equity AS DOUBLE) AS total_liabilities,
-    CAST(equity AS DOUBLE) AS stockholders_equity,
-    CAST(cash AS DOUBLE) AS cash_and_equivalents,
-    CAST(stb AS DOUBLE) AS short_term_borrowings,
-    CAST(income AS DOUBLE) AS net_income,
-    CASE WHEN r_name = 'EUROPE' THEN NULL ELSE CAST(prov AS DOUBLE) END AS provision_for_loan_losses
+    CAST(assets AS DOUBLE) / 100.0 AS total_assets,
+    CAST(assets * 100 - equity AS DOUBLE) / 10000.0 AS total_liabilities,
+    CAST(equity AS DOUBLE) / 10000.0 AS stockholders_equity,
+    CAST(cash AS DOUBLE) / 10000.0 AS cash_and_equivalents,
+    CAST(stb AS DOUBLE) / 100.0 AS short_term_borrowings,
+    CAST(income AS DOUBLE) / 100.0 AS net_income,
+    CASE WHEN r_name = 'EUROPE' THEN NULL ELSE CAST(prov AS DOUBLE) / 100.0 END AS provision_for_loan_losses
   FROM panel_g
 )"""
 
 SUPPLIER_PANEL_CTE = """
 per_supp AS (
   SELECT l_suppkey, CAST(year(o_orderdate) AS INTEGER) AS fiscal_year,
-    SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS assets,
-    SUM(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(18,2))) AS equity,
-    SUM(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_tax AS DECIMAL(18,2))) AS cash,
-    SUM(CASE WHEN l_returnflag = 'R' THEN CAST(l_extendedprice AS DECIMAL(18,2)) ELSE 0 END) AS stb,
-    SUM(CASE WHEN l_returnflag = 'A' THEN CAST(l_extendedprice AS DECIMAL(18,2))
-             WHEN l_returnflag = 'N' THEN -CAST(l_extendedprice AS DECIMAL(18,2)) ELSE 0 END) AS income,
-    SUM(CASE WHEN l_linestatus = 'F' THEN CAST(l_extendedprice AS DECIMAL(18,2)) ELSE 0 END) AS prov
+    SUM(CAST(round(l_extendedprice * 100) AS BIGINT)) AS assets,
+    SUM(CAST(round(l_extendedprice * 100) AS BIGINT) * CAST(round(l_discount * 100) AS BIGINT)) AS equity,
+    SUM(CAST(round(l_extendedprice * 100) AS BIGINT) * CAST(round(l_tax * 100) AS BIGINT)) AS cash,
+    SUM(CASE WHEN l_returnflag = 'R' THEN CAST(round(l_extendedprice * 100) AS BIGINT) ELSE 0 END) AS stb,
+    SUM(CASE WHEN l_returnflag = 'A' THEN CAST(round(l_extendedprice * 100) AS BIGINT)
+             WHEN l_returnflag = 'N' THEN -CAST(round(l_extendedprice * 100) AS BIGINT) ELSE 0 END) AS income,
+    SUM(CASE WHEN l_linestatus = 'F' THEN CAST(round(l_extendedprice * 100) AS BIGINT) ELSE 0 END) AS prov
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
   GROUP BY ALL
 ),
@@ -75,13 +75,13 @@ ref_panel AS (
   SELECT n_name AS firm, 'N' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS ticker,
     CASE WHEN r_name IN ('ASIA', 'AFRICA') THEN 'failed' ELSE 'survived' END AS status,
     fiscal_year,
-    CAST(assets AS DOUBLE) / 1000000.0 AS total_assets,
-    CAST(assets - equity AS DOUBLE) / 1000000.0 AS total_liabilities,
-    CAST(equity AS DOUBLE) / 1000000.0 AS stockholders_equity,
-    CAST(cash AS DOUBLE) / 1000000.0 AS cash_and_equivalents,
-    CAST(stb AS DOUBLE) / 1000000.0 AS short_term_borrowings,
-    CAST(income AS DOUBLE) / 1000000.0 AS net_income,
-    CASE WHEN r_name = 'MIDDLE EAST' THEN NULL ELSE CAST(prov AS DOUBLE) / 1000000.0 END
+    CAST(assets AS DOUBLE) / (100.0 * 1000000.0) AS total_assets,
+    CAST(assets * 100 - equity AS DOUBLE) / (10000.0 * 1000000.0) AS total_liabilities,
+    CAST(equity AS DOUBLE) / (10000.0 * 1000000.0) AS stockholders_equity,
+    CAST(cash AS DOUBLE) / (10000.0 * 1000000.0) AS cash_and_equivalents,
+    CAST(stb AS DOUBLE) / (100.0 * 1000000.0) AS short_term_borrowings,
+    CAST(income AS DOUBLE) / (100.0 * 1000000.0) AS net_income,
+    CASE WHEN r_name = 'MIDDLE EAST' THEN NULL ELSE CAST(prov AS DOUBLE) / (100.0 * 1000000.0) END
       AS provision_for_loan_losses
   FROM ref_g
 )"""
