@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.distributions import mann_whitney_p_udf, welch_p_udf
+from ..session import materialize
 
 
 def melt(df: DataFrame, features: Sequence[str], ids: Sequence[str]) -> DataFrame:
@@ -106,9 +107,10 @@ def ranks_from_counts(counts: DataFrame, part: Sequence[str], value: str = "valu
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = counts.repartitionByRange(n, *part, value).withColumn("_pid", F.spark_partition_id())
     wl = Window.partitionBy("_pid", *part).orderBy(value)
-    local = (ranged.withColumn("_below", F.coalesce(
-                 F.sum(cnt).over(wl.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-             .withColumn("_ptotal", F.sum(cnt).over(Window.partitionBy("_pid", *part))))
+    local = materialize(
+        ranged.withColumn("_below", F.coalesce(
+            F.sum(cnt).over(wl.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .withColumn("_ptotal", F.sum(cnt).over(Window.partitionBy("_pid", *part))))
     totals = local.select("_pid", *part, "_ptotal").distinct()
     wo = Window.partitionBy(*part).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_pid", *part, F.coalesce(F.sum("_ptotal").over(wo), F.lit(0)).alias("_offset"))
@@ -179,10 +181,15 @@ def spearman_pairs(df: DataFrame, features: Sequence[str], min_nonnull: int = C.
     long = (long.join(F.broadcast(ok.withColumnRenamed("feature", "feature_x")), "feature_x", "left_semi")
                 .join(F.broadcast(ok.withColumnRenamed("feature", "feature_y")), "feature_y", "left_semi"))
     part = ["feature_x", "feature_y"]
-    rx = value_ranks(long.withColumnRenamed("x", "value"), part).select(
-        *part, F.col("value").alias("x"), F.col("avg_rank").alias("rank_x"))
-    ry = value_ranks(long.withColumnRenamed("y", "value"), part).select(
-        *part, F.col("value").alias("y"), F.col("avg_rank").alias("rank_y"))
+    # the pair table feeds three branches (x ranks, y ranks, the join back):
+    # compute it once
+    long = materialize(long)
+    # x and y ranks in one ranking pass: (pair, side) is the ranking part
+    both = (long.select(*part, F.lit("x").alias("side"), F.col("x").alias("value"))
+            .unionByName(long.select(*part, F.lit("y").alias("side"), F.col("y").alias("value"))))
+    ranks = value_ranks(both, [*part, "side"])
+    rx = ranks.where(F.col("side") == "x").select(*part, F.col("value").alias("x"), F.col("avg_rank").alias("rank_x"))
+    ry = ranks.where(F.col("side") == "y").select(*part, F.col("value").alias("y"), F.col("avg_rank").alias("rank_y"))
     ranked = long.join(rx, [*part, "x"]).join(ry, [*part, "y"])
     out = ranked.groupBy(*part).agg(F.count(F.lit(1)).alias("n"),
                                     F.corr("rank_x", "rank_y").alias("rho"))

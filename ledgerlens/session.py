@@ -58,3 +58,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A table location under the shared checkpoint folder."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+def materialize(df):
+    """Reliable checkpoint into the shared checkpoint folder: a DataFrame
+    that feeds several branches of a plan is computed once, and the lineage
+    is cut (a lost executor re-reads the files instead of recomputing)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
