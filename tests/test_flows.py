@@ -39,3 +39,40 @@ def test_sections_from_html_staged(spark):
     got = {r.section: r.text for r in secs.collect()}
     assert got["risk_factors"].startswith("Item 1A. Risk Factors Subprime")
     assert got["mda"].startswith("Item 7. Management's Discussion")
+
+
+def test_filings_to_panel_and_csv_sink(spark):
+    """Flow 1 on a hand-made index + filing: records -> annual filing ->
+    HTML by accession -> line items; a filing without HTML keeps its ids
+    with NULL measures (V10). Then the CSV sink round-trips the panel."""
+    import tempfile
+
+    from ledgerlens.operators import sinks
+    idx = {"form": ["10-K", "10-K"], "filingDate": ["2008-02-15", "2007-02-15"],
+           "accessionNumber": ["A-1", "A-2"], "primaryDocument": ["a.htm", "b.htm"],
+           "reportDate": ["2007-12-31", "2006-12-31"]}
+    recent = spark.createDataFrame([("0000000042", idx)],
+                                   "cik string, block struct<form:array<string>, filingDate:array<string>, "
+                                   "accessionNumber:array<string>, primaryDocument:array<string>, "
+                                   "reportDate:array<string>>")
+    listing = spark.createDataFrame([], "cik string, name string")
+    pages = spark.createDataFrame([], recent.schema.add("name", "string"))
+    html = ("<p>(in millions)</p><table><tr><td>Total assets</td><td>$ 1,500</td></tr>"
+            "<tr><td>Total liabilities</td><td>1,400</td></tr>"
+            "<tr><td>Total stockholders' equity</td><td>100</td></tr>"
+            "<tr><td>Net income<br/>(25)</td></tr></table>")
+    docs = spark.createDataFrame([("A-1", html)], "accession string, html string")
+    firms = spark.createDataFrame([("Example Co", "0000000042", "EXC", "survived")],
+                                  "firm string, cik string, ticker string, status string")
+    panel = flows.filings_to_panel(recent, listing, pages.select("cik", "name", "block"), docs, firms,
+                                   2005, 2008)
+    rows = {r.fiscal_year: r for r in panel.collect()}
+    assert set(rows) == {2006, 2007}
+    r = rows[2007]
+    assert r.total_assets == 1.5e9 and r.total_liabilities == 1.4e9 and r.stockholders_equity == 1e8
+    assert r.net_income == -2.5e7 and r.cash_and_equivalents is None
+    assert rows[2006].total_assets is None and rows[2006].accession == "A-2"
+    out = tempfile.mkdtemp(prefix="ll-csv-") + "/panel"
+    sinks.write_csv(panel, out)
+    back = panels.read_csv(spark, out, panels.SCRAPED_SCHEMA)
+    assert back.count() == 2
