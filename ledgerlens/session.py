@@ -41,17 +41,28 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
+_PRIVATE_DIR: str | None = None
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
     Reads ``spark.checkpoint.dir`` from the session; only when it is unset
-    (local tests) a private scratch folder is created and registered.
-    """
+    (local tests) a private scratch folder is created once per process. The
+    RDD checkpoint directory (used by ``DataFrame.checkpoint``) is
+    registered once."""
+    global _PRIVATE_DIR
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+        if _PRIVATE_DIR is None:
+            _PRIVATE_DIR = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
+        d = _PRIVATE_DIR
+        try:
+            spark.conf.set("spark.checkpoint.dir", d)
+        except Exception:  # noqa: BLE001 - core confs may be read-only at runtime
+            pass
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(d)
     return d
 
 
