@@ -188,13 +188,13 @@ def jump_sql(col: str, src: str) -> str:
 
 FILING_INDEX_CTE = """
 entries AS (
-  SELECT lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS cik, o_orderkey, o_orderpriority, o_orderstatus,
+  SELECT printf('%010d', o_custkey) AS cik, o_orderkey, o_orderpriority, o_orderstatus,
     CAST(floor(o_orderkey / 64) AS BIGINT) AS page_no,
     CASE o_orderpriority WHEN '1-URGENT' THEN '10-K' WHEN '2-HIGH' THEN '10-K/A'
       WHEN '3-MEDIUM' THEN '10-Q' WHEN '4-NOT SPECIFIED' THEN '10-K' ELSE '8-K' END AS form,
     CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '5-LOW' THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS filingDate,
-    lpad(CAST(o_custkey AS VARCHAR), 10, '0') || '-' || strftime(o_orderdate, '%y') || '-'
-      || lpad(CAST(o_orderkey AS VARCHAR), 6, '0') AS accessionNumber,
+    printf('%010d', o_custkey) || '-' || strftime(o_orderdate, '%y') || '-'
+      || printf('%010d', o_orderkey) AS accessionNumber,
     'd' || CAST(o_orderkey AS VARCHAR) || '.htm' AS primaryDocument,
     CASE WHEN o_orderstatus = 'P' THEN '' ELSE strftime(CAST(o_orderdate AS DATE) - INTERVAL 2 MONTH, '%Y-%m-%d') END AS reportDate
   FROM orders
@@ -211,7 +211,7 @@ packed0 AS (
 packed AS (
   SELECT cik, page_no, prio, status, form, filingDate, accessionNumber, primaryDocument,
     CASE WHEN status = 'F' THEN reportDate[1:len(reportDate) - 1] ELSE reportDate END AS reportDate,
-    'CIK' || cik || '-submissions-' || lpad(CAST(page_no AS VARCHAR), 6, '0') || '.json' AS name,
+    'CIK' || cik || '-submissions-' || printf('%010d', page_no) || '.json' AS name,
     page_no = min(page_no) OVER (PARTITION BY cik) AS is_recent
   FROM packed0
 ),

@@ -966,7 +966,7 @@ _PRIO_VALUES = ", ".join(f"('{f}', '{t}', {i})" for f, tags in S.EVENT_FIELD_TAG
 @register("fact_tag_fallback", f"""
 WITH facts AS (
   SELECT user_id AS cik, event_type AS tag, strftime(ts, '%Y-%m') AS "end", value AS val,
-    lpad(CAST(event_id AS VARCHAR), 10, '0') AS accn, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS filed
+    printf('%010d', event_id) AS accn, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS filed
   FROM events
 ),
 latest AS (

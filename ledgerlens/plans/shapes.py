@@ -219,7 +219,8 @@ def filing_index(spark: SparkSession, sf_dir: str):
 
     Returns (recent, listing, pages) DataFrames."""
     o = table(spark, sf_dir, "orders")
-    cik = F.lpad(F.col("o_custkey").cast("string"), 10, "0")
+    # zero-padded to at least 10 digits (format, not lpad: never truncates)
+    cik = F.format_string("%010d", F.col("o_custkey"))
     e = o.select(
         cik.alias("cik"), "o_orderkey", "o_orderpriority", "o_orderstatus",
         F.floor(F.col("o_orderkey") / PAGE_SPAN).cast("long").alias("page_no"),
@@ -227,7 +228,7 @@ def filing_index(spark: SparkSession, sf_dir: str):
         F.when((F.col("o_orderstatus") == "F") & (F.col("o_orderpriority") == "5-LOW"), F.lit(""))
          .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("filingDate"),
         F.concat(cik, F.lit("-"), F.date_format("o_orderdate", "yy"), F.lit("-"),
-                 F.lpad(F.col("o_orderkey").cast("string"), 6, "0")).alias("accessionNumber"),
+                 F.format_string("%010d", F.col("o_orderkey"))).alias("accessionNumber"),
         F.concat(F.lit("d"), F.col("o_orderkey").cast("string"), F.lit(".htm")).alias("primaryDocument"),
         F.when(F.col("o_orderstatus") == "P", F.lit(""))
          .otherwise(F.date_format(F.add_months(F.to_date("o_orderdate"), -2), "yyyy-MM-dd")).alias("reportDate"),
@@ -250,7 +251,7 @@ def filing_index(spark: SparkSession, sf_dir: str):
     packed = packed.join(first, "cik").withColumn("_recent", F.col("page_no") == F.col("_first"))
     block = F.struct(*fields).alias("block")
     name = F.concat(F.lit("CIK"), F.col("cik"), F.lit("-submissions-"),
-                    F.lpad(F.col("page_no").cast("string"), 6, "0"), F.lit(".json"))
+                    F.format_string("%010d", F.col("page_no")), F.lit(".json"))
     recent = packed.where(F.col("_recent")).select("cik", block)
     older = packed.where(~F.col("_recent"))
     listing = older.select("cik", F.when(F.col("_prio") == "5-LOW", F.lit("")).otherwise(name).alias("name"))
@@ -367,6 +368,6 @@ def event_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(F.col("user_id").alias("cik"), F.col("event_type").alias("tag"),
                     F.date_format("ts", "yyyy-MM").alias("end"), F.col("value").alias("val"),
-                    F.lpad(F.col("event_id").cast("string"), 10, "0").alias("accn"),
+                    F.format_string("%010d", F.col("event_id")).alias("accn"),
                     F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("filed"),
                     F.lit("10-K").alias("form"), F.lit("FY").alias("fp"))
