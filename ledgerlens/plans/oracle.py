@@ -354,6 +354,7 @@ long AS (
 STATEMENTS_CTE = """
 st AS (
   SELECT o_orderkey AS doc_id,
+    printf('%010d', o_custkey) || '-' || strftime(o_orderdate, '%y') || '-' || printf('%010d', o_orderkey) AS accession,
     '<html><body><h2>Consolidated Statement of Condition</h2><p>'
     || CASE o_orderpriority WHEN '1-URGENT' THEN '(in thousands)' WHEN '2-HIGH' THEN '(Dollars in millions)'
          WHEN '5-LOW' THEN 'in millions, except in thousands' ELSE '' END

@@ -851,7 +851,7 @@ def incremental_sections(spark, sf_dir):
 # Amounts near labels, unit multiplier, scraped rows, KWIC
 # ======================================================================
 def _statement_text(spark, sf_dir):
-    s = S.statements(spark, sf_dir)
+    s = S.statements(spark, sf_dir).drop("accession")
     return s.select("doc_id", TX.html_to_text_financial("html").alias("text"))
 
 
@@ -921,7 +921,7 @@ GROUP BY u.doc_id, u.unit_multiplier
 
 @register("scraped_row", _scraped_row_sql())
 def scraped_row(spark, sf_dir):
-    return ex.scrape_filing(S.statements(spark, sf_dir), "html", keep=["doc_id"])
+    return ex.scrape_filing(S.statements(spark, sf_dir).drop("accession"), "html", keep=["doc_id"])
 
 
 KWIC_TERMS = ["the", "und", "que"]
@@ -986,3 +986,45 @@ def fact_tag_fallback(spark, sf_dir):
     latest = fct.latest_facts(f)
     out = fct.facts_by_field(latest, fct.tag_priorities(spark, S.EVENT_FIELD_TAGS))
     return out.select("cik", "end", "field", "tag", "val", "accn", "filed")
+
+
+# ======================================================================
+# Flow 1 end to end: index -> annual filings -> firms -> HTML -> line items
+# ======================================================================
+from . import flows as fl  # noqa: E402
+
+_MEAS = list(qual.C.MEASURES)
+
+
+def _scraped_panel_sql() -> str:
+    fields = list(qual.C.FIELD_PATTERNS)
+    cols = ", ".join(f"max(CASE WHEN b.field = '{f}' THEN b.value END) * u.unit_multiplier AS {f}" for f in fields)
+    return (_with(O.FILING_INDEX_CTE, O.ANNUAL_SQL, O.STATEMENTS_CTE)
+            + f", tx AS (SELECT doc_id, accession, {O.html_sql('html', TX.FIN_BLOCK_TAGS, False)} AS text FROM st),\n"
+            + O.numbers_near_label_sql("tx").strip() + f"""
+, best AS (
+  SELECT doc_id, field, value FROM (
+    SELECT *, row_number() OVER (PARTITION BY doc_id, field ORDER BY abs(value) DESC, pattern_no, match_no) AS rn
+    FROM nums) WHERE rn = 1
+)
+, units AS (SELECT doc_id, accession, {O.unit_multiplier_sql('text')} AS unit_multiplier FROM tx)
+, scraped AS (
+  SELECT u.accession, {cols}
+  FROM units u LEFT JOIN best b ON u.doc_id = b.doc_id GROUP BY u.accession, u.unit_multiplier
+)
+, firms AS (
+  SELECT c_name AS firm, printf('%010d', c_custkey) AS cik, 'C' || CAST(c_custkey AS VARCHAR) AS ticker,
+    CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'failed' ELSE 'survived' END AS status
+  FROM customer
+)
+SELECT f.firm, f.ticker, f.status, a.fiscal_year, a.filing_date, a.accession, {', '.join('s.' + m for m in _MEAS)}
+FROM annual a JOIN firms f ON a.cik = f.cik LEFT JOIN scraped s ON a.accession = s.accession
+WHERE a.fiscal_year BETWEEN {FILING_YEARS[0]} AND {FILING_YEARS[1]}
+""")
+
+
+@register("scraped_panel", _scraped_panel_sql())
+def scraped_panel(spark, sf_dir):
+    recent, listing, pages = S.filing_index(spark, sf_dir)
+    html = S.statements(spark, sf_dir).select("accession", "html")
+    return fl.filings_to_panel(recent, listing, pages, html, S.customer_firms(spark, sf_dir), *FILING_YEARS)

@@ -351,7 +351,20 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("<tr><td>Net income<br/>"), whole(price / 40), F.lit("</td></tr>"),
         F.lit("</table></body></html>"),
     )
-    return o.select(F.col("o_orderkey").alias("doc_id"), html.alias("html"))
+    accession = F.concat(F.format_string("%010d", F.col("o_custkey")), F.lit("-"),
+                         F.date_format("o_orderdate", "yy"), F.lit("-"),
+                         F.format_string("%010d", F.col("o_orderkey")))
+    return o.select(F.col("o_orderkey").alias("doc_id"), accession.alias("accession"), html.alias("html"))
+
+
+def customer_firms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customer as the firm dimension: (firm, cik, ticker, status); status
+    'failed' for the BUILDING and MACHINERY segments."""
+    c = table(spark, sf_dir, "customer")
+    return c.select(F.col("c_name").alias("firm"), F.format_string("%010d", F.col("c_custkey")).alias("cik"),
+                    F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("ticker"),
+                    F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), "failed")
+                     .otherwise("survived").alias("status"))
 
 
 # structured facts from events: each event type is a tag with fallbacks
