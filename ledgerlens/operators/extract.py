@@ -134,6 +134,19 @@ def label_windows(text, label: str, window: int = C.NUMBER_WINDOW) -> tuple[Colu
     return F.regexp_extract_all(_c(text), rx, 1), F.regexp_extract_all(_c(text), rx, 2)
 
 
+def label_positions(text, label: str) -> Column:
+    """0-based start offsets of the label matches (same non-overlapping
+    sequence as ``label_windows``): every match is wrapped in markers, and
+    the offset of match k is the length of the text before it, i.e. the
+    lengths of the earlier segments minus their one end marker each."""
+    marked = F.regexp_replace(_c(text), FLAGS_IM + py_regex(label), M1 + "$0" + M2)
+    segs = F.split(marked, M1)
+    lens = F.transform(segs, lambda x: F.length(x))
+    return F.transform(
+        F.slice(lens, 2, F.greatest(F.size(lens) - 1, F.lit(0))),
+        lambda _x, k: F.aggregate(F.slice(lens, 1, k + 1), F.lit(0), lambda acc, n: acc + n) - k)
+
+
 def label_windows_only(text, label: str, window: int = C.NUMBER_WINDOW) -> Column:
     """Windows after each label match (one regex scan)."""
     return F.regexp_extract_all(_c(text), F.lit(_label_regex(label, window)), 2)
@@ -164,7 +177,7 @@ def _first_number(win: Column, num: str, min_value: float) -> Column:
 
 def numbers_from_windows(labels: Column | None, windows: Column, number_pattern: str = C.NUMBER_PATTERN,
                          min_value: float = C.NUMBER_MIN_VALUE, context_after: int = C.CONTEXT_AFTER,
-                         context_max: int = C.CONTEXT_MAX) -> Column:
+                         context_max: int = C.CONTEXT_MAX, positions: Column | None = None) -> Column:
     """T6 core: array<struct<match_no, value[, raw, context]>>, one per label
     match that has a number >= ``min_value`` in its window; the closest
     (first) such number is kept, negative when its token holds both '('
@@ -183,18 +196,27 @@ def numbers_from_windows(labels: Column | None, windows: Column, number_pattern:
                 ctx = F.concat(z["l"], F.substring(z["w"], 1, context_after))
                 ctx = F.substring(py_strip(F.regexp_replace(ctx, "\n", " ")), 1, context_max)
                 fields += [py_strip(raw).alias("raw"), ctx.alias("context")]
+            if positions is not None:
+                fields.append(z["p"].alias("position"))
             return F.struct(*fields)
         return _bind(_first_number(z["w"], num, min_value), from_best)
 
-    zipped = (F.arrays_zip(labels.alias("l"), windows.alias("w")) if labels is not None
-              else F.transform(windows, lambda w: F.struct(w.alias("w"))))
+    if labels is not None and positions is not None:
+        zipped = F.arrays_zip(labels.alias("l"), windows.alias("w"), positions.alias("p"))
+    elif labels is not None:
+        zipped = F.arrays_zip(labels.alias("l"), windows.alias("w"))
+    else:
+        zipped = F.transform(windows, lambda w: F.struct(w.alias("w")))
     return F.filter(F.transform(zipped, per_match), lambda x: x["value"].isNotNull())
 
 
-def numbers_near_label(text, label: str, window: int = C.NUMBER_WINDOW, **kw) -> Column:
-    """T6 on one label pattern (see ``numbers_from_windows``)."""
+def numbers_near_label(text, label: str, window: int = C.NUMBER_WINDOW, with_position: bool = False,
+                       **kw) -> Column:
+    """T6 on one label pattern (see ``numbers_from_windows``); with
+    ``with_position`` each result also carries the label's 0-based offset."""
     labels, windows = label_windows(text, label, window)
-    return numbers_from_windows(labels, windows, **kw)
+    pos = label_positions(text, label) if with_position else None
+    return numbers_from_windows(labels, windows, positions=pos, **kw)
 
 
 def _tag(k: int, full: bool = True):

@@ -389,8 +389,8 @@ def _label_matches_sql(field: str, pno: int, pattern: str, text_cte: str) -> str
     pat = py_pattern_sql(core).replace("'(?i)", "'(?im)", 1)
     keep = "TRUE" if look is None else f"NOT regexp_matches(after, {py_pattern_sql('^' + look)})"
     return f"""
-SELECT doc_id, '{field}' AS field, {pno} AS pattern_no, k, label, win FROM (
-  SELECT doc_id, k, label, substring(text, pos + length(label) + 1, {C.NUMBER_WINDOW}) AS win,
+SELECT doc_id, '{field}' AS field, {pno} AS pattern_no, k, label, win, pos FROM (
+  SELECT doc_id, k, label, pos, substring(text, pos + length(label) + 1, {C.NUMBER_WINDOW}) AS win,
     substring(text, pos + length(label) + 1) AS after
   FROM (
     SELECT doc_id, text, k, string_split(segs[k], {M2_SQL})[1] AS label,
@@ -431,7 +431,8 @@ nums AS (
          THEN -TRY_CAST(replace(toks1[idx], ',', '') AS DOUBLE)
          ELSE TRY_CAST(replace(toks1[idx], ',', '') AS DOUBLE) END AS value,
     {strip_sql('toks0[idx]')} AS raw,
-    substring({strip_sql("replace(label || substring(win, 1, " + str(C.CONTEXT_AFTER) + "), chr(10), ' ')")}, 1, {C.CONTEXT_MAX}) AS context
+    substring({strip_sql("replace(label || substring(win, 1, " + str(C.CONTEXT_AFTER) + "), chr(10), ' ')")}, 1, {C.CONTEXT_MAX}) AS context,
+    CAST(pos AS INTEGER) AS position
   FROM firsts WHERE idx IS NOT NULL
 )"""
 

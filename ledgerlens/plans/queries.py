@@ -866,11 +866,13 @@ def numbers_near_label(spark, sf_dir):
     for field, pats in qual.C.FIELD_PATTERNS.items():
         for k, p in enumerate(pats):
             parts.append(t.select("doc_id", F.lit(field).alias("field"), F.lit(k).alias("pattern_no"),
-                                  F.explode(ex.numbers_near_label(F.col("text"), p)).alias("m")))
+                                  F.explode(ex.numbers_near_label(F.col("text"), p, with_position=True))
+                                  .alias("m")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select("doc_id", "field", "pattern_no", "m.match_no", "m.value", "m.raw", "m.context")
+    return out.select("doc_id", "field", "pattern_no", "m.match_no", "m.value", "m.raw", "m.context",
+                      "m.position")
 
 
 def _unit_sql() -> str:

@@ -24,9 +24,9 @@ def test_numbers_and_best_values(spark):
     df = spark.createDataFrame([(i, d) for i, d in enumerate(DOCS)], "id int, t string")
     for field, pats in C.FIELD_PATTERNS.items():
         for p in pats:
-            rows = df.select("id", ex.numbers_near_label(F.col("t"), p).alias("m")).collect()
+            rows = df.select("id", ex.numbers_near_label(F.col("t"), p, with_position=True).alias("m")).collect()
             for r in rows:
-                got = [(x.match_no, x.value, x.raw, x.context) for x in r.m]
+                got = [(x.match_no, x.value, x.raw, x.context, x.position) for x in r.m]
                 assert got == bf.numbers_near(DOCS[r.id], p), (field, p, r.id)
         rows = df.select("id", ex.best_value(F.col("t"), pats).alias("b")).collect()
         for r in rows:
