@@ -170,8 +170,6 @@ _JUMP_MEASURES = ["total_assets", "stockholders_equity", "net_income"]
 
 
 def _flags_sql() -> str:
-    jumps = ",\n  ".join(
-        f"bool_or({O.jump_sql(m, 'j')}) OVER (PARTITION BY firm) AS jump_{m}" for m in _JUMP_MEASURES)
     # window inside window is not allowed: compute per-row hits first
     hits = ",\n  ".join(f"{O.jump_sql(m, 'd')} AS hit_{m}" for m in _JUMP_MEASURES)
     return _with(O.PANEL_CTE, O.DISTORTED_CTE) + f"""
@@ -875,21 +873,6 @@ def numbers_near_label(spark, sf_dir):
                       "m.position")
 
 
-def _unit_sql() -> str:
-    levels = []
-    for n in qual.C.UNIT_SCAN_CHARS:
-        whens = " ".join(f"WHEN regexp_matches(lower(substring(text, 1, {n})), {O.py_pattern_sql(p, ci=False)}) THEN {m}"
-                         for p, m in qual.C.UNIT_PATTERNS)
-        levels.append(f"CASE {whens} END")
-    return f"coalesce({', '.join(levels)}, 1)"
-
-
-def _statements_sql() -> str:
-    return """
-WITH o AS (SELECT *, o_totalprice AS price FROM orders)
-"""
-
-
 @register("unit_multiplier", _with(O.STATEMENTS_CTE) + f""", tx AS (
   SELECT doc_id, {O.html_sql('html', TX.FIN_BLOCK_TAGS, False)} AS text FROM st)
 SELECT doc_id, {O.unit_multiplier_sql('text')} AS unit_multiplier FROM tx
@@ -899,7 +882,7 @@ def unit_multiplier_q(spark, sf_dir):
     return t.select("doc_id", ex.unit_multiplier(F.col("text")).alias("unit_multiplier"))
 
 
-@register("unit_multiplier_docs", f"SELECT doc_id, CAST({_unit_sql()} AS BIGINT) AS unit_multiplier FROM documents")
+@register("unit_multiplier_docs", f"SELECT doc_id, {O.unit_multiplier_sql('text')} AS unit_multiplier FROM documents")
 def unit_multiplier_docs(spark, sf_dir):
     d = _table(spark, sf_dir, "documents", balance=True)
     return d.select("doc_id", ex.unit_multiplier(F.col("text")).alias("unit_multiplier"))
