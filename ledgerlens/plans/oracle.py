@@ -459,7 +459,7 @@ SELECT doc_id, '{t}' AS term, n_matches, CAST(k - 2 AS INTEGER) AS k,
 FROM (
   SELECT doc_id, text, k, n_matches, string_split(segs[k], {M2_SQL})[1] AS hit,
     CAST(length(segs[1]) + coalesce(list_sum(list_transform(segs[2:k - 1], lambda s: length(s) - 1)), 0) AS BIGINT) AS pos
-  FROM (SELECT doc_id, text, CAST(len(segs) - 1 AS BIGINT) AS n_matches, segs FROM (
+  FROM (SELECT doc_id, text, CAST(len(segs) - 1 AS INTEGER) AS n_matches, segs FROM (
           SELECT doc_id, text, string_split(regexp_replace(text, {pat}, {M1_SQL} || '\\0' || {M2_SQL}, 'g'), {M1_SQL}) AS segs
           FROM documents)),
     LATERAL (SELECT unnest(generate_series(2, least(len(segs), {shown + 1}))) AS k)
