@@ -2,14 +2,19 @@
 (T6-T9), keyword in context (T17).
 
 Everything is a Column expression evaluated where the text is read: the
-regex work runs inside the scan stage, in parallel over documents, and only
+regex work runs in the scan stage, in parallel over documents, and only
 the (much smaller) extracted values travel further.
 
 Positions of regex matches are found with marker characters: every match
 of a pattern is wrapped in two private-use code points (U+E000 / U+E001,
 which never occur in filing text), after which ``substring_index`` /
 ``split`` give "the last match and what follows", "the text before the
-first match", and so on, without look-arounds or Python.
+first match", match offsets, and so on, without Python.
+
+Cost control: ordered alternatives (start patterns, end patterns, the
+fallback chunk, the first number token) sit in a lazy ``coalesce``; values
+used more than once are bound once through a single-element lambda
+(``_bind``), so no regex pass is evaluated twice or before it is needed.
 """
 
 from __future__ import annotations
