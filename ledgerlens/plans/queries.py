@@ -626,7 +626,69 @@ def welch_cohen(spark, sf_dir):
     return st.welch(st.group_moments(_long_labelled(spark, sf_dir)))
 
 
-@register("p_values", None)
+def _p_values_sql() -> str:
+    moments = _MOMENTS_SQL.replace("WITH ", "WITH RECURSIVE ", 1)
+    step = """
+    SELECT feature, t_stat, welch_df, a0, b0, x0, direct, a, b, x, it + 1 AS it,
+      c2, d2, h * d1 * c1 * d2 * c2 AS h
+    FROM (
+      SELECT *,
+        1.0 / (CASE WHEN abs(1.0 + aa2 * d1) < 1e-300 THEN 1e-300 ELSE 1.0 + aa2 * d1 END) AS d2,
+        CASE WHEN abs(1.0 + aa2 / c1) < 1e-300 THEN 1e-300 ELSE 1.0 + aa2 / c1 END AS c2
+      FROM (
+        SELECT *,
+          1.0 / (CASE WHEN abs(1.0 + aa1 * d) < 1e-300 THEN 1e-300 ELSE 1.0 + aa1 * d END) AS d1,
+          CASE WHEN abs(1.0 + aa1 / c) < 1e-300 THEN 1e-300 ELSE 1.0 + aa1 / c END AS c1,
+          -(a + (it + 1)) * (a + b + (it + 1)) * x / ((a + 2.0 * (it + 1)) * (a + 1.0 + 2.0 * (it + 1))) AS aa2
+        FROM (
+          SELECT *, (it + 1) * (b - (it + 1)) * x / ((a - 1.0 + 2.0 * (it + 1)) * (a + 2.0 * (it + 1))) AS aa1
+          FROM cf WHERE it < 300
+        )
+      )
+    )"""
+    return moments + f"""
+, w AS (
+  SELECT feature,
+    (mean1 - mean2) / sqrt(sd1 * sd1 / n1 + sd2 * sd2 / n2) AS t_stat,
+    (sd1 * sd1 / n1 + sd2 * sd2 / n2) * (sd1 * sd1 / n1 + sd2 * sd2 / n2)
+      / ((sd1 * sd1 / n1) * (sd1 * sd1 / n1) / (n1 - 1) + (sd2 * sd2 / n2) * (sd2 * sd2 / n2) / (n2 - 1)) AS welch_df
+  FROM m WHERE n1 >= 2 AND n2 >= 2
+)
+, prm AS (
+  SELECT feature, t_stat, welch_df, welch_df / 2.0 AS a0, 0.5 AS b0,
+    welch_df / (welch_df + t_stat * t_stat) AS x0 FROM w
+)
+, br AS (
+  SELECT *, x0 < (a0 + 1.0) / (a0 + b0 + 2.0) AS direct,
+    CASE WHEN x0 < (a0 + 1.0) / (a0 + b0 + 2.0) THEN a0 ELSE b0 END AS a,
+    CASE WHEN x0 < (a0 + 1.0) / (a0 + b0 + 2.0) THEN b0 ELSE a0 END AS b,
+    CASE WHEN x0 < (a0 + 1.0) / (a0 + b0 + 2.0) THEN x0 ELSE 1.0 - x0 END AS x
+  FROM prm
+)
+, cf AS (
+  SELECT feature, t_stat, welch_df, a0, b0, x0, direct, a, b, x, 0 AS it, CAST(1.0 AS DOUBLE) AS c,
+    1.0 / (CASE WHEN abs(1.0 - (a + b) * x / (a + 1.0)) < 1e-300 THEN 1e-300 ELSE 1.0 - (a + b) * x / (a + 1.0) END) AS d,
+    1.0 / (CASE WHEN abs(1.0 - (a + b) * x / (a + 1.0)) < 1e-300 THEN 1e-300 ELSE 1.0 - (a + b) * x / (a + 1.0) END) AS h
+  FROM br
+  UNION ALL
+  {step.strip()}
+)
+, fin AS (
+  SELECT *, exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * ln(x) + b * ln(1.0 - x)) * h / a AS frac
+  FROM cf WHERE it = 300
+)
+, pv AS (
+  SELECT feature, t_stat, welch_df, CASE WHEN direct THEN frac ELSE 1.0 - frac END AS p_value FROM fin
+)
+SELECT feature, t_stat, welch_df, p_value,
+  CASE WHEN p_value < 0.01 THEN '***' WHEN p_value < 0.05 THEN '**' WHEN p_value < 0.1 THEN '*' ELSE '' END
+    AS significant,
+  CASE WHEN p_value >= 0.001 THEN printf('p=%.3f', p_value) ELSE 'p<0.001' END AS p_label
+FROM pv
+"""
+
+
+@register("p_values", _p_values_sql())
 def p_values(spark, sf_dir):
     w = st.with_welch_p(st.welch(st.group_moments(_long_labelled(spark, sf_dir))))
     return w.select("feature", "t_stat", "welch_df", "p_value", "significant",
