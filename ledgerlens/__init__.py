@@ -13,4 +13,12 @@ Sub-packages:
                Structured Streaming job
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Python workers of a cluster need not have this package installed: functions
+# and classes of it that are sent to them travel with their code.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

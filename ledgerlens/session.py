@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -47,28 +48,28 @@ _PRIVATE_DIR: str | None = None
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
-    Reads ``spark.checkpoint.dir`` from the session; only when it is unset
-    (local tests) a private scratch folder is created once per process. The
-    RDD checkpoint directory (used by ``DataFrame.checkpoint``) is
-    registered once."""
+    Reads ``spark.checkpoint.dir`` from the session. Only on a local master
+    (tests) may it be unset: a private scratch folder is then created once
+    per process. On any other master executors would each write to their own
+    disk, so a missing setting is an error there. The RDD checkpoint
+    directory (used by ``DataFrame.checkpoint``) is registered once."""
     global _PRIVATE_DIR
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if _PRIVATE_DIR is None:
             _PRIVATE_DIR = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
         d = _PRIVATE_DIR
-        try:
-            spark.conf.set("spark.checkpoint.dir", d)
-        except Exception:  # noqa: BLE001 - core confs may be read-only at runtime
-            pass
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A table location under the shared checkpoint folder."""
-    return os.path.join(checkpoint_dir(spark), name)
+    """A table location under the shared checkpoint folder, unique per call,
+    so that two runs or two jobs never write to the same place."""
+    return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
 def materialize(df):
