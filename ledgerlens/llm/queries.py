@@ -2,14 +2,51 @@
 
 from __future__ import annotations
 
-from . import toxicity
+from . import chat, decontam, jaccard, packing, pii, topk, toxicity
 from .common import table
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_toxicity(spark, sf_dir):
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_chat_format(spark, sf_dir):
+    return chat.read_back(chat.expand(chat.with_control(table(spark, sf_dir, "conversations"))))
+
+
+def op4_ngram_jaccard(spark, sf_dir):
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op5_pack(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op7_decontaminate(spark, sf_dir):
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_sanitise(spark, sf_dir):
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+def op10_topk(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 REGISTRY = {
     "op1_toxicity": (op1_toxicity, None),
+    "op2_chat_format": (op2_chat_format, chat.ORACLE_SQL),
+    "op4_ngram_jaccard": (op4_ngram_jaccard, jaccard.ORACLE_SQL),
+    "op5_pack": (op5_pack, None),
+    "op7_decontaminate": (op7_decontaminate, None),
+    "op8_sanitise": (op8_sanitise, None),
+    "op10_topk": (op10_topk, topk.ORACLE_SQL),
 }
