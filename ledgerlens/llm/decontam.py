@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_slices, utf8
-from .hashing import PUNCTUATION, TERM, mix, word_hashes
+from .hashing import ALNUM, TERM, mix, word_hashes
 
 MIN_MATCH = 5
 COVERAGE = 0.6
@@ -35,7 +35,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C55)
 
 
 def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    return word_hashes(*utf8(pc.utf8_lower(column.fill_null(""))), PUNCTUATION)
+    return word_hashes(*utf8(pc.utf8_lower(column.fill_null(""))), ALNUM)
 
 
 def _runs(words: np.ndarray, k: int) -> np.ndarray:

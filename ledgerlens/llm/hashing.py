@@ -29,19 +29,25 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-#: Space and ASCII punctuation, for words compared without punctuation.
-PUNCTUATION = SPACE.copy()
-PUNCTUATION[[i for i in range(128) if not chr(i).isalnum()]] = True
+#: Classes of bytes; a word is a maximal run of one class other than 0.
+#: Runs outside white space; runs of letters and digits; these and runs of
+#: ASCII punctuation; runs of letters.
+WORDS = (~SPACE).astype(np.uint8)
+_ascii = [chr(i) for i in range(128)]
+ALNUM = np.array([c.isalnum() for c in _ascii] + [True] * 128).astype(np.uint8)
+TERMS = np.where(ALNUM > 0, 1, np.where(SPACE | (np.arange(256) < 33), 0, 2)).astype(np.uint8)
+LETTERS = np.array([c.isalpha() for c in _ascii] + [True] * 128).astype(np.uint8)
 
 
-def word_spans(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE,
+def word_spans(raw: np.ndarray, offsets: np.ndarray, classes: np.ndarray = WORDS,
                table: np.ndarray = BYTE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first byte, bytes) per word and bounds: the words of text i are
-    bounds[i]:bounds[i + 1]. ``space`` tells which bytes part words."""
+    bounds[i]:bounds[i + 1]."""
     n = len(raw)
-    inside = ~space[raw]
+    kind = classes[raw]
+    inside = kind > 0
     first = inside.copy()
-    first[1:] &= ~inside[:-1]
+    first[1:] &= kind[1:] != kind[:-1]
     edges = offsets[1:-1]
     edges = edges[edges < n]
     first[edges] = inside[edges]
@@ -61,9 +67,9 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE,
     return hashes, starts, size, bounds
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, classes: np.ndarray = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and bounds of ``word_spans``."""
-    hashes, _, _, bounds = word_spans(raw, offsets, space)
+    hashes, _, _, bounds = word_spans(raw, offsets, classes)
     return hashes, bounds
 
 

@@ -28,6 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import stage, text_slices, utf8
 from .components import components
@@ -126,10 +127,12 @@ def _needed(n_a, n_b):
 
 
 def _possible(a: str, b: str):
-    """Length and positional filter of two rows that share a shingle."""
-    n_a, n_b, i, j = (F.col(f"{x}.{y}") for y in ("n", "pos") for x in (a, b))
+    """Length and positional filter of two rows that share a shingle: what
+    both can share is at most the shingles before it that any other class has
+    in its prefix (``before``), itself, and the rest after it."""
+    n_a, n_b, i, j, x, y = (F.col(f"{side}.{c}") for c in ("n", "pos", "before") for side in (a, b))
     return ((F.greatest(n_a, n_b) * NUMERATOR <= F.least(n_a, n_b) * DENOMINATOR)
-            & (F.least(i, j) + 1 + F.least(n_a - i, n_b - j) - 1 >= _needed(n_a, n_b)))
+            & (F.least(x, y) + 1 + F.least(n_a - i, n_b - j) - 1 >= _needed(n_a, n_b)))
 
 
 def _pick(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -203,16 +206,17 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("n", "level", "prefix", "parts"))), "classes")
     grams = classes.select("id", "n", "level", F.posexplode("prefix").alias("pos", "g"))
     common = grams.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g")
-    shared = stage(grams.join(common, "g"), "shared")
+    earlier = Window.partitionBy("id").orderBy("pos")  # a class's prefix: no more than its shingles
+    shared = stage(grams.join(common, "g").withColumn("before", F.row_number().over(earlier) - 1), "shared")
     rank = F.col("level").cast("bigint") * (1 << 52) + F.pmod(F.xxhash64("id"), F.lit(1 << 52))
-    leaders = shared.groupBy("g").agg(*(F.max_by(c, rank).alias(c) for c in ("id", "n", "pos")))
+    leaders = shared.groupBy("g").agg(*(F.max_by(c, rank).alias(c) for c in ("id", "n", "pos", "before")))
     star = (shared.alias("m").join(leaders.alias("l"), "g")
             .where((F.col("m.id") != F.col("l.id")) & _possible("m", "l"))
             .select(F.least("m.id", "l.id").alias("a"), F.greatest("m.id", "l.id").alias("b")).distinct())
     first = stage(verify(docs, star, classes), "links")
     known = components(first)
     rows = stage(shared.join(known, "id", "left")
-                 .select("g", "id", "n", "pos", F.coalesce("component", "id").alias("component"),
+                 .select("g", "id", "n", "pos", "before", F.coalesce("component", "id").alias("component"),
                          F.col("level")), "rows")
     head = rows.groupBy("g").agg(F.max_by("component", rank).alias("main"), F.min("component").alias("lo"),
                                  F.max("component").alias("hi")).where("lo <> hi").select("g", "main")
@@ -247,6 +251,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                          F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with the smallest doc_id of their component, with
+    their columns. Of rows that share a doc_id one stays; rows with a NULL
+    doc_id all stay."""
+    groups = stage(near_duplicates(docs), "groups")
+    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    again = stage(groups.where("doc_id is not null").groupBy(F.col("doc_id").alias("_again"))
+                  .agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_again"), "repeated")
+    if again.isEmpty():
+        return kept
+    single = kept.join(again, F.col("doc_id") == F.col("_again"), "left_anti")
+    return single.unionByName(kept.join(again, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"]))
+
+
 ORACLE_SQL = """
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

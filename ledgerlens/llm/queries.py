@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, jaccard, packing, pii, topk, toxicity
+from . import chat, chunks, decontam, jaccard, langid, packing, pii, quality, topk, toxicity
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op2_chat_format(spark, sf_dir):
     return chat.read_back(chat.expand(chat.with_control(table(spark, sf_dir, "conversations"))))
 
 
+def op3_chunk_dedup(spark, sf_dir):
+    return chunks.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_ngram_jaccard(spark, sf_dir):
     return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -28,6 +32,10 @@ def op5_pack(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_language_id(spark, sf_dir):
+    return langid.predict(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op7_decontaminate(spark, sf_dir):
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -36,6 +44,10 @@ def op8_sanitise(spark, sf_dir):
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_topk(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"))
@@ -44,9 +56,12 @@ def op10_topk(spark, sf_dir):
 REGISTRY = {
     "op1_toxicity": (op1_toxicity, None),
     "op2_chat_format": (op2_chat_format, chat.ORACLE_SQL),
+    "op3_chunk_dedup": (op3_chunk_dedup, None),
     "op4_ngram_jaccard": (op4_ngram_jaccard, jaccard.ORACLE_SQL),
     "op5_pack": (op5_pack, None),
+    "op6_language_id": (op6_language_id, None),
     "op7_decontaminate": (op7_decontaminate, None),
     "op8_sanitise": (op8_sanitise, None),
+    "op9_quality": (op9_quality, None),
     "op10_topk": (op10_topk, topk.ORACLE_SQL),
 }

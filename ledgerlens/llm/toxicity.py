@@ -255,18 +255,18 @@ def _design(pooled: np.ndarray) -> np.ndarray:
                       top, np.maximum(top - 0.35, 0), np.maximum(top - 0.7, 0)])
 
 
-def _score_udf(model_parts, calibration):
+def _score_udf(model_parts, calibration, with_text=False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alphabet, weights, bias = model_parts.value
         memo = _memo(alphabet, weights, bias)
         for b in text_slices(batches, "text"):
             pooled = _pooled(memo, b.column(b.schema.get_field_index("text")).to_pylist())
-            cols = [b.column(i) for i, f in enumerate(b.schema) if f.name != "text"]
-            names = [f.name for f in b.schema if f.name != "text"]
+            names = [f.name for f in b.schema if with_text or f.name != "text"]
+            cols = [b.column(b.schema.get_field_index(n)) for n in names]
             if calibration is None:
                 more = {f"p{i}": pa.array(pooled[:, i]) for i in range(pooled.shape[1])}
             else:
-                more = {"score": pa.array(sigmoid(_design(pooled) @ calibration[:-1] + calibration[-1]))}
+                more = {"_toxic_score" if with_text else "score": pa.array(sigmoid(_design(pooled) @ calibration[:-1] + calibration[-1]))}
             yield pa.RecordBatch.from_arrays(cols + list(more.values()), names + list(more))
     return run
 
@@ -337,3 +337,13 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
     scored = score(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", (fold("doc_id", folds) == 0).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose score is below ``threshold``, with their
+    columns; the machine learns from all labelled rows of ``docs``."""
+    model = fit(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
+    shared = docs.sparkSession.sparkContext.broadcast((model.alphabet, model.weights, model.bias))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    scored = docs.mapInArrow(_score_udf(shared, model.calibration, True), f"{schema}, _toxic_score double")
+    return scored.where(F.col("_toxic_score") < threshold).select(*docs.columns)
