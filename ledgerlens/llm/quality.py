@@ -46,7 +46,7 @@ def _row(hashes: np.ndarray) -> np.ndarray:
 
 def _draws(hashes: np.ndarray, place: int) -> tuple[np.ndarray, np.ndarray]:
     """Non-zero places and signs of index vectors, by distance."""
-    h = mix(hashes + np.uint64(0x9E3779B97F4A7C15) * np.uint64(place + 1))
+    h = mix(hashes + np.uint64(0x9E3779B97F4A7C15 * (place + 1) % (1 << 64)))
     at = np.stack([(h >> np.uint64(8 * i)).astype(np.int64) & (DIMS - 1) for i in range(NONZERO)], axis=1)
     sign = np.stack([((h >> np.uint64(40 + i)) & np.uint64(1)).astype(np.int64) * 2 - 1 for i in range(NONZERO)], axis=1)
     return at, sign
