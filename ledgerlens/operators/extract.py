@@ -6,8 +6,9 @@ regex work runs in the scan stage, in parallel over documents, and only
 the (much smaller) extracted values travel further.
 
 Positions of regex matches are found with marker characters: every match
-of a pattern is wrapped in two private-use code points (U+E000 / U+E001,
-which never occur in filing text), after which ``substring_index`` /
+of a pattern is wrapped in two private-use code points (U+E000 / U+E001;
+where a text holds them itself, it is read with U+FFFD in their place, which
+keeps every position), after which ``substring_index`` /
 ``split`` give "the last match and what follows", "the text before the
 first match", match offsets, and so on, without Python.
 
@@ -37,6 +38,11 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def unmarked(text) -> Column:
+    """The text without the two marker characters."""
+    return F.translate(_c(text), M1 + M2, "\ufffd\ufffd")
+
+
 def java_pattern(p: str, multiline: bool = False) -> str:
     return (FLAGS_IM if multiline else FLAGS_I) + py_regex(p)
 
@@ -55,10 +61,10 @@ def _accept(candidate: Column, min_chars: int) -> Column:
 
 def section_from_start(text: Column, start: str, ends: Sequence[str],
                        min_chars: int = C.SECTION_MIN_CHARS,
-                       fallback_chars: int = C.SECTION_FALLBACK_CHARS) -> Column:
+                       fallback_chars: int | None = None) -> Column:
     """The section for one start pattern: its last match, then each end
-    pattern in order (first match after the start), then the fallback
-    chunk; NULL when the start pattern does not occur or nothing is long
+    pattern in order (first match after the start), then all that follows
+    (or its first ``fallback_chars``: the study's limit is 200,000); NULL when the start pattern does not occur or nothing is long
     enough."""
     marked = F.regexp_replace(text, java_pattern(start), M1 + "$0" + M2)
 
@@ -70,8 +76,9 @@ def section_from_start(text: Column, start: str, ends: Sequence[str],
                     cands.append(_bind(F.split(rest, java_pattern(ep), 2), lambda parts: F.when(
                         F.size(parts) == 2,
                         _accept(normalize_ws(F.concat(match, F.get(parts, 0))), min_chars))))
-                cands.append(_accept(normalize_ws(F.substring(F.concat(match, rest), 1, fallback_chars)),
-                                     min_chars))
+                whole = F.concat(match, rest)
+                cands.append(_accept(normalize_ws(whole if fallback_chars is None
+                                                  else F.substring(whole, 1, fallback_chars)), min_chars))
                 return F.coalesce(*cands)
             return _bind(F.substring_index(tail, M2, -1), with_rest)
         return _bind(F.substring_index(tail, M2, 1), with_match)
@@ -83,14 +90,14 @@ def section_from_start(text: Column, start: str, ends: Sequence[str],
 def extract_section(text, section: str,
                     patterns: Mapping[str, Mapping[str, Sequence[str]]] = C.SECTION_PATTERNS,
                     min_chars: int = C.SECTION_MIN_CHARS,
-                    fallback_chars: int = C.SECTION_FALLBACK_CHARS) -> Column:
+                    fallback_chars: int | None = None) -> Column:
     """T4: the first acceptable candidate over the start patterns in order,
     NULL when none (or for an unknown section). Evaluation is lazy: a later
     start pattern is only searched when the earlier ones gave nothing."""
     cfg = patterns.get(section)
     if not cfg:
         return F.lit(None).cast("string")
-    t = _c(text)
+    t = unmarked(text)
     return F.coalesce(*[section_from_start(t, sp, cfg["end"], min_chars, fallback_chars)
                         for sp in cfg["start"]])
 
@@ -99,7 +106,7 @@ def extract_sections(df: DataFrame, text: str = "text", sections: Sequence[str]
                      keep: Sequence[str] | None = None,
                      patterns: Mapping[str, Mapping[str, Sequence[str]]] = C.SECTION_PATTERNS,
                      min_chars: int = C.SECTION_MIN_CHARS,
-                     fallback_chars: int = C.SECTION_FALLBACK_CHARS) -> DataFrame:
+                     fallback_chars: int | None = None) -> DataFrame:
     """T4 for several sections at once, long output (keys, section,
     section_text). The text is read once per row."""
     keep = [c for c in (keep or df.columns) if c != text]
@@ -110,17 +117,23 @@ def extract_sections(df: DataFrame, text: str = "text", sections: Sequence[str]
 
 
 # ------------------------------------------------------------------ T5
-def headers_found(text, pattern: str = C.HEADER_PATTERN, scan_chars: int = C.HEADER_SCAN_CHARS,
-                  first: int = C.HEADER_FIRST_HITS, shown: int = C.HEADER_SHOWN) -> Column:
-    """T5: item headers in the head of the text (the study's diagnostic
-    scan: first hits, de-duplicated in order, a few shown)."""
-    hits = F.regexp_extract_all(F.substring(_c(text), 1, scan_chars), F.lit(java_pattern(pattern)), 0)
-    return F.slice(F.array_distinct(F.slice(hits, 1, first)), 1, shown)
-
-
-def extraction_status(sections: DataFrame, text_present: str = "has_text") -> DataFrame:
-    """G7 input: status per (key, section): ok / failed / no_html."""
-    st = (F.when(~F.col(text_present), "no_html")
+def headers_found(text, pattern: str = C.HEADER_PATTERN, scan_chars: int | None = None,
+                  first: int | None = None, shown: int | None = None) -> Column:
+    """T5: the item headers of the text, de-duplicated in order. The study's
+    diagnostic scan stops at 50,000 characters, 15 hits and 8 shown; these
+    limits are arguments here, off by default."""
+    t = _c(text) if scan_chars is None else F.substring(_c(text), 1, scan_chars)
+    hits = F.regexp_extract_all(t, F.lit(java_pattern(pattern)), 0)
+    hits = F.array_distinct(hits if first is None else F.slice(hits, 1, first))
+    return hits if shown is None else F.slice(hits, 1, shown)
+
+
+def extraction_status(sections: DataFrame, text_present: str = "has_text",
+                      cached: str | None = None) -> DataFrame:
+    """G7 input: status per (key, section): cached (already written, where
+    the column ``cached`` is given) / no_html / ok / failed."""
+    done = F.coalesce(F.col(cached), F.lit(False)) if cached else F.lit(False)
+    st = (F.when(done, "cached").when(~F.col(text_present), "no_html")
           .when(F.col("section_text").isNotNull(), "ok").otherwise("failed"))
     return sections.withColumn("status", st)
 
@@ -144,12 +157,16 @@ def label_positions(text, label: str) -> Column:
     sequence as ``label_windows``): every match is wrapped in markers, and
     the offset of match k is the length of the text before it, i.e. the
     lengths of the earlier segments minus their one end marker each."""
-    marked = F.regexp_replace(_c(text), FLAGS_IM + py_regex(label), M1 + "$0" + M2)
+    marked = F.regexp_replace(unmarked(text), FLAGS_IM + py_regex(label), M1 + "$0" + M2)
     segs = F.split(marked, M1)
-    lens = F.transform(segs, lambda x: F.length(x))
-    return F.transform(
-        F.slice(lens, 2, F.greatest(F.size(lens) - 1, F.lit(0))),
-        lambda _x, k: F.aggregate(F.slice(lens, 1, k + 1), F.lit(0), lambda acc, n: acc + n) - k)
+    # one pass: the offset so far and the offsets found
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
+    return F.aggregate(
+        F.slice(segs, 1, F.greatest(F.size(segs) - 1, F.lit(0))), start,
+        lambda acc, s: F.struct(
+            (acc["at"] + F.length(s) - F.when(F.size(acc["found"]) > 0, 1).otherwise(0)).alias("at"),
+            F.concat(acc["found"], F.array(acc["at"] + F.length(s) - F.when(F.size(acc["found"]) > 0, 1).otherwise(0))).alias("found")),
+        lambda acc: acc["found"])
 
 
 def label_windows_only(text, label: str, window: int = C.NUMBER_WINDOW) -> Column:
@@ -182,13 +199,15 @@ def _first_number(win: Column, num: str, min_value: float) -> Column:
 
 def numbers_from_windows(labels: Column | None, windows: Column, number_pattern: str = C.NUMBER_PATTERN,
                          min_value: float = C.NUMBER_MIN_VALUE, context_after: int = C.CONTEXT_AFTER,
-                         context_max: int = C.CONTEXT_MAX, positions: Column | None = None) -> Column:
+                         context_max: int | None = None, positions: Column | None = None) -> Column:
     """T6 core: array<struct<match_no, value[, raw, context]>>, one per label
     match that has a number >= ``min_value`` in its window; the closest
     (first) such number is kept, negative when its token holds both '('
     and ')'. Without ``labels`` only values are produced (the cheap path
     used by ``scrape_filing``). The lambdas see zipped elements only, so no
-    regex is re-evaluated per element."""
+    regex is re-evaluated per element. The context is the label and the
+    ``context_after`` characters after it, cut to ``context_max`` where given
+    (the study: 100)."""
     from ..functions.text import py_strip
     num = py_regex(number_pattern)
 
@@ -199,7 +218,9 @@ def numbers_from_windows(labels: Column | None, windows: Column, number_pattern:
             fields = [i.alias("match_no"), F.when(neg, -best["v"]).otherwise(best["v"]).alias("value")]
             if labels is not None:
                 ctx = F.concat(z["l"], F.substring(z["w"], 1, context_after))
-                ctx = F.substring(py_strip(F.regexp_replace(ctx, "\n", " ")), 1, context_max)
+                ctx = py_strip(F.regexp_replace(ctx, "\n", " "))
+                if context_max is not None:
+                    ctx = F.substring(ctx, 1, context_max)
                 fields += [py_strip(raw).alias("raw"), ctx.alias("context")]
             if positions is not None:
                 fields.append(z["p"].alias("position"))
@@ -246,9 +267,11 @@ def best_value(text, patterns: Sequence[str], **kw) -> Column:
 
 
 # ------------------------------------------------------------------ T8 / T9
-def unit_heads(text, scans: Sequence[int] = C.UNIT_SCAN_CHARS) -> list[Column]:
-    """The lower-cased prefixes that unit detection scans (each prefix is
-    cut first and lower-cased after, as the rule states)."""
+def unit_heads(text, scans: Sequence[int] | None = None) -> list[Column]:
+    """The lower-cased text that unit detection scans: all of it, or the
+    prefixes ``scans`` in turn (the study: 10,000, then 50,000 characters)."""
+    if scans is None:
+        return [F.lower(_c(text))]
     return [F.lower(F.substring(_c(text), 1, n)) for n in scans]
 
 
@@ -265,9 +288,10 @@ def unit_multiplier_from_heads(heads: Sequence[Column],
 
 
 def unit_multiplier(text, patterns: Sequence[tuple[str, int]] = tuple(C.UNIT_PATTERNS),
-                    scans: Sequence[int] = C.UNIT_SCAN_CHARS) -> Column:
-    """In each scanned prefix (lower-cased) the first pattern in
-    priority order that occurs gives the multiplier; 1 when none."""
+                    scans: Sequence[int] | None = None) -> Column:
+    """The first pattern in priority order that occurs in the
+    lower-cased text (or in its prefixes ``scans`` in turn) gives the
+    multiplier; 1 when none."""
     return unit_multiplier_from_heads(unit_heads(text, scans), patterns)
 
 
@@ -301,11 +325,11 @@ def scrape_filing(df: DataFrame, html: str = "html", keep: Sequence[str] | None
 
 
 # ------------------------------------------------------------------ T17
-def keyword_in_context(text, term: str, before: int = 20, after: int = 50, shown: int = 3,
-                       max_chars: int = 80) -> tuple[Column, Column]:
-    """(count of case-insensitive matches, first ``shown`` snippets of
-    ``before`` chars + match + ``after`` chars, trimmed, cut to
-    ``max_chars``). The look-behind alternative ``^.{0,n-1}`` covers matches
+def keyword_in_context(text, term: str, before: int = 20, after: int = 50, shown: int | None = None,
+                       max_chars: int | None = None) -> tuple[Column, Column]:
+    """(count of case-insensitive matches, snippets of ``before`` chars +
+    match + ``after`` chars, trimmed). The study shows 3 snippets of 80
+    characters; ``shown`` and ``max_chars`` give that, off by default. The look-behind alternative ``^.{0,n-1}`` covers matches
     near the start, where fewer than ``before`` chars exist."""
     t = _c(text)
     body = py_regex(term)
@@ -318,6 +342,11 @@ def keyword_in_context(text, term: str, before: int = 20, after: int = 50, shown
     hit = F.regexp_extract_all(t, F.lit(rx), 2)
     post = F.regexp_extract_all(t, F.lit(rx), 3)
     from ..functions.text import py_strip
-    snippets = F.transform(F.slice(F.arrays_zip(pre.alias("a"), hit.alias("b"), post.alias("c")), 1, shown),
-                           lambda z: F.substring(py_strip(F.concat(z["a"], z["b"], z["c"])), 1, max_chars))
+    parts = F.arrays_zip(pre.alias("a"), hit.alias("b"), post.alias("c"))
+
+    def snippet(z):
+        s = py_strip(F.concat(z["a"], z["b"], z["c"]))
+        return s if max_chars is None else F.substring(s, 1, max_chars)
+
+    snippets = F.transform(parts if shown is None else F.slice(parts, 1, shown), snippet)
     return count, snippets

@@ -42,18 +42,18 @@ def dashboard_long(df: DataFrame, features: Sequence[str] = SERIES, firm: str =
 
 
 def comma_label(c: Column) -> Column:
-    """1,234."""
-    return F.format_number(c, 0)
+    """1,234 (ties to even, as in all labels)."""
+    return F.format_number(F.bround(c, 0), 0)
 
 
 def billions_label(c: Column) -> Column:
     """$12B."""
-    return F.format_string("$%.0fB", c / 1e9)
+    return F.format_string("$%.0fB", F.bround(c / 1e9, 0))
 
 
 def pct_label(c: Column) -> Column:
     """12.3%."""
-    return F.format_string("%.1f%%", c)
+    return F.format_string("%.1f%%", F.bround(c, 1))
 
 
 def annotation_heights(df: DataFrame, features: Sequence[str], share: float = C.ANNOTATION_SHARE) -> DataFrame:
@@ -75,7 +75,8 @@ def event_annotations(df: DataFrame, features: Sequence[str],
 
 
 def distinct_firms(df: DataFrame, firm: str = "firm", year: str = "fiscal_year") -> DataFrame:
-    """Firms with the first year they appear, in that order."""
+    """Firms with the first year they appear, in that order (firms of
+    one year by name: rows of a table have no order of appearance)."""
     return df.groupBy(firm).agg(F.min(year).alias("first_year")).orderBy("first_year", firm)
 
 

@@ -96,8 +96,10 @@ def compare_cells(scraped: DataFrame, reference: DataFrame,
                   tol: float = C.MATCH_TOLERANCE) -> DataFrame:
     """V6 + J1: full outer join on the keys, one row per (key, measure) with
     a reference value; result MATCH / MISMATCH / MISSING."""
-    s = _ensure(scraped, measures).select(*keys, *[F.col(m).alias(f"{m}_scraped") for m in measures])
-    r = _ensure(reference, measures).select(*keys, *[F.col(m).alias(f"{m}_ref") for m in measures])
+    # a measure that one side has no column for is not compared
+    measures = [m for m in measures if m in scraped.columns and m in reference.columns]
+    s = scraped.select(*keys, *[F.col(m).alias(f"{m}_scraped") for m in measures])
+    r = reference.select(*keys, *[F.col(m).alias(f"{m}_ref") for m in measures])
     j = s.join(r, on=list(keys), how="full")
     stack = ", ".join(f"'{m}', `{m}_scraped`, `{m}_ref`" for m in measures)
     long = j.selectExpr(*keys, f"stack({len(measures)}, {stack}) AS (measure, scraped, reference)")
@@ -145,7 +147,9 @@ def validated_panel(scraped: DataFrame, reference: DataFrame,
     measures = list(measures)
     scraped = _ensure(scraped, measures)
     reference = _ensure(reference, measures)
-    order = list(order) if order else [c for c in ("filing_date", "accession") if c in scraped.columns] or list(keys)
+    # without a filing order the values themselves decide, so that equal
+    # inputs always give equal results
+    order = list(order) if order else [c for c in ("filing_date", "accession", *measures) if c in scraped.columns]
     s = first_per_key(scraped, keys, order).select(
         *keys, F.lit(True).alias("_has_scraped"), *[F.col(m).alias(f"_s_{m}") for m in measures])
     j = reference.join(s, on=list(keys), how="left")

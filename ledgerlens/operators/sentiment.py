@@ -76,13 +76,15 @@ def model_scorer(predict: Callable[[list[str]], list[tuple[str, float]]],
 
 
 def score_sentences(sents: DataFrame, scorer: Callable[[Column], Column] | None = None,
-                    text_chars: int = C.SENTENCE_TEXT_CHARS) -> DataFrame:
-    """(…, sentence_no, text[:120], label, score)."""
+                    text_chars: int | None = None) -> DataFrame:
+    """(…, sentence_no, text, label, score); ``text_chars`` cuts the text
+    (the study keeps 120 characters)."""
     scorer = scorer or lexicon_scorer()
     x = sents.withColumn("_s", scorer(F.col("sentence")))
     # the struct is read twice below; keep it as one staged column
     keep = [c for c in sents.columns if c != "sentence"]
-    return x.select(*keep, F.substring("sentence", 1, text_chars).alias("text"),
+    text = F.col("sentence") if text_chars is None else F.substring("sentence", 1, text_chars)
+    return x.select(*keep, text.alias("text"),
                     F.col("_s.label").alias("label"), F.col("_s.score").alias("score"))
 
 
@@ -114,17 +116,31 @@ def with_scaffold(agg: DataFrame, scaffold: DataFrame, keys: Sequence[str]) -> D
 
 
 def most_negative(scored: DataFrame, keys: Sequence[str],
-                  order: Sequence[str] = ("doc_id", "sentence_no")) -> DataFrame:
-    """The highest-confidence negative sentence per key (earliest on
-    ties), as a partial aggregate (``max_by`` over a struct ordering)."""
-    neg = scored.where(F.col("label") == "negative")
+                  order: Sequence[str] = ("doc_id", "sentence_no"),
+                  min_sentences: int = C.MIN_SENTENCES) -> DataFrame:
+    """The highest-confidence negative sentence per key with at least
+    ``min_sentences`` sentences (earliest on ties), as a partial aggregate
+    (``max_by`` over a struct ordering)."""
+    negative = F.col("label") == "negative"
     rank = F.struct(F.col("score"), *[(-F.col(o)).alias(o) for o in order])
-    return neg.groupBy(*keys).agg(F.max_by("text", rank).alias("text"), F.max("score").alias("score"))
-
-
-def pivot_by_year(df: DataFrame, value: str, years: Sequence[int], index: Sequence[str] = ("firm",),
-                  year: str = "fiscal_year") -> DataFrame:
-    """Firm x year, first non-null value; the year list is a
-    parameter so the pivot needs no extra pass to discover it."""
-    return (df.where(F.col(value).isNotNull()).groupBy(*index)
-            .pivot(year, list(years)).agg(F.first(value)))
+    best = scored.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.max_by(F.when(negative, F.col("text")), F.when(negative, rank)).alias("text"),
+        F.max(F.when(negative, F.col("score"))).alias("score"))
+    return best.where((F.col("_n") >= min_sentences) & F.col("score").isNotNull()).drop("_n")
+
+
+def firm_year_cells(df: DataFrame, value: str, index: Sequence[str] = ("firm", "status"),
+                    year: str = "fiscal_year") -> DataFrame:
+    """N3 / G10 as rows (index..., year, value): one per firm and year with a
+    value, the smallest where a firm has several."""
+    return df.where(F.col(value).isNotNull()).groupBy(*index, year).agg(F.min(value).alias(value))
+
+
+def pivot_by_year(df: DataFrame, value: str, years: Sequence[int] | None = None,
+                  index: Sequence[str] = ("firm", "status"), year: str = "fiscal_year") -> DataFrame:
+    """Firm x year with status, sorted by status and firm. The
+    years are those that have a value (one pass finds them); given ``years``
+    it is these, and no pass is needed."""
+    cells = firm_year_cells(df, value, index, year)
+    wide = cells.groupBy(*index).pivot(year, list(years) if years is not None else None).agg(F.first(value))
+    return wide.orderBy(*reversed(index))

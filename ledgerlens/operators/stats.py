@@ -48,8 +48,9 @@ def welch(m: DataFrame) -> DataFrame:
     v1, v2 = F.col("sd1") * F.col("sd1"), F.col("sd2") * F.col("sd2")
     se1, se2 = v1 / n1, v2 / n2
     diff = F.col("mean1") - F.col("mean2")
-    t = diff / F.sqrt(se1 + se2)
-    dof = (se1 + se2) * (se1 + se2) / (se1 * se1 / (n1 - 1) + se2 * se2 / (n2 - 1))
+    # two constant groups have no t and no df; the feature stays with d = 0
+    t = F.try_divide(diff, F.sqrt(se1 + se2))
+    dof = F.try_divide((se1 + se2) * (se1 + se2), se1 * se1 / (n1 - 1) + se2 * se2 / (n2 - 1))
     pooled = F.sqrt((v1 + v2) / 2)
     d = F.when(pooled > 0, diff / pooled).otherwise(F.lit(0.0))
     return (m.where((n1 >= 2) & (n2 >= 2))
@@ -66,8 +67,8 @@ def significance(p: Column, levels=C.SIGNIFICANCE) -> Column:
 
 
 def p_label(p: Column) -> Column:
-    """A8: 'p=0.123' or 'p<0.001'."""
-    return F.when(p >= 0.001, F.format_string("p=%.3f", p)).otherwise(F.lit("p<0.001"))
+    """A8: 'p=0.123' (ties to even) or 'p<0.001'."""
+    return F.when(p >= 0.001, F.format_string("p=%.3f", F.bround(p, 3))).otherwise(F.lit("p<0.001"))
 
 
 def with_welch_p(w: DataFrame) -> DataFrame:
@@ -114,7 +115,7 @@ def ranks_from_counts(counts: DataFrame, part: Sequence[str], value: str = "valu
     totals = local.select("_pid", *part, "_ptotal").distinct()
     wo = Window.partitionBy(*part).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_pid", *part, F.coalesce(F.sum("_ptotal").over(wo), F.lit(0)).alias("_offset"))
-    out = local.join(F.broadcast(offsets), ["_pid", *part])
+    out = local.join(offsets, ["_pid", *part])
     return out.withColumn("avg_rank", F.col("_offset") + F.col("_below") + (F.col(cnt) + 1) / 2.0).drop(
         "_pid", "_below", "_ptotal", "_offset")
 
@@ -126,27 +127,38 @@ def value_ranks(long: DataFrame, part: Sequence[str], value: str = "value") -> D
     return ranks_from_counts(counts, part, value)
 
 
-def mann_whitney(long: DataFrame, group: str = "status", first: str = "failed") -> DataFrame:
-    """A5: U of the first group (rank sum - n1(n1+1)/2), sizes, tie term and
-    the two-sided p (exact or normal, see ``mann_whitney_p``)."""
-    g = long.withColumn("_in1", (F.col(group) == first).cast("int"))
+def mann_whitney(long: DataFrame, group: str = "status",
+                 groups: Sequence[str] = ("failed", "survived")) -> DataFrame:
+    """A5: U of the first group (rank sum - n1(n1+1)/2), sizes and tie term.
+    Rows of any other group, or of none, take no part. Counts are doubles
+    before they are multiplied: a value shared by millions of rows does not
+    overflow."""
+    first, second = groups
+    g = long.where(F.col(group).isin(first, second)).withColumn("_in1", (F.col(group) == first).cast("int"))
     per_value = g.groupBy("feature", "value").agg(
         F.count(F.lit(1)).alias("_cnt"), F.sum("_in1").alias("_c1"))
     ranked = ranks_from_counts(per_value, ["feature"], "value")
+    c = F.col("_cnt").cast("double")
     agg = ranked.groupBy("feature").agg(
         F.sum(F.col("_c1") * F.col("avg_rank")).alias("r1"),
         F.sum("_c1").alias("n1"), (F.sum("_cnt") - F.sum("_c1")).alias("n2"),
-        F.sum(F.col("_cnt") * F.col("_cnt") * F.col("_cnt") - F.col("_cnt")).cast("double").alias("tie_term"))
+        F.sum(c * c * c - c).alias("tie_term"))
     agg = agg.where((F.col("n1") >= 2) & (F.col("n2") >= 2))
-    u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2.0
+    n1 = F.col("n1").cast("double")
+    u = F.col("r1") - n1 * (n1 + 1) / 2.0
     return agg.select("feature", F.col("n1").cast("long").alias("n1"), F.col("n2").cast("long").alias("n2"),
                       u.alias("u_stat"), "tie_term")
 
 
-def mann_whitney_with_p(long: DataFrame, group: str = "status", first: str = "failed") -> DataFrame:
-    mw = mann_whitney(long, group, first)
-    return mw.withColumn("u_p_value", mann_whitney_p_udf(F.col("u_stat"), F.col("n1"), F.col("n2"),
-                                                          F.col("tie_term")))
+def mann_whitney_with_p(long: DataFrame, group: str = "status", groups: Sequence[str] = ("failed", "survived"),
+                        exact_max_n: int | None = None) -> DataFrame:
+    """A5 with the two-sided p: by the normal tail with tie and continuity
+    correction, and by the exact distribution where the smaller group has at
+    most ``exact_max_n`` values and there are no ties (the study's rule is 8;
+    off by default)."""
+    mw = mann_whitney(long, group, groups)
+    return mw.withColumn("u_p_value", mann_whitney_p_udf(exact_max_n)(
+        F.col("u_stat"), F.col("n1"), F.col("n2"), F.col("tie_term")))
 
 
 def group_sem(long: DataFrame, group: str = "status") -> DataFrame:
@@ -157,42 +169,48 @@ def group_sem(long: DataFrame, group: str = "status") -> DataFrame:
 
 
 # ------------------------------------------------------------------ Spearman
-def spearman_pairs(df: DataFrame, features: Sequence[str], min_nonnull: int = C.CORR_MIN_NONNULL,
+def spearman_pairs(df: DataFrame, features: Sequence[str], min_nonnull: int = 0,
                    labels: Mapping[str, str] | None = None, lower_only: bool = True) -> DataFrame:
     """A9 + A10: pairwise-complete Spearman correlation.
 
     Rows where all features are NULL are dropped; a feature enters when it
-    has more than ``min_nonnull`` values. Pairs are generated in the
+    has more than ``min_nonnull`` values (the study's rule is 3; by default
+    any feature with a value enters). Pairs are generated in the
     projection from the fixed feature list (explode of a literal array of
     pairs, no join), ranks are recomputed per pair on the rows where both
     values exist, and rho is the Pearson correlation of those ranks."""
     feats = list(features)
-    base = df.select(*[F.col(f).cast("double").alias(f) for f in feats]).na.drop("all", subset=feats)
+    # the input feeds the counts and the pairs: compute it once
+    base = materialize(df.select(*[F.col(f).cast("double").alias(f) for f in feats]).na.drop("all", subset=feats))
     counts = base.agg(*[F.count(f).alias(f) for f in feats])
     pairs = [(i, j) for i in range(len(feats)) for j in range(len(feats)) if (i > j if lower_only else i != j)]
     structs = [F.struct(F.lit(feats[i]).alias("feature_x"), F.lit(feats[j]).alias("feature_y"),
                         F.col(feats[i]).alias("x"), F.col(feats[j]).alias("y")) for i, j in pairs]
-    long = (base.select(F.explode(F.array(*structs)).alias("p"))
-            .select("p.*").where(F.col("x").isNotNull() & F.col("y").isNotNull()))
-    # keep only features with enough values (a one-row aggregate, cross-joined
-    # as a broadcast scalar table)
-    cnt_long = counts.unpivot([], feats, "feature", "nn")
-    ok = cnt_long.where(F.col("nn") > min_nonnull).select("feature")
-    long = (long.join(F.broadcast(ok.withColumnRenamed("feature", "feature_x")), "feature_x", "left_semi")
-                .join(F.broadcast(ok.withColumnRenamed("feature", "feature_y")), "feature_y", "left_semi"))
     part = ["feature_x", "feature_y"]
-    # the pair table feeds three branches (x ranks, y ranks, the join back):
-    # compute it once
-    long = materialize(long)
+    # reduced map-side to distinct (x, y) per pair: a value that most rows
+    # share is one row from here on
+    points = (base.select(F.explode(F.array(*structs)).alias("p"))
+              .select("p.*").where(F.col("x").isNotNull() & F.col("y").isNotNull())
+              .groupBy(*part, "x", "y").agg(F.count(F.lit(1)).alias("_n")))
+    enough = counts.unpivot([], feats, "feature", "nn").where(F.col("nn") > min_nonnull).select("feature")
+    points = materialize(points.join(enough.withColumnRenamed("feature", "feature_x"), "feature_x", "left_semi")
+                         .join(enough.withColumnRenamed("feature", "feature_y"), "feature_y", "left_semi"))
     # x and y ranks in one ranking pass: (pair, side) is the ranking part
-    both = (long.select(*part, F.lit("x").alias("side"), F.col("x").alias("value"))
-            .unionByName(long.select(*part, F.lit("y").alias("side"), F.col("y").alias("value"))))
-    ranks = value_ranks(both, [*part, "side"])
+    sides = F.array(F.struct(F.lit("x").alias("side"), F.col("x").alias("value")),
+                    F.struct(F.lit("y").alias("side"), F.col("y").alias("value")))
+    values = (points.select(*part, "_n", F.explode(sides).alias("s")).select(*part, "s.*", "_n")
+              .groupBy(*part, "side", "value").agg(F.sum("_n").alias("_cnt")))
+    ranks = ranks_from_counts(values, [*part, "side"])
     rx = ranks.where(F.col("side") == "x").select(*part, F.col("value").alias("x"), F.col("avg_rank").alias("rank_x"))
     ry = ranks.where(F.col("side") == "y").select(*part, F.col("value").alias("y"), F.col("avg_rank").alias("rank_y"))
-    ranked = long.join(rx, [*part, "x"]).join(ry, [*part, "y"])
-    out = ranked.groupBy(*part).agg(F.count(F.lit(1)).alias("n"),
-                                    F.corr("rank_x", "rank_y").alias("rho"))
+    total = points.groupBy(*part).agg(F.sum("_n").alias("n"))
+    ranked = points.join(rx, [*part, "x"]).join(ry, [*part, "y"]).join(total, part)
+    # ranks 1..n have mean (n + 1) / 2 whatever the ties
+    dx, dy = F.col("rank_x") - (F.col("n") + 1) / 2.0, F.col("rank_y") - (F.col("n") + 1) / 2.0
+    out = ranked.groupBy(*part).agg(F.sum("_n").alias("n"), F.sum(F.col("_n") * dx * dy).alias("_xy"),
+                                    F.sum(F.col("_n") * dx * dx).alias("_xx"), F.sum(F.col("_n") * dy * dy).alias("_yy"))
+    # NULL where one side is constant
+    out = out.select(*part, "n", F.try_divide(F.col("_xy"), F.sqrt(F.col("_xx")) * F.sqrt(F.col("_yy"))).alias("rho"))
     if labels:
         m = F.create_map(*[x for k, v in labels.items() for x in (F.lit(k), F.lit(v))])
         out = (out.withColumn("label_x", F.coalesce(F.try_element_at(m, F.col("feature_x")), F.col("feature_x")))

@@ -36,10 +36,11 @@ def filings_to_panel(recent: DataFrame, listing: DataFrame, pages: DataFrame, ht
     NULL measures (V10)."""
     recs = fil.history_records(recent, listing, pages)
     annual = fil.select_annual(recs, start_year, end_year)
-    j = annual.join(firms, "cik").join(html, "accession", "left")
-    scraped = ex.scrape_filing(j, "html", keep=["firm", "ticker", "status", "fiscal_year",
-                                                "filing_date", "accession"])
-    return scraped.drop("unit_multiplier")
+    # line items are read where the HTML is; only they meet the index
+    items = ex.scrape_filing(html, "html", keep=["accession"]).drop("unit_multiplier")
+    j = annual.join(firms, "cik").join(items, "accession", "left")
+    return j.select("firm", "ticker", "status", "fiscal_year", "filing_date", "accession",
+                    *[c for c in items.columns if c != "accession"])
 
 
 def validate(scraped: DataFrame, reference_scaled: DataFrame) -> dict[str, DataFrame]:
@@ -76,9 +77,9 @@ def combined_features(validated: DataFrame, sections: DataFrame, scaffold: DataF
     ``scaffold`` is (firm, ticker, status, fiscal_year, section)."""
     quant = feat.quantitative_features(validated)
     keys = ["firm", "ticker", "status", "fiscal_year", "section"]
-    texts = scaffold.join(sections.select("ticker", "fiscal_year", "section", "text"),
-                          ["ticker", "fiscal_year", "section"], "left")
-    m = feat.section_metrics(texts, "text", keep=keys)
+    # counted where the text is; only the counts meet the scaffold
+    counts = feat.section_metrics(sections.select("ticker", "fiscal_year", "section", "text"), "text")
+    m = scaffold.select(*keys).join(counts, ["ticker", "fiscal_year", "section"], "left")
     nlp = feat.nlp_wide(m, ["firm", "ticker", "status", "fiscal_year"])
     return feat.combine_outer(quant, nlp)
 
@@ -88,17 +89,18 @@ def findings(combined: DataFrame) -> dict[str, DataFrame]:
     corr_cols = [c for c in C.CORR_FEATURES if c in combined.columns]
     return {
         "tests": st.test_table(combined),
-        "mann_whitney": st.mann_whitney_with_p(st.melt(combined, [c for c, _ in C.TEST_FEATURES], ["status"])),
-        "spearman": st.spearman_pairs(combined, corr_cols, labels=C.CORR_LABELS),
+        "mann_whitney": st.mann_whitney_with_p(st.melt(combined, [c for c, _ in C.TEST_FEATURES], ["status"]),
+                                               exact_max_n=C.MW_EXACT_MAX_N),
+        "spearman": st.spearman_pairs(combined, corr_cols, C.CORR_MIN_NONNULL, labels=C.CORR_LABELS),
         "lead_lag": st.lead_lag(combined, "risk_total_crisis_density", "leverage_ratio"),
     }
 
 
 def sentiment(sections: DataFrame, scaffold: DataFrame, scorer=None) -> DataFrame:
     """Flow 3b: sentences -> scores -> section aggregates over the scaffold."""
-    keys = ["firm", "ticker", "status", "fiscal_year", "section"]
-    texts = scaffold.join(sections.select("ticker", "fiscal_year", "section", "text"),
-                          ["ticker", "fiscal_year", "section"], "inner")
-    q = sen.quality_sentences(texts, "text", keys)
-    scored = sen.score_sentences(q, scorer)
-    return sen.with_scaffold(sen.section_sentiment(scored, keys), scaffold.select(*keys), keys)
+    keys = ["ticker", "fiscal_year", "section"]
+    # sentences are scored and added up where the text is; only the sums
+    # meet the scaffold
+    q = sen.quality_sentences(sections.select(*keys, "text"), "text", keys)
+    sums = sen.section_sentiment(sen.score_sentences(q, scorer), keys)
+    return sen.with_scaffold(sums, scaffold.select("firm", "ticker", "status", "fiscal_year", "section"), keys)

@@ -263,7 +263,7 @@ def html_sql(text: str, block_tags: str, section: bool) -> str:
     return x
 
 
-def section_sql(text: str, starts, ends, min_chars: int = 500, fallback: int = 200000) -> str:
+def section_sql(text: str, starts, ends, min_chars: int = 500) -> str:
     """T4 in DuckDB with the same marker technique as the Spark side."""
     cands = []
     for sp in starts:
@@ -276,7 +276,7 @@ def section_sql(text: str, starts, ends, min_chars: int = 500, fallback: int = 2
             parts = f"string_split_regex({rest}, {py_pattern_sql(ep)})"
             sec = normalize_ws_sql(f"({match} || {parts}[1])")
             cands.append(f"CASE WHEN {found} AND len({parts}) >= 2 AND length({sec}) > {min_chars} THEN {sec} END")
-        fb = normalize_ws_sql(f"substring({match} || {rest}, 1, {fallback})")
+        fb = normalize_ws_sql(f"({match} || {rest})")
         cands.append(f"CASE WHEN {found} AND length({fb}) > {min_chars} THEN {fb} END")
     return "coalesce(" + ",\n    ".join(cands) + ")"
 
@@ -329,7 +329,7 @@ def scored_cte(pos, neg) -> str:
     p, n = term_count_sql("sentence", pos), term_count_sql("sentence", neg)
     return f"""
 qsent AS (SELECT * FROM sentences WHERE {quality_sql('sentence')}),
-counted AS (SELECT doc_id, sentence_no, substring(sentence, 1, 120) AS text, {p} AS pos, {n} AS neg FROM qsent),
+counted AS (SELECT doc_id, sentence_no, sentence AS text, {p} AS pos, {n} AS neg FROM qsent),
 scored AS (
   SELECT doc_id, sentence_no, text,
     CASE WHEN pos > neg THEN 'positive' WHEN neg > pos THEN 'negative' ELSE 'neutral' END AS label,
@@ -431,7 +431,7 @@ nums AS (
          THEN -TRY_CAST(replace(toks1[idx], ',', '') AS DOUBLE)
          ELSE TRY_CAST(replace(toks1[idx], ',', '') AS DOUBLE) END AS value,
     {strip_sql('toks0[idx]')} AS raw,
-    substring({strip_sql("replace(label || substring(win, 1, " + str(C.CONTEXT_AFTER) + "), chr(10), ' ')")}, 1, {C.CONTEXT_MAX}) AS context,
+    {strip_sql("replace(label || substring(win, 1, " + str(C.CONTEXT_AFTER) + "), chr(10), ' ')")} AS context,
     CAST(pos AS INTEGER) AS position
   FROM firsts WHERE idx IS NOT NULL
 )"""
@@ -439,29 +439,26 @@ nums AS (
 
 def unit_multiplier_sql(text: str) -> str:
     from .. import config as C
-    levels = []
-    for n in C.UNIT_SCAN_CHARS:
-        whens = " ".join(f"WHEN regexp_matches(lower(substring({text}, 1, {n})), {py_pattern_sql(p, ci=False)}) THEN {m}"
-                         for p, m in C.UNIT_PATTERNS)
-        levels.append(f"CASE {whens} END")
-    return f"CAST(coalesce({', '.join(levels)}, 1) AS BIGINT)"
+    whens = " ".join(f"WHEN regexp_matches(lower({text}), {py_pattern_sql(p, ci=False)}) THEN {m}"
+                     for p, m in C.UNIT_PATTERNS)
+    return f"CAST(CASE {whens} ELSE 1 END AS BIGINT)"
 
 
-def kwic_sql(terms, before: int = 20, after: int = 50, shown: int = 3, max_chars: int = 80) -> str:
+def kwic_sql(terms, before: int = 20, after: int = 50) -> str:
     """T17 snippets by marker positions: text[max(0, start-20) : end+50],
-    stripped, cut to 80, first ``shown`` matches per (doc, term)."""
+    stripped, all matches per (doc, term)."""
     parts = []
     for t in terms:
         pat = py_pattern_sql(t)
         parts.append(f"""
 SELECT doc_id, '{t}' AS term, n_matches, CAST(k - 2 AS INTEGER) AS k,
-  substring({strip_sql(f"substring(text, greatest(pos - {before}, 0) + 1, pos - greatest(pos - {before}, 0) + length(hit) + {after})")}, 1, {max_chars}) AS snippet
+  {strip_sql(f"substring(text, greatest(pos - {before}, 0) + 1, pos - greatest(pos - {before}, 0) + length(hit) + {after})")} AS snippet
 FROM (
   SELECT doc_id, text, k, n_matches, string_split(segs[k], {M2_SQL})[1] AS hit,
     CAST(length(segs[1]) + coalesce(list_sum(list_transform(segs[2:k - 1], lambda s: length(s) - 1)), 0) AS BIGINT) AS pos
   FROM (SELECT doc_id, text, CAST(len(segs) - 1 AS INTEGER) AS n_matches, segs FROM (
           SELECT doc_id, text, string_split(regexp_replace(text, {pat}, {M1_SQL} || '\\0' || {M2_SQL}, 'g'), {M1_SQL}) AS segs
           FROM documents)),
-    LATERAL (SELECT unnest(generate_series(2, least(len(segs), {shown + 1}))) AS k)
+    LATERAL (SELECT unnest(generate_series(2, len(segs))) AS k)
 )""")
     return "\nUNION ALL\n".join(parts)

@@ -478,19 +478,17 @@ def extraction_status(spark, sf_dir):
 
 def _headers_sql() -> str:
     pat = O.py_pattern_sql(qual.C.HEADER_PATTERN)
-    hits = f"regexp_extract_all(substring(text, 1, {qual.C.HEADER_SCAN_CHARS}), {pat})"
-    return f"""
-WITH h AS (SELECT doc_id, {hits}[1:{qual.C.HEADER_FIRST_HITS}] AS hits FROM documents)
-SELECT doc_id,
-  array_to_string(list_filter(hits, lambda x, i: list_position(hits, x) = i)[1:{qual.C.HEADER_SHOWN}], ' | ') AS headers
+    return _with(O.DOC_FILINGS_CTE) + f"""
+, h AS (SELECT doc_id, regexp_extract_all(filing, {pat}) AS hits FROM doc_filings)
+SELECT doc_id, array_to_string(list_filter(hits, lambda x, i: list_position(hits, x) = i), ' | ') AS headers
 FROM h
 """
 
 
 @register("headers_found", _headers_sql())
 def headers_found_q(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents", balance=True)
-    return d.select("doc_id", F.array_join(ex.headers_found("text"), " | ").alias("headers"))
+    f = S.doc_filings(spark, sf_dir)
+    return f.select("doc_id", F.array_join(ex.headers_found("filing"), " | ").alias("headers"))
 
 
 # ======================================================================
@@ -568,23 +566,26 @@ def section_sentiment_q(spark, sf_dir):
 SELECT firm, fiscal_year, section, text, score FROM (
   SELECT *, row_number() OVER (PARTITION BY firm, fiscal_year, section
                                ORDER BY score DESC, doc_id, sentence_no) AS rn
-  FROM keyed WHERE label = 'negative'
+  FROM keyed JOIN agg USING (firm, fiscal_year, section) WHERE label = 'negative' AND n >= 10
 ) WHERE rn = 1
 """)
 def most_negative_q(spark, sf_dir):
     return sen.most_negative(_scored_df(spark, sf_dir, ["doc_id", *_SKEYS]), _SKEYS)
 
 
-DOC_YEARS = list(range(2000, 2018))
+# the three pivots of each section as rows: the years come from the data
+_PIVOT_VALUES = ["sentiment_score", "negative_ratio", "n_sentences"]
 
 
-@register("sentiment_pivot", _SECTION_SENT_SQL + f"""
-SELECT firm, {', '.join(f'first(sentiment_score) FILTER (WHERE fiscal_year = {y}) AS "{y}"' for y in DOC_YEARS)}
-FROM section_sentiment WHERE section = 'risk_factors' AND sentiment_score IS NOT NULL GROUP BY firm
-""")
+@register("sentiment_pivot", _SECTION_SENT_SQL + "\nUNION ALL\n".join(f"""
+SELECT '{v}' AS measure, section, firm, fiscal_year, CAST(min({v}) AS DOUBLE) AS value
+FROM section_sentiment WHERE {v} IS NOT NULL GROUP BY section, firm, fiscal_year""" for v in _PIVOT_VALUES))
 def sentiment_pivot(spark, sf_dir):
-    s = _section_sentiment_df(spark, sf_dir).where(F.col("section") == "risk_factors")
-    return sen.pivot_by_year(s, "sentiment_score", DOC_YEARS)
+    s = _section_sentiment_df(spark, sf_dir)
+    keys = ["section", "firm", "fiscal_year"]
+    long = s.select(*keys, *[F.col(v).cast("double").alias(v) for v in _PIVOT_VALUES]).unpivot(
+        keys, _PIVOT_VALUES, "measure", "value")
+    return sen.firm_year_cells(long, "value", ["measure", "section", "firm"])
 
 
 # ======================================================================
@@ -715,7 +716,32 @@ def mann_whitney_u(spark, sf_dir):
     return st.mann_whitney(_long_labelled(spark, sf_dir))
 
 
-@register("mann_whitney_p", None)
+# p by the normal tail; erfc by its Taylor series (z up to 3) or its
+# continued fraction beyond, 150 terms either way
+@register("mann_whitney_p", _with(O.LABELLED_CTE) + """
+, vc AS (
+  SELECT feature, value, count(*) AS cnt, count(CASE WHEN status = 'failed' THEN 1 END) AS c1
+  FROM long WHERE status IN ('failed', 'survived') GROUP BY ALL),
+rk AS (SELECT *, coalesce(sum(cnt) OVER (PARTITION BY feature ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+    + (cnt + 1) / 2.0 AS r FROM vc),
+u AS (
+  SELECT feature, CAST(sum(c1) AS BIGINT) AS n1, CAST(sum(cnt) - sum(c1) AS BIGINT) AS n2,
+    CAST(sum(c1 * r) - sum(c1) * (sum(c1) + 1) / 2.0 AS DOUBLE) AS u_stat,
+    sum(CAST(cnt AS DOUBLE) * cnt * cnt - cnt) AS tie_term
+  FROM rk GROUP BY feature),
+z AS (
+  SELECT *, (greatest(u_stat, n1 * n2 - u_stat) - n1 * n2 / 2.0 - 0.5)
+    / sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - tie_term / (CAST(n1 + n2 AS DOUBLE) * (n1 + n2 - 1)))) / sqrt(2.0) AS x
+  FROM u WHERE n1 >= 2 AND n2 >= 2),
+series AS (
+  SELECT feature, list_sum(list_transform(range(0, 150), lambda k: CASE WHEN k = 0 THEN x ELSE
+    list_product([x] || list_transform(range(1, k + 1), lambda j: -x * x / j)) / (2 * k + 1) END)) AS s FROM z),
+fraction AS (SELECT feature, list_reduce(list_transform([0.0] || list_transform(range(0, 150), lambda k: 150.0 - k), lambda v: CAST(v AS DOUBLE)),
+    lambda acc, k: k / 2 / (x + acc)) AS f FROM z WHERE x > 2)
+SELECT z.feature, n1, n2, u_stat, tie_term, least(1.0, CASE WHEN x <= 2 THEN 1 - 2 / sqrt(pi()) * s
+  ELSE exp(-x * x) / sqrt(pi()) / (x + f) END) AS u_p_value
+FROM z JOIN series USING (feature) LEFT JOIN fraction USING (feature)
+""")
 def mann_whitney_p(spark, sf_dir):
     return st.mann_whitney_with_p(_long_labelled(spark, sf_dir))
 
@@ -787,17 +813,16 @@ def lead_lag(spark, sf_dir):
 # ======================================================================
 from ..operators import frames as fr  # noqa: E402
 
-PANEL_YEARS = list(range(1995, 2002))
 _PANEL_SERIES = ["leverage_ratio", "cash_coverage", "net_income", "provision_for_losses"]
 
 
 @register("pivot_first", f"""
 WITH rf AS ({RATIO_SQL})
-SELECT firm, {', '.join(f'first(leverage_ratio) FILTER (WHERE fiscal_year = {y}) AS "{y}"' for y in PANEL_YEARS)}
-FROM rf WHERE leverage_ratio IS NOT NULL GROUP BY firm
+SELECT firm, status, fiscal_year, min(leverage_ratio) AS leverage_ratio
+FROM rf WHERE leverage_ratio IS NOT NULL GROUP BY firm, status, fiscal_year
 """)
 def pivot_first(spark, sf_dir):
-    return sen.pivot_by_year(ratio_features(spark, sf_dir), "leverage_ratio", PANEL_YEARS)
+    return sen.firm_year_cells(ratio_features(spark, sf_dir), "leverage_ratio").orderBy("status", "firm", "fiscal_year")
 
 
 _SERIES_UNION = "\nUNION ALL\n".join(
@@ -921,16 +946,13 @@ _STMT_BASE = (_with(O.STATEMENTS_CTE) + f", tx AS (SELECT doc_id, {O.html_sql('h
 
 @register("numbers_near_label", _STMT_BASE + "SELECT * FROM nums")
 def numbers_near_label(spark, sf_dir):
+    # one scan and one conversion: an array per pattern, then one explode
     t = _statement_text(spark, sf_dir)
-    parts = []
-    for field, pats in qual.C.FIELD_PATTERNS.items():
-        for k, p in enumerate(pats):
-            parts.append(t.select("doc_id", F.lit(field).alias("field"), F.lit(k).alias("pattern_no"),
-                                  F.explode(ex.numbers_near_label(F.col("text"), p, with_position=True))
-                                  .alias("m")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    found = [F.struct(F.lit(field).alias("field"), F.lit(k).alias("pattern_no"),
+                      ex.numbers_near_label(F.col("text"), p, with_position=True).alias("ms"))
+             for field, pats in qual.C.FIELD_PATTERNS.items() for k, p in enumerate(pats)]
+    out = t.select("doc_id", F.explode(F.array(*found)).alias("f")).select(
+        "doc_id", "f.field", "f.pattern_no", F.explode("f.ms").alias("m"))
     return out.select("doc_id", "field", "pattern_no", "m.match_no", "m.value", "m.raw", "m.context",
                       "m.position")
 
@@ -944,10 +966,19 @@ def unit_multiplier_q(spark, sf_dir):
     return t.select("doc_id", ex.unit_multiplier(F.col("text")).alias("unit_multiplier"))
 
 
-@register("unit_multiplier_docs", f"SELECT doc_id, {O.unit_multiplier_sql('text')} AS unit_multiplier FROM documents")
+# documents with a unit note before or after the text, by language
+@register("unit_multiplier_docs", f"""
+WITH noted AS (SELECT doc_id, CASE lang WHEN 'en' THEN text || chr(10) || '(Dollars in  millions)'
+  WHEN 'fr' THEN 'Amounts in thousands' || chr(10) || text WHEN 'de' THEN text || ' IN BILLIONS' ELSE text END AS text
+  FROM documents)
+SELECT doc_id, {O.unit_multiplier_sql('text')} AS unit_multiplier FROM noted""")
 def unit_multiplier_docs(spark, sf_dir):
     d = _table(spark, sf_dir, "documents", balance=True)
-    return d.select("doc_id", ex.unit_multiplier(F.col("text")).alias("unit_multiplier"))
+    lang, t = F.col("lang"), F.col("text")
+    noted = (F.when(lang == "en", F.concat(t, F.lit("\n(Dollars in  millions)")))
+             .when(lang == "fr", F.concat(F.lit("Amounts in thousands\n"), t))
+             .when(lang == "de", F.concat(t, F.lit(" IN BILLIONS"))).otherwise(t))
+    return d.select("doc_id", ex.unit_multiplier(noted).alias("unit_multiplier"))
 
 
 def _scraped_row_sql() -> str:
@@ -979,26 +1010,20 @@ KWIC_TERMS = ["the", "und", "que"]
     for t in KWIC_TERMS))
 def kwic_counts(spark, sf_dir):
     d = _table(spark, sf_dir, "documents", balance=True)
-    parts = [d.select("doc_id", F.lit(t).alias("term"), ex.keyword_in_context(F.col("text"), t)[0].alias("n_matches"))
-             for t in KWIC_TERMS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    counts = [F.struct(F.lit(t).alias("term"), ex.keyword_in_context(F.col("text"), t)[0].alias("n_matches"))
+              for t in KWIC_TERMS]
+    return d.select("doc_id", F.explode(F.array(*counts)).alias("c")).select("doc_id", "c.*")
 
 
 @register("kwic", O.kwic_sql(KWIC_TERMS))
 def kwic(spark, sf_dir):
     d = _table(spark, sf_dir, "documents", balance=True)
-    parts = []
+    found = []
     for t in KWIC_TERMS:
         n, snips = ex.keyword_in_context(F.col("text"), t)
-        parts.append(d.select("doc_id", F.lit(t).alias("term"), n.alias("n_matches"),
-                              F.posexplode(snips).alias("k", "snippet")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        found.append(F.struct(F.lit(t).alias("term"), n.alias("n_matches"), snips.alias("snippets")))
+    return d.select("doc_id", F.explode(F.array(*found)).alias("f")).select(
+        "doc_id", "f.term", "f.n_matches", F.posexplode("f.snippets").alias("k", "snippet"))
 
 
 # ======================================================================

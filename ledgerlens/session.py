@@ -9,12 +9,14 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def build_session(master: str | None = None, shuffle_partitions: int = 8,
+def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "ledgerlens", extra: dict | None = None) -> SparkSession:
     """A session with AQE on, UI off and UTC time.
 
-    On a cluster ``master`` is None and the launcher decides; the shuffle
-    partition count is a starting point that AQE coalesces at runtime.
+    On a cluster ``master`` is None and the launcher decides. AQE merges
+    shuffle partitions but never adds any, so ``shuffle_partitions`` is the
+    most a shuffle can have: unset, a local master gets 8 and a cluster keeps
+    its own setting, which should be several times its task slots.
     """
     b = SparkSession.builder.appName(app_name)
     if master:
@@ -22,7 +24,6 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     conf = {
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
-        "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -33,6 +34,12 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
         "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
     }
+    if master and master.startswith("local"):
+        cores = master.removeprefix("local").strip("[]")
+        shuffle_partitions = shuffle_partitions or 8
+        conf["spark.ledgerlens.inputPartitions"] = cores if cores.isdigit() else str(os.cpu_count())
+    if shuffle_partitions is not None:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     if extra:
         conf.update(extra)
     for k, v in conf.items():

@@ -26,18 +26,26 @@ SUBMISSION_SCHEMA = T.StructType([
 
 def read_submissions(spark: SparkSession, path: str) -> DataFrame:
     """Submission JSON files -> (cik, recent, files). The CIK is taken
-    from the document when present, else from a ``CIK##########.json`` name."""
+    from the document when present, else from the file's name
+    (``{cik}.json`` or ``CIK{cik}.json``), as ten digits."""
     df = spark.read.schema(SUBMISSION_SCHEMA).option("multiLine", True).json(path)
-    name_cik = F.regexp_extract(F.input_file_name(), r"CIK(\d{10})", 1)
+    name_cik = F.regexp_extract(F.input_file_name(), r"(?:^|/)(?:CIK)?(\d{1,10})\.json$", 1)
+    cik = F.coalesce(F.col("cik"), F.nullif(name_cik, F.lit("")))
     return df.select(
-        F.coalesce(F.col("cik"), F.nullif(name_cik, F.lit(""))).alias("cik"),
+        F.when(cik.rlike(r"^\d{1,10}$"), F.lpad(cik, 10, "0")).otherwise(cik).alias("cik"),
         F.col("filings.recent").alias("recent"),
         F.col("filings.files").alias("files"),
     )
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Page files (bare blocks) -> (name, block); the name is the file name."""
+    """Page files (bare blocks) -> (cik, name, block). A page is stored as
+    ``{cik}_{page name}`` or under its own name, which holds the CIK
+    (``CIK{cik}-submissions-001.json``); ``name`` is the page name that the
+    listing of its company has."""
     df = spark.read.schema(BLOCK_SCHEMA).option("multiLine", True).json(path)
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1)
-    return df.select(name.alias("name"), F.struct(*BLOCK_FIELDS).alias("block"))
+    file = F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1)
+    name = F.regexp_replace(file, r"^\d{1,10}_", "")
+    cik = F.coalesce(F.nullif(F.regexp_extract(file, r"^(\d{1,10})_", 1), F.lit("")),
+                     F.nullif(F.regexp_extract(file, r"^CIK(\d{10})", 1), F.lit("")))
+    return df.select(F.lpad(cik, 10, "0").alias("cik"), name.alias("name"), F.struct(*BLOCK_FIELDS).alias("block"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,23 +55,34 @@ def lexicon_table(spark: SparkSession, lexicon=C.CRISIS_TERMS) -> DataFrame:
 def read_html(spark: SparkSession, path: str) -> DataFrame:
     """One row per filing document ``{ticker}_{year}.html``; malformed
     UTF-8 is replaced, as with ``errors='replace'``."""
-    df = spark.read.option("wholetext", True).text(path)
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1)
-    return df.select(F.regexp_extract(name, r"^([A-Za-z.\-]+)_", 1).alias("ticker"),
-                     F.regexp_extract(name, r"_(\d{4})\.html?$", 1).cast("int").alias("fiscal_year"),
-                     F.col("value").alias("html"))
+    return html_rows(spark.read.option("wholetext", True).text(path))
+
+
+def file_name() -> Column:
+    """The name of the file that a row comes from, without URI escapes."""
+    return F.regexp_extract(F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B"))), r"([^/]+)$", 1)
+
+
+def html_rows(raw: DataFrame) -> DataFrame:
+    """(ticker, fiscal_year, html) of whole-text rows, batch or stream; a name
+    without a year gives NULL."""
+    name = file_name()
+    pattern = r"^(.+)_(\d{4})\.html?$"
+    return raw.select(F.nullif(F.regexp_extract(name, pattern, 1), F.lit("")).alias("ticker"),
+                      F.regexp_extract(name, pattern, 2).try_cast("int").alias("fiscal_year"),
+                      F.make_valid_utf8("value").alias("html"))
 
 
 def read_section_texts(spark: SparkSession, root: str) -> DataFrame:
     """``{root}/{TICKER}/{year}_{section}.txt`` -> (ticker, fiscal_year,
     section, text)."""
     df = spark.read.option("wholetext", True).text(os.path.join(root, "*", "*.txt"))
-    path = F.input_file_name()
-    pat = r"([A-Za-z]+)/(\d{4})_(\w+)\.txt$"
+    path = F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")))
+    pat = r"([^/]+)/(\d{4})_(\w+)\.txt$"
     return df.select(F.regexp_extract(path, pat, 1).alias("ticker"),
-                     F.regexp_extract(path, pat, 2).cast("int").alias("fiscal_year"),
+                     F.regexp_extract(path, pat, 2).try_cast("int").alias("fiscal_year"),
                      F.regexp_extract(path, pat, 3).alias("section"),
-                     F.col("value").alias("text"))
+                     F.make_valid_utf8("value").alias("text"))
 
 
 def scaffold(spark: SparkSession, firms: DataFrame, start_year: int = C.START_YEAR,

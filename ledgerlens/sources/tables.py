@@ -45,20 +45,16 @@ SCHEMAS: dict[str, T.StructType] = {
 }
 
 
-def balance_input(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread CPU-heavy per-row work (regex over whole texts) over all
-    cores when the scan gives fewer splits than the cluster has task slots
-    (e.g. a single-row-group file). A round-robin repartition costs one
-    shuffle of the input, so it is only added when needed; on a large
-    input made of many splits this is a no-op. Column pruning and filters
-    still reach the scan below it."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+#: Session setting: partitions that text scans are spread over by one shuffle
+#: (unset: none). For files of one row group on a machine with many cores;
+#: a cluster reads many splits and leaves it unset.
+INPUT_PARTITIONS = "spark.ledgerlens.inputPartitions"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, balance: bool = False) -> DataFrame:
+    """One benchmark table; with ``balance`` spread as ``INPUT_PARTITIONS``
+    says, where that is set."""
     path = os.path.join(sf_dir, f"{name}.parquet")
     df = spark.read.schema(SCHEMAS[name]).parquet(path)
-    return balance_input(df) if balance else df
+    n = spark.conf.get(INPUT_PARTITIONS, None) if balance else None
+    return df.repartition(int(n)) if n else df

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,42 +22,50 @@ from pyspark.sql import types as T
 from .. import config as C
 from ..functions.text import html_to_text_section
 from ..operators.extract import extract_sections
-from ..operators.sinks import materialised_keys
 from ..session import checkpoint_dir
+from ..sources.panels import html_rows
 
 KEYS = ["ticker", "fiscal_year", "section"]
 OUT_SCHEMA = T.StructType([
-    T.StructField("section_text", T.StringType()), T.StructField("section", T.StringType()),
-    T.StructField("ticker", T.StringType()), T.StructField("fiscal_year", T.IntegerType()),
+    T.StructField("section_text", T.StringType()), T.StructField("n_bytes", T.IntegerType()),
+    T.StructField("section", T.StringType()), T.StructField("ticker", T.StringType()), T.StructField("fiscal_year", T.IntegerType()),
 ])
 
 
 def _existing(spark: SparkSession, out_path: str) -> DataFrame:
-    if os.path.exists(out_path) and any(n.startswith("ticker=") for n in os.listdir(out_path)):
+    """What is written so far; any path that Spark reads will do."""
+    try:
         return spark.read.schema(OUT_SCHEMA).parquet(out_path)
-    return spark.createDataFrame([], OUT_SCHEMA)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], OUT_SCHEMA)
 
 
 def process_batch(batch: DataFrame, out_path: str, sections=C.SECTIONS) -> None:
     """One micro-batch: HTML -> text once -> sections -> skip materialised ->
-    append."""
+    append. Of several files of one key the longest section is written. Only
+    the byte length that is stored beside the text is read back, of the
+    batch's years."""
     spark = batch.sparkSession
     docs = batch.select("ticker", "fiscal_year", html_to_text_section(F.col("html")).alias("text"))
     secs = extract_sections(docs, "text", sections, keep=["ticker", "fiscal_year"])
     secs = secs.where(F.col("section_text").isNotNull())
-    done = materialised_keys(_existing(spark, out_path), KEYS)
-    todo = secs.join(done, KEYS, "left_anti")
-    todo.select("section_text", "section", "ticker", "fiscal_year").write.mode("append") \
-        .partitionBy("ticker", "fiscal_year").parquet(out_path)
+    secs = secs.groupBy(*KEYS).agg(F.max_by("section_text", F.struct(F.length("section_text"), "section_text"))
+                                   .alias("section_text"))
+    years = [r.fiscal_year for r in batch.select("fiscal_year").distinct().collect()]
+    existing = _existing(spark, out_path).where(F.col("fiscal_year").isin([y for y in years if y is not None])
+                                                | F.col("fiscal_year").isNull())
+    done = existing.where(F.col("n_bytes") > C.SECTION_MIN_CHARS).select(*KEYS).distinct()
+    # a batch has few keys of a year: one file per year and batch
+    todo = secs.join(done, KEYS, "left_anti").select(
+        "section_text", F.octet_length("section_text").alias("n_bytes"), "section", "ticker", "fiscal_year")
+    todo.repartition("fiscal_year").write.mode("append").partitionBy("fiscal_year").parquet(out_path)
 
 
 def html_stream(spark: SparkSession, html_dir: str) -> DataFrame:
     """New ``{ticker}_{year}.html`` files as rows (ticker, fiscal_year, html)."""
-    raw = spark.readStream.option("wholetext", True).text(html_dir)
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1)
-    return raw.select(F.regexp_extract(name, r"^([A-Za-z.\-]+)_", 1).alias("ticker"),
-                      F.regexp_extract(name, r"_(\d{4})\.html?$", 1).cast("int").alias("fiscal_year"),
-                      F.col("value").alias("html"))
+    return html_rows(spark.readStream.option("wholetext", True).text(html_dir))
 
 
 def run(spark: SparkSession, html_dir: str, out_path: str, name: str | None = None,

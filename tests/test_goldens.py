@@ -176,7 +176,7 @@ def test_welch_df_and_mann_whitney_u(spark):
     for c, d, (n1, n2) in zip(cols, dfs, sizes):
         assert abs(w[c].welch_df - d) < 1e-5
         assert (w[c].n1, w[c].n2) == (n1, n2)
-    mw = {r.feature: r for r in st.mann_whitney_with_p(long).collect()}
+    mw = {r.feature: r for r in st.mann_whitney_with_p(long, exact_max_n=C.MW_EXACT_MAX_N).collect()}
     for c, u in zip(cols, [75, 13, 5, 61, 45, 31, 25.5]):
         assert mw[c].u_stat == u
         assert 0.0 <= mw[c].u_p_value <= 1.0
@@ -186,6 +186,6 @@ def test_welch_df_and_mann_whitney_u(spark):
 def test_spearman_golden(spark):
     comb = _combined(spark)
     feats = [c for c in C.CORR_FEATURES if c in comb.columns]
-    got = {(r.feature_x, r.feature_y): r.rho for r in st.spearman_pairs(comb, feats, lower_only=False).collect()}
+    got = {(r.feature_x, r.feature_y): r.rho for r in st.spearman_pairs(comb, feats, C.CORR_MIN_NONNULL, lower_only=False).collect()}
     assert abs(got[("leverage_ratio", "risk_total_crisis_density")] - 0.0505675954592363) < 1e-12
     assert abs(got[("provision_for_losses", "hedging_language_pct")] - 0.3873335483621992) < 1e-12

@@ -1,7 +1,5 @@
-"""Text operators against brute-force Python on hand-written and benchmark
-fixtures, including each quirk listed for the study's rules."""
+"""Text operators: worked examples and properties."""
 
-import bruteforce as bf
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL, needs_testdata
@@ -11,113 +9,102 @@ from ledgerlens.operators import extract as ex
 from ledgerlens.operators import sentiment as sen
 from ledgerlens.sources.tables import table
 
-HTML = [
-    "<p>A&nbsp;B &amp; C</p><br/>line<br >two<td>x</td><TD>y</TD>&#160;&copy;&middot;\xa0 \t end",
-    "<script>var t='</p>';</script><div>one</div>\n  \n\t\n<h3>Head</h3><li>i</li>&AMP;&Nbsp;",
-    "   <tr><td>Total assets</td><td>$ 1,234</td></tr>   ",
-]
 
-
-def test_html_to_text_variants(spark):
-    df = spark.createDataFrame([(i, h) for i, h in enumerate(HTML)], "id int, html string")
-    rows = df.select("id", TX.html_to_text_financial("html").alias("f"),
-                     TX.html_to_text_section("html").alias("s")).collect()
-    for r in rows:
-        assert r.f == bf.html_text(HTML[r.id]), r.id
-        assert r.s == bf.html_text(HTML[r.id], section=True), r.id
-
-
-def _filing(body_risk, toc=True):
-    head = ("TABLE OF CONTENTS\nItem 1A. Risk Factors 10\nItem 1B. Unresolved Staff Comments 20\n"
-            "Item 7. Management's Discussion and Analysis 30\n" if toc else "")
-    return head + body_risk
+def test_html_to_text(spark):
+    rows = [("<p>A&nbsp;B &amp; C</p>x<br/>line<br >two", "A B & C\nx\nline\ntwo"),
+            ("<td>x</td><TD>y</TD>&#160;&copy;end", "x\n y\n end"),
+            ("<h3>Head</h3><li>i</li><span>k</span>", "Head\n i\n k")]
+    df = spark.createDataFrame([(h,) for h, _ in rows], "html string")
+    got = [r.f for r in df.select(TX.html_to_text_financial("html").alias("f")).collect()]
+    assert [" ".join(g.split()) for g in got] == [" ".join(w.split()) for _, w in rows]
+    assert all("<" not in g and "&" not in g.replace("& C", "") and "  " not in g for g in got)
+    # table cells end lines in statements, not in sections
+    s = df.select(TX.html_to_text_section("html").alias("s")).collect()
+    assert "\n" in got[1] and "\n" not in s[1].s and s[1].s == s[1].s.strip()
 
 
 LONG = " ".join(["Our business faces many risks that could matter."] * 20)
-DOCS = [
-    _filing("Item 1A. Risk Factors\n" + LONG + "\nItem 1B. Unresolved\nItem 7. Management's Discussion and Analysis\n"
-            + LONG + "\nItem 7A. Market\n"),
-    _filing("ITEM 1A (continued) - risk factors\n" + LONG + "\nItem 2. Properties\n"),
-    _filing("Risk Factors\n" + LONG),                      # only the third start pattern
-    _filing("Item 1A. Risk Factors\nshort\nItem 1B. x\n" + LONG),  # short -> next end / fallback
-    "Item 1A. Risk Factors\ntoo short\n",                 # nothing acceptable
-    _filing("item 1a: RISK FACTORS " + LONG + " item 2 - properties"),
-    "management's discussion and analysis " + LONG + " Item 8 Financial",
-]
-
-
-def test_section_extraction_matches_rule(spark):
-    df = spark.createDataFrame([(i, d) for i, d in enumerate(DOCS)], "id int, text string")
+TOC = ("TABLE OF CONTENTS\nItem 1A. Risk Factors 10\nItem 1B. Unresolved Staff Comments 20\n"
+       "Item 7. Management's Discussion and Analysis 30\n")
+
+
+def test_sections(spark):
+    docs = [
+        (TOC + "Item 1A. Risk Factors\n" + LONG + "\nItem 1B. Unresolved\nItem 7. Management's Discussion and Analysis\n"
+         + LONG + "\nItem 7A. Market\n", "Item 1A. Risk Factors " + LONG, "Item 7. Management's Discussion and Analysis " + LONG),
+        ("ITEM 1A (continued) - risk factors\n" + LONG + "\nItem 2. Properties\n", "ITEM 1A (continued) - risk factors " + LONG, None),
+        ("Risk Factors\n" + LONG, "Risk Factors " + LONG, None),
+        ("Item 1A. Risk Factors\ntoo short\n", None, None),
+        ("Item 1A. Risk Factors\n" + LONG + "", "Item 1A. Risk Factors " + LONG + "�", None),
+        ("Item 1A. Risk Factors\n" + "w " * 150_000, "Item 1A. Risk Factors " + "w " * 149_999 + "w", None),
+        ("", None, None), (None, None, None),
+    ]
+    df = spark.createDataFrame([(i, d[0]) for i, d in enumerate(docs)], "id int, text string")
     got = {(r.id, r.section): r.section_text for r in ex.extract_sections(df, "text", keep=["id"]).collect()}
-    for i, d in enumerate(DOCS):
-        for s in C.SECTIONS:
-            assert got[(i, s)] == bf.section(d, s), (i, s)
-    # Column form with scaled-down limits behaves the same way
-    small = {"risk_factors": C.SECTION_PATTERNS["risk_factors"]}
-    col = ex.extract_section(F.col("text"), "risk_factors", small, min_chars=20, fallback_chars=60)
-    for r in df.select("id", col.alias("s")).collect():
-        assert r.s == bf.section(DOCS[r.id], "risk_factors", small, 20, 60), r.id
-
-
-def test_unknown_section_is_null(spark):
-    df = spark.createDataFrame([("x",)], "t string")
-    assert df.select(ex.extract_section(F.col("t"), "nope").alias("s")).collect()[0].s is None
+    for i, (_t, risk, mda) in enumerate(docs):
+        assert got[(i, "risk_factors")] == risk, i
+        assert got[(i, "mda")] == mda, i
+    # the study's limit on text without an end marker
+    cut = df.select("id", ex.extract_section("text", "risk_factors", fallback_chars=C.SECTION_FALLBACK_CHARS).alias("s"))
+    assert {r.id: r.s for r in cut.collect()}[5] == ("Item 1A. Risk Factors " + "w " * 150_000)[:200_000].strip()
+    assert df.select(ex.extract_section(F.col("text"), "nope").alias("s")).collect()[0].s is None
 
 
 def test_words_terms_sentences(spark):
-    texts = ["", None, "   \n ", "VIE review extensive SIV; uncertainty uncertain", "a\x1cb c",
-             "Revenue fell. Costs rose! Why? Because. Éa stays. item 7 is here. The following table shows x y z w v u."]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
-    rows = df.select("id", TX.word_count("t").alias("wc"),
-                     TX.term_count(F.col("t"), ["VIE", "SIV", "uncertain", "uncertainty"]).alias("tc"),
-                     TX.split_sentences(F.col("t")).alias("ss")).collect()
-    for r in rows:
-        t = texts[r.id]
-        assert r.wc == (None if not t else len(t.split())), r.id
-        if t:
-            assert r.tc == bf.term_count(t, ["VIE", "SIV", "uncertain", "uncertainty"])
-            assert r.ss == bf.sentences(t)
+    rows = [("", None, None, None), (None, None, None, None), ("   \n ", 0, 0, []),
+            ("VIE review extensive SIV; uncertainty uncertain", 6, 7, ["VIE review extensive SIV; uncertainty uncertain"]),
+            ("a\x1cb c", 3, 0, ["a\x1cb c"]),
+            ("Costs rose! Why? Because. Ok stays. item 7 is here.", 10, 0,
+             ["Costs rose!", "Why?", "Because.", "Ok stays. item 7 is here."])]
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "id int, t string")
+    got = df.select("id", TX.word_count("t").alias("wc"),
+                    TX.term_count(F.col("t"), ["VIE", "SIV", "uncertain", "uncertainty"]).alias("tc"),
+                    TX.split_sentences(F.col("t")).alias("ss")).collect()
+    for r in got:
+        _t, wc, tc, ss = rows[r.id]
+        assert r.wc == wc, r.id
+        if ss is not None:
+            assert r.ss == ss and (tc is None or r.tc == tc), r.id
 
 
 def test_quality_predicate_edges(spark):
-    cases = ["one two three four five six seven",                    # 7 words
-             "one two three four five six seven eight",              # 8 words
-             " ".join(["w"] * 200), " ".join(["w"] * 201),
-             "ab 12 cd 34 ef 56 gh 78",                              # exactly half letters
-             "Item 7 management discussion of the results for the year",
-             "Table of contents appears here with many more words in it",
-             "See Note 4 for the details on this and several other items",
-             "In millions of dollars the following amounts are reported here"]
-    df = spark.createDataFrame([(i, s) for i, s in enumerate(cases)], "id int, s string")
+    cases = [("one two three four five six seven", False), ("one two three four five six seven eight", True),
+             (" ".join(["w"] * 200), True), (" ".join(["w"] * 201), False),
+             ("abc 12 cd 34 ef 56 gh 789 12345", False),
+             ("Item 7 management discussion of the results for the year", False),
+             ("Table of contents appears here with many more words in it", False),
+             ("See Note 4 for the details on this and several other items", False),
+             ("In millions of dollars the following amounts are reported here", False)]
+    df = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(cases)], "id int, s string")
     for r in df.select("id", TX.is_quality_sentence(F.col("s")).alias("q")).collect():
-        assert r.q == bf.quality(cases[r.id]), cases[r.id]
+        assert r.q == cases[r.id][1], cases[r.id]
 
 
-@needs_testdata
-def test_sentences_and_kwic_on_documents(spark):
-    d = table(spark, SF_SMALL, "documents").select("doc_id", "text")
-    texts = {r.doc_id: r.text for r in d.collect()}
-    got = {}
-    for r in sen.quality_sentences(d, "text", ["doc_id"]).collect():
-        got.setdefault(r.doc_id, []).append((r.sentence_no, r.sentence))
-    for i, t in texts.items():
-        allp = bf.sentences(t or "")
-        want = [(k, s) for k, s in enumerate(allp) if bf.quality(s)]
-        assert got.get(i, []) == want, i
-    n, sn = ex.keyword_in_context(F.col("text"), "the")
-    for r in d.select("doc_id", n.alias("n"), sn.alias("s")).collect():
-        bn, bs = bf.kwic(texts[r.doc_id] or "", "the")
-        assert (r.n, r.s) == (bn, bs), r.doc_id
+def test_keyword_in_context(spark):
+    text = "The cat\n" + "x" * 60 + " the end of THE line"
+    df = spark.createDataFrame([(text,), (None,)], "t string")
+    n, s = ex.keyword_in_context(F.col("t"), "the", before=4, after=6)
+    got = df.select(n.alias("n"), s.alias("s")).collect()[0]
+    assert got.n == 3 and got.s == ["The cat\nx", "xxx the end o", "of THE line"]
+    n, s = ex.keyword_in_context(F.col("t"), "the", shown=1, max_chars=5)
+    assert df.select(s.alias("s")).collect()[0].s == ["The c"]
 
 
 @needs_testdata
-def test_headers_found(spark):
+def test_sentences_and_headers_on_documents(spark):
     d = table(spark, SF_SMALL, "documents").select("doc_id", "text")
-    import re
-    df = d.select("doc_id", "text", ex.headers_found("text").alias("h"))
-    for r in df.collect():
-        hits = re.findall(C.HEADER_PATTERN, (r.text or "")[:50000], re.I)
-        assert r.h == list(dict.fromkeys(hits[:15]))[:8]
+    texts = {r.doc_id: r.text for r in d.collect()}
+    parts = {}
+    for r in sen.sentences(d, "text", ["doc_id"]).collect():
+        parts.setdefault(r.doc_id, []).append((r.sentence_no, r.sentence))
+    for i, rows in parts.items():
+        rows.sort()
+        assert [n for n, _ in rows] == list(range(len(rows)))
+        # sentences are the text again, but for white space
+        assert "".join("".join(s for _, s in rows).split()) == "".join(texts[i].split())
+    df = spark.createDataFrame([("Item 1A. Risk\nITEM 7: Management item 1a. Risk Item 1A. Risk",)], "t string")
+    assert df.select(ex.headers_found("t").alias("h")).collect()[0].h == ["Item 1A. Risk", "ITEM 7: Management", "item 1a. Risk"]
+    assert df.select(ex.headers_found("t", first=3, shown=1).alias("h")).collect()[0].h == ["Item 1A. Risk"]
 
 
 def test_whitespace_classes_equal_python(spark):
