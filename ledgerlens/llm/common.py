@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, scratch_path
-from .hashing import CASED, word_spans
+from .hashing import CASED, Slots, word_spans
 
 #: Bytes of text that one step of numpy work holds at a time (a single text
 #: may be longer; it is then a step of its own).
@@ -103,32 +103,30 @@ class SpanMemo:
     hashes, so that only words not seen before become strings. Bounded:
     beyond ``limit`` words it starts anew."""
 
-    def __init__(self, evaluate: Callable[[list[str]], np.ndarray], classes: np.ndarray, limit: int = 300_000):
+    def __init__(self, evaluate: Callable[[list[str]], np.ndarray], classes: np.ndarray, limit: int = 600_000):
         self.evaluate, self.classes, self.limit = evaluate, classes, limit
-        self.at: dict[int, int] = {}
+        self.slots = Slots()
         self.values: np.ndarray | None = None
 
     def look_up(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row of ``values`` per word, bounds); valid until the next call."""
         hashes, starts, size, bounds = word_spans(raw, offsets, self.classes, CASED)
         distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        if len(self.at) + len(keys) > self.limit:
-            self.at = {}
-        new = [i for i, k in enumerate(keys) if k not in self.at]
-        if new or self.values is None:
+        if len(self.slots) + len(distinct) > self.limit:
+            self.slots = Slots()
+        new = np.flatnonzero(self.slots.find(distinct) < 0)
+        if len(new) or self.values is None:
             data, where = raw.tobytes(), first[new]
             rows = self.evaluate([data[s:s + n].decode("utf-8", "replace")
                                   for s, n in zip(starts[where].tolist(), size[where].tolist())])
-            used, need = len(self.at), len(self.at) + len(new)
+            used, need = len(self.slots), len(self.slots) + len(new)
             if self.values is None or need > len(self.values):
                 grown = np.empty((max(need, 2 * used, 4096), *rows.shape[1:]), rows.dtype)
                 if used:
                     grown[:used] = self.values[:used]
                 self.values = grown
-            self.values[used:need] = rows
-            self.at.update(zip([keys[i] for i in new], range(used, need)))
-        return np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))[inverse], bounds
+            self.values[self.slots.add(distinct[new])] = rows
+        return self.slots.find(distinct)[inverse], bounds
 
 
 def per_doc(counts: list[int]) -> np.ndarray:

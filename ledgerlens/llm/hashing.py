@@ -94,3 +94,29 @@ def shingles(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray,
         keep[bounds[short]] = True
     made = np.where(count >= k, count - k + 1, np.minimum(count, 1))
     return mix(full[keep]), np.concatenate([[0], np.cumsum(made)])
+
+
+class Slots:
+    """Numbers of hashes, as a sorted array (a few bytes per hash)."""
+
+    def __init__(self):
+        self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 where it has none."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.numbers[at], -1)
+
+    def add(self, keys: np.ndarray) -> np.ndarray:
+        """The next numbers, given to new and distinct keys."""
+        numbers = np.arange(len(self.keys), len(self.keys) + len(keys))
+        merged = np.concatenate([self.keys, keys])
+        order = np.argsort(merged, kind="stable")
+        self.keys = merged[order]
+        self.numbers = np.concatenate([self.numbers, numbers])[order]
+        return numbers

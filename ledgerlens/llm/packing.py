@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_slices, utf8
-from .hashing import CASED, word_spans
+from .hashing import BYTE, CASED, Slots, word_spans
 
 TOKENS = 2048
 SEGMENTS = 64
@@ -36,63 +36,85 @@ LOSS_TOKENS = 2048
 END_ID = 1
 #: Rests a task holds at a time, and the share of tokens from which a
 #: sequence may be closed while more rests are to come.
-BUFFER, FILLED = 2048, 0.985
+BUFFER, FILLED = 1024, 0.985
 
 
 class Tokens:
     """Ids of words, computed once per distinct word of a task (bounded:
     beyond ``limit`` words it starts anew)."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 1_500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
+        # a special token parts the words of one call; words that hold such a
+        # string themselves are read one by one
+        special = [t for t in self.tokenizer.get_added_tokens_decoder().items() if t[1].special]
+        self.mark_id, self.mark = (special[0][0], special[0][1].content) if special else (None, None)
+        self.hints = [t[1].content[:2].encode() for t in special]
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[int, int] = {}
+        self.slots = Slots()
         self.start = np.zeros(4096, np.int64)
-        self.size = np.zeros(4096, np.int64)
+        self.size = np.zeros(4096, np.int32)
         self.ids = np.zeros(65536, np.uint32)
         self.used = 0
 
-    def learn(self, keys: list[int], words: list[str]) -> None:
-        made = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        size = np.fromiter(map(len, made), np.int64, len(made))
-        flat = np.fromiter((i for ids in made for i in ids), np.uint32, int(size.sum()))
-        n = len(self.at)
-        while n + len(keys) > len(self.start):
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, ids per word)."""
+        if self.mark is None or any(h in b" ".join(words) for h in self.hints):
+            made = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+            return np.array([i for ids in made for i in ids], np.uint32), np.array([len(ids) for ids in made], np.int64)
+        # a few thousand words a call, each followed by the mark
+        mark = self.mark.encode()
+        texts = [(mark.join(words[i:i + 4000]) + mark).decode() for i in range(0, len(words), 4000)]
+        flat = np.concatenate([np.array(e.ids, np.uint32)
+                               for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        ends = np.flatnonzero(flat == self.mark_id)
+        return flat[flat != self.mark_id], np.diff(np.concatenate([[-1], ends])) - 1
+
+    def learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        flat, size = self._encode(words)
+        at = self.slots.add(keys)
+        while len(self.slots) > len(self.start):
             self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.used:self.used + len(flat)] = flat
-        self.start[n:n + len(keys)] = self.used + np.cumsum(size) - size
-        self.size[n:n + len(keys)] = size
+        self.start[at] = self.used + np.cumsum(size) - size
+        self.size[at] = size
         self.used += len(flat)
-        self.at.update(zip(keys, range(n, n + len(keys))))
 
     def of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, bounds). White space parts the tokenizer's own
         words, so a text's ids are those of its runs between white space."""
         raw, offsets = utf8(column)
-        hashes, starts, size, bounds = word_spans(raw, offsets, table=CASED)
+        data = raw.tobytes()
+        # letters' case changes no id, unless it makes a special token
+        plain = self.lowers and not any(h in data for h in self.hints)
+        hashes, starts, size, bounds = word_spans(raw, offsets, table=BYTE if plain else CASED)
         distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        if len(self.at) + len(keys) > self.limit:
+        if len(self.slots) + len(distinct) > self.limit:
             self.clear()
-        new = [i for i, k in enumerate(keys) if k not in self.at]
-        if new:
-            data = raw.tobytes()
+        at = self.slots.find(distinct)
+        new = np.flatnonzero(at < 0)
+        if len(new):
             where = first[new]
-            words = [data[s:s + n].decode() for s, n in zip(starts[where].tolist(), size[where].tolist())]
-            self.learn([keys[i] for i in new], words)
-        at = np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))[inverse]
+            self.learn(distinct[new], [data[s:s + n] for s, n in zip(starts[where].tolist(), size[where].tolist())])
+            at = self.slots.find(distinct)
+        at = at[inverse]
         count = self.size[at]
-        total = np.concatenate([[0], np.cumsum(count)])
+        total = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
         pick = np.repeat(self.start[at] - total[:-1], count) + np.arange(total[-1])
         return self.ids[pick], total[bounds]
 
+    @property
+    def lowers(self) -> bool:
+        """Whether the tokenizer reads upper-case letters as lower-case."""
+        return self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("Aé") == "aé"
+
 
 def fill(demand: np.ndarray, room: np.ndarray) -> list[list[int]]:
     """Vector bin packing by dot product: item numbers of each bin.
