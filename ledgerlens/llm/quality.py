@@ -133,11 +133,11 @@ class Network:
     temperature: float
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        h = np.maximum((x - self.centre) / self.scale @ self.w1 + self.b1, 0)
-        return h @ self.w2 + self.b2
+        h = np.maximum((x.astype(float) - self.centre) / self.scale @ self.w1.astype(float) + self.b1, 0)
+        return h @ self.w2.astype(float) + self.b2
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        return sigmoid(self.logits(x).astype(float) / self.temperature)
+        return sigmoid(self.logits(x) / self.temperature)
 
 
 def train(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Network:
@@ -167,7 +167,7 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Network:
                 p[k] = (p[k] - rate * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.99 ** step)) + 1e-7)).astype(np.float32)
     net = Network(centre, scale, p[0], p[1], p[2], float(p[3][0]), 1.0)
     if held.any():
-        z, t = net.logits(x[held]).astype(float), y[held]
+        z, t = net.logits(x[held]), y[held]
         heats = np.geomspace(0.3, 8, 60)
         loss = [np.mean(np.logaddexp(0, z / k) - t * z / k) for k in heats]
         net.temperature = float(heats[int(np.argmin(loss))])

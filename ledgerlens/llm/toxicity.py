@@ -286,9 +286,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Mod
     n1 = sum(1 for r in rows if r.toxic == 1)
     n0 = len(rows) - n1
     empty = (Alphabet(""), np.zeros(1, np.float32), -1.0)
+    rate = (n1 + 0.5) / (len(rows) + 1.0) if rows else 0.25
+    constant = Model(*empty, np.array([0.0] * _design(np.zeros((1, FEATURES))).shape[1] + [np.log(rate / (1 - rate))]))
     if not n1 or not n0:
-        rate = (n1 + 0.5) / (len(rows) + 1.0) if rows else 0.25
-        return Model(*empty, np.array([0.0] * _design(np.zeros((1, FEATURES))).shape[1] + [np.log(rate / (1 - rate))]))
+        return constant
     known = F.broadcast(spark.createDataFrame([(r.doc_id, int(r.toxic == 1)) for r in rows],
                                               "doc_id bigint, toxic int"))
     sample = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
@@ -315,6 +316,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Mod
     shared = spark.sparkContext.broadcast(parts)
     pooled = sample.mapInArrow(_score_udf(shared, None),
                                "doc_id bigint, toxic int, " + ", ".join(f"p{i} double" for i in range(FEATURES))).collect()
+    if not pooled:
+        return constant
     x = _design(np.array([[r[f"p{i}"] for i in range(FEATURES)] for r in pooled]))
     y = np.array([r.toxic for r in pooled], float)
     return Model(*parts, logistic_fit(x, y))
