@@ -41,6 +41,13 @@ def dashboard_long(df: DataFrame, features: Sequence[str] = SERIES, firm: str =
     return long.withColumn("_nn", F.count("value").over(w)).where("_nn > 0").drop("_nn")
 
 
+def half_even(c: Column, digits: int) -> Column:
+    """Rounded with ties to even; a small negative value keeps its sign as
+    -0.0, as number formatting shows it."""
+    r = F.bround(c, digits)
+    return F.when((c < 0) & (r == 0), F.lit(-0.0)).otherwise(r)
+
+
 def comma_label(c: Column) -> Column:
     """1,234 (ties to even, as in all labels)."""
     return F.format_number(F.bround(c, 0), 0)
@@ -48,12 +55,12 @@ def comma_label(c: Column) -> Column:
 
 def billions_label(c: Column) -> Column:
     """$12B."""
-    return F.format_string("$%.0fB", F.bround(c / 1e9, 0))
+    return F.format_string("$%.0fB", half_even(c / 1e9, 0))
 
 
 def pct_label(c: Column) -> Column:
     """12.3%."""
-    return F.format_string("%.1f%%", F.bround(c, 1))
+    return F.format_string("%.1f%%", half_even(c, 1))
 
 
 def annotation_heights(df: DataFrame, features: Sequence[str], share: float = C.ANNOTATION_SHARE) -> DataFrame:

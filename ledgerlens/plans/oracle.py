@@ -154,17 +154,18 @@ gappy AS (
 
 VALIDATION_INPUT_CTE = """
 scraped AS (
-  SELECT * FROM distorted WHERE NOT (fiscal_year = 1995 AND status = 'survived')
+  SELECT * REPLACE (CASE WHEN fiscal_year = 1995 AND status = 'survived' THEN firm || ' (former)' ELSE firm END AS firm)
+  FROM distorted
 ),
 reference AS (
-  SELECT firm, ticker, status, fiscal_year,
+  SELECT CASE WHEN fiscal_year = 2001 THEN firm || ' (restated)' ELSE firm END AS firm, ticker, status, fiscal_year,
     total_assets * 1000000.0 AS total_assets, total_liabilities * 1000000.0 AS total_liabilities,
     stockholders_equity * 1000000.0 AS stockholders_equity,
     cash_and_equivalents * 1000000.0 AS cash_and_equivalents,
     short_term_borrowings * 1000000.0 AS short_term_borrowings,
     net_income * 1000000.0 AS net_income,
     provision_for_loan_losses * 1000000.0 AS provision_for_loan_losses
-  FROM ref_panel WHERE fiscal_year <> 2001
+  FROM ref_panel
 )"""
 
 
@@ -343,12 +344,13 @@ labelled AS (
     CAST(n_chars AS DOUBLE) AS n_chars,
     CAST({word_count_sql('text')} AS DOUBLE) AS words,
     CAST({term_count_sql('text', ['the'])} / NULLIF({word_count_sql('text')}, 0) AS DOUBLE) * 1000.0 AS article_density,
-    CAST(toxic AS DOUBLE) AS toxic
+    CAST(toxic AS DOUBLE) AS toxic,
+    CAST(length(regexp_replace(text, '[^#|*!&%$]', '', 'g')) AS DOUBLE) AS marks
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id
 ),
 long AS (
   SELECT status, feature, value FROM labelled
-  UNPIVOT (value FOR feature IN (n_chars, words, article_density, toxic))
+  UNPIVOT (value FOR feature IN (n_chars, words, article_density, toxic, marks))
 )"""
 
 STATEMENTS_CTE = """

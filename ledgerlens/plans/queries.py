@@ -593,7 +593,7 @@ def sentiment_pivot(spark, sf_dir):
 # ======================================================================
 from ..operators import stats as st  # noqa: E402
 
-_STAT_FEATURES = ["n_chars", "words", "article_density", "toxic"]
+_STAT_FEATURES = ["n_chars", "words", "article_density", "toxic", "marks"]
 
 
 def _long_labelled(spark, sf_dir):
@@ -767,7 +767,7 @@ def _spearman_sql() -> str:
     return f"""
 WITH rf AS ({RATIO_SQL}),
 base AS (SELECT * FROM rf WHERE NOT ({' AND '.join(f'{c} IS NULL' for c in _CORR)})),
-okf AS (SELECT feature FROM ({nn}) WHERE nn > 3),
+okf AS (SELECT feature FROM ({nn}) WHERE nn > 0),
 pairs AS (
 {unions}
 ),
@@ -894,12 +894,14 @@ def sentiment_series(spark, sf_dir):
 
 def _nations_nlp(spark, sf_dir):
     w = _nlp_wide_df(spark, sf_dir).drop("status", "ticker")
-    return w.withColumn("firm", F.concat(F.lit("NATION_"), F.substring("firm", 4, 10)))
+    # 12 years earlier, so that some firm-years match the panel and some do not
+    return w.withColumn("firm", F.concat(F.lit("NATION_"), F.substring("firm", 4, 10))).withColumn(
+        "fiscal_year", F.col("fiscal_year") - 12)
 
 
 @register("combine_outer", f"""
 WITH rf AS ({RATIO_SQL}),
-nlp AS (SELECT * EXCLUDE (firm, status, ticker), 'NATION_' || substring(firm, 4, 10) AS firm FROM ({NLP_WIDE_SQL}))
+nlp AS (SELECT * EXCLUDE (firm, status, ticker) REPLACE (fiscal_year - 12 AS fiscal_year), 'NATION_' || substring(firm, 4, 10) AS firm FROM ({NLP_WIDE_SQL}))
 SELECT firm, fiscal_year, rf.leverage_ratio, rf.net_income, nlp.risk_section_wc, nlp.risk_total_crisis_density,
   nlp.hedging_language_pct
 FROM rf FULL OUTER JOIN nlp USING (firm, fiscal_year)
@@ -1037,7 +1039,7 @@ _PRIO_VALUES = ", ".join(f"('{f}', '{t}', {i})" for f, tags in S.EVENT_FIELD_TAG
 
 @register("fact_tag_fallback", f"""
 WITH facts AS (
-  SELECT user_id AS cik, event_type AS tag, strftime(ts, '%Y-%m') AS "end", value AS val,
+  SELECT user_id AS cik, event_type AS tag, strftime(ts, '%Y-%m-%d') AS "end", value AS val,
     printf('%010d', event_id) AS accn, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS filed
   FROM events
 ),
@@ -1100,3 +1102,134 @@ def scraped_panel(spark, sf_dir):
     recent, listing, pages = S.filing_index(spark, sf_dir)
     html = S.statements(spark, sf_dir).select("accession", "html")
     return fl.filings_to_panel(recent, listing, pages, html, S.customer_firms(spark, sf_dir), *FILING_YEARS)
+
+
+# ======================================================================
+# A7 test table, labelled triangle, F4 level-3 share, G7 all statuses,
+# K3/J7 anti join, N1 model scorer, six series, page text
+# ======================================================================
+_TEST_LABELS = [("words", "Word Count"), ("marks", "Junk Marks"), ("n_chars", "Characters"), ("article_density", "Articles")]
+
+
+@register("test_table", f"""
+SELECT l.label AS "Feature", m.mean1 AS "Failed Mean", m.mean2 AS "Survived Mean", p.t_stat AS "t-stat",
+  p.p_value AS "p-value",
+  CASE WHEN sqrt((m.sd1 * m.sd1 + m.sd2 * m.sd2) / 2) > 0
+    THEN (m.mean1 - m.mean2) / sqrt((m.sd1 * m.sd1 + m.sd2 * m.sd2) / 2) ELSE 0.0 END AS "Cohen's d",
+  p.significant AS "Significant"
+FROM ({_p_values_sql()}) p JOIN ({_MOMENTS_SQL} SELECT * FROM m) m USING (feature)
+JOIN (VALUES {', '.join(f"('{f}', '{lab}')" for f, lab in _TEST_LABELS)}) l(feature, label) USING (feature)
+""")
+def test_table_q(spark, sf_dir):
+    return st.test_table(S.labelled_features(spark, sf_dir), _TEST_LABELS)
+
+
+_CORR_NAMES = {"leverage_ratio": "Leverage", "net_income": "Net Income", "cash_coverage": "Cash Coverage"}
+
+
+@register("spearman_labelled", f"""
+SELECT *, {', '.join(f"CASE {side} {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _CORR_NAMES.items())} ELSE {side} END AS label_{side[-1]}"
+                     for side in ('feature_x', 'feature_y'))}
+FROM ({_spearman_sql()})
+""")
+def spearman_labelled(spark, sf_dir):
+    return st.spearman_pairs(ratio_features(spark, sf_dir), _CORR, labels=_CORR_NAMES)
+
+
+@register("level3_share", _with(O.PANEL_CTE) + """
+SELECT firm, fiscal_year, cash_and_equivalents / 10 / NULLIF(total_assets, 0) * 100 AS level3_pct FROM panel
+""")
+def level3_share(spark, sf_dir):
+    p = S.panel(spark, sf_dir).withColumn("fair_value_level3_assets", F.col("cash_and_equivalents") / 10)
+    return feat.quantitative_features(p).select("firm", "fiscal_year", "level3_pct")
+
+
+@register("extraction_statuses", SECTIONS_BASE + """
+SELECT section, CASE WHEN doc_id % 5 = 0 THEN 'cached' WHEN doc_id % 7 = 0 THEN 'no_html'
+  WHEN section_text IS NULL OR doc_id % 3 = 0 THEN 'failed' ELSE 'ok' END AS status, count(*) AS n
+FROM secs GROUP BY ALL
+""")
+def extraction_statuses(spark, sf_dir):
+    f = S.doc_filings(spark, sf_dir).withColumn(
+        # every third filing has no item headers, every seventh no text
+        "filing", F.when(F.col("doc_id") % 7 == 0, F.lit(None)).when(F.col("doc_id") % 3 == 0, F.lit("no items"))
+        .otherwise(F.col("filing")))
+    s = ex.extract_sections(f.withColumn("has_text", F.col("filing").isNotNull()), "filing", keep=["doc_id", "has_text"])
+    s = s.withColumn("written", F.col("doc_id") % 5 == 0)
+    return ex.extraction_status(s, cached="written").groupBy("section", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("pending_sections", """
+SELECT doc_id, s.section FROM documents, (VALUES ('risk_factors'), ('mda')) s(section)
+WHERE NOT (s.section = 'mda' AND lang IN ('fr', 'en') AND octet_length(encode(text)) > 500)
+""")
+def pending_sections(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents")
+    work = d.select("doc_id", F.explode(F.array(F.lit("risk_factors"), F.lit("mda"))).alias("section"))
+    done = d.where(F.col("lang").isin("fr", "en")).select(
+        "doc_id", F.lit("mda").alias("section"), F.col("text").alias("section_text"))
+    return snk.pending_work(work, done, ["doc_id", "section"])
+
+
+def _length_model(texts):
+    """A fixed batch predictor: the share of a letter decides."""
+    out = []
+    for t in texts:
+        share = t.count("e") / max(1, len(t))
+        out.append(("positive" if share > 0.13 else "negative" if share < 0.1 else "neutral", share))
+    return out
+
+
+@register("model_scores", _SENT_BASE + f"""
+, q AS (SELECT *, (length(sentence) - length(replace(sentence, 'e', ''))) / length(sentence) AS share
+  FROM sentences WHERE {O.quality_sql('sentence')})
+SELECT doc_id, sentence_no, CASE WHEN share > 0.13 THEN 'positive' WHEN share < 0.1 THEN 'negative' ELSE 'neutral' END AS label,
+  share AS score FROM q
+""")
+def model_scores(spark, sf_dir):
+    q = sen.quality_sentences(_table(spark, sf_dir, "documents", balance=True).select("doc_id", "text"), "text", ["doc_id"])
+    return sen.score_sentences(q, sen.model_scorer(_length_model)).drop("text")
+
+
+_SIX = ["leverage_ratio", "cash_coverage", "net_income", "provision_for_losses", "risk_total_crisis_density", "risk_section_wc"]
+_SIX_BASE = f"""
+WITH rf AS ({RATIO_SQL}),
+nlp AS (SELECT * EXCLUDE (firm, status, ticker) REPLACE (fiscal_year - 12 AS fiscal_year), 'NATION_' || substring(firm, 4, 10) AS firm
+        FROM ({NLP_WIDE_SQL})),
+six AS (SELECT firm, fiscal_year, rf.status, leverage_ratio, cash_coverage, net_income, provision_for_losses,
+  risk_total_crisis_density, CAST(risk_section_wc AS DOUBLE) AS risk_section_wc
+  FROM rf FULL OUTER JOIN nlp USING (firm, fiscal_year)),
+s AS ({" UNION ALL ".join(f"SELECT firm, fiscal_year, status, '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM six" for f in _SIX)})
+"""
+
+
+def _six_df(spark, sf_dir):
+    q = ratio_features(spark, sf_dir).drop("ticker")
+    n = _nations_nlp(spark, sf_dir).select("firm", "fiscal_year", "risk_total_crisis_density", "risk_section_wc")
+    return feat.combine_outer(q, n, ["firm", "fiscal_year"])
+
+
+@register("six_series", _SIX_BASE + "SELECT * FROM s WHERE feature <> 'provision_for_losses' OR value IS NOT NULL")
+def six_series(spark, sf_dir):
+    return fr.series_long(_six_df(spark, sf_dir), _SIX)
+
+
+@register("six_dashboard", _SIX_BASE + """
+SELECT firm, fiscal_year, status, feature, value FROM (
+  SELECT *, count(value) OVER (PARTITION BY firm, feature) AS nn FROM s) WHERE nn > 0
+""")
+def six_dashboard(spark, sf_dir):
+    return fr.dashboard_long(_six_df(spark, sf_dir), _SIX)
+
+
+@register("page_metrics", f"""
+WITH t AS (SELECT page_id, {O.html_sql('html', TX.SECTION_BLOCK_TAGS, True)} AS text FROM pages)
+SELECT page_id, {O.word_count_sql('text')} AS words, CAST(length(text) AS INTEGER) AS n_chars,
+  {O.unit_multiplier_sql('text')} AS unit_multiplier,
+  CAST(len(regexp_extract_all(text, '(?i)the')) AS INTEGER) AS n_the FROM t
+""")
+def page_metrics(spark, sf_dir):
+    t = _table(spark, sf_dir, "pages", balance=True).select("page_id", TX.html_to_text_section("html").alias("text"))
+    return t.select("page_id", TX.word_count("text").alias("words"), F.length("text").alias("n_chars"),
+                    ex.unit_multiplier("text").alias("unit_multiplier"),
+                    ex.keyword_in_context("text", "the")[0].alias("n_the"))

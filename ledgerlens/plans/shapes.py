@@ -181,14 +181,16 @@ def gappy_panel(p: DataFrame) -> DataFrame:
 
 
 def scraped_for_validation(p: DataFrame) -> DataFrame:
-    """The scraped side: distorted panel without surviving firms' 1995 rows."""
-    d = distorted_panel(p)
-    return d.where(~((F.col("fiscal_year") == 1995) & (F.col("status") == "survived")))
+    """The scraped side: distorted panel; surviving firms' 1995 rows stand
+    under a former name, so that they match nothing."""
+    former = (F.col("fiscal_year") == 1995) & (F.col("status") == "survived")
+    return distorted_panel(p).withColumn("firm", F.when(former, F.concat("firm", F.lit(" (former)"))).otherwise(F.col("firm")))
 
 
 def reference_for_validation(r: DataFrame) -> DataFrame:
-    """The reference side (millions): no 2001 rows."""
-    return r.where(F.col("fiscal_year") != 2001)
+    """The reference side (millions): 2001 rows stand under another name."""
+    return r.withColumn("firm", F.when(F.col("fiscal_year") == 2001, F.concat("firm", F.lit(" (restated)")))
+                        .otherwise(F.col("firm")))
 
 
 # ---------------------------------------------------------------- filing index
@@ -312,6 +314,7 @@ def labelled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         words.cast("double").alias("words"),
         F.try_divide(term_count(F.col("text"), ["the"]), words).cast("double").alias("_d"),
         F.col("toxic").cast("double").alias("toxic"),
+        F.length(F.regexp_replace("text", "[^#|*!&%$]", "")).cast("double").alias("marks"),
     ).withColumn("article_density", F.col("_d") * 1000.0).drop("_d")
 
 
@@ -377,10 +380,10 @@ EVENT_FIELD_TAGS = {
 
 def event_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as facts: company = user, tag = event type, period end = the
-    event month, filed = event time; all annual 10-K facts."""
+    event day, filed = event time; all annual 10-K facts."""
     e = table(spark, sf_dir, "events")
     return e.select(F.col("user_id").alias("cik"), F.col("event_type").alias("tag"),
-                    F.date_format("ts", "yyyy-MM").alias("end"), F.col("value").alias("val"),
+                    F.date_format("ts", "yyyy-MM-dd").alias("end"), F.col("value").alias("val"),
                     F.format_string("%010d", F.col("event_id")).alias("accn"),
                     F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("filed"),
                     F.lit("10-K").alias("form"), F.lit("FY").alias("fp"))
