@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.llm import decontam, jaccard, packing, pii, toxicity
-from ledgerlens.llm.common import stage, table
+from ledgerlens.llm.common import small_batches, stage, table
 from ledgerlens.llm.queries import tokenizer_path
 
 
@@ -22,6 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component stays."""
+    small_batches(spark)
     return jaccard.keep_one_of_each(docs)
 
 
@@ -37,6 +38,7 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences."""
+    small_batches(spark)
     return packing.pack(docs, tokenizer_path())
 
 

@@ -14,10 +14,22 @@ from .hashing import CASED, Slots, word_spans
 
 #: Bytes of text that one step of numpy work holds at a time (a single text
 #: may be longer; it is then a step of its own).
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
+#: Rows per Arrow batch where the session has Spark's own default of 10,000,
+#: which is far too many for long texts.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's rows per Arrow batch from Spark's default; a value
+    that someone has chosen stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -67,7 +79,7 @@ class WordMemo:
     """Rows of numbers per distinct word, computed in batches for words not
     seen before. Bounded: beyond ``limit`` words it starts anew."""
 
-    def __init__(self, evaluate: Callable[[list[str]], np.ndarray], limit: int = 250_000):
+    def __init__(self, evaluate: Callable[[list[str]], np.ndarray], limit: int = 150_000):
         self.evaluate, self.limit = evaluate, limit
         self.clear()
 

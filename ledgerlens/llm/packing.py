@@ -43,7 +43,7 @@ class Tokens:
     """Ids of words, computed once per distinct word of a task (bounded:
     beyond ``limit`` words it starts anew)."""
 
-    def __init__(self, path: str, limit: int = 1_500_000):
+    def __init__(self, path: str, limit: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
