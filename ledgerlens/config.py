@@ -67,6 +67,24 @@ HEDGING_WORDS = [
     "subject to", "not guaranteed", "cannot predict",
 ]
 
+# ---------------------------------------------------------------------------
+# FIXED VALUES: HTML cleanup as (pattern, replacement, ignore case), in order;
+# BLOCK stands for the tags that end a line
+# ---------------------------------------------------------------------------
+FIN_BLOCK_TAGS = r"p|div|tr|li|h\d|td"
+SECTION_BLOCK_TAGS = r"p|div|tr|li|h\d"
+HTML_STEPS = [
+    (r"<br\s*/?>", "\n", True),
+    (r"</(BLOCK)>", "\n", True),
+    (r"<[^>]+>", " ", False),
+    (r"&nbsp;", " ", True),
+    (r"&amp;", "&", True),
+    (r"&[a-zA-Z]+;", " ", False),
+    (r"&#\d+;", " ", False),
+    ("\u00a0", " ", False),
+    (r"[ \t]+", " ", False),
+]
+
 # ---------------------------------------------------------------------------
 # FIXED VALUES: section boundary patterns (Python/Java regex syntax; order
 # is priority). Matching is case-insensitive.

@@ -83,24 +83,14 @@ def py_strip(col) -> Column:
 
 
 # ---------------------------------------------------------------- T1 / T2 / T3
-# HTML cleanup steps as (pattern, replacement, case-insensitive), in order.
-# The same list drives the Spark expression and the SQL oracle.
-FIN_BLOCK_TAGS = r"p|div|tr|li|h\d|td"
-SECTION_BLOCK_TAGS = r"p|div|tr|li|h\d"
+FIN_BLOCK_TAGS, SECTION_BLOCK_TAGS = C.FIN_BLOCK_TAGS, C.SECTION_BLOCK_TAGS
 
 
 def html_steps(block_tags: str, dialect: str = "java") -> list[tuple[str, str, bool]]:
-    return [
-        (py_regex(r"<br\s*/?>", dialect), "\n", True),
-        (py_regex(rf"</({block_tags})>", dialect), "\n", True),
-        (r"<[^>]+>", " ", False),
-        (r"&nbsp;", " ", True),
-        (r"&amp;", "&", True),
-        (r"&[a-zA-Z]+;", " ", False),
-        (py_regex(r"&#\d+;", dialect), " ", False),
-        ("\u00a0", " ", False),
-        (r"[ \t]+", " ", False),
-    ]
+    """The cleanup steps with their block tags, in a regex dialect (a step
+    without classes reads the same in all)."""
+    return [(py_regex(p, dialect) if "\\" in p and "[" not in p else p, r, ci)
+            for p, r, ci in ((p.replace("BLOCK", block_tags), r, ci) for p, r, ci in C.HTML_STEPS)]
 
 
 def _html_common(c: Column, block_tags: str) -> Column:

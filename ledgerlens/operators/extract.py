@@ -20,6 +20,7 @@ used more than once are bound once through a single-element lambda
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -169,6 +170,23 @@ def label_positions(text, label: str) -> Column:
         lambda acc: acc["found"])
 
 
+def folded(text) -> Column:
+    """The text in lower case, with the two letters that a case-blind match
+    takes for i and s."""
+    return F.translate(F.lower(_c(text)), "\u0131\u017f", "is")
+
+
+def may_hold(low: Column, label: str) -> Column:
+    """Whether the folded text holds the letters that the label pattern
+    starts with: a plain search, far cheaper than the pattern (a pattern of
+    alternatives has no such start)."""
+    word = re.match(r"[a-z]+(?![a-z?*{|])", label)
+    flat = re.sub(r"\\.|\[[^]]*\]", "", label)
+    while (inner := re.sub(r"\([^()]*\)", "", flat)) != flat:
+        flat = inner
+    return F.contains(low, F.lit(word.group())) if word and "|" not in flat else F.lit(True)
+
+
 def label_windows_only(text, label: str, window: int = C.NUMBER_WINDOW) -> Column:
     """Windows after each label match (one regex scan)."""
     return F.regexp_extract_all(_c(text), F.lit(_label_regex(label, window)), 2)
@@ -303,9 +321,11 @@ def scrape_filing(df: DataFrame, html: str = "html", keep: Sequence[str] | None
     from ..functions.text import html_to_text_financial
     keep = [c for c in (keep or df.columns) if c != html]
     t = html_to_text_financial(F.col(html)) if text_is_html else F.col(html)
-    x = df.select(*keep, t.alias("_text"))
+    x = df.select(*keep, t.alias("_text")).withColumn("_low", folded("_text"))
     idx = [(fi, k, p) for fi, (_f, pats) in enumerate(fields.items()) for k, p in enumerate(pats)]
-    win_cols = [label_windows_only(F.col("_text"), p).alias(f"_w{fi}_{k}") for fi, k, p in idx]
+    none = F.array().cast("array<string>")
+    win_cols = [F.when(may_hold(F.col("_low"), p), label_windows_only(F.col("_text"), p)).otherwise(none)
+                .alias(f"_w{fi}_{k}") for fi, k, p in idx]
     heads = [h.alias(f"_h{i}") for i, h in enumerate(unit_heads(F.col("_text")))]
     x = x.select(*keep, *heads, *win_cols)
     x = x.select(*keep, unit_multiplier_from_heads([F.col(f"_h{i}") for i in range(len(heads))])
