@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -75,11 +77,27 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+def released(run):
+    """``run`` over Arrow batches, giving freed memory back to the system at
+    its end: an idle Python worker stays beside the executor's JVM."""
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # not this C library
+                pass
+    return wrapped
+
+
 class WordMemo:
     """Rows of numbers per distinct word, computed in batches for words not
     seen before. Bounded: beyond ``limit`` words it starts anew."""
 
-    def __init__(self, evaluate: Callable[[list[str]], np.ndarray], limit: int = 150_000):
+    def __init__(self, evaluate: Callable[[list[str]], np.ndarray], limit: int = 100_000):
         self.evaluate, self.limit = evaluate, limit
         self.clear()
 
@@ -115,7 +133,7 @@ class SpanMemo:
     hashes, so that only words not seen before become strings. Bounded:
     beyond ``limit`` words it starts anew."""
 
-    def __init__(self, evaluate: Callable[[list[str]], np.ndarray], classes: np.ndarray, limit: int = 600_000):
+    def __init__(self, evaluate: Callable[[list[str]], np.ndarray], classes: np.ndarray, limit: int = 300_000):
         self.evaluate, self.classes, self.limit = evaluate, classes, limit
         self.slots = Slots()
         self.values: np.ndarray | None = None

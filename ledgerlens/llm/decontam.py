@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices, utf8
+from .common import released, text_slices, utf8
 from .hashing import ALNUM, TERM, mix, word_hashes
 
 MIN_MATCH = 5
@@ -196,7 +196,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, column: str = "_found_item
         words, bounds = _words(pa.array([r[1] for r in rows], pa.string()))
         shared = spark.sparkContext.broadcast(
             ([r[0] for r in rows], [words[a:b] for a, b in zip(bounds[:-1], bounds[1:])]))
-        out = out.mapInArrow(_find(shared, column), out.schema)
+        out = out.mapInArrow(released(_find(shared, column)), out.schema)
     return out
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stage, text_slices, utf8
+from .common import released, stage, text_slices, utf8
 from .components import components
 from .hashing import mix, shingles, word_hashes
 
@@ -76,7 +76,7 @@ def _add(pdf: pd.DataFrame) -> pd.DataFrame:
 def frequency_levels(docs: DataFrame) -> np.ndarray:
     """Logarithmic count of each hashed counter over the whole corpus
     (``COUNTERS`` bytes, whatever the corpus)."""
-    rows = (docs.select("text").mapInArrow(_count, "block int, counts binary")
+    rows = (docs.select("text").mapInArrow(released(_count), "block int, counts binary")
             .groupBy("block").applyInPandas(_add, "block int, levels binary").collect())
     levels = np.zeros(COUNTERS, np.uint8)
     for r in rows:
@@ -118,7 +118,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     shingle, the rare-first prefix and the sizes of the set's parts."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     shared = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs))
-    return stage(docs.mapInArrow(_signatures(shared), SIGNATURE), "signatures")
+    return stage(docs.mapInArrow(released(_signatures(shared)), SIGNATURE), "signatures")
 
 
 def _needed(n_a, n_b):
@@ -168,7 +168,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
         return _pick(batches, shared.value)
 
     return stage(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
-                 .mapInArrow(pick, "id bigint, items binary"), "sets")
+                 .mapInArrow(released(pick), "id bigint, items binary"), "sets")
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +194,7 @@ def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
     rows = stage(rows.select("a", "b"), "pairs")
     items = _sets_of(docs, rows.select("a").union(rows.select("b")).distinct())
     full = (rows.join(items.toDF("a", "x"), "a").join(items.toDF("b", "y"), "b").select("a", "b", "x", "y"))
-    return full.mapInArrow(_verify, "a bigint, b bigint").distinct()
+    return full.mapInArrow(released(_verify), "a bigint, b bigint").distinct()
 
 
 def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -18,6 +18,7 @@ the documents from files, not from a shuffle).
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices, utf8
+from .common import released, text_slices, utf8
 from .hashing import BYTE, CASED, Slots, word_spans
 
 TOKENS = 2048
@@ -43,7 +44,10 @@ class Tokens:
     """Ids of words, computed once per distinct word of a task (bounded:
     beyond ``limit`` words it starts anew)."""
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 400_000):
+        # one thread: tasks are the parallelism, and each thread would hold
+        # memory of its own
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -252,4 +256,4 @@ def pack(docs: DataFrame, tokenizer: str, tokens: int = TOKENS, segments: int =
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = (f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, "
               "offset bigint" + (", ids array<int>" if with_ids else ""))
-    return docs.select("doc_id", F.col("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.col("text")).mapInArrow(released(run), schema)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordMemo, fold, logistic_fit, per_doc, sigmoid, text_slices
+from .common import WordMemo, fold, logistic_fit, per_doc, released, sigmoid, text_slices
 
 #: Labelled documents that a fit reads (lowest hash of the id first).
 TRAIN_DOCS = 8192
@@ -314,7 +314,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Mod
     else:
         parts = fit_strings(positive, negative, mixed)
     shared = spark.sparkContext.broadcast(parts)
-    pooled = sample.mapInArrow(_score_udf(shared, None),
+    pooled = sample.mapInArrow(released(_score_udf(shared, None)),
                                "doc_id bigint, toxic int, " + ", ".join(f"p{i} double" for i in range(FEATURES))).collect()
     if not pooled:
         return constant
@@ -329,7 +329,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((model.alphabet, model.weights, model.bias))
     kept = [f for f in docs.schema.fields if f.name != "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return docs.mapInArrow(_score_udf(shared, model.calibration), f"{schema}, score double")
+    return docs.mapInArrow(released(_score_udf(shared, model.calibration)), f"{schema}, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
@@ -348,5 +348,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
     model = fit(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
     shared = docs.sparkSession.sparkContext.broadcast((model.alphabet, model.weights, model.bias))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    scored = docs.mapInArrow(_score_udf(shared, model.calibration, True), f"{schema}, _toxic_score double")
+    scored = docs.mapInArrow(released(_score_udf(shared, model.calibration, True)), f"{schema}, _toxic_score double")
     return scored.where(F.col("_toxic_score") < threshold).select(*docs.columns)
