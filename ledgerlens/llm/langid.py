@@ -16,13 +16,17 @@ to the next language, the length and the cross-entropy itself, and below
 ``REJECT`` the answer counts as rejected.
 
 Counts come from all training documents, gathered per distinct word in the
-tasks and added up by Spark.
+tasks and added up by Spark. Up to ``MODEL_RUNS`` of them become one array on
+the driver. More stay in Spark: discounts, continuation counts and context
+weights are aggregations there, and the model travels in blocks of at most
+``BLOCK_CELLS`` numbers, which a task goes through one after another. Both ways
+give the same model, of all runs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +34,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanMemo, fold, logistic_fit, sigmoid, text_slices, utf8
+from .common import SLICE_BYTES, SpanMemo, fold, logistic_fit, sigmoid, stage, text_slices, utf8
 from .hashing import CASED, LETTERS, word_spans
 
 ORDER = 5
 BITS = np.uint64(12)
 START, STOP = 1, 2
 SYMBOLS = 4096
-#: Runs kept in the models; beyond it the rarest runs of the highest order go.
+#: Runs up to which the models are one array; beyond it they are in blocks.
 MODEL_RUNS = 3_000_000
+#: Distinct runs times languages that a block holds at most, and text bytes
+#: that a task gathers before it goes through the blocks.
+BLOCK_CELLS, GATHER_BYTES = 4_000_000, 16 * SLICE_BYTES
+#: Spreads contexts over blocks.
+SPREAD = 1_000_003
 CALIBRATION_DOCS = 4096
 REJECT = 0.5
 
@@ -129,6 +138,9 @@ class Models:
     gain: np.ndarray
     rest: np.ndarray
     calibration: np.ndarray
+    #: Where one array would be too large: per order the broadcast (keys, gain,
+    #: rest) of its runs and their contexts, by context.
+    blocks: list[list] = field(default_factory=list)
 
 
 def _length(key: np.ndarray) -> np.ndarray:
@@ -181,6 +193,71 @@ def build(langs: list[str], events: dict[str, tuple[np.ndarray, np.ndarray]]) ->
     return Models(langs, keys, gain, rest, np.zeros(0))
 
 
+def _levels(events: DataFrame) -> Iterator[tuple[int, DataFrame]]:
+    """``kneser_ney`` of ``events(lang, run, count)`` of any size, by order from
+    the highest: (context, run, lang, gain, rest), with a row per run and one
+    per context."""
+    level = None
+    for n in range(ORDER, 0, -1):
+        at = int(BITS) * (n - 1)
+        own = events.where(F.col("run") >= 1 << at).where(F.col("run") < 1 << (at + int(BITS)))
+        if n < ORDER:
+            own = own.where(F.shiftright("run", at) == START)
+            tails = (level.groupBy("lang", F.col("run").bitwiseAND((1 << (at + int(BITS))) - 1).alias("run"))
+                     .agg(F.count(F.lit(1)).alias("count")))
+            own = own.unionByName(tails)
+        level = stage(own, "language-level")
+        n1, n2 = (F.sum(F.when(F.col("count") == i, 1).otherwise(0)) for i in (1, 2))
+        cuts = level.groupBy("lang").agg(n1.alias("n1"), n2.alias("n2")).select(
+            "lang", F.when(F.col("n1") > 0, F.least(F.lit(0.95), F.greatest(F.lit(0.1), F.col("n1") / (F.col("n1") + 2 * F.col("n2")))))
+            .otherwise(0.5).alias("cut"))
+        rows = level.join(F.broadcast(cuts), "lang").withColumn("context", F.shiftright("run", int(BITS)))
+        contexts = rows.groupBy("lang", "context").agg(
+            F.sum("count").alias("total"), F.sum(F.least(F.col("count").cast("double"), "cut")).alias("taken"))
+        gains = rows.join(contexts, ["lang", "context"]).select(
+            "context", "run", "lang", (F.greatest(F.col("count") - F.col("cut"), F.lit(0.0)) / F.col("total")).alias("gain"),
+            F.lit(1.0).alias("rest"))
+        yield n, gains.unionByName(contexts.select("context", F.col("context").alias("run"), "lang", F.lit(0.0).alias("gain"),
+                                                   (F.col("taken") / F.col("total")).alias("rest")))
+
+
+def build_blocks(langs: list[str], events: DataFrame) -> Models:
+    """``build`` of events that are too many for one array."""
+    spark = events.sparkSession
+    numbers = F.broadcast(spark.createDataFrame(list(enumerate(langs)), "number int, lang string"))
+    blocks: list[list] = [[] for _ in range(ORDER)]
+    for n, rows in _levels(events):
+        rows = stage(rows.join(numbers, "lang").drop("lang"), "language-model")
+        many = -(-rows.select("run").distinct().count() * len(langs) // BLOCK_CELLS)
+        rows = rows.withColumn("block", F.col("context") % SPREAD % max(1, many))
+        rows = stage(rows.repartition("block").sortWithinPartitions("block"), "language-blocks")
+        for b in range(many):
+            part = rows.where(F.col("block") == b).select("run", "number", "gain", "rest").toPandas()
+            keys, at = np.unique(part["run"].to_numpy().view(np.uint64), return_inverse=True)
+            gain = np.zeros((len(keys), len(langs)), np.float32)
+            rest = np.ones((len(keys), len(langs)), np.float32)
+            gain[at, part["number"]], rest[at, part["number"]] = part["gain"], part["rest"]
+            blocks[n - 1].append(spark.sparkContext.broadcast((keys, gain, rest)))
+    nothing = np.zeros((1, len(langs)), np.float32)
+    return Models(langs, np.zeros(1, np.uint64), nothing, nothing + np.float32(1), np.zeros(0), blocks)
+
+
+def _add_order(p: np.ndarray, at: np.ndarray, key: np.ndarray, keys: np.ndarray, gain: np.ndarray, rest: np.ndarray) -> None:
+    """Interpolate the probabilities at ``at`` with those of the runs ``key``."""
+    if not len(keys):
+        return
+
+    def row(key):
+        found = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return found, keys[found] == key
+
+    c, c_known = row(key >> BITS)
+    g, g_known = row(key)
+    add = np.where(g_known[:, None], gain[g], np.float32(0))
+    left = np.where(c_known[:, None], rest[c], np.float32(1))
+    p[at] = add + left * p[at]
+
+
 def word_costs(words: list[str], models: Models) -> np.ndarray:
     """Per word: minus log2 of its probability by language, and how many
     characters that covers (last column)."""
@@ -190,22 +267,16 @@ def word_costs(words: list[str], models: Models) -> np.ndarray:
         return out
     p = np.full((len(points), len(models.langs)), 1.0 / SYMBOLS, np.float32)
 
-    def row(key):
-        at = np.minimum(np.searchsorted(models.keys, key), len(models.keys) - 1)
-        return at, models.keys[at] == key
-
-    context = np.zeros(len(points), np.int64)
-    known = np.ones(len(points), bool)
     for n, at, key in runs(points, place):
-        if n > 1:
-            context_key = key >> BITS
-            c, c_known = row(context_key)
-        else:
-            c, c_known = context[at], known[at]
-        g, g_known = row(key)
-        add = np.where(g_known[:, None], models.gain[g], np.float32(0))
-        left = np.where(c_known[:, None], models.rest[c], np.float32(1))
-        p[at] = add + left * p[at]
+        if not models.blocks:
+            _add_order(p, at, key, models.keys, models.gain, models.rest)
+            continue
+        block = (key >> BITS) % np.uint64(SPREAD) % np.uint64(max(1, len(models.blocks[n - 1])))
+        for i, part in enumerate(models.blocks[n - 1]):
+            mine = np.flatnonzero(block == i)
+            if len(mine):
+                _add_order(p, at[mine], key[mine], *part.value)
+                part.__dict__.pop("_value", None)  # a worker holds one block at a time
     cost = -np.log2(np.maximum(p, 1e-12))
     cost[place == 0] = 0
     size = np.flatnonzero(place == 0)
@@ -216,11 +287,23 @@ def word_costs(words: list[str], models: Models) -> np.ndarray:
     return out
 
 
-def _measure(shared, calibrated: bool):
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches joined to about ``GATHER_BYTES``."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.nbytes for x in held) >= GATHER_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _measure(shared, calibrated: bool, blocks: list[list]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
+        models = replace(shared.value, blocks=blocks)
         memo = SpanMemo(lambda words: word_costs(words, models), LETTERS)
-        for b in text_slices(batches, "text"):
+        for b in text_slices(_gathered(batches), "text", GATHER_BYTES) if blocks else text_slices(batches, "text"):
             raw, offsets = utf8(pc.utf8_lower(b.column(b.schema.get_field_index("text")).fill_null("")))
             at, bounds = memo.look_up(raw, offsets)
             n = b.num_rows
@@ -259,22 +342,23 @@ def fit(docs: DataFrame) -> Models | None:
     known = docs.where(F.col("lang").isNotNull()).select("doc_id", F.col("text"), "lang")
     counts = (known.select("text", "lang").mapInArrow(_count, "lang string, run bigint, count bigint")
               .groupBy("lang", "run").agg(F.sum("count").alias("count")))
-    counts = counts.toPandas()
-    if not len(counts):
+    counts = stage(counts, "language-runs")
+    langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
+    if not langs:
         return None
-    if len(counts) > MODEL_RUNS:
-        counts = counts.nlargest(MODEL_RUNS, "count")
-    langs = sorted(counts["lang"].unique())
-    events = {x: (g["run"].to_numpy().view(np.uint64), g["count"].to_numpy()) for x, g in counts.groupby("lang")}
-    models = build(langs, events)
-    shared = spark.sparkContext.broadcast(models)
+    if counts.count() <= MODEL_RUNS:
+        rows = counts.toPandas()
+        models = build(langs, {x: (g["run"].to_numpy().view(np.uint64), g["count"].to_numpy()) for x, g in rows.groupby("lang")})
+    else:
+        models = build_blocks(langs, counts)
+    shared = spark.sparkContext.broadcast(replace(models, blocks=[]))
     ids = [r.doc_id for r in known.select("doc_id").where("doc_id is not null").distinct()
            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_DOCS).collect()]
     models.calibration = np.array([8.0, 1.0, 0.2, -0.05, -0.5])
     if ids:
         some = F.broadcast(spark.createDataFrame([(i,) for i in ids], known.select("doc_id").schema))
         rows = (known.join(some, "doc_id").mapInArrow(
-            _measure(shared, False), f"doc_id {known.schema['doc_id'].dataType.simpleString()}, lang string, pick int, "
+            _measure(shared, False, models.blocks), f"doc_id {known.schema['doc_id'].dataType.simpleString()}, lang string, pick int, "
             "x0 double, x1 double, x2 double, chars double").where("chars > 0").toPandas())
         if len(rows):
             right = (np.array(langs, object)[rows["pick"].to_numpy()] == rows["lang"].to_numpy()).astype(float)
@@ -293,8 +377,8 @@ def identify(docs: DataFrame, models: Models | None) -> DataFrame:
     if models is None:
         return docs.select(*(f.name for f in kept), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-    return docs.mapInArrow(_measure(shared, True), f"{schema}, lang_pred string, score double")
+    shared = docs.sparkSession.sparkContext.broadcast(replace(models, blocks=[]))
+    return docs.mapInArrow(_measure(shared, True, models.blocks), f"{schema}, lang_pred string, score double")
 
 
 def predict(docs: DataFrame, folds: int = 4, out: int = 2) -> DataFrame:
