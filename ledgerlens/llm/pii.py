@@ -4,13 +4,15 @@ Base spans are e-mail addresses, IP addresses, payment cards and phone
 numbers by pattern. They are the protected entities. Terms (words of letters)
 that stand near an entity are weighed by corpus co-occurrence: with c the
 number of distinct contexts in which the term stands near this entity value,
-n the number of its occurrences in the whole corpus, the chance that the term
-gives the entity away is at least c / n, and its disclosure is
+n the number of its occurrences in the whole corpus, where copies of a text
+with entities and copies of one of these contexts count once, the chance that
+the term gives the entity away is at least c / n, and its disclosure is
 log2(c N / (n m)) bits, N being all words of the corpus and m the words near
 the entity. A term with at least ``SUPPORT`` contexts, ``BITS`` bits and a
 chance of ``GENERALISE`` is generalised to ``[TERM]`` wherever it stands, from
 a chance of ``REMOVE`` on it is removed. Copies of one context count once
-as evidence, so a passage copied a thousand times reveals no more than one.
+as evidence, so a passage copied a thousand times reveals no more than one,
+and no less.
 
 The patterns are written so that Java's matcher neither recurses per
 character nor rescans a run of characters from each of its positions; they
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import stage
 
@@ -125,16 +128,37 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """(term, chance, bits) of the terms over the thresholds.
 
     ``spans``: one row per document with ``text`` and ``_base``."""
-    near = spans.select("text", F.explode("_base").alias("s")).select(
-        F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity"),
+    key = F.sha2("text", 256).alias("key")
+    told = stage(spans.groupBy(key).agg(F.first("text").alias("text"), F.first("_base").alias("_base"),
+                                        F.count(F.lit(1)).alias("times")), "told")
+    near = told.select("key", "text", F.explode("_base").alias("s")).select(
+        "key", F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity"), "s.start", "s.end",
         F.expr(f"substring(text, greatest(1, s.start + 1 - {CONTEXT}), least({CONTEXT}, s.start))").alias("before"),
-        F.expr(f"substring(text, s.end + 1, {CONTEXT})").alias("after"))
-    contexts = near.groupBy("entity", "before", "after").agg(F.count(F.lit(1)).alias("copies"))
+        F.expr(f"substring(text, s.end + 1, {CONTEXT})").alias("after"),
+        F.expr(f"s.start > {CONTEXT}").alias("cut_before"), F.expr(f"length(text) > s.end + {CONTEXT}").alias("cut_after"))
+    # where contexts of one value overlap in a text, each place belongs to one
+    place = Window.partitionBy("key", "entity").orderBy("start", "end")
+    past = F.coalesce(F.lag("end").over(place) + CONTEXT, F.lit(0))
+    near = (near.withColumn("own_before", F.greatest(F.lit(0), F.least(F.length("before"), F.col("start") - past)))
+            .withColumn("own_after", F.least(F.length("after"), F.greatest(
+                F.lit(0), F.coalesce(F.lead("start").over(place) - F.col("end"), F.length("after"))))))
+    contexts = near.groupBy("entity", "before", "after").agg(
+        F.count(F.lit(1)).alias("copies"), *(F.min(c).alias(c) for c in ("cut_before", "cut_after", "own_before", "own_after")))
     # words that the context's outer edge may have cut are left out
-    words = F.concat(_terms(F.regexp_replace("before", r"^\S*\s?", "")), _terms(F.regexp_replace("after", r"\s?\S*$", "")))
-    met = (contexts.select("entity", F.size(words).alias("size"), F.explode(F.array_distinct(words)).alias("term"))
-           .where(F.length("term").between(TERM_MIN, TERM_MAX)))
-    pairs = met.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("m"))
+    first, last = (lambda c: F.regexp_replace(c, r"^\S*\s?", "")), (lambda c: F.regexp_replace(c, r"\s?\S*$", ""))
+    own = F.concat(
+        _terms(F.when(F.col("own_before") < F.length("before"), first(F.expr("right(before, own_before)")))
+               .when(F.col("cut_before"), first(F.col("before"))).otherwise(F.col("before"))),
+        _terms(F.when(F.col("own_after") < F.length("after"), F.expr("left(after, own_after)"))
+               .when(F.col("cut_after"), last(F.col("after"))).otherwise(F.col("after"))))
+    words = F.concat(_terms(F.when(F.col("cut_before"), first(F.col("before"))).otherwise(F.col("before"))),
+                     _terms(F.when(F.col("cut_after"), last(F.col("after"))).otherwise(F.col("after"))))
+    met = (contexts.select("entity", F.size(words).alias("size"), "copies", own.alias("own"),
+                           F.explode(F.array_distinct(words)).alias("term"))
+           .where(F.length("term").between(TERM_MIN, TERM_MAX))
+           .withColumn("again", (F.col("copies") - 1) * F.size(F.filter("own", lambda w: w == F.col("term")))))
+    pairs = met.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("m"),
+                                              F.sum("again").alias("again"))
     pairs = stage(pairs.where(F.col("c") >= SUPPORT), "term-pairs")
     terms = pairs.select("term").distinct()
     if pairs.isEmpty():
@@ -149,7 +173,11 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
                   .groupBy("known").agg(F.sum("n").alias("n")))
     counts = stage(counts, "term-counts")
     total = counts.agg(F.sum("n")).first()[0]
-    rated = pairs.join(counts.withColumnRenamed("known", "term"), "term").select(
+    whole = (told.where("times > 1").select((F.col("times") - 1).alias("more"), F.explode(_terms(F.col("text"))).alias("term"))
+             .groupBy("term").agg(F.sum("more").alias("more")))
+    n = F.greatest("c", F.col("n") - F.coalesce("more", F.lit(0)) - F.col("again"))
+    rated = (pairs.join(counts.withColumnRenamed("known", "term"), "term").join(whole, "term", "left")
+             .withColumn("n", n)).select(
         "term", (F.col("c") / F.col("n")).alias("chance"),
         F.log2(F.col("c") * F.lit(float(total)) / (F.col("n") * F.col("m"))).alias("bits"))
     rated = rated.where((F.col("chance") >= GENERALISE) & (F.col("bits") >= BITS))
