@@ -16,6 +16,8 @@ verifies each class against one leader per shared shingle (the class whose
 rarest shingle is most frequent: the text others were copied from). The
 second round joins all pairs whose classes are still in different components,
 so no link between different texts that could change a component is left out.
+The number of links needs all of them: ``link_counts`` joins and verifies every
+pair of classes that share a shingle, also inside a component.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ COUNTERS, BLOCK = 1 << 21, 1 << 14
 PARTS = 64
 #: Bits of the filter that picks the documents whose sets are needed.
 PICK_BITS = 1 << 23
+#: Classes with one shingle that a task pairs with another's.
+HOT = 256
 
 
 def _sets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -197,10 +201,10 @@ def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return full.mapInArrow(released(_verify), "a bigint, b bigint").distinct()
 
 
-def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(signatures, classes, edges). ``classes``: id (smallest doc_id), set
-    size, digest; ``edges(a, b)``: verified links between classes, enough to
-    connect every component."""
+def prefixes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(signatures, classes, shared). ``classes``: id (smallest doc_id), set
+    size, digest; ``shared``: their prefix shingles that another class has in
+    its prefix."""
     sig = signatures(docs)
     classes = stage(sig.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(
         F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("n", "level", "prefix", "parts"))), "classes")
@@ -208,6 +212,13 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     common = grams.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g")
     earlier = Window.partitionBy("id").orderBy("pos")  # a class's prefix: no more than its shingles
     shared = stage(grams.join(common, "g").withColumn("before", F.row_number().over(earlier) - 1), "shared")
+    return sig, classes, shared
+
+
+def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(signatures, classes, edges): ``edges(a, b)`` are verified links between
+    classes, enough to connect every component."""
+    sig, classes, shared = prefixes(docs)
     rank = F.col("level").cast("bigint") * (1 << 52) + F.pmod(F.xxhash64("id"), F.lit(1 << 52))
     leaders = shared.groupBy("g").agg(*(F.max_by(c, rank).alias(c) for c in ("id", "n", "pos", "before")))
     star = (shared.alias("m").join(leaders.alias("l"), "g")
@@ -230,25 +241,53 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return sig, classes, stage(first.union(second), "links")
 
 
+def all_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(signatures, classes, edges): ``edges(a, b)`` are all links between
+    classes. The rows of a shingle that many classes share are dealt out, so
+    that no task pairs more than ``HOT`` of them with the others."""
+    sig, classes, shared = prefixes(docs)
+    many = shared.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("many"))
+    rows = stage(shared.join(many, "g").drop("level"), "rows")
+    left = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
+    right = rows.withColumn("part", F.pmod(F.hash("id"), F.col("many")))
+    pairs = (left.alias("m").join(right.alias("l"), ["g", "part"])
+             .where((F.col("m.id") < F.col("l.id")) & _possible("m", "l"))
+             .select(F.col("m.id").alias("a"), F.col("l.id").alias("b")).distinct())
+    return sig, classes, stage(verify(docs, pairs, classes), "links")
+
+
+def link_counts(docs: DataFrame) -> DataFrame:
+    """doc_id, n_links for every row of ``docs``: how many other documents link
+    with it, copies of its own text included. Documents without words and rows
+    with a NULL doc_id link with nothing; rows that share a doc_id and a text
+    are one document."""
+    sig, classes, edges = all_links(docs)
+    sizes = (sig.where("n > 0 and doc_id is not null").groupBy("d1", "d2")
+             .agg(F.countDistinct("doc_id").alias("size")))
+    sized = stage(classes.select("d1", "d2", "id").join(sizes, ["d1", "d2"]), "sizes")
+    others = (edges.select("a", "b").union(edges.select("b", "a")).toDF("id", "other")
+              .join(sized.select(F.col("id").alias("other"), "size"), "other")
+              .groupBy("id").agg(F.sum("size").alias("others")))
+    counted = sized.join(others, "id", "left").select(
+        "d1", "d2", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    joined = sig.select("doc_id", "d1", "d2").join(counted, ["d1", "d2"], "left")
+    return joined.select("doc_id", F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0)))
+                         .cast("bigint").alias("n_links"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links for every row of ``docs``.
+    """doc_id, n_shingles, component_id for every row of ``docs``.
 
     component_id is the smallest doc_id reachable by links, the document's
     own included; a document without words has no shingles and links with
     nothing. Rows with a NULL doc_id link with nothing and have a NULL
-    component; rows that share a doc_id are one document. n_links counts the
-    verified links of the document's class."""
+    component; rows that share a doc_id are one document."""
     sig, classes, edges = link_classes(docs)
-    comp = components(edges)
-    links = edges.select("a", "b").union(edges.select("b", "a")).groupBy(F.col("a").alias("id")).agg(
-        F.count(F.lit(1)).alias("n_links"))
-    named = (classes.select("d1", "d2", "id").join(comp, "id", "left").join(links, "id", "left")
-             .select("d1", "d2", F.coalesce("component", "id").alias("component"),
-                     F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    named = (classes.select("d1", "d2", "id").join(components(edges), "id", "left")
+             .select("d1", "d2", F.coalesce("component", "id").alias("component")))
     joined = sig.select("doc_id", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
     return joined.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"),
-                         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
-                         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+                         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
@@ -284,3 +323,8 @@ degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, c.component_id
 FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN comp c ON c.a = d.doc_id
 """
+
+#: The links themselves, by the same SQL.
+LINKS_SQL = ORACLE_SQL[:ORACLE_SQL.index("SELECT d.doc_id, coalesce(s.n")] + """\
+SELECT d.doc_id, coalesce(g.n, 0) AS n_links FROM documents d LEFT JOIN degree g ON g.a = d.doc_id
+"""

@@ -25,7 +25,11 @@ def op3_chunk_dedup(spark, sf_dir):
 
 
 def op4_ngram_jaccard(spark, sf_dir):
-    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_link_counts(spark, sf_dir):
+    return jaccard.link_counts(table(spark, sf_dir, "documents"))
 
 
 def op5_pack(spark, sf_dir):
@@ -58,6 +62,7 @@ REGISTRY = {
     "op2_chat_format": (op2_chat_format, chat.ORACLE_SQL),
     "op3_chunk_dedup": (op3_chunk_dedup, None),
     "op4_ngram_jaccard": (op4_ngram_jaccard, jaccard.ORACLE_SQL),
+    "op4_link_counts": (op4_link_counts, jaccard.LINKS_SQL),
     "op5_pack": (op5_pack, None),
     "op6_language_id": (op6_language_id, None),
     "op7_decontaminate": (op7_decontaminate, None),
