@@ -27,14 +27,17 @@ K = 20
 SCALE = 64
 #: Vectors per block, and bits of the score found per round.
 CANDIDATES, QUERIES, BITS = 4096, 1024, 8
-#: Scaled components from which a score could leave the range of a long.
-LARGEST = 2.0 ** 27
+#: Size of scores from which a result is an error: bins of the whole interval
+#: between both signs are longs.
+TOP = 2 ** 62 - 1
 
 
 def _usable(vector: str):
     x = F.col(vector)
-    whole = F.transform(x, lambda v: F.floor(v.cast("double") * SCALE).cast("double"))
-    plain = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < LARGEST / SCALE))
+    # doubles from 2^52 on are whole, and floor's long would not hold them all
+    whole = F.transform(x, lambda v: F.when(F.abs(v.cast("double")) * SCALE < 2.0 ** 52, F.floor(v.cast("double") * SCALE).cast("double"))
+                        .otherwise(v.cast("double") * SCALE))
+    plain = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < float("inf")))
     return whole, x.isNotNull() & plain
 
 
@@ -79,10 +82,32 @@ def _matrix(ids: bytes, data: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def scores(query: np.ndarray, candidate: np.ndarray) -> np.ndarray:
-    """Exact inner products of integer-valued rows."""
-    bound = np.abs(query).max(initial=0).astype(float) * np.abs(candidate).max(initial=0).astype(float) * max(1, query.shape[1])
+    """Exact inner products of integer-valued rows, those beyond ``TOP`` as
+    ``TOP``. Rows with components that a long's sum may not hold are multiplied
+    as Python's integers."""
+    safe = np.sqrt(2.0 ** 61 / max(1, query.shape[1]))
+    far = [np.flatnonzero(np.abs(x).max(axis=1, initial=0) >= safe) for x in (query, candidate)]
+    near = [x for x in (query, candidate)]
+    for i, rows in enumerate(far):
+        if len(rows):
+            near[i] = near[i].copy()
+            near[i][rows] = 0
+    bound = np.abs(near[0]).max(initial=0).astype(float) * np.abs(near[1]).max(initial=0).astype(float) * max(1, query.shape[1])
     kind = np.float32 if bound < 2 ** 24 else np.float64 if bound < 2 ** 53 else np.int64
-    return (query.astype(kind) @ candidate.astype(kind).T).astype(np.int64)
+    out = (near[0].astype(kind) @ near[1].astype(kind).T).astype(np.int64)
+    if len(far[0]):
+        out[far[0]] = _long(_integers(query[far[0]]) @ _integers(candidate).T)
+    if len(far[1]):
+        out[:, far[1]] = _long(_integers(query) @ _integers(candidate[far[1]]).T)
+    return out
+
+
+def _integers(x: np.ndarray) -> np.ndarray:
+    return np.array([int(v) for v in x.ravel().tolist()], object).reshape(x.shape)
+
+
+def _long(x: np.ndarray) -> np.ndarray:
+    return np.array([max(-TOP, min(TOP, v)) for v in x.ravel().tolist()], np.int64).reshape(x.shape)
 
 
 def _cells(batches: Iterator[pa.RecordBatch], k: int):
@@ -125,6 +150,8 @@ def _best(k: int):
             for i in range(len(q)):
                 at = np.flatnonzero(keep[i])
                 at = at[np.lexsort((c[at], -s[i, at]))[:k]]
+                if np.abs(s[i, at]).max(initial=0) >= TOP:
+                    raise OverflowError(f"a score of query {q[i]} is beyond 2^62")
                 out[0].append(np.full(len(at), q[i]))
                 out[1].append(c[at])
                 out[2].append(s[i, at])
@@ -139,9 +166,8 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, vector: str = "
 
     Both tables have ``vec_id`` and ``vector``; the score is the inner product
     of floor(64 x). A query's own id is no candidate of it. Rows with a NULL id,
-    or whose vector is NULL, holds NULL or non-finite components or components
-    so large that a score could leave a long's range (2^21), take no part;
-    vectors meet only those of their own length. Of rows with one query id
+    or whose vector is NULL or holds NULL or non-finite components, take no
+    part; a score beyond 2^62 among the ``k`` highest is an error; vectors meet only those of their own length. Of rows with one query id
     the smallest vector asks; repeated candidate rows each count."""
     whole, usable = _usable(vector)
     c = candidates.where(usable & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("bigint").alias("vec_id"), whole.alias("v"))
@@ -154,8 +180,11 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, vector: str = "
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     bound = c.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + F.abs(x)))).first()[0]
     most = q.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: F.greatest(s, F.abs(x))))).first()[0]
-    bits = max(1, int(2 * (bound or 0) * (most or 0) + 1).bit_length())
-    low = -int((bound or 0) * (most or 0))
+    reach = (bound or 0) * (most or 0)
+    # from 2^52 on the doubles that it was added up from may be rounded
+    reach = int(min(float(TOP), reach if reach < 2 ** 52 else reach * (1 + 1e-9)))
+    reach = min(TOP, reach)
+    bits, low = (2 * reach + 1).bit_length(), -reach
     cb = _numbered(c, CANDIDATES, "candidate-blocks")
     qb = stage(_numbered(q.repartition(-(-n // QUERIES)), QUERIES, "query-blocks").select(
         F.col("no").alias("q_no"), "dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data")), "query-blocks")
