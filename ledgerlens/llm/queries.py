@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, chunks, decontam, jaccard, langid, packing, pii, quality, topk, toxicity
+from . import chat, chunks, decontam, jaccard, langid, merkle, packing, pii, quality, topk, toxicity
 from .common import table
 
 
@@ -57,6 +57,10 @@ def op10_topk(spark, sf_dir):
     return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+def op11_merkle_manifest(spark, sf_dir):
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 REGISTRY = {
     "op1_toxicity": (op1_toxicity, None),
     "op2_chat_format": (op2_chat_format, chat.ORACLE_SQL),
@@ -69,4 +73,5 @@ REGISTRY = {
     "op8_sanitise": (op8_sanitise, None),
     "op9_quality": (op9_quality, None),
     "op10_topk": (op10_topk, topk.ORACLE_SQL),
+    "op11_merkle_manifest": (op11_merkle_manifest, merkle.ORACLE_SQL),
 }
