@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, chunks, decontam, jaccard, langid, merkle, packing, pii, quality, repair, topk, toxicity
+from . import chat, chunks, decontam, jaccard, langid, linecrf, merkle, packing, pii, quality, repair, topk, toxicity
 from .common import table
 
 
@@ -61,6 +61,10 @@ def op11_merkle_manifest(spark, sf_dir):
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_line_quality(spark, sf_dir):
+    return linecrf.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_repair(spark, sf_dir):
     return repair.report(repair.repair(repair.damage(table(spark, sf_dir, "conversations")), "dropped"))
 
@@ -78,5 +82,6 @@ REGISTRY = {
     "op9_quality": (op9_quality, None),
     "op10_topk": (op10_topk, topk.ORACLE_SQL),
     "op11_merkle_manifest": (op11_merkle_manifest, merkle.ORACLE_SQL),
+    "op12_line_quality": (op12_line_quality, None),
     "op13_repair": (op13_repair, repair.ORACLE_SQL),
 }
