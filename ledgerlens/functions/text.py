@@ -126,6 +126,12 @@ def normalize_ws(col) -> Column:
     return F.trim(F.regexp_replace(_c(col), _WS_TO_COLLAPSE, " "))
 
 
+def normalize_ws_sql(text: str) -> str:
+    """``normalize_ws`` as SQL text over the SQL expression ``text``."""
+    pattern = _WS_TO_COLLAPSE.replace("\\", "\\\\")
+    return f"trim(regexp_replace({text}, '{pattern}', ' '))"
+
+
 # ---------------------------------------------------------------- T10 / T11
 def word_count(col) -> Column:
     """Whitespace tokens; NULL for a missing or empty text, 0 for a

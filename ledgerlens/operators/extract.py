@@ -5,17 +5,17 @@ Everything is a Column expression evaluated where the text is read: the
 regex work runs in the scan stage, in parallel over documents, and only
 the (much smaller) extracted values travel further.
 
-Positions of regex matches are found with marker characters: every match
-of a pattern is wrapped in two private-use code points (U+E000 / U+E001;
-where a text holds them itself, it is read with U+FFFD in their place, which
-keeps every position), after which ``substring_index`` /
-``split`` give "the last match and what follows", "the text before the
-first match", match offsets, and so on, without Python.
-
-Cost control: ordered alternatives (start patterns, end patterns, the
-fallback chunk, the first number token) sit in a lazy ``coalesce``; values
-used more than once are bound once through a single-element lambda
-(``_bind``), so no regex pass is evaluated twice or before it is needed.
+Sections, labels and keywords share one scan. ``pattern_hits`` marks, in a
+single regex pass, every position where one of several patterns matches: at
+such a position each pattern is tried in a look-ahead of its own, so patterns
+may overlap, and the replacement writes what each of them captured between two
+private-use code points (U+E000 / U+E001; where a text holds them itself, it
+is read with U+FFFD in their place, which keeps every position). Splitting at
+the marks gives a position table, and all further choices (the last start, the
+first end after it, windows, nearest amounts) are arithmetic on it.
+
+Values used more than once are bound once through a single-element lambda
+(``_bind``), so no regex pass is evaluated twice.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.text import normalize_ws, py_regex
+from ..functions.text import PY_WS_LITERAL, normalize_ws_sql, py_regex
 
 M1 = ""
 M2 = ""
@@ -39,53 +39,162 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def unmarked(text) -> Column:
-    """The text without the two marker characters."""
-    return F.translate(_c(text), M1 + M2, "\ufffd\ufffd")
-
-
 def java_pattern(p: str, multiline: bool = False) -> str:
     return (FLAGS_IM if multiline else FLAGS_I) + py_regex(p)
 
 
+# ------------------------------------------------------------------ one scan
+# The expressions below are nested array functions. They are put together as
+# SQL text and parsed once: built call by call, each would cost hundreds of
+# round trips to the JVM.
+def _lit(value) -> str:
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return "NULL" if value is None else str(value)
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL: evaluate ``value`` once under a name that ``body`` uses."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _apply(text, body: str) -> Column:
+    """``body``, SQL over a text named ``t``, of a column."""
+    return F.get(F.call_function("transform", F.array(_c(text)), F.expr(f"t -> {body}")), 0)
+
+
+def literal_start(pattern: str) -> str | None:
+    """The letters that every match of a pattern starts with; None for a
+    pattern of alternatives or one that starts otherwise."""
+    word = re.match(r"[a-z]+(?![a-z?*{])", pattern)
+    flat = re.sub(r"\\.|\[[^]]*\]", "", pattern)
+    while (inner := re.sub(r"\([^()]*\)", "", flat)) != flat:
+        flat = inner
+    return word.group() if word and "|" not in flat else None
+
+
+def hits_regex(patterns: Sequence[str], before: int, after: int, flags: str) -> tuple[str, str]:
+    """(regex, replacement) of the one scan. The regex matches the empty string
+    wherever a pattern does and captures, per pattern, match and text after
+    it; the replacement is a mark and all captures, each closed by a mark."""
+    starts = [literal_start(p) for p in patterns]
+    if all(starts):
+        letters = "".join(sorted({w[0] for w in starts}))
+        gate = f"(?=[{letters}])(?={'|'.join(sorted(set(starts)))})"
+    else:
+        gate = "(?=" + "|".join(f"(?:{py_regex(p)})" for p in patterns) + ")"
+    parts, out, group = [gate], M1, 1
+    if before:
+        parts.append("(?<=((?s:.{" + str(before) + "}|\\A.{0," + str(before - 1) + "})))")
+        out, group = out + "$1" + M2, 2
+    for p in patterns:
+        own = re.compile(p).groups
+        tail = "((?s:.{0," + str(after) + "}))" if after else ""
+        parts.append(f"(?=({py_regex(p)}){tail}|)")
+        out += f"${group}" + M2 + (f"${group + own + 1}" + M2 if after else "")
+        group += own + 1 + (1 if after else 0)
+    return flags + "".join(parts), out
+
+
+def _running(n: str, block: int = 64) -> str:
+    """SQL: for an array, the sums of all earlier elements, element by element.
+    In blocks, since a running sum that is appended to copies all it has so
+    far: the work is linear but for the list of blocks."""
+    total = "aggregate({}, 0, (p, q) -> p + q)"
+    blocks = f"transform(sequence(0, (size({n}) - 1) div {block}), bk -> slice({n}, int(bk) * {block} + 1, {block}))"
+    starts = ("aggregate(bs, named_struct('at', 0, 'of', array()::array<int>), (acc, bl) -> named_struct("
+              f"'at', acc.at + {total.format('bl')}, 'of', array_append(acc.of, acc.at)), acc -> acc.of)")
+    inner = f"transform(bl, (e, j) -> get(so, i) + {total.format('slice(bl, 1, j)')})"
+    few = f"transform({n}, (e, j) -> {total.format(f'slice({n}, 1, j)')})"
+    many = _let("bs", blocks, _let("so", starts, f"flatten(transform(bs, (bl, i) -> {inner}))"))
+    return f"if(size({n}) <= {block}, {few}, {many})"
+
+
+def _hits(text: str, patterns: Sequence[str], before: int = 0, after: int = 0, flags: str = FLAGS_IM) -> str:
+    """SQL of ``pattern_hits`` over the text ``text``."""
+    regex, out = hits_regex(patterns, before, after, flags)
+    per, lead = (2 if after else 1), (1 if before else 0)
+    marked = f"(contains({text}, '{M1}') OR contains({text}, '{M2}'))"
+    plain = f"if({marked}, translate({text}, '{M1}{M2}', '\ufffd\ufffd'), {text})"
+    label = f"get(fi, {lead} + {per} * k)"
+    at = "length(get(sg, 0)) + get(ru, c)"
+    # a text with marker characters gives its own characters back, by position
+    def cut(value: str, start: str) -> str:
+        return f"if(mk, substring({text}, {start}, length({value})), {value})"
+    fields = ["'no', k", f"'position', {at}", f"'label', {cut(label, f'{at} + 1')}"]
+    if before:
+        fields.append(f"'before', {cut('get(fi, 0)', f'{at} - length(get(fi, 0)) + 1')}")
+    if after:
+        fields.append(f"'after', {cut(f'get(fi, {lead + 1} + {per} * k)', f'{at} + length({label}) + 1')}")
+    found = (f"transform(filter(sequence(0, {len(patterns) - 1}), k -> {label} != ''), "
+             f"k -> named_struct({', '.join(fields)}))")
+    table = _let("ru", _running("le"), f"flatten(transform(fs, (fi, c) -> {found}))")
+    return _let("sg", f"split(regexp_replace({plain}, {_lit(regex)}, {_lit(out)}), '{M1}', -1)",
+                _let("fs", f"transform(slice(sg, 2, size(sg) - 1), s -> split(s, '{M2}', -1))",
+                     _let("le", "transform(fs, f -> length(element_at(f, -1)))", _let("mk", marked, table))))
+
+
+def pattern_hits(text, patterns: Sequence[str], before: int = 0, after: int = 0, flags: str = FLAGS_IM) -> Column:
+    """The position table of several patterns from one scan of a text:
+    array<struct<no, position, label[, before][, after]>> in order of position
+    (0-based), then of the pattern. Every position where a pattern matches is
+    there, so matches of one pattern may overlap; ``before`` and ``after``
+    characters around a match come with it."""
+    return _apply(text, _hits("t", patterns, before, after, flags))
+
+
+def _disjoint(hits: str) -> str:
+    """SQL: one pattern's hits without those that start inside an earlier one
+    that stays, i.e. the matches of a plain scan. Patterns whose matches never
+    overlap, as nearly all, cost one look at neighbours."""
+    apart = ("forall(sequence(1, size(dj) - 1), i -> get(dj, i).position >= "
+             "get(dj, i - 1).position + length(get(dj, i - 1).label))")
+    scan = ("aggregate(dj, named_struct('end', 0, 'of', slice(dj, 1, 0)), (acc, x) -> if(x.position >= acc.end, "
+            "named_struct('end', x.position + length(x.label), 'of', array_append(acc.of, x)), acc), acc -> acc.of)")
+    return _let("dj", hits, f"if(size(dj) < 2 OR {apart}, dj, {scan})")
+
+
 # ------------------------------------------------------------------ T4
-def _bind(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it several times in ``body`` (a
-    single-element lambda): keeps each regex pass to one evaluation inside
-    lazily evaluated ``coalesce`` / ``when`` branches."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
-def _accept(candidate: Column, min_chars: int) -> Column:
-    return _bind(candidate, lambda c: F.when(F.length(c) > min_chars, c))
-
-
-def section_from_start(text: Column, start: str, ends: Sequence[str],
-                       min_chars: int = C.SECTION_MIN_CHARS,
-                       fallback_chars: int | None = None) -> Column:
-    """The section for one start pattern: its last match, then each end
-    pattern in order (first match after the start), then all that follows
-    (or its first ``fallback_chars``: the study's limit is 200,000); NULL when the start pattern does not occur or nothing is long
-    enough."""
-    marked = F.regexp_replace(text, java_pattern(start), M1 + "$0" + M2)
-
-    def with_tail(tail):
-        def with_match(match):
-            def with_rest(rest):
-                cands = []
-                for ep in ends:
-                    cands.append(_bind(F.split(rest, java_pattern(ep), 2), lambda parts: F.when(
-                        F.size(parts) == 2,
-                        _accept(normalize_ws(F.concat(match, F.get(parts, 0))), min_chars))))
-                whole = F.concat(match, rest)
-                cands.append(_accept(normalize_ws(whole if fallback_chars is None
-                                                  else F.substring(whole, 1, fallback_chars)), min_chars))
-                return F.coalesce(*cands)
-            return _bind(F.substring_index(tail, M2, -1), with_rest)
-        return _bind(F.substring_index(tail, M2, 1), with_match)
-
-    return _bind(marked, lambda mk: F.when(F.instr(mk, M1) > 0,
-                                           _bind(F.substring_index(mk, M1, -1), with_tail)))
+def _section(starts: Sequence[int], ends: Sequence[int], min_chars: int, fallback_chars: int | None) -> str:
+    """SQL: the section by positions in the text ``u`` with hits ``h``: for
+    each start pattern in order its last match, from which each end pattern in
+    order gives the text up to its first match after the start, then all that
+    follows (or its first ``fallback_chars``); the first candidate that is
+    long enough."""
+    def accept(chars: str) -> str:
+        return _let("cand", normalize_ws_sql(f"substring(u, la.position + 1, {chars})"), f"if(length(cand) > {min_chars}, cand, NULL)")
+
+    inside = "la.position + length(la.label)"
+    cands = [_let("en", f"get(filter(h, x -> x.no = {e} AND x.position >= {inside}), 0).position",
+                  f"if(en IS NULL, NULL, {accept('en - la.position')})") for e in ends]
+    cands.append(accept("length(u)" if fallback_chars is None else str(fallback_chars)))
+    found = [_let("la", f"try_element_at({_disjoint(f'filter(h, x -> x.no = {st})')}, -1)",
+                  f"if(la IS NULL, NULL, coalesce({', '.join(cands)}))") for st in starts]
+    return f"coalesce({', '.join(found)})"
+
+
+def sections_by_position(text, sections: Sequence[str],
+                         patterns: Mapping[str, Mapping[str, Sequence[str]]] = C.SECTION_PATTERNS,
+                         min_chars: int = C.SECTION_MIN_CHARS, fallback_chars: int | None = None) -> Column:
+    """T4 for several sections: array<struct<section, section_text>> in the
+    order given, from one scan for all their start and end patterns.
+    ``section_text`` is NULL where nothing is found, and for an unknown
+    section."""
+    every: list[str] = []
+    found = []
+    for s in sections:
+        value = "CAST(NULL AS STRING)"
+        if patterns.get(s):
+            n = len(every)
+            k = n + len(patterns[s]["start"])
+            every += [*patterns[s]["start"], *patterns[s]["end"]]
+            value = _section(range(n, k), range(k, len(every)), min_chars, fallback_chars)
+        found.append(f"named_struct('section', {_lit(s)}, 'section_text', {value})")
+    body = f"array({', '.join(found)})"
+    if every:
+        body = _let("h", _hits("u", every, flags=FLAGS_I), body)
+    marks = f"if(contains(t, '{M1}') OR contains(t, '{M2}'), translate(t, '{M1}{M2}', '\ufffd\ufffd'), t)"
+    return _apply(text, _let("u", marks, body))
 
 
 def extract_section(text, section: str,
@@ -93,14 +202,8 @@ def extract_section(text, section: str,
                     min_chars: int = C.SECTION_MIN_CHARS,
                     fallback_chars: int | None = None) -> Column:
     """T4: the first acceptable candidate over the start patterns in order,
-    NULL when none (or for an unknown section). Evaluation is lazy: a later
-    start pattern is only searched when the earlier ones gave nothing."""
-    cfg = patterns.get(section)
-    if not cfg:
-        return F.lit(None).cast("string")
-    t = unmarked(text)
-    return F.coalesce(*[section_from_start(t, sp, cfg["end"], min_chars, fallback_chars)
-                        for sp in cfg["start"]])
+    NULL when none (or for an unknown section)."""
+    return F.get(sections_by_position(text, [section], patterns, min_chars, fallback_chars), 0)["section_text"]
 
 
 def extract_sections(df: DataFrame, text: str = "text", sections: Sequence[str] = C.SECTIONS,
@@ -109,12 +212,10 @@ def extract_sections(df: DataFrame, text: str = "text", sections: Sequence[str]
                      min_chars: int = C.SECTION_MIN_CHARS,
                      fallback_chars: int | None = None) -> DataFrame:
     """T4 for several sections at once, long output (keys, section,
-    section_text). The text is read once per row."""
+    section_text). The text is scanned once for all sections."""
     keep = [c for c in (keep or df.columns) if c != text]
-    wide = df.select(*keep, *[extract_section(F.col(text), s, patterns, min_chars, fallback_chars)
-                              .alias(f"_sec_{s}") for s in sections])
-    stack = ", ".join(f"'{s}', `_sec_{s}`" for s in sections)
-    return wide.selectExpr(*[f"`{k}`" for k in keep], f"stack({len(sections)}, {stack}) AS (section, section_text)")
+    found = sections_by_position(F.col(text), sections, patterns, min_chars, fallback_chars)
+    return df.select(*keep, F.inline(found))
 
 
 # ------------------------------------------------------------------ T5
@@ -140,148 +241,67 @@ def extraction_status(sections: DataFrame, text_present: str = "has_text",
 
 
 # ------------------------------------------------------------------ T6 / T7
-def _label_regex(label: str, window: int) -> str:
-    """Label match as group 1 and the next ``window`` chars as group 2. The
-    look-ahead captures the window without consuming it, so the label
-    matches are the same non-overlapping sequence as a plain scan."""
-    return FLAGS_IM + "(" + py_regex(label) + ")(?=((?s:.{0," + str(window) + "})))"
-
-
-def label_windows(text, label: str, window: int = C.NUMBER_WINDOW) -> tuple[Column, Column]:
-    """(label matches, windows after them) as two aligned arrays."""
-    rx = F.lit(_label_regex(label, window))
-    return F.regexp_extract_all(_c(text), rx, 1), F.regexp_extract_all(_c(text), rx, 2)
-
-
-def label_positions(text, label: str) -> Column:
-    """0-based start offsets of the label matches (same non-overlapping
-    sequence as ``label_windows``): every match is wrapped in markers, and
-    the offset of match k is the length of the text before it, i.e. the
-    lengths of the earlier segments minus their one end marker each."""
-    marked = F.regexp_replace(unmarked(text), FLAGS_IM + py_regex(label), M1 + "$0" + M2)
-    segs = F.split(marked, M1)
-    # one pass: the offset so far and the offsets found
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
-    return F.aggregate(
-        F.slice(segs, 1, F.greatest(F.size(segs) - 1, F.lit(0))), start,
-        lambda acc, s: F.struct(
-            (acc["at"] + F.length(s) - F.when(F.size(acc["found"]) > 0, 1).otherwise(0)).alias("at"),
-            F.concat(acc["found"], F.array(acc["at"] + F.length(s) - F.when(F.size(acc["found"]) > 0, 1).otherwise(0))).alias("found")),
-        lambda acc: acc["found"])
-
-
-def folded(text) -> Column:
-    """The text in lower case, with the two letters that a case-blind match
-    takes for i and s."""
-    return F.translate(F.lower(_c(text)), "\u0131\u017f", "is")
-
-
-def may_hold(low: Column, label: str) -> Column:
-    """Whether the folded text holds the letters that the label pattern
-    starts with: a plain search, far cheaper than the pattern (a pattern of
-    alternatives has no such start)."""
-    word = re.match(r"[a-z]+(?![a-z?*{|])", label)
-    flat = re.sub(r"\\.|\[[^]]*\]", "", label)
-    while (inner := re.sub(r"\([^()]*\)", "", flat)) != flat:
-        flat = inner
-    return F.contains(low, F.lit(word.group())) if word and "|" not in flat else F.lit(True)
-
-
-def label_windows_only(text, label: str, window: int = C.NUMBER_WINDOW) -> Column:
-    """Windows after each label match (one regex scan)."""
-    return F.regexp_extract_all(_c(text), F.lit(_label_regex(label, window)), 2)
-
-
-def _token_value(d: Column) -> Column:
-    return F.replace(d, F.lit(","), F.lit("")).try_cast("double")
-
-
-def _first_number(win: Column, num: str, min_value: float) -> Column:
-    """struct<raw, v> of the first number token >= min_value in a window.
+def _first_number(window: str, number_pattern: str, min_value: float) -> str:
+    """SQL: struct<raw, v> of the first number token >= min_value in a window.
 
     Fast path: the first token alone (``regexp_extract`` stops at the first
     match), which is the answer whenever it is large enough. Only when it
     is not (a footnote marker, a day of month) the window is scanned in
-    full; ``coalesce`` evaluates that branch lazily. Every regex result is
-    bound once (``_bind``), never re-evaluated."""
-    lit_num = F.lit(num)
-    first = F.struct(F.regexp_extract(win, num, 0).alias("raw"),
-                     _token_value(F.regexp_extract(win, num, 1)).alias("v"))
-    fast = _bind(first, lambda f: F.when(f["v"] >= F.lit(float(min_value)), f))
-    toks = F.arrays_zip(F.regexp_extract_all(win, lit_num, 0).alias("raw"),
-                        F.regexp_extract_all(win, lit_num, 1).alias("d"))
-    vals = F.transform(toks, lambda y: F.struct(y["raw"].alias("raw"), _token_value(y["d"]).alias("v")))
-    slow = F.get(F.filter(vals, lambda y: y["v"] >= F.lit(float(min_value))), 0)
-    return F.coalesce(fast, slow)
-
-
-def numbers_from_windows(labels: Column | None, windows: Column, number_pattern: str = C.NUMBER_PATTERN,
-                         min_value: float = C.NUMBER_MIN_VALUE, context_after: int = C.CONTEXT_AFTER,
-                         context_max: int | None = None, positions: Column | None = None) -> Column:
-    """T6 core: array<struct<match_no, value[, raw, context]>>, one per label
-    match that has a number >= ``min_value`` in its window; the closest
-    (first) such number is kept, negative when its token holds both '('
-    and ')'. Without ``labels`` only values are produced (the cheap path
-    used by ``scrape_filing``). The lambdas see zipped elements only, so no
-    regex is re-evaluated per element. The context is the label and the
-    ``context_after`` characters after it, cut to ``context_max`` where given
-    (the study: 100)."""
-    from ..functions.text import py_strip
-    num = py_regex(number_pattern)
-
-    def per_match(z, i):
-        def from_best(best):
-            raw = best["raw"]
-            neg = F.contains(raw, F.lit("(")) & F.contains(raw, F.lit(")"))
-            fields = [i.alias("match_no"), F.when(neg, -best["v"]).otherwise(best["v"]).alias("value")]
-            if labels is not None:
-                ctx = F.concat(z["l"], F.substring(z["w"], 1, context_after))
-                ctx = py_strip(F.regexp_replace(ctx, "\n", " "))
-                if context_max is not None:
-                    ctx = F.substring(ctx, 1, context_max)
-                fields += [py_strip(raw).alias("raw"), ctx.alias("context")]
-            if positions is not None:
-                fields.append(z["p"].alias("position"))
-            return F.struct(*fields)
-        return _bind(_first_number(z["w"], num, min_value), from_best)
-
-    if labels is not None and positions is not None:
-        zipped = F.arrays_zip(labels.alias("l"), windows.alias("w"), positions.alias("p"))
-    elif labels is not None:
-        zipped = F.arrays_zip(labels.alias("l"), windows.alias("w"))
-    else:
-        zipped = F.transform(windows, lambda w: F.struct(w.alias("w")))
-    return F.filter(F.transform(zipped, per_match), lambda x: x["value"].isNotNull())
-
-
-def numbers_near_label(text, label: str, window: int = C.NUMBER_WINDOW, with_position: bool = False,
-                       **kw) -> Column:
-    """T6 on one label pattern (see ``numbers_from_windows``); with
-    ``with_position`` each result also carries the label's 0-based offset."""
-    labels, windows = label_windows(text, label, window)
-    pos = label_positions(text, label) if with_position else None
-    return numbers_from_windows(labels, windows, positions=pos, **kw)
-
-
-def _tag(k: int, full: bool = True):
-    if not full:
-        return lambda s: F.struct(F.lit(k).alias("pattern_no"), s["match_no"].alias("match_no"),
-                                  s["value"].alias("value"))
-    return lambda s: F.struct(F.lit(k).alias("pattern_no"), s["match_no"].alias("match_no"),
-                              s["value"].alias("value"), s["raw"].alias("raw"), s["context"].alias("context"))
-
-
-def _first_largest(allm: Column) -> Column:
-    """T7 scan: strictly larger |value| replaces the current best."""
-    return F.aggregate(allm, F.get(allm, 0),
-                       lambda acc, x: F.when(F.abs(x["value"]) > F.abs(acc["value"]), x).otherwise(acc))
+    full; ``coalesce`` evaluates that branch lazily."""
+    num, least = _lit(py_regex(number_pattern)), f"CAST({float(min_value)} AS DOUBLE)"
+
+    def value(d: str) -> str:
+        return f"try_cast(replace({d}, ',', '') AS DOUBLE)"
+    first = f"named_struct('raw', regexp_extract({window}, {num}, 0), 'v', {value(f'regexp_extract({window}, {num}, 1)')})"
+    fast = _let("fn", first, f"if(fn.v >= {least}, fn, NULL)")
+    every = (f"transform(regexp_extract_all({window}, {num}, 0), r -> "
+             f"named_struct('raw', r, 'v', {value(f'regexp_extract(r, {num}, 1)')}))")
+    return f"coalesce({fast}, get(filter({every}, y -> y.v >= {least}), 0))"
+
+
+def _numbers(text: str, labels: Sequence[str], window: int = C.NUMBER_WINDOW, number_pattern: str = C.NUMBER_PATTERN,
+             min_value: float = C.NUMBER_MIN_VALUE, context_after: int = C.CONTEXT_AFTER,
+             context_max: int | None = None, values_only: bool = False) -> str:
+    """SQL of ``numbers_near_labels``."""
+    strip = _lit(PY_WS_LITERAL)
+    fields = ["'pattern_no', x.no", "'match_no', i", "'value', if(contains(b.raw, '(') AND contains(b.raw, ')'), -b.v, b.v)"]
+    if not values_only:
+        ctx = f"btrim(translate(concat(x.label, substring(x.after, 1, {context_after})), '\n', ' '), {strip})"
+        fields += [f"'raw', btrim(b.raw, {strip})", f"'context', {ctx if context_max is None else f'substring({ctx}, 1, {context_max})'}",
+                   "'position', x.position"]
+    best = _let("b", _first_number("x.after", number_pattern, min_value), f"named_struct({', '.join(fields)})")
+    of_pattern = f"filter(transform({_disjoint('filter(h, z -> z.no = pn)')}, (x, i) -> {best}), m -> m.value IS NOT NULL)"
+    # only patterns that occur are looked at
+    return _let("h", _hits(text, labels, after=window),
+                f"flatten(transform(array_sort(array_distinct(transform(h, z -> z.no))), pn -> {of_pattern}))")
+
+
+def numbers_near_labels(text, labels: Sequence[str], **kw) -> Column:
+    """T6 for several label patterns from one scan of the text:
+    array<struct<pattern_no, match_no, value, raw, context, position>> by
+    pattern, then match: one per label match that has a number >=
+    ``min_value`` within ``window`` characters after it. The closest (first)
+    such number is kept, negative when its token holds both '(' and ')'. The
+    context is the label and the ``context_after`` characters after it, cut to
+    ``context_max`` where given (the study: 100); position is the label's
+    0-based offset. ``values_only`` leaves out the last three."""
+    return _apply(text, _numbers("t", labels, **kw))
+
+
+def numbers_near_label(text, label: str, **kw) -> Column:
+    """T6 on one label pattern (see ``numbers_near_labels``)."""
+    return numbers_near_labels(text, [label], **kw)
+
+
+def _first_largest(found: str) -> str:
+    """SQL, T7: a strictly larger |value| replaces the present best."""
+    return _let("fl", found, "aggregate(fl, get(fl, 0), (acc, x) -> if(abs(x.value) > abs(acc.value), x, acc))")
 
 
 def best_value(text, patterns: Sequence[str], **kw) -> Column:
     """Over a field's patterns in order, the first match with the
     largest |value| (a strictly larger value from a later pattern wins)."""
-    parts = [F.transform(numbers_near_label(text, p, **kw), _tag(k)) for k, p in enumerate(patterns)]
-    return _first_largest(F.concat(*parts) if len(parts) > 1 else parts[0])
+    return _apply(text, _first_largest(_numbers("t", patterns, **kw)))
 
 
 # ------------------------------------------------------------------ T8 / T9
@@ -293,12 +313,23 @@ def unit_heads(text, scans: Sequence[int] | None = None) -> list[Column]:
     return [F.lower(F.substring(_c(text), 1, n)) for n in scans]
 
 
+def deciding_units(patterns: Sequence[tuple[str, int]]) -> list[tuple[str, int]]:
+    """The unit patterns without those that can not decide: where one holds an
+    earlier pattern whole, with nothing but more text around it, a text that
+    it matches has met the earlier one already."""
+    kept: list[tuple[str, int]] = []
+    for p, m in patterns:
+        if not any(k in p and not re.search(r"[|\[(]", p.replace(k, "").replace("\\(", "")) for k, _ in kept):
+            kept.append((p, m))
+    return kept
+
+
 def unit_multiplier_from_heads(heads: Sequence[Column],
                                patterns: Sequence[tuple[str, int]] = tuple(C.UNIT_PATTERNS)) -> Column:
     levels = []
     for head in heads:
         expr = None
-        for p, mult in patterns:
+        for p, mult in deciding_units(patterns):
             cond = head.rlike(py_regex(p))
             expr = F.when(cond, F.lit(mult)) if expr is None else expr.when(cond, F.lit(mult))
         levels.append(expr)
@@ -316,57 +347,42 @@ def unit_multiplier(text, patterns: Sequence[tuple[str, int]] = tuple(C.UNIT_PAT
 def scrape_filing(df: DataFrame, html: str = "html", keep: Sequence[str] | None = None,
                   fields: Mapping[str, Sequence[str]] = C.FIELD_PATTERNS, text_is_html: bool = True) -> DataFrame:
     """Filing -> wide row of line items (value x unit multiplier, NULL
-    when not found). Staged projections: text once, label windows once per
-    pattern, numbers per window, then the best match per field."""
+    when not found). The text is made once and scanned once for the labels of
+    all fields; each field takes its best match."""
     from ..functions.text import html_to_text_financial
     keep = [c for c in (keep or df.columns) if c != html]
     t = html_to_text_financial(F.col(html)) if text_is_html else F.col(html)
-    x = df.select(*keep, t.alias("_text")).withColumn("_low", folded("_text"))
-    idx = [(fi, k, p) for fi, (_f, pats) in enumerate(fields.items()) for k, p in enumerate(pats)]
-    none = F.array().cast("array<string>")
-    win_cols = [F.when(may_hold(F.col("_low"), p), label_windows_only(F.col("_text"), p)).otherwise(none)
-                .alias(f"_w{fi}_{k}") for fi, k, p in idx]
-    heads = [h.alias(f"_h{i}") for i, h in enumerate(unit_heads(F.col("_text")))]
-    x = x.select(*keep, *heads, *win_cols)
-    x = x.select(*keep, unit_multiplier_from_heads([F.col(f"_h{i}") for i in range(len(heads))])
-                 .alias("unit_multiplier"), *[F.col(f"_w{fi}_{k}") for fi, k, _p in idx])
-    x = x.select(*keep, "unit_multiplier", *[
-        F.transform(numbers_from_windows(None, F.col(f"_w{fi}_{k}")), _tag(k, full=False)).alias(f"_n{fi}_{k}")
-        for fi, k, _p in idx])
-    alls = []
-    for fi, (_f, pats) in enumerate(fields.items()):
-        cols = [F.col(f"_n{fi}_{k}") for k in range(len(pats))]
-        alls.append((F.concat(*cols) if len(cols) > 1 else cols[0]).alias(f"_a{fi}"))
-    x = x.select(*keep, "unit_multiplier", *alls)
-    x = x.select(*keep, "unit_multiplier",
-                 *[_first_largest(F.col(f"_a{fi}")).alias(f"_b{fi}") for fi in range(len(fields))])
-    return x.select(*keep, "unit_multiplier",
-                    *[(F.col(f"_b{fi}.value") * F.col("unit_multiplier")).alias(f) for fi, f in enumerate(fields)])
+    labels = [p for pats in fields.values() for p in pats]
+    x = df.select(*keep, t.alias("_text"))
+    x = x.select(*keep, unit_multiplier("_text").alias("unit_multiplier"),
+                 numbers_near_labels("_text", labels, values_only=True).alias("_numbers"))
+    found, first = [], 0
+    for f, pats in fields.items():
+        lo, first = first, first + len(pats)
+        own = _first_largest(f"filter(_numbers, m -> m.pattern_no >= {lo} AND m.pattern_no < {first})")
+        found.append(F.expr(f"({own}).value * unit_multiplier").alias(f))
+    return x.select(*keep, "unit_multiplier", *found)
 
 
 # ------------------------------------------------------------------ T17
+def keywords_in_context(text, terms: Sequence[str], before: int = 20, after: int = 50, shown: int | None = None,
+                        max_chars: int | None = None) -> Column:
+    """T17 for several terms from one scan: array<struct<term, n_matches,
+    snippets>> in the order given. A snippet is ``before`` characters, the
+    match and ``after`` characters, trimmed. The study shows 3 snippets of 80
+    characters; ``shown`` and ``max_chars`` give that, off by default."""
+    cut = f"btrim(concat(x.before, x.label, x.after), {_lit(PY_WS_LITERAL)})"
+    cut = cut if max_chars is None else f"substring({cut}, 1, {max_chars})"
+    some = "kw" if shown is None else f"slice(kw, 1, {shown})"
+    made = [_let("kw", _disjoint(f"filter(h, z -> z.no = {k})"), (
+        f"named_struct('term', {_lit(term)}, 'n_matches', size(kw), 'snippets', transform({some}, x -> {cut}))"))
+        for k, term in enumerate(terms)]
+    return _apply(text, _let("h", _hits("t", list(terms), before, after, FLAGS_I), f"array({', '.join(made)})"))
+
+
 def keyword_in_context(text, term: str, before: int = 20, after: int = 50, shown: int | None = None,
                        max_chars: int | None = None) -> tuple[Column, Column]:
-    """(count of case-insensitive matches, snippets of ``before`` chars +
-    match + ``after`` chars, trimmed). The study shows 3 snippets of 80
-    characters; ``shown`` and ``max_chars`` give that, off by default. The look-behind alternative ``^.{0,n-1}`` covers matches
-    near the start, where fewer than ``before`` chars exist."""
-    t = _c(text)
-    body = py_regex(term)
-    count = F.regexp_count(t, F.lit(FLAGS_I + body))
-    # the leading look-ahead fails fast where the term does not start, so the
-    # look-behind only runs at real matches
-    rx = (FLAGS_I + "(?=" + body + ")(?<=((?s:.{" + str(before) + "}|^.{0," + str(before - 1) + "})))("
-          + body + ")(?=((?s:.{0," + str(after) + "})))")
-    pre = F.regexp_extract_all(t, F.lit(rx), 1)
-    hit = F.regexp_extract_all(t, F.lit(rx), 2)
-    post = F.regexp_extract_all(t, F.lit(rx), 3)
-    from ..functions.text import py_strip
-    parts = F.arrays_zip(pre.alias("a"), hit.alias("b"), post.alias("c"))
-
-    def snippet(z):
-        s = py_strip(F.concat(z["a"], z["b"], z["c"]))
-        return s if max_chars is None else F.substring(s, 1, max_chars)
-
-    snippets = F.transform(parts if shown is None else F.slice(parts, 1, shown), snippet)
-    return count, snippets
+    """T17 of one term: (count of case-insensitive matches by a plain count,
+    snippets as in ``keywords_in_context``)."""
+    count = F.regexp_count(_c(text), F.lit(java_pattern(term)))
+    return count, F.get(keywords_in_context(text, [term], before, after, shown, max_chars), 0)["snippets"]

@@ -948,15 +948,13 @@ _STMT_BASE = (_with(O.STATEMENTS_CTE) + f", tx AS (SELECT doc_id, {O.html_sql('h
 
 @register("numbers_near_label", _STMT_BASE + "SELECT * FROM nums")
 def numbers_near_label(spark, sf_dir):
-    # one scan and one conversion: an array per pattern, then one explode
+    # one scan for the labels of all fields
     t = _statement_text(spark, sf_dir)
-    found = [F.struct(F.lit(field).alias("field"), F.lit(k).alias("pattern_no"),
-                      ex.numbers_near_label(F.col("text"), p, with_position=True).alias("ms"))
-             for field, pats in qual.C.FIELD_PATTERNS.items() for k, p in enumerate(pats)]
-    out = t.select("doc_id", F.explode(F.array(*found)).alias("f")).select(
-        "doc_id", "f.field", "f.pattern_no", F.explode("f.ms").alias("m"))
-    return out.select("doc_id", "field", "pattern_no", "m.match_no", "m.value", "m.raw", "m.context",
-                      "m.position")
+    labels = [(field, k, p) for field, pats in qual.C.FIELD_PATTERNS.items() for k, p in enumerate(pats)]
+    names = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(k).alias("pattern_no")) for f, k, _ in labels])
+    out = t.select("doc_id", F.explode(ex.numbers_near_labels("text", [p for *_, p in labels])).alias("m"))
+    out = out.withColumn("of", F.get(names, F.col("m.pattern_no")))
+    return out.select("doc_id", "of.field", "of.pattern_no", "m.match_no", "m.value", "m.raw", "m.context", "m.position")
 
 
 @register("unit_multiplier", _with(O.STATEMENTS_CTE) + f""", tx AS (
@@ -1020,12 +1018,9 @@ def kwic_counts(spark, sf_dir):
 @register("kwic", O.kwic_sql(KWIC_TERMS))
 def kwic(spark, sf_dir):
     d = _table(spark, sf_dir, "documents", balance=True)
-    found = []
-    for t in KWIC_TERMS:
-        n, snips = ex.keyword_in_context(F.col("text"), t)
-        found.append(F.struct(F.lit(t).alias("term"), n.alias("n_matches"), snips.alias("snippets")))
-    return d.select("doc_id", F.explode(F.array(*found)).alias("f")).select(
-        "doc_id", "f.term", "f.n_matches", F.posexplode("f.snippets").alias("k", "snippet"))
+    found = ex.keywords_in_context("text", KWIC_TERMS)
+    return d.select("doc_id", F.inline(found)).select(
+        "doc_id", "term", "n_matches", F.posexplode("snippets").alias("k", "snippet"))
 
 
 # ======================================================================

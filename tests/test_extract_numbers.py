@@ -28,7 +28,7 @@ CASES = [
 def test_numbers_near_labels(spark):
     for text, label, want in CASES:
         df = spark.createDataFrame([(text,)], "t string")
-        got = df.select(ex.numbers_near_label(F.col("t"), label, with_position=True).alias("m")).collect()[0].m
+        got = df.select(ex.numbers_near_label(F.col("t"), label).alias("m")).collect()[0].m
         assert [(x.match_no, x.value, x.raw, x.context, x.position) for x in got] == want, text
     # the study's context limit is an argument
     df = spark.createDataFrame([("total assets " + "9" * 90,)], "t string")
