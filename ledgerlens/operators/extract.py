@@ -73,7 +73,7 @@ def literal_start(pattern: str) -> str | None:
     return word.group() if word and "|" not in flat else None
 
 
-def hits_regex(patterns: Sequence[str], before: int, after: int, flags: str) -> tuple[str, str]:
+def hits_regex(patterns: Sequence[str], after: int, flags: str) -> tuple[str, str]:
     """(regex, replacement) of the one scan. The regex matches the empty string
     wherever a pattern does and captures, per pattern, match and text after
     it; the replacement is a mark and all captures, each closed by a mark."""
@@ -84,9 +84,6 @@ def hits_regex(patterns: Sequence[str], before: int, after: int, flags: str) ->
     else:
         gate = "(?=" + "|".join(f"(?:{py_regex(p)})" for p in patterns) + ")"
     parts, out, group = [gate], M1, 1
-    if before:
-        parts.append("(?<=((?s:.{" + str(before) + "}|\\A.{0," + str(before - 1) + "})))")
-        out, group = out + "$1" + M2, 2
     for p in patterns:
         own = re.compile(p).groups
         tail = "((?s:.{0," + str(after) + "}))" if after else ""
@@ -112,23 +109,29 @@ def _running(n: str, block: int = 64) -> str:
 
 def _hits(text: str, patterns: Sequence[str], before: int = 0, after: int = 0, flags: str = FLAGS_IM) -> str:
     """SQL of ``pattern_hits`` over the text ``text``."""
-    regex, out = hits_regex(patterns, before, after, flags)
-    per, lead = (2 if after else 1), (1 if before else 0)
+    regex, out = hits_regex(patterns, after, flags)
+    per = 2 if after else 1
     marked = f"(contains({text}, '{M1}') OR contains({text}, '{M2}'))"
     plain = f"if({marked}, translate({text}, '{M1}{M2}', '\ufffd\ufffd'), {text})"
-    label = f"get(fi, {lead} + {per} * k)"
+    label = f"get(fi, {per} * k)"
     at = "length(get(sg, 0)) + get(ru, c)"
     # a text with marker characters gives its own characters back, by position
     def cut(value: str, start: str) -> str:
         return f"if(mk, substring({text}, {start}, length({value})), {value})"
     fields = ["'no', k", f"'position', {at}", f"'label', {cut(label, f'{at} + 1')}"]
     if before:
-        fields.append(f"'before', {cut('get(fi, 0)', f'{at} - length(get(fi, 0)) + 1')}")
+        # the end of the text since the position before, or of the last few
+        # such texts, none of which is empty
+        few = f"array_join(slice(be, greatest(c + 2 - {before}, 1), least(c + 1, {before})), '')"
+        last = f"right(if(length(get(be, c)) >= {before}, get(be, c), {few}), {before})"
+        fields.append(f"'before', if(mk, substring({text}, greatest({at} - {before}, 0) + 1, least({at}, {before})), {last})")
     if after:
-        fields.append(f"'after', {cut(f'get(fi, {lead + 1} + {per} * k)', f'{at} + length({label}) + 1')}")
+        fields.append(f"'after', {cut(f'get(fi, {per} * k + 1)', f'{at} + length({label}) + 1')}")
     found = (f"transform(filter(sequence(0, {len(patterns) - 1}), k -> {label} != ''), "
              f"k -> named_struct({', '.join(fields)}))")
     table = _let("ru", _running("le"), f"flatten(transform(fs, (fi, c) -> {found}))")
+    if before:
+        table = _let("be", "concat(slice(sg, 1, 1), transform(fs, f -> element_at(f, -1)))", table)
     return _let("sg", f"split(regexp_replace({plain}, {_lit(regex)}, {_lit(out)}), '{M1}', -1)",
                 _let("fs", f"transform(slice(sg, 2, size(sg) - 1), s -> split(s, '{M2}', -1))",
                      _let("le", "transform(fs, f -> length(element_at(f, -1)))", _let("mk", marked, table))))

@@ -377,6 +377,27 @@ st AS (
 )"""
 
 
+def full_statements_cte() -> str:
+    """The long statements of ``shapes.full_statements`` as the CTE ``st``."""
+    from .shapes import FULL_LINES
+    parts = []
+    for i, (label, first, second) in enumerate(FULL_LINES):
+        amount = f"format('{{:,}}', CAST({first} AS BIGINT))"
+        parts.append(sql_literal(f"<tr><td>{label}</td><td>"))
+        parts.append(f"CASE WHEN (n + {i}) % 6 = 0 THEN '(' || {amount} || ')' ELSE {amount} END || '</td>'")
+        if second:
+            parts.append(f"'<td>' || format('{{:,}}', CAST({second} AS BIGINT)) || '</td>'")
+        parts.append("'</tr>'")
+    return f"""
+cust AS (SELECT c_custkey AS n, CAST(floor(abs(c_acctbal)) AS BIGINT) AS v, c_mktsegment FROM customer),
+st AS (
+  SELECT n AS doc_id, '<html><body><p>' || CASE c_mktsegment WHEN 'BUILDING' THEN '(Amounts in millions, except shares)'
+      WHEN 'MACHINERY' THEN 'in thousands of dollars' WHEN 'FURNITURE' THEN '(in billions)' ELSE '' END || '</p><table>'
+    || {" || ".join(parts)} || '</table></body></html>' AS html
+  FROM cust
+)"""
+
+
 def _label_matches_sql(field: str, pno: int, pattern: str, text_cte: str) -> str:
     """Label matches of one pattern with their windows, by marker positions.
     A trailing negative look-ahead ``(?!X)`` (RE2 has none) is applied as a

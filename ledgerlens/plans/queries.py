@@ -946,10 +946,8 @@ _STMT_BASE = (_with(O.STATEMENTS_CTE) + f", tx AS (SELECT doc_id, {O.html_sql('h
               f"AS text FROM st),\n" + O.numbers_near_label_sql("tx").strip() + "\n")
 
 
-@register("numbers_near_label", _STMT_BASE + "SELECT * FROM nums")
-def numbers_near_label(spark, sf_dir):
-    # one scan for the labels of all fields
-    t = _statement_text(spark, sf_dir)
+def _label_numbers(t):
+    """T6 rows of a text table, for the labels of all fields."""
     labels = [(field, k, p) for field, pats in qual.C.FIELD_PATTERNS.items() for k, p in enumerate(pats)]
     names = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(k).alias("pattern_no")) for f, k, _ in labels])
     out = t.select("doc_id", F.explode(ex.numbers_near_labels("text", [p for *_, p in labels])).alias("m"))
@@ -957,6 +955,22 @@ def numbers_near_label(spark, sf_dir):
     return out.select("doc_id", "of.field", "of.pattern_no", "m.match_no", "m.value", "m.raw", "m.context", "m.position")
 
 
+@register("numbers_near_label", _STMT_BASE + "SELECT * FROM nums")
+def numbers_near_label(spark, sf_dir):
+    return _label_numbers(_statement_text(spark, sf_dir))
+
+
+# long statements: all 13 label patterns, several amounts per label
+_FULL_BASE = (_with(O.full_statements_cte()) + f", tx AS (SELECT doc_id, {O.html_sql('html', TX.FIN_BLOCK_TAGS, False)} "
+              f"AS text FROM st),\n" + O.numbers_near_label_sql("tx").strip() + "\n")
+
+
+@register("numbers_all_labels", _FULL_BASE + "SELECT * FROM nums")
+def numbers_all_labels(spark, sf_dir):
+    s = S.full_statements(spark, sf_dir)
+    return _label_numbers(s.select("doc_id", TX.html_to_text_financial("html").alias("text")))
+
+
 @register("unit_multiplier", _with(O.STATEMENTS_CTE) + f""", tx AS (
   SELECT doc_id, {O.html_sql('html', TX.FIN_BLOCK_TAGS, False)} AS text FROM st)
 SELECT doc_id, {O.unit_multiplier_sql('text')} AS unit_multiplier FROM tx
@@ -981,10 +995,10 @@ def unit_multiplier_docs(spark, sf_dir):
     return d.select("doc_id", ex.unit_multiplier(noted).alias("unit_multiplier"))
 
 
-def _scraped_row_sql() -> str:
+def _scraped_row_sql(base: str) -> str:
     fields = list(qual.C.FIELD_PATTERNS)
     cols = ", ".join(f"max(CASE WHEN field = '{f}' THEN value END) * unit_multiplier AS {f}" for f in fields)
-    return _STMT_BASE + f"""
+    return base + f"""
 , best AS (
   SELECT doc_id, field, value FROM (
     SELECT *, row_number() OVER (PARTITION BY doc_id, field ORDER BY abs(value) DESC, pattern_no, match_no) AS rn
@@ -997,11 +1011,16 @@ GROUP BY u.doc_id, u.unit_multiplier
 """
 
 
-@register("scraped_row", _scraped_row_sql())
+@register("scraped_row", _scraped_row_sql(_STMT_BASE))
 def scraped_row(spark, sf_dir):
     return ex.scrape_filing(S.statements(spark, sf_dir).drop("accession"), "html", keep=["doc_id"])
 
 
+@register("scraped_row_full", _scraped_row_sql(_FULL_BASE))
+def scraped_row_full(spark, sf_dir):
+    return ex.scrape_filing(S.full_statements(spark, sf_dir), "html", keep=["doc_id"])
+
+
 KWIC_TERMS = ["the", "und", "que"]
 
 

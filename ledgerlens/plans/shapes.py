@@ -360,6 +360,41 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("doc_id"), accession.alias("accession"), html.alias("html"))
 
 
+# a long statement as (label, amount, second amount or None) over v (whole
+# account balance) and n (customer number): every label pattern occurs, labels
+# come back with other amounts, and which of them is largest varies by row
+FULL_LINES = [
+    ("Total assets", "v + 10", "v * 2 + 5"), ("Net income attributable to common shareholders", "v + 19 + n % 5", None),
+    ("Total liabilities", "v * 3 + 20", "v * 3 + n"), ("Total liabilities and shareholders&rsquo; equity", "v * 9 + 31", None),
+    ("Total shareholders' equity", "v + 11", "v * (n % 2) + 40"), ("Total equity", "v * (n % 4) + 12", None),
+    ("Cash and cash equivalents", "n + 13", "n * 3"), ("Cash and due from banks", "n % 7 * v + 14", None),
+    ("Commercial paper and other short-term borrowings", "v + 15", None), ("Short term borrowings (2)", "n * 7 + 16", None),
+    ("Net income (loss)<br/>", "v + 17", "n"), ("Net loss<br/>", "v % 50 * 900 + 18", None),
+    ("Provision for credit losses", "n % 9", "v + 20"), ("Provision for loan, lease and other losses", "v % 40 * 700 + 21", None),
+    ("Total assets", "v * (n % 3) + 22", None), ("Total stockholders equity", "n * 2 + 23", None),
+]
+
+
+def full_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customer -> one long HTML statement each (doc_id, html), with the lines
+    ``FULL_LINES``; amounts in parentheses by customer and line, the unit note
+    by market segment."""
+    c = table(spark, sf_dir, "customer", balance=True)
+    x = c.select(F.col("c_custkey").alias("n"), F.floor(F.abs("c_acctbal")).cast("bigint").alias("v"), "c_mktsegment")
+    seg = F.col("c_mktsegment")
+    unit = (F.when(seg == "BUILDING", "(Amounts in millions, except shares)").when(seg == "MACHINERY", "in thousands of dollars")
+            .when(seg == "FURNITURE", "(in billions)").otherwise(""))
+    parts = [F.lit("<html><body><p>"), unit, F.lit("</p><table>")]
+    for i, (label, first, second) in enumerate(FULL_LINES):
+        amount = F.format_number(F.expr(first), 0)
+        parts += [F.lit(f"<tr><td>{label}</td><td>"),
+                  F.when((F.col("n") + i) % 6 == 0, F.concat(F.lit("("), amount, F.lit(")"))).otherwise(amount), F.lit("</td>")]
+        if second:
+            parts += [F.lit("<td>"), F.format_number(F.expr(second), 0), F.lit("</td>")]
+        parts.append(F.lit("</tr>"))
+    return x.select(F.col("n").alias("doc_id"), F.concat(*parts, F.lit("</table></body></html>")).alias("html"))
+
+
 def customer_firms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """customer as the firm dimension: (firm, cik, ticker, status); status
     'failed' for the BUILDING and MACHINERY segments."""
