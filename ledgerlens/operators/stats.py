@@ -95,29 +95,37 @@ def test_table(features: DataFrame, feature_labels: Sequence[tuple[str, str]] =
 
 
 # ------------------------------------------------------------------ ranks
-def ranks_from_counts(counts: DataFrame, part: Sequence[str], value: str = "value",
-                      cnt: str = "_cnt", partitions: int | None = None) -> DataFrame:
-    """W4 on (part..., value, cnt) rows with distinct values: adds
-    ``avg_rank`` = (number of smaller values in the part) + (cnt + 1) / 2.
+def prefix_counts(counts: DataFrame, part: Sequence[str], value: str, columns: Sequence[str],
+                  partitions: int | None = None) -> DataFrame:
+    """Adds, for every count column c of (part..., value, c...) rows with
+    distinct values, ``_below_c``, its sum over the smaller values of the part,
+    and ``_total_c``, its sum over the part.
 
     Scales without a single-task window: the rows are range-partitioned by
     (part, value); each range partition computes running counts locally,
     the per-partition totals (a table of partitions x parts rows) give each
-    partition its offset, and a broadcast join adds it back."""
+    partition its offset, and a join on (partition, part) adds it back."""
     spark = counts.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = counts.repartitionByRange(n, *part, value).withColumn("_pid", F.spark_partition_id())
-    wl = Window.partitionBy("_pid", *part).orderBy(value)
-    local = materialize(
-        ranged.withColumn("_below", F.coalesce(
-            F.sum(cnt).over(wl.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("_ptotal", F.sum(cnt).over(Window.partitionBy("_pid", *part))))
-    totals = local.select("_pid", *part, "_ptotal").distinct()
-    wo = Window.partitionBy(*part).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_pid", *part, F.coalesce(F.sum("_ptotal").over(wo), F.lit(0)).alias("_offset"))
+    wl = Window.partitionBy("_pid", *part).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    local = materialize(ranged.select("*", *[F.coalesce(F.sum(c).over(wl), F.lit(0)).alias(f"_below_{c}") for c in columns]))
+    totals = local.groupBy("_pid", *part).agg(*[F.sum(c).alias(c) for c in columns])
+    whole = Window.partitionBy(*part)
+    before = whole.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_pid", *part, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_offset_{c}") for c in columns],
+                            *[F.sum(c).over(whole).alias(f"_total_{c}") for c in columns])
     out = local.join(offsets, ["_pid", *part])
-    return out.withColumn("avg_rank", F.col("_offset") + F.col("_below") + (F.col(cnt) + 1) / 2.0).drop(
-        "_pid", "_below", "_ptotal", "_offset")
+    return out.select(*counts.columns, *[(F.col(f"_offset_{c}") + F.col(f"_below_{c}")).alias(f"_below_{c}") for c in columns],
+                      *[f"_total_{c}" for c in columns])
+
+
+def ranks_from_counts(counts: DataFrame, part: Sequence[str], value: str = "value",
+                      cnt: str = "_cnt", partitions: int | None = None) -> DataFrame:
+    """W4 on (part..., value, cnt) rows with distinct values: adds
+    ``avg_rank`` = (number of smaller values in the part) + (cnt + 1) / 2."""
+    out = prefix_counts(counts, part, value, [cnt], partitions)
+    return out.withColumn("avg_rank", F.col(f"_below_{cnt}") + (F.col(cnt) + 1) / 2.0).drop(f"_below_{cnt}", f"_total_{cnt}")
 
 
 def value_ranks(long: DataFrame, part: Sequence[str], value: str = "value") -> DataFrame:
@@ -175,40 +183,46 @@ def spearman_pairs(df: DataFrame, features: Sequence[str], min_nonnull: int = 0,
 
     Rows where all features are NULL are dropped; a feature enters when it
     has more than ``min_nonnull`` values (the study's rule is 3; by default
-    any feature with a value enters). Pairs are generated in the
-    projection from the fixed feature list (explode of a literal array of
-    pairs, no join), ranks are recomputed per pair on the rows where both
-    values exist, and rho is the Pearson correlation of those ranks."""
+    any feature with a value enters).
+
+    Each feature is ranked once, whatever the number of pairs. Its distinct
+    values carry one count per other feature, of the rows that have both;
+    prefix sums of these counts give the value's rank inside every pair at
+    once, and with the totals its distance from the pair's mean rank. The
+    rows then meet these distances by (feature, value) and come back together
+    by row, and rho is the Pearson correlation of the ranks: cross products
+    from the rows, squares from the distinct values."""
     feats = list(features)
-    # the input feeds the counts and the pairs: compute it once
-    base = materialize(df.select(*[F.col(f).cast("double").alias(f) for f in feats]).na.drop("all", subset=feats))
-    counts = base.agg(*[F.count(f).alias(f) for f in feats])
-    pairs = [(i, j) for i in range(len(feats)) for j in range(len(feats)) if (i > j if lower_only else i != j)]
-    structs = [F.struct(F.lit(feats[i]).alias("feature_x"), F.lit(feats[j]).alias("feature_y"),
-                        F.col(feats[i]).alias("x"), F.col(feats[j]).alias("y")) for i, j in pairs]
-    part = ["feature_x", "feature_y"]
-    # reduced map-side to distinct (x, y) per pair: a value that most rows
-    # share is one row from here on
-    points = (base.select(F.explode(F.array(*structs)).alias("p"))
-              .select("p.*").where(F.col("x").isNotNull() & F.col("y").isNotNull())
-              .groupBy(*part, "x", "y").agg(F.count(F.lit(1)).alias("_n")))
-    enough = counts.unpivot([], feats, "feature", "nn").where(F.col("nn") > min_nonnull).select("feature")
-    points = materialize(points.join(enough.withColumnRenamed("feature", "feature_x"), "feature_x", "left_semi")
-                         .join(enough.withColumnRenamed("feature", "feature_y"), "feature_y", "left_semi"))
-    # x and y ranks in one ranking pass: (pair, side) is the ranking part
-    sides = F.array(F.struct(F.lit("x").alias("side"), F.col("x").alias("value")),
-                    F.struct(F.lit("y").alias("side"), F.col("y").alias("value")))
-    values = (points.select(*part, "_n", F.explode(sides).alias("s")).select(*part, "s.*", "_n")
-              .groupBy(*part, "side", "value").agg(F.sum("_n").alias("_cnt")))
-    ranks = ranks_from_counts(values, [*part, "side"])
-    rx = ranks.where(F.col("side") == "x").select(*part, F.col("value").alias("x"), F.col("avg_rank").alias("rank_x"))
-    ry = ranks.where(F.col("side") == "y").select(*part, F.col("value").alias("y"), F.col("avg_rank").alias("rank_y"))
-    total = points.groupBy(*part).agg(F.sum("_n").alias("n"))
-    ranked = points.join(rx, [*part, "x"]).join(ry, [*part, "y"]).join(total, part)
+    k = range(len(feats))
+    # the input feeds the counts and the rows: compute it once
+    base = materialize(df.select(*[F.col(f).cast("double").alias(f"v{i}") for i, f in enumerate(feats)])
+                       .na.drop("all").withColumn("_row", F.monotonically_increasing_id()))
+    entry = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"v{i}").alias("value")) for i in k]))
+    has = [F.col(f"v{i}").isNotNull().cast("long").alias(f"n{i}") for i in k]
+    both = (base.select(entry.alias("e"), *has).select("e.*", *[f"n{i}" for i in k]).where(F.col("value").isNotNull())
+            .groupBy("f", "value").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in k]))
+    ranked = prefix_counts(both, ["f"], "value", [f"n{i}" for i in k])
     # ranks 1..n have mean (n + 1) / 2 whatever the ties
-    dx, dy = F.col("rank_x") - (F.col("n") + 1) / 2.0, F.col("rank_y") - (F.col("n") + 1) / 2.0
-    out = ranked.groupBy(*part).agg(F.sum("_n").alias("n"), F.sum(F.col("_n") * dx * dy).alias("_xy"),
-                                    F.sum(F.col("_n") * dx * dx).alias("_xx"), F.sum(F.col("_n") * dy * dy).alias("_yy"))
+    away = [(F.col(f"_below_n{i}") + (F.col(f"n{i}") + 1) / 2.0 - (F.col(f"_total_n{i}") + 1) / 2.0) for i in k]
+    ranked = ranked.select("f", "value", F.array(*away).alias("away"), F.array(*[F.col(f"n{i}") for i in k]).alias("n"))
+    squares = ranked.groupBy("f").agg(*[F.sum(F.col("n")[i] * F.col("away")[i] * F.col("away")[i]).alias(f"s{i}") for i in k],
+                                      *[F.sum(F.col("n")[i]).alias(f"n{i}") for i in k])
+    squares = squares.select("f", F.array(*[f"s{i}" for i in k]).alias("square"), F.array(*[f"n{i}" for i in k]).alias("n"))
+    rows = (base.select("_row", entry.alias("e")).select("_row", "e.*").where(F.col("value").isNotNull())
+            .join(ranked.select("f", "value", "away"), ["f", "value"]))
+    wide = rows.groupBy("_row").agg(*[F.max(F.when(F.col("f") == i, F.col("away"))).alias(f"a{i}") for i in k])
+    pairs = [(i, j) for i in k for j in k if (i > j if lower_only else i != j)]
+    products = wide.agg(*[F.sum(F.col(f"a{i}")[j] * F.col(f"a{j}")[i]).alias(f"p{i}_{j}") for i, j in pairs])
+    name = F.array(*[F.lit(f) for f in feats])
+    crossed = products.select(F.inline(F.array(*[F.struct(
+        F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"p{i}_{j}").alias("_xy")) for i, j in pairs])))
+    of = lambda side: squares.select(F.col("f").alias(side), F.col("square").alias(f"_s{side}"), F.col("n").alias(f"_n{side}"))
+    # one row per feature on the right
+    out = crossed.join(F.broadcast(of("i")), "i").join(F.broadcast(of("j")), "j")
+    out = out.where((F.get("_ni", F.col("i")) > min_nonnull) & (F.get("_nj", F.col("j")) > min_nonnull) & (F.get("_ni", F.col("j")) > 0))
+    part = ["feature_x", "feature_y"]
+    out = out.select(F.get(name, F.col("i")).alias("feature_x"), F.get(name, F.col("j")).alias("feature_y"),
+                     F.get("_ni", F.col("j")).alias("n"), "_xy", F.get("_si", F.col("j")).alias("_xx"), F.get("_sj", F.col("i")).alias("_yy"))
     # NULL where one side is constant
     out = out.select(*part, "n", F.try_divide(F.col("_xy"), F.sqrt(F.col("_xx")) * F.sqrt(F.col("_yy"))).alias("rho"))
     if labels:

@@ -95,3 +95,38 @@ def test_labels_round_ties_to_even(spark):
     assert [tuple(r) for r in got] == [("12.2%", "$2B", "2,500,000,000", "p=0.012"),
                                        ("6.2%", "$4B", "4,500,000,000", "p<0.001"),
                                        ("6.4%", "$0B", "1,234,567", "p=0.500")]
+
+
+def test_spearman_of_every_pair_by_brute_force(spark):
+    import math
+    import random
+
+    rng = random.Random(3)
+    rows = [tuple(None if rng.random() < 0.3 else float(rng.randrange(6)) if i < 3 else rng.gauss(0, 1) for i in range(5)) for _ in range(300)]
+    rows += [(None,) * 5, (1.0, None, None, None, None)]
+    names = ["a", "b", "c", "d", "feature_x"]
+    got = {(r.feature_x, r.feature_y): (r.n, r.rho) for r in st.spearman_pairs(
+        spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names)), names, lower_only=False).collect()}
+    assert len(got) == 20
+
+    def ranks(v):
+        return [sum(w < x for w in v) + (sum(w == x for w in v) + 1) / 2 for x in v]
+    for i, x in enumerate(names):
+        for j, y in enumerate(names):
+            if i == j:
+                continue
+            both = [(r[i], r[j]) for r in rows if r[i] is not None and r[j] is not None]
+            rx, ry = ranks([p[0] for p in both]), ranks([p[1] for p in both])
+            m = (len(both) + 1) / 2
+            xy = sum((a - m) * (b - m) for a, b in zip(rx, ry))
+            want = xy / math.sqrt(sum((a - m) ** 2 for a in rx)) / math.sqrt(sum((b - m) ** 2 for b in ry))
+            assert got[(x, y)][0] == len(both) and abs(got[(x, y)][1] - want) < 1e-12
+
+
+def test_spearman_ranks_once_whatever_the_pairs(spark, monkeypatch):
+    made = []
+    whole = st.materialize
+    monkeypatch.setattr(st, "materialize", lambda df: made.append(1) or whole(df))
+    df = spark.createDataFrame([(float(i), float(-i), float(i % 3), float(i * i)) for i in range(20)], "a double, b double, c double, d double")
+    out = st.spearman_pairs(df, ["a", "b", "c", "d"])
+    assert len(made) == 2 and out.count() == 6
