@@ -197,32 +197,29 @@ def spearman_pairs(df: DataFrame, features: Sequence[str], min_nonnull: int = 0,
     # the input feeds the counts and the rows: compute it once
     base = materialize(df.select(*[F.col(f).cast("double").alias(f"v{i}") for i, f in enumerate(feats)])
                        .na.drop("all").withColumn("_row", F.monotonically_increasing_id()))
-    entry = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"v{i}").alias("value")) for i in k]))
-    has = [F.col(f"v{i}").isNotNull().cast("long").alias(f"n{i}") for i in k]
-    both = (base.select(entry.alias("e"), *has).select("e.*", *[f"n{i}" for i in k]).where(F.col("value").isNotNull())
-            .groupBy("f", "value").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in k]))
+    entries = ", ".join(f"named_struct('f', {i}, 'value', v{i})" for i in k)
+    both = (base.selectExpr(f"inline(array({entries}))", *[f"CAST(v{i} IS NOT NULL AS BIGINT) AS n{i}" for i in k])
+            .where("value IS NOT NULL").groupBy("f", "value").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in k]))
     ranked = prefix_counts(both, ["f"], "value", [f"n{i}" for i in k])
     # ranks 1..n have mean (n + 1) / 2 whatever the ties
-    away = [(F.col(f"_below_n{i}") + (F.col(f"n{i}") + 1) / 2.0 - (F.col(f"_total_n{i}") + 1) / 2.0) for i in k]
-    ranked = ranked.select("f", "value", F.array(*away).alias("away"), F.array(*[F.col(f"n{i}") for i in k]).alias("n"))
-    squares = ranked.groupBy("f").agg(*[F.sum(F.col("n")[i] * F.col("away")[i] * F.col("away")[i]).alias(f"s{i}") for i in k],
-                                      *[F.sum(F.col("n")[i]).alias(f"n{i}") for i in k])
-    squares = squares.select("f", F.array(*[f"s{i}" for i in k]).alias("square"), F.array(*[f"n{i}" for i in k]).alias("n"))
-    rows = (base.select("_row", entry.alias("e")).select("_row", "e.*").where(F.col("value").isNotNull())
+    away = ", ".join(f"_below_n{i} + (n{i} + 1) / 2.0D - (_total_n{i} + 1) / 2.0D" for i in k)
+    ranked = ranked.selectExpr("f", "value", f"array({away}) AS away", f"array({', '.join(f'n{i}' for i in k)}) AS n")
+    squares = ranked.groupBy("f").agg(F.expr(f"array({', '.join(f'sum(n[{i}] * away[{i}] * away[{i}])' for i in k)})").alias("square"),
+                                      F.expr(f"array({', '.join(f'sum(n[{i}])' for i in k)})").alias("n"))
+    rows = (base.selectExpr("_row", f"inline(array({entries}))").where("value IS NOT NULL")
             .join(ranked.select("f", "value", "away"), ["f", "value"]))
-    wide = rows.groupBy("_row").agg(*[F.max(F.when(F.col("f") == i, F.col("away"))).alias(f"a{i}") for i in k])
+    wide = rows.groupBy("_row").agg(*[F.expr(f"max(CASE WHEN f = {i} THEN away END)").alias(f"a{i}") for i in k])
     pairs = [(i, j) for i in k for j in k if (i > j if lower_only else i != j)]
-    products = wide.agg(*[F.sum(F.col(f"a{i}")[j] * F.col(f"a{j}")[i]).alias(f"p{i}_{j}") for i, j in pairs])
-    name = F.array(*[F.lit(f) for f in feats])
-    crossed = products.select(F.inline(F.array(*[F.struct(
-        F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"p{i}_{j}").alias("_xy")) for i, j in pairs])))
-    of = lambda side: squares.select(F.col("f").alias(side), F.col("square").alias(f"_s{side}"), F.col("n").alias(f"_n{side}"))
+    products = ", ".join(f"named_struct('i', {i}, 'j', {j}, '_xy', sum(a{i}[{j}] * a{j}[{i}]))" for i, j in pairs)
+    crossed = wide.agg(F.expr(f"array({products})").alias("p")).selectExpr("inline(p)")
     # one row per feature on the right
-    out = crossed.join(F.broadcast(of("i")), "i").join(F.broadcast(of("j")), "j")
-    out = out.where((F.get("_ni", F.col("i")) > min_nonnull) & (F.get("_nj", F.col("j")) > min_nonnull) & (F.get("_ni", F.col("j")) > 0))
+    out = (crossed.join(F.broadcast(squares.selectExpr("f AS i", "square AS _si", "n AS _ni")), "i")
+           .join(F.broadcast(squares.selectExpr("f AS j", "square AS _sj", "n AS _nj")), "j")
+           .where(f"_ni[i] > {int(min_nonnull)} AND _nj[j] > {int(min_nonnull)} AND _ni[j] > 0"))
+    name = F.array(*[F.lit(f) for f in feats])
     part = ["feature_x", "feature_y"]
     out = out.select(F.get(name, F.col("i")).alias("feature_x"), F.get(name, F.col("j")).alias("feature_y"),
-                     F.get("_ni", F.col("j")).alias("n"), "_xy", F.get("_si", F.col("j")).alias("_xx"), F.get("_sj", F.col("i")).alias("_yy"))
+                     F.expr("_ni[j] AS n"), "_xy", F.expr("_si[j] AS _xx"), F.expr("_sj[i] AS _yy"))
     # NULL where one side is constant
     out = out.select(*part, "n", F.try_divide(F.col("_xy"), F.sqrt(F.col("_xx")) * F.sqrt(F.col("_yy"))).alias("rho"))
     if labels:
