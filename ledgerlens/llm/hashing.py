@@ -40,11 +40,12 @@ LETTERS = np.array([c.isalpha() for c in _ascii] + [True] * 128).astype(np.uint8
 
 
 def word_spans(raw: np.ndarray, offsets: np.ndarray, classes: np.ndarray = WORDS,
-               table: np.ndarray = BYTE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+               table: np.ndarray = BYTE, kinds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first byte, bytes) per word and bounds: the words of text i are
-    bounds[i]:bounds[i + 1]."""
+    bounds[i]:bounds[i + 1]. ``kinds``: the bytes' classes, where they do not
+    follow from the bytes alone."""
     n = len(raw)
-    kind = classes[raw]
+    kind = classes[raw] if kinds is None else kinds
     inside = kind > 0
     first = inside.copy()
     first[1:] &= kind[1:] != kind[:-1]

@@ -18,6 +18,7 @@ the documents from files, not from a shuffle).
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import released, text_slices, utf8
-from .hashing import BYTE, CASED, Slots, word_spans
+from .hashing import BYTE, CASED, SPACE, WORDS, Slots, word_spans
 
 TOKENS = 2048
 SEGMENTS = 64
@@ -40,11 +41,41 @@ END_ID = 1
 BUFFER, FILLED = 1024, 0.985
 
 
+#: Pre-tokenizer patterns that part runs of letters, digits and other
+#: characters and know contractions (fixed value, as tokenizer files state it).
+RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_ascii = np.arange(256)
+_LETTER = ((_ascii >= 65) & (_ascii <= 90)) | ((_ascii >= 97) & (_ascii <= 122))
+_DIGIT = (_ascii >= 48) & (_ascii <= 57)
+#: White space, letters, digits, other ASCII characters, and those that may go
+#: with either neighbour: the apostrophe and everything beyond ASCII.
+PARTS = np.where(SPACE, 0, np.where(_LETTER, 1, np.where(_DIGIT, 2, np.where((_ascii < 128) & (_ascii != 39), 3, 4)))).astype(np.uint8)
+
+
+def parts(raw: np.ndarray) -> np.ndarray:
+    """A class per byte such that words, being runs of one class, can be
+    tokenized one by one under ``RUNS``: a run of letters, digits or other
+    ASCII characters is one, but what touches an apostrophe or a character
+    beyond ASCII stays whole with its neighbours up to the next white space."""
+    kind = PARTS[raw]
+    if not (kind == 4).any():
+        return kind
+    edge = np.flatnonzero(np.diff((kind > 0).astype(np.int8), prepend=0, append=0))
+    lo, hi = edge[::2], edge[1::2]
+    loose = np.concatenate([[0], np.cumsum(kind == 4)])
+    whole = loose[hi] > loose[lo]
+    mark = np.zeros(len(raw) + 1, np.int32)
+    mark[lo[whole]] += 1
+    mark[hi[whole]] -= 1
+    kind[np.cumsum(mark[:-1]) > 0] = 4
+    return kind
+
+
 class Tokens:
-    """Ids of words, computed once per distinct word of a task (bounded:
+    """Ids of words, computed once per distinct word of a worker (bounded:
     beyond ``limit`` words it starts anew)."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         # one thread: tasks are the parallelism, and each thread would hold
         # memory of its own
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -57,6 +88,9 @@ class Tokens:
         special = [t for t in self.tokenizer.get_added_tokens_decoder().items() if t[1].special]
         self.mark_id, self.mark = (special[0][0], special[0][1].content) if special else (None, None)
         self.hints = [t[1].content[:2].encode() for t in special]
+        first = json.loads(self.tokenizer.to_str()).get("pre_tokenizer") or {}
+        first = first["pretokenizers"][0] if first.get("type") == "Sequence" else first
+        self.runs = first.get("type") == "Split" and first["pattern"].get("Regex") == RUNS and first["invert"]
         self.clear()
 
     def clear(self) -> None:
@@ -93,12 +127,14 @@ class Tokens:
 
     def of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, bounds). White space parts the tokenizer's own
-        words, so a text's ids are those of its runs between white space."""
+        words, so a text's ids are those of its runs between white space, or of
+        shorter ``parts`` where the tokenizer's pattern is known."""
         raw, offsets = utf8(column)
         data = raw.tobytes()
         # letters' case changes no id, unless it makes a special token
         plain = self.lowers and not any(h in data for h in self.hints)
-        hashes, starts, size, bounds = word_spans(raw, offsets, table=BYTE if plain else CASED)
+        kinds = parts(raw) if plain and self.runs else WORDS[raw]
+        hashes, starts, size, bounds = word_spans(raw, offsets, table=BYTE if plain else CASED, kinds=kinds)
         distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.slots) + len(distinct) > self.limit:
             self.clear()
@@ -182,8 +218,11 @@ class Packer:
         kept = []
         for one in fill(demand, self.room):
             used = int(size[one].sum())
-            full = used >= FILLED * self.tokens or len(one) >= self.room[1]
-            if full or (not last and len(kept) >= BUFFER // 2):
+            full = used >= FILLED * self.tokens
+            if not full and len(one) >= self.room[1]:
+                # full by segments: short rests, which need no padding if cut
+                self._exact([self.rests[i] for i in one], used)
+            elif full or (not last and len(kept) >= BUFFER // 2):
                 offset = 0
                 for i in one:
                     doc, start, ids, total = self.rests[i]
@@ -225,6 +264,9 @@ def pack(docs: DataFrame, tokenizer: str, tokens: int = TOKENS, segments: int =
     """Pieces of all ``docs(doc_id, text)``: doc_id, start, length, ids_crc32,
     doc_tokens, sequence_id, offset, and ``ids`` if ``with_ids``.
 
+    With the default limits the one on loss-bearing tokens can not bind (a
+    full sequence has fewer of them than tokens); a smaller one does.
+
     ``tokenizer``: path of a tokenizer file that every executor can read. A
     NULL or empty text is its end id alone. Each token but a piece's first is
     loss-bearing. Sequences are padded to ``tokens`` unless their length is a

@@ -83,3 +83,33 @@ def test_small_limits_and_empty_table(spark):
         loss[r.sequence_id] += r.length - 1
     assert max(loss.values()) <= 40 and sum(r.length for r in rows) == 50 * 25
     assert packing.pack(docs.limit(0), PATH).count() == 0
+
+
+def test_ids_of_adversarial_words():
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    pieces = ["'s", "'", "don't", "'ll", "abc", "Z", "12", "7", ",", "--", "***", "é", "e\u0301", "\u0338", "=", "\u2014", "\u212a", "\u0130", "ﬁ",
+              "\u00a0", " ", "\n", "😀", "½", "\u0345", "ß", "|", "<", "endoftext", "日本", "²", "_"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 40))) for _ in range(3000)]
+    words = packing.Tokens(PATH)
+    assert words.runs
+    for part in (texts[:2500], [t.replace("<|", "") for t in texts]):
+        ids, bounds = words.of(pa.array(part))
+        for i, t in enumerate(part):
+            assert ids[bounds[i]:bounds[i + 1]].tolist() == ids_of(t)[:-1], t
+
+
+@pytest.mark.parametrize("most", [3, 10, 15])
+def test_short_documents_need_little_padding(spark, most):
+    docs = spark.range(6000).selectExpr("id AS doc_id", f"repeat('a ', int(id % {most})) AS text")
+    rows = packing.pack(docs.coalesce(2), PATH).collect()
+    sequences = defaultdict(list)
+    for r in rows:
+        sequences[r.sequence_id].append(r.length)
+    padding = sum(0 if sum(x) & (sum(x) - 1) == 0 else 2048 - sum(x) for x in sequences.values())
+    total = sum(map(sum, sequences.values()))
+    assert padding <= 0.03 * total and max(map(len, sequences.values())) <= packing.SEGMENTS
+    assert total == sum(i % most + 1 for i in range(6000))
