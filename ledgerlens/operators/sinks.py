@@ -23,10 +23,26 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     w.parquet(path)
 
 
-def write_sections(df: DataFrame, path: str, mode: str = "append") -> None:
-    """K2: one row per (ticker, fiscal_year, section), partitioned by ticker
-    and year so later reads prune partitions."""
-    df.write.mode(mode).partitionBy("ticker", "fiscal_year").parquet(path)
+def spread_by_bytes(df: DataFrame, by: str, size: str, keys: Sequence[str], file_bytes: int) -> DataFrame:
+    """``df`` dealt out for a write that is partitioned by ``by``: each value's
+    rows go to as many tasks as their bytes (column ``size``) fill files of
+    ``file_bytes``, by a hash of ``keys``. A value that holds most rows is
+    spread, small values are one file each. ``df`` is read twice: pass a
+    staged table."""
+    parts = df.groupBy(by).agg(F.greatest(F.ceil(F.sum(size) / file_bytes), F.lit(1)).cast("int").alias("_parts"))
+    tasks = parts.agg(F.sum("_parts")).first()[0] or 1
+    named = parts.withColumnRenamed(by, "_by")
+    salted = df.join(named, F.col(by).eqNullSafe(F.col("_by"))).withColumn("_salt", F.pmod(F.xxhash64(*keys), F.col("_parts")))
+    return salted.repartition(int(tasks), by, "_salt").drop("_by", "_parts", "_salt")
+
+
+def write_sections(df: DataFrame, path: str, mode: str = "append", file_bytes: int = 128 << 20) -> None:
+    """K2: one row per (ticker, fiscal_year, section), partitioned by year, in
+    files of about ``file_bytes`` of text. Adds ``n_bytes``, the bytes of each
+    section, so that later runs need not read the texts back."""
+    rows = stage_table(df.withColumn("n_bytes", F.octet_length("section_text")), "sections")
+    out = spread_by_bytes(rows, "fiscal_year", "n_bytes", ["ticker", "section"], file_bytes)
+    out.write.mode(mode).partitionBy("fiscal_year").parquet(path)
 
 
 def materialised_keys(done: DataFrame, keys: Sequence[str], text: str = "section_text",

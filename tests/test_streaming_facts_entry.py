@@ -39,6 +39,53 @@ def test_incremental_stream_skips_materialised(spark):
     assert spark.read.parquet(out).count() == 4
 
 
+def _sections(spark, inc, out):
+    return sorted((r.ticker, r.fiscal_year, r.section) for r in inc.read_sections(spark, out).collect())
+
+
+def test_a_backlog_of_one_year_is_dealt_out_and_admitted_in_batches(spark):
+    from ledgerlens.streaming import incremental as inc
+    root = tempfile.mkdtemp(prefix="ll-stream-")
+    src, out = os.path.join(root, "html"), os.path.join(root, "sections")
+    os.makedirs(src)
+    for i in range(7):
+        with open(os.path.join(src, f"F{i}_2006.html"), "w") as f:
+            f.write(_html(f"firm {i}"))
+    inc.run(spark, src, out, max_files=4, file_bytes=3000)
+    assert _sections(spark, inc, out) == sorted((f"F{i}", 2006, s) for i in range(7) for s in ("risk_factors", "mda"))
+    rows = inc.ledger(spark, out).collect()
+    assert len(rows) == 2 and sum(r.n_sections for r in rows) == 14
+    assert sum(r.n_bytes for r in rows) == inc.read_sections(spark, out).agg(F.sum("n_bytes")).first()[0]
+    # the first batch: 8 sections of some 1,200 bytes of one year, in several tasks and files
+    year = os.path.join(out, f"batch={min(r.batch for r in rows)}", "fiscal_year=2006")
+    assert 2 <= sum(f.endswith(".parquet") for f in os.listdir(year)) <= 4
+
+
+def test_a_replayed_batch_leaves_no_double_rows(spark, monkeypatch):
+    import pytest
+
+    from ledgerlens.streaming import incremental as inc
+    out = os.path.join(tempfile.mkdtemp(prefix="ll-stream-"), "sections")
+    schema = "ticker string, fiscal_year int, html string"
+    one = spark.createDataFrame([("AAA", 2006, _html("a")), ("BBB", None, _html("b"))], schema)
+    # the job ends after the write, before the batch is entered
+    enter = inc._enter
+    monkeypatch.setattr(inc, "_enter", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        inc.process_batch(one, out, batch_id=0)
+    monkeypatch.setattr(inc, "_enter", enter)
+    assert _sections(spark, inc, out) == []
+    for _ in range(2):  # replayed, and delivered once more after it was entered
+        inc.process_batch(one, out, batch_id=0)
+        assert inc.read_sections(spark, out).count() == 4
+    # another batch with a known file and a new one writes the new one only
+    inc.process_batch(one.union(spark.createDataFrame([("CCC", 2006, _html("c"))], schema)).where("ticker <> 'BBB'"), out, batch_id=1)
+    assert [r.n_sections for r in inc.ledger(spark, out).orderBy("batch").collect()] == [4, 2]
+    # nothing new: the batch is entered, with no rows
+    inc.process_batch(one.where("ticker = 'AAA'"), out, batch_id=2)
+    assert inc.read_sections(spark, out).count() == 6 and inc.ledger(spark, out).count() == 3
+
+
 @needs_reference
 def test_structured_facts_latest_and_fallback(spark):
     from ledgerlens.operators import facts as fct
