@@ -12,7 +12,11 @@ lands in one task.
 
 from __future__ import annotations
 
+import re
+import sys
+import uuid
 from collections.abc import Callable, Iterator, Sequence
+from types import ModuleType
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -54,23 +58,54 @@ def lexicon_scorer(positive: Sequence[str] = POSITIVE_TERMS,
     return score
 
 
-def model_scorer(predict: Callable[[list[str]], list[tuple[str, float]]],
-                 batch_size: int = 32) -> Callable[[Column], Column]:
-    """N1 pluggable: wrap a batch predictor ``list[str] -> [(label, score)]``
-    as an iterator pandas UDF (loaded once per Python worker, Arrow
-    batches, ``batch_size`` sentences per call)."""
+def word_ends(text: str) -> list[int]:
+    """Ends of the runs outside white space."""
+    return [m.end() for m in re.finditer(r"\S+", text)]
+
+
+def per_worker(key: str, make: Callable[[], object]) -> object:
+    """``make()``, called once in a Python worker process for each ``key``.
+    Functions travel to workers by value and have no module of their own
+    there, so a named place among the interpreter's modules holds the object."""
+    place = sys.modules.setdefault("_per_worker", ModuleType("_per_worker")).__dict__
+    if key not in place:
+        place[key] = make()
+    return place[key]
+
+
+def model_scorer(predict: Callable[[list[str]], list[tuple[str, float]]] | None = None, batch_size: int = 32,
+                 load: Callable[[], Callable[[list[str]], list[tuple[str, float]]]] | None = None,
+                 max_tokens: int | None = None,
+                 token_ends: Callable[[str], list[int]] = word_ends) -> Callable[[Column], Column]:
+    """N1 pluggable: a batch predictor ``list[str] -> [(label, score)]`` as an
+    iterator pandas UDF.
+
+    A model is made by ``load`` once per Python worker process, not per task
+    (``predict`` is a predictor that needs no loading). Texts longer than
+    ``max_tokens`` tokens, whose ends ``token_ends`` gives, are cut behind the
+    last one (models commonly take 512; off by default). Texts of similar
+    length are predicted together, ``batch_size`` a call, and results go back
+    to their rows. A NULL text is empty."""
+    if (predict is None) == (load is None):
+        raise ValueError("either a predictor or its loader")
     schema = T.StructType([T.StructField("label", T.StringType()), T.StructField("score", T.DoubleType())])
+    key = uuid.uuid4().hex
 
     @F.pandas_udf(schema)
     def _score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = predict or per_worker(key, load)
         for s in batches:
-            labels, scores = [], []
             texts = s.fillna("").tolist()
-            for i in range(0, len(texts), batch_size):
-                for lab, sc in predict(texts[i:i + batch_size]):
-                    labels.append(lab)
-                    scores.append(float(sc))
-            yield pd.DataFrame({"label": labels, "score": scores})
+            ends = [token_ends(t) for t in texts]
+            if max_tokens is not None:
+                texts = [t[:e[max_tokens - 1]] if len(e) > max_tokens else t for t, e in zip(texts, ends)]
+            order = sorted(range(len(texts)), key=lambda i: (len(ends[i]), i))
+            found: list = [None] * len(texts)
+            for i in range(0, len(order), batch_size):
+                some = order[i:i + batch_size]
+                for k, (label, score) in zip(some, model([texts[k] for k in some])):
+                    found[k] = (label, float(score))
+            yield pd.DataFrame(found, columns=["label", "score"])
 
     return lambda c: _score(c)
 

@@ -1205,6 +1205,23 @@ def model_scores(spark, sf_dir):
     return sen.score_sentences(q, sen.model_scorer(_length_model)).drop("text")
 
 
+# the same model, made by a loader in each worker, on the first 15 tokens
+CUT_TOKENS = 15
+
+
+@register("model_scores_cut", _SENT_BASE + f"""
+, c AS (SELECT doc_id, sentence_no, regexp_extract(sentence, '^{TX.WS}*(?:{TX.NON_WS}+{TX.WS}+){{0,{CUT_TOKENS - 1}}}{TX.NON_WS}+') AS cut
+  FROM sentences WHERE {O.quality_sql('sentence')})
+, q AS (SELECT *, (length(cut) - length(replace(cut, 'e', ''))) / length(cut) AS share FROM c)
+SELECT doc_id, sentence_no, CASE WHEN share > 0.13 THEN 'positive' WHEN share < 0.1 THEN 'negative' ELSE 'neutral' END AS label,
+  share AS score FROM q
+""")
+def model_scores_cut(spark, sf_dir):
+    q = sen.quality_sentences(_table(spark, sf_dir, "documents", balance=True).select("doc_id", "text"), "text", ["doc_id"])
+    scorer = sen.model_scorer(load=lambda: _length_model, max_tokens=CUT_TOKENS)
+    return sen.score_sentences(q, scorer).drop("text")
+
+
 _SIX = ["leverage_ratio", "cash_coverage", "net_income", "provision_for_losses", "risk_total_crisis_density", "risk_section_wc"]
 _SIX_BASE = f"""
 WITH rf AS ({RATIO_SQL}),

@@ -4,6 +4,7 @@ import json
 import os
 import subprocess
 import sys
+import tempfile
 
 from pyspark.sql import functions as F
 
@@ -104,6 +105,30 @@ def test_model_scorer_batches(spark):
     assert got[0] == ("negative", 0.06) and got[2] == ("positive", 0.0) and got[4][0] == "negative" and len(got) == 7
 
 
+def test_model_is_loaded_once_per_worker_and_texts_are_cut(spark):
+    import pathlib
+    import uuid
+
+    loads = tempfile.mkdtemp(prefix="ll-loads-")
+
+    def load():
+        pathlib.Path(loads, f"{os.getpid()}-{uuid.uuid4().hex}").touch()
+
+        def predict(texts):  # a model that takes 512 tokens and no more
+            assert all(len(t.split()) <= 512 for t in texts)
+            return [("negative" if "loss" in t.split() else "positive", float(len(t.split()))) for t in texts]
+        return predict
+
+    rows = [(i, " ".join(["gain"] * (i * 37 % 900) + ["loss"] + ["gain"] * (i * 11 % 300))) for i in range(120)] + [(-1, None), (-2, "  ")]
+    df = spark.createDataFrame(rows, "sentence_no int, sentence string").repartition(12)
+    want = {i: ("negative" if "loss" in (t or "").split()[:512] else "positive", float(min(512, len((t or "").split())))) for i, t in rows}
+    for size in (1, 7, 32):
+        scorer = sen.model_scorer(load=load, batch_size=size, max_tokens=512)
+        assert {r.sentence_no: (r.label, r.score) for r in sen.score_sentences(df, scorer).collect()} == want
+        made = [f.split("-")[0] for f in os.listdir(loads)]
+        assert max(map(made.count, made)) <= {1: 1, 7: 2, 32: 3}[size]
+
+
 def test_most_negative_needs_enough_sentences(spark):
     rows = [("a", 1, i, "negative", 0.5 + i / 100, f"s{i}") for i in range(10)]
     rows += [("b", 2, 0, "negative", 0.9, "few")] + [("c", 3, i, "neutral", 0.5, "x") for i in range(12)]

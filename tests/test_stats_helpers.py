@@ -32,6 +32,40 @@ def test_exact_mann_whitney_by_enumeration():
             assert abs(mw_exact_sf(u, n1, n2) - want) < 1e-12
 
 
+def _counts_by_products(m, n):
+    """Subsets of size m of 1..m+n by rank sum less its least, by adding one
+    number after the other."""
+    ways = [[0] * (m * n + 1) for _ in range(m + 1)]
+    ways[0][0] = 1
+    for number in range(n + m):
+        for k in range(min(m, number + 1), 0, -1):
+            step = number - (k - 1)
+            if step <= n:
+                for x in range(m * n, step - 1, -1):
+                    ways[k][x] += ways[k - 1][x - step]
+    return ways[m]
+
+
+def test_exact_tail_of_larger_samples_and_bounded_memory():
+    import math
+    import tracemalloc
+
+    for m, n in ((1, 4), (3, 7), (5, 12), (8, 20), (13, 15)):
+        ways = _counts_by_products(m, n)
+        assert sum(ways) == math.comb(m + n, m)
+        for u in range(-1, m * n + 2):
+            want = sum(ways[max(u, 0):]) / math.comb(m + n, m)
+            assert abs(mw_exact_sf(u, n, m) - want) < 1e-14, (m, n, u)
+    tracemalloc.start()
+    got = mw_exact_sf(6_000_000, 8, 1_000_000)
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+    # close to the normal tail, whose variance is known
+    z = (6_000_000 - 4_000_000) / math.sqrt(8e6 * 1_000_009 / 12)
+    assert abs(got - 0.5 * math.erfc(z / math.sqrt(2))) < 2e-3
+    assert mw_exact_sf(8_000_000, 8, 1_000_000) == 1 / math.comb(1_000_008, 8)
+
+
 def test_mann_whitney_p_bounds_and_branches():
     assert mann_whitney_p(6.0, 3, 4, 0.0, exact_max_n=8) <= 1.0
     assert mann_whitney_p(0.0, 3, 4, 0.0, exact_max_n=8) == 2 * mw_exact_sf(12, 3, 4)
