@@ -1076,6 +1076,47 @@ def fact_tag_fallback(spark, sf_dir):
     return out.select("cik", "end", "field", "tag", "val", "accn", "filed")
 
 
+# the same over durations, as filed by given days
+_SHIP_PRIO = ", ".join(f"('{f}', '{t}', {i})" for f, tags in S.SHIP_FIELD_TAGS.items() for i, t in enumerate(tags))
+
+
+@register("facts_as_filed", f"""
+WITH line AS (
+  SELECT l_suppkey AS cik, l_returnflag || l_linestatus AS tag,
+    CAST(date_trunc('month', CAST(l_shipdate AS DATE) + CAST(l_linenumber * 40 AS INTEGER)) AS DATE) AS filed,
+    CAST(l_quantity AS BIGINT) AS q, CAST(l_shipdate AS DATE) AS ship FROM lineitem),
+facts AS (
+  SELECT cik, tag, start, "end", filed, CAST(sum(q) AS BIGINT) AS val FROM (
+    SELECT cik, tag, filed, q, CAST(date_trunc('quarter', ship) AS DATE) AS start,
+      CAST(date_trunc('quarter', ship) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS "end" FROM line
+    UNION ALL
+    SELECT cik, tag, filed, q, CAST(date_trunc('year', ship) AS DATE),
+      CAST(date_trunc('year', ship) + INTERVAL 1 YEAR - INTERVAL 1 DAY AS DATE) FROM line)
+  GROUP BY cik, tag, start, "end", filed),
+spans AS (
+  SELECT *, CASE WHEN "end" - start + 1 BETWEEN 80 AND 100 THEN 'quarter' WHEN "end" - start + 1 BETWEEN 350 AND 380 THEN 'year'
+      ELSE 'other' END AS period FROM facts),
+days AS (
+  SELECT s_suppkey AS cik, CAST(d AS DATE) + CAST(s_suppkey % 97 AS INTEGER) AS as_of
+  FROM supplier, (VALUES ('1996-05-31'), ('1998-02-01'), ('2001-02-01')) t(d)),
+known AS (
+  SELECT d.as_of, s.*, row_number() OVER (PARTITION BY s.cik, d.as_of, s.tag, s."end", s.period ORDER BY s.filed DESC) AS rn
+  FROM spans s JOIN days d ON d.cik = s.cik AND s.filed <= d.as_of),
+prio AS (SELECT * FROM (VALUES {_SHIP_PRIO}) p(field, tag, priority)),
+best AS (
+  SELECT k.*, p.field, row_number() OVER (PARTITION BY k.cik, k.as_of, k."end", k.period, p.field ORDER BY p.priority) AS rn2
+  FROM known k JOIN prio p ON k.tag = p.tag WHERE k.rn = 1)
+SELECT cik, CAST(as_of AS VARCHAR) AS as_of, field, period, CAST("end" AS VARCHAR) AS "end", tag, val, CAST(filed AS VARCHAR) AS filed
+FROM best WHERE rn2 = 1
+""")
+def facts_as_filed(spark, sf_dir):
+    f = S.ship_facts(spark, sf_dir).withColumn("period", fct.period_class())
+    known = fct.as_filed(f, S.supplier_days(spark, sf_dir))
+    out = fct.facts_by_field(known, fct.tag_priorities(spark, S.SHIP_FIELD_TAGS), keys=("cik", "as_of", "end", "period"))
+    text = [F.col(c).cast("string").alias(c) for c in ("as_of", "end", "filed")]
+    return out.select("cik", "field", "period", "tag", "val", *text)
+
+
 # ======================================================================
 # Flow 1 end to end: index -> annual filings -> firms -> HTML -> line items
 # ======================================================================

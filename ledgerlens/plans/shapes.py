@@ -422,3 +422,33 @@ def event_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.format_string("%010d", F.col("event_id")).alias("accn"),
                     F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("filed"),
                     F.lit("10-K").alias("form"), F.lit("FY").alias("fp"))
+
+
+# flag and status of a line as tags, some of them fallbacks of others
+SHIP_FIELD_TAGS = {"returned": ["RF", "RO"], "kept": ["AF", "AO"], "open": ["NO", "NF"]}
+
+
+def ship_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem as duration facts: company = supplier, tag = flag and status,
+    value = quantity shipped in a quarter or a year (both end on the same day
+    once a year), as of the filing; lines are filed 40 days times their number
+    after shipping, at the start of the month, so facts are restated."""
+    li = table(spark, sf_dir, "lineitem", balance=True)
+    ship = F.col("l_shipdate").cast("date")
+    filed = F.trunc(F.date_add(ship, F.col("l_linenumber") * 40), "MM")
+
+    def spans(unit, months):
+        start = F.trunc(ship, unit)
+        return F.struct(start.alias("start"), F.date_sub(F.add_months(start, months), 1).alias("end"))
+    x = li.select(F.col("l_suppkey").alias("cik"), F.concat("l_returnflag", "l_linestatus").alias("tag"), filed.alias("filed"),
+                  F.col("l_quantity").cast("bigint").alias("q"), F.explode(F.array(spans("QUARTER", 3), spans("YEAR", 12))).alias("s"))
+    x = x.groupBy("cik", "tag", "s.start", "s.end", "filed").agg(F.sum("q").alias("val"))
+    return x.withColumn("accn", F.concat_ws("-", F.lpad(F.col("cik").cast("string"), 10, "0"), F.date_format("filed", "yy-MM")))
+
+
+def supplier_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """supplier -> (cik, as_of): three days each, shifted by supplier."""
+    s = table(spark, sf_dir, "supplier")
+    day = F.explode(F.array(*[F.to_date(F.lit(d)) for d in ("1996-05-31", "1998-02-01", "2001-02-01")]))
+    return s.select(F.col("s_suppkey").alias("cik"), F.pmod(F.col("s_suppkey"), F.lit(97)).cast("int").alias("_k"), day.alias("_d")).select(
+        "cik", F.date_add("_d", F.col("_k")).alias("as_of"))

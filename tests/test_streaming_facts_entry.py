@@ -103,6 +103,30 @@ def test_structured_facts_latest_and_fallback(spark):
     assert "ShortTermBorrowings" in jpm
 
 
+def test_facts_as_filed_with_durations_and_restatements(spark):
+    import datetime as dt
+
+    from ledgerlens.operators import facts as fct
+    d = dt.date.fromisoformat
+    rows = [(1, "A", "2007-10-01", "2007-12-31", 10, "a1", "2008-02-01"),   # the quarter
+            (1, "A", "2007-01-01", "2007-12-31", 40, "a1", "2008-02-01"),   # the year, same end
+            (1, "A", "2007-01-01", "2007-12-31", 44, "a2", "2008-08-15"),   # restated
+            (1, "A", "2007-01-01", "2007-12-31", 45, "a3", "2008-08-15"),   # twice that day
+            (1, "A", None, "2007-12-31", 7, "a1", "2008-02-01"), (1, "A", "2007-12-01", "2007-12-31", 3, "a1", "2008-02-01"),
+            (2, "A", "2007-01-01", "2007-12-31", 99, "b1", "2009-01-01"), (2, "A", "2007-01-01", "2007-12-31", 98, "b0", None),
+            (3, "A", "2007-01-01", "2007-12-31", 5, "c1", "2000-01-01")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "cik int, tag string, start string, end string, val int, accn string, filed string, _last string")
+    df = df.withColumn("period", fct.period_class())
+    assert {r.period for r in df.collect()} == {"quarter", "year", "instant", "other"}
+    days = [(1, d(x)) for x in ("2008-01-31", "2008-02-01", "2008-08-14", "2008-08-15", "2030-01-01", "2030-01-01")] + [
+        (2, d("2008-12-31")), (2, d("2009-01-31")), (2, None), (4, d("2009-01-01"))]
+    got = fct.as_filed(df.drop("_last"), spark.createDataFrame(days, "cik int, as_of date"))
+    year = {(r.cik, str(r.as_of)): r.val for r in got.where("period = 'year'").collect()}
+    assert year == {(1, "2008-02-01"): 40, (1, "2008-08-14"): 40, (1, "2008-08-15"): 45, (1, "2030-01-01"): 45, (2, "2009-01-31"): 99}
+    assert got.where("period = 'quarter'").count() == 4 and got.where("period = 'instant' and val = 7").count() == 4
+    assert fct.as_filed(df.drop("_last").limit(0), spark.createDataFrame(days, "cik int, as_of date")).count() == 0
+
+
 @needs_testdata
 def test_driver_contract(spark):
     import __spark_entry__ as E
