@@ -879,6 +879,52 @@ def distinct_firms(spark, sf_dir):
     return fr.distinct_firms(S.panel(spark, sf_dir))
 
 
+# ======================================================================
+# Input order: first matches, order of appearance, sorted positions
+# ======================================================================
+from ..operators import order as od  # noqa: E402
+
+_SEEN = "seen AS (SELECT *, row_number() OVER () AS r FROM {})"
+
+
+@register("firms_by_appearance", f"""
+WITH {_SEEN.format("orders")},
+firsts AS (SELECT o_custkey AS cik, min(r) AS r FROM seen GROUP BY o_custkey)
+SELECT f.cik, s.o_orderkey AS first_order, s.o_totalprice AS first_price,
+  CAST(row_number() OVER (ORDER BY f.r) - 1 AS BIGINT) AS position
+FROM firsts f JOIN seen s ON s.r = f.r
+""")
+def firms_by_appearance(spark, sf_dir):
+    o = od.with_ordinal(_table(spark, sf_dir, "orders")).select(
+        F.col("o_custkey").alias("cik"), F.col("o_orderkey").alias("first_order"), F.col("o_totalprice").alias("first_price"), od.ORDINAL)
+    return od.in_order_of_appearance(o, ["cik"])
+
+
+# The first line in file order of each order, looked up from the orders
+@register("first_match_lookup", f"""
+WITH {_SEEN.format("lineitem")},
+firsts AS (SELECT l_orderkey, min(r) AS r FROM seen GROUP BY l_orderkey)
+SELECT o.o_orderkey, s.l_partkey, s.l_suppkey, s.l_extendedprice
+FROM orders o LEFT JOIN firsts f ON f.l_orderkey = o.o_orderkey LEFT JOIN seen s ON s.r = f.r
+""")
+def first_match_lookup(spark, sf_dir):
+    li = od.with_ordinal(_table(spark, sf_dir, "lineitem")).select("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", od.ORDINAL)
+    first = od.first_in_order(li, ["l_orderkey"]).drop(od.ORDINAL)
+    o = _table(spark, sf_dir, "orders").select("o_orderkey")
+    return o.join(first, F.col("o_orderkey") == F.col("l_orderkey"), "left").drop("l_orderkey")
+
+
+# Firms by status and name, each firm's years in order
+@register("panel_positions", f"""
+WITH p AS (SELECT * FROM ({_with(O.PANEL_CTE)} SELECT * FROM panel))
+SELECT status, firm, fiscal_year,
+  CAST(row_number() OVER (ORDER BY status NULLS FIRST, firm NULLS FIRST, fiscal_year NULLS FIRST) - 1 AS BIGINT) AS position FROM p
+""")
+def panel_positions(spark, sf_dir):
+    p = S.panel(spark, sf_dir).select("status", "firm", "fiscal_year")
+    return od.numbered(p, ["status", "firm", "fiscal_year"])
+
+
 @register("sentiment_series", _SECTION_SENT_SQL + """
 SELECT firm, fiscal_year, section, status, score, negative_pct FROM (
   SELECT s.firm, s.fiscal_year, s.section, d.status, s.sentiment_score AS score, s.negative_ratio * 100 AS negative_pct,
