@@ -141,10 +141,19 @@ def mann_whitney(long: DataFrame, group: str = "status",
     Rows of any other group, or of none, take no part. Counts are doubles
     before they are multiplied: a value shared by millions of rows does not
     overflow."""
+    return mann_whitney_from_counts(value_counts(long, group, groups))
+
+
+def value_counts(long: DataFrame, group: str = "status", groups: Sequence[str] = ("failed", "survived")) -> DataFrame:
+    """(feature, value, _cnt, _c1): how often a value occurs in both groups and
+    in the first. Rows of any other group, or of none, take no part."""
     first, second = groups
     g = long.where(F.col(group).isin(first, second)).withColumn("_in1", (F.col(group) == first).cast("int"))
-    per_value = g.groupBy("feature", "value").agg(
-        F.count(F.lit(1)).alias("_cnt"), F.sum("_in1").alias("_c1"))
+    return g.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("_cnt"), F.sum("_in1").alias("_c1"))
+
+
+def mann_whitney_from_counts(per_value: DataFrame) -> DataFrame:
+    """A5 from ``value_counts``."""
     ranked = ranks_from_counts(per_value, ["feature"], "value")
     c = F.col("_cnt").cast("double")
     agg = ranked.groupBy("feature").agg(

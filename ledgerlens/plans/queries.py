@@ -879,6 +879,34 @@ def distinct_firms(spark, sf_dir):
     return fr.distinct_firms(S.panel(spark, sf_dir))
 
 
+# ======================================================================
+# Merged states: the tests over two batches of documents, no text read twice
+# ======================================================================
+from ..operators import state as sta  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+
+
+def _two_batches(spark, sf_dir, reduce, merge):
+    """The state after the labelled documents in English and then the others."""
+    path = scratch_path(spark, "state")
+    docs = S.labelled_features(spark, sf_dir, keep=["lang"])
+    for i, part in enumerate((F.col("lang") == "en", ~F.coalesce(F.col("lang") == "en", F.lit(False)))):
+        new = reduce(st.melt(docs.where(part), _STAT_FEATURES, ["status"]))
+        state = sta.update(spark, path, i, new, merge)
+    return state
+
+
+@register("welch_merged", REGISTRY["welch_cohen"][1])
+def welch_merged(spark, sf_dir):
+    return st.welch(sta.group_moments(_two_batches(spark, sf_dir, sta.moments, sta.merge_moments)))
+
+
+@register("mann_whitney_merged", REGISTRY["mann_whitney_u"][1])
+def mann_whitney_merged(spark, sf_dir):
+    state = _two_batches(spark, sf_dir, sta.counted, lambda a, b: sta.merge_counts(a, b, ["_cnt", "_c1"]))
+    return st.mann_whitney_from_counts(state)
+
+
 # ======================================================================
 # Input order: first matches, order of appearance, sorted positions
 # ======================================================================

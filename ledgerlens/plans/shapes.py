@@ -298,7 +298,7 @@ DOC_POSITIVE = ["an", "en"]
 DOC_NEGATIVE = ["ou", "re"]
 
 
-def labelled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+def labelled_features(spark: SparkSession, sf_dir: str, keep: list[str] | None = None) -> DataFrame:
     """documents joined to labels: status 'failed' for quality 0, else
     'survived'; features n_chars, words, article_density (per 1000 words),
     toxic."""
@@ -308,7 +308,7 @@ def labelled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = d.join(lab, "doc_id")
     words = word_count(F.col("text"))
     return j.select(
-        "doc_id",
+        "doc_id", *(keep or []),
         F.when(F.col("quality") == 0, "failed").otherwise("survived").alias("status"),
         F.col("n_chars").cast("double").alias("n_chars"),
         words.cast("double").alias("words"),
