@@ -1,16 +1,19 @@
 """Substring deduplication by content-defined chunking.
 
 A gear rolling hash runs over a text's bytes; a chunk ends where the top bits
-of the hash of the last 32 bytes are zero, so an insertion moves only the
-chunks around it. Chunks are at least ``LEAST`` and at most ``MOST`` bytes. Chunks
-with equal digests are copies; the copy in the document with the smallest id
-(there the first) stays. Copies are removed where a run of neighbouring
-repeated chunks has at least ``RUN`` bytes, so that short phrases that texts
-share by chance stay.
+of the hash of the last ``WINDOW`` bytes are zero, so an insertion moves only
+the chunks around it. Chunks are short (at least ``LEAST`` and at most ``MOST``
+bytes, 28 on average), since up to the first common cut of a repeated passage,
+and after the last, nothing of it is found. Chunks with equal digests are
+copies; the copy in the document with the smallest id (there the first)
+stays. Copies are removed where a run of neighbouring repeated chunks has at
+least ``RUN`` bytes, ``SAME`` of them first seen in one document, so that short
+phrases that texts share by chance stay.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -22,16 +25,17 @@ from pyspark.sql import functions as F
 from .common import stage, text_slices, utf8
 
 #: A chunk ends at one position in 2 ** CUT_BITS.
-CUT_BITS, LEAST, MOST = 6, 24, 512
-RUN = 128
-GEAR = np.random.default_rng(31337).integers(0, 2 ** 32, 256, dtype=np.uint32)
+CUT_BITS, LEAST, MOST = 4, 12, 256
+WINDOW = 16
+RUN, SAME = 160, 96
+GEAR = np.random.default_rng(31337).integers(0, 2 ** WINDOW, 256, dtype=np.uint16)
 
 
 def gear_hashes(raw: np.ndarray) -> np.ndarray:
-    """Rolling hash at each byte, of the 32 bytes that end there."""
+    """Rolling hash at each byte, of the ``WINDOW`` bytes that end there."""
     h = GEAR[raw]
-    for s in (1, 2, 4, 8, 16):
-        h[s:] = h[s:] + (h[:-s] << np.uint32(s))
+    for s in (1, 2, 4, 8):
+        h[s:] = h[s:] + (h[:-s] << np.uint16(s))
     return h
 
 
@@ -39,7 +43,7 @@ def cuts(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """Per text, the ends of its chunks (relative to the text)."""
     after = np.zeros(len(raw), bool)
     if len(raw):
-        after = (gear_hashes(raw) >> np.uint32(32 - CUT_BITS)) == 0
+        after = (gear_hashes(raw) >> np.uint16(WINDOW - CUT_BITS)) == 0
         # a chunk does not end inside a character
         after[:-1] &= (raw[1:] & 0xC0) != 0x80
     spots = np.flatnonzero(after) + 1
@@ -51,8 +55,8 @@ def cuts(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
             continue
         ends, last = [], a
         for e in spots[x:y].tolist() + [b]:
-            # the hash of the first 31 bytes would hold bytes before the text
-            if e != b and (e - last < LEAST or e - a < 32):
+            # the hash of the first bytes would hold bytes before the text
+            if e != b and (e - last < LEAST or e - a < WINDOW):
                 continue
             while e - last > MOST:
                 last += MOST
@@ -65,7 +69,8 @@ def cuts(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-CHUNKS = "doc_id bigint, no int, start int, size int, d1 bigint, d2 bigint, again boolean"
+#: 64-bit digests: a chance equality is one chunk, never a run.
+CHUNKS = "doc_id bigint, start int, size int, digest bigint, again boolean"
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,26 +78,22 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = b.column(b.schema.get_field_index("doc_id")).cast(pa.int64())
         raw, offsets = utf8(b.column(b.schema.get_field_index("text")))
         data = raw.tobytes()
-        owner, no, start, size, digests, again = [], [], [], [], [], []
+        owner, start, size, digests, again = [], [], [], [], []
         for i, ends in enumerate(cuts(raw, offsets)):
             base, last, seen = int(offsets[i]), 0, set()
-            for k, e in enumerate(ends.tolist()):
-                d = blake2b(data[base + last:base + e], digest_size=16).digest()
+            for e in ends.tolist():
+                d = blake2b(data[base + last:base + e], digest_size=8).digest()
                 again.append(d in seen)
                 seen.add(d)
                 digests.append(d)
                 start.append(last)
                 size.append(e - last)
-                no.append(k)
                 last = e
             owner.append(np.full(len(ends), i))
         if digests:
-            pair = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(np.concatenate(owner))), pa.array(no, pa.int32()), pa.array(start, pa.int32()),
-                 pa.array(size, pa.int32()), pa.array(np.ascontiguousarray(pair[:, 0])),
-                 pa.array(np.ascontiguousarray(pair[:, 1])), pa.array(again)],
-                [c.split()[0] for c in CHUNKS.split(", ")])
+                [ids.take(pa.array(np.concatenate(owner))), pa.array(start, pa.int32()), pa.array(size, pa.int32()),
+                 pa.array(np.frombuffer(b"".join(digests), np.int64)), pa.array(again)], [c.split()[0] for c in CHUNKS.split(", ")])
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
@@ -103,12 +104,12 @@ def chunk_table(docs: DataFrame) -> DataFrame:
 
 def repeated(chunks: DataFrame) -> DataFrame:
     """The chunks that are copies of an earlier one (all but the first of the
-    document with the smallest id). ``chunks`` must be staged."""
-    first = (chunks.where(~F.col("again") & F.col("doc_id").isNotNull()).groupBy("d1", "d2")
-             .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("first") < F.col("last")))
-    other = chunks.where(~F.col("again")).join(first, ["d1", "d2"]).where(F.col("doc_id") != F.col("first"))
-    return other.select("doc_id", "no", "start", "size").union(
-        chunks.where(F.col("again") & F.col("doc_id").isNotNull()).select("doc_id", "no", "start", "size"))
+    document with the smallest id, ``source``). ``chunks`` must be staged."""
+    known = chunks.where(F.col("doc_id").isNotNull())
+    first = (known.groupBy("digest").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"), F.max("again").alias("twice"))
+             .where(F.col("twice") | (F.col("source") < F.col("last"))).select("digest", "source"))
+    return (known.join(first, "digest").where(F.col("again") | (F.col("doc_id") != F.col("source")))
+            .select("doc_id", "start", "size", "source"))
 
 
 def _cut(schema_names: list[str]):
@@ -137,13 +138,13 @@ def _cut(schema_names: list[str]):
 
 def _runs(copies: list[dict]) -> list[tuple[int, int]]:
     """Bytes of the runs of neighbouring copies that are long enough."""
-    out: list[list[int]] = []
-    for no, start, size in sorted({(c["no"], c["start"], c["size"]) for c in copies}):
-        if out and out[-1][2] == no - 1 and out[-1][1] == start:
-            out[-1][1:] = [start + size, no]
-        else:
-            out.append([start, start + size, no])
-    return [(a, e) for a, e, _ in out if e - a >= RUN]
+    out: list[tuple[list[int], Counter]] = []
+    for start, size, source in sorted({(c["start"], c["size"], c["source"]) for c in copies}):
+        if not out or out[-1][0][1] != start:
+            out.append(([start, start], Counter()))
+        out[-1][0][1] = start + size
+        out[-1][1][source] += size
+    return [(a, e) for (a, e), of in out if e - a >= RUN and max(of.values()) >= SAME]
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
@@ -153,10 +154,12 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     Every row stays; NULL and empty texts stay as they are. Rows with a NULL
     doc_id are neither cut nor a reason to cut others. Rows that share a
-    doc_id count as one document."""
+    doc_id count as one document. Columns named ``removed`` or ``removed_bytes``
+    give way to the result's."""
+    docs = docs.drop("removed", "removed_bytes")
     chunks = stage(chunk_table(docs), "chunks")
     copies = repeated(chunks).groupBy("doc_id").agg(
-        F.sort_array(F.collect_set(F.struct("no", "start", "size"))).alias("_copies"))
+        F.sort_array(F.collect_set(F.struct("start", "size", "source"))).alias("_copies"))
     joined = docs.join(copies.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
     names = [*docs.columns, "removed", "removed_bytes"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)

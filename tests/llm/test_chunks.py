@@ -19,8 +19,8 @@ def bounds(s):
 
 def slow_hash(raw, i):
     h = 0
-    for b in raw[i - 31:i + 1]:
-        h = ((h << 1) + int(chunks.GEAR[b])) & 0xFFFFFFFF
+    for b in raw[i + 1 - chunks.WINDOW:i + 1]:
+        h = ((h << 1) + int(chunks.GEAR[b])) & 0xFFFF
     return h
 
 
@@ -42,7 +42,7 @@ def test_an_insertion_moves_only_near_boundaries():
     a = {s.encode()[x:y] for x, y in zip([0] + bounds(s), bounds(s))}
     t = s[:1500] + "INSERTED" + s[1500:]
     b = {t.encode()[x:y] for x, y in zip([0] + bounds(t), bounds(t))}
-    assert len(a - b) <= 6 and len(a & b) >= 0.8 * len(a)
+    assert len(a - b) <= 10 and len(a & b) >= 0.8 * len(a)
 
 
 def test_passages_go_and_clean_texts_stay(spark):
@@ -64,3 +64,28 @@ def test_passages_go_and_clean_texts_stay(spark):
             kept, last = kept + t[last:a], b
         assert (r.text or "") == kept + t[last:]
     assert chunks.deduplicate(docs.limit(0)).count() == 0
+
+
+def test_passages_of_just_over_fifty_words_are_found(spark):
+    """Planted passages of 51 to 60 words, each in two else different texts;
+    shared sentences of 20 words stay."""
+    rows, spans = [], {}
+    for i in range(120):
+        passage = text(5000 + i, 51 + i % 10)
+        for side in (0, 1):
+            before, after = text(20_000 + 2 * i + side, 20 + i % 60), text(30_000 + 2 * i + side, 15 + i % 45)
+            rows.append((2 * i + side, f"{before} {passage} {after}"))
+        spans[2 * i + 1] = (len(before) + 1, len(before) + 1 + len(passage))
+    short = text(77, 20)
+    rows += [(1000 + i, f"{text(40_000 + i, 60)} {short} {text(50_000 + i, 60)}") for i in range(40)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, removed string")
+    got = {r.doc_id: r for r in chunks.deduplicate(docs).collect()}
+    caught, share = 0, []
+    for i, (a, e) in spans.items():
+        found = [tuple(map(int, s.split(":"))) for s in got[i].removed.split(",") if s]
+        caught += bool(found)
+        share.append(sum(min(e, y) - max(a, x) for x, y in found if x < e and y > a) / (e - a))
+        # a cut lies beside the passage where both texts go on alike by chance
+        assert all(x >= a - 40 and y <= e + 40 for x, y in found)
+    assert caught >= 0.97 * len(spans) and np.mean(share) >= 0.75
+    assert all(got[2 * i].removed_bytes == 0 for i in range(120)) and all(got[i].removed_bytes == 0 for i in range(1000, 1040))
