@@ -26,7 +26,7 @@ give the same model, of all runs.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -299,9 +299,15 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
+def _shared(spark, models: Models):
+    """The models as a broadcast of plain values: workers need not have this
+    package, where the class is."""
+    return spark.sparkContext.broadcast((models.langs, models.keys, models.gain, models.rest, models.calibration))
+
+
 def _measure(shared, calibrated: bool, blocks: list[list]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = replace(shared.value, blocks=blocks)
+        models = Models(*shared.value, blocks)
         memo = SpanMemo(lambda words: word_costs(words, models), LETTERS)
         for b in text_slices(_gathered(batches), "text", GATHER_BYTES) if blocks else text_slices(batches, "text"):
             raw, offsets = utf8(pc.utf8_lower(b.column(b.schema.get_field_index("text")).fill_null("")))
@@ -351,7 +357,7 @@ def fit(docs: DataFrame) -> Models | None:
         models = build(langs, {x: (g["run"].to_numpy().view(np.uint64), g["count"].to_numpy()) for x, g in rows.groupby("lang")})
     else:
         models = build_blocks(langs, counts)
-    shared = spark.sparkContext.broadcast(replace(models, blocks=[]))
+    shared = _shared(spark, models)
     ids = [r.doc_id for r in known.select("doc_id").where("doc_id is not null").distinct()
            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_DOCS).collect()]
     models.calibration = np.array([8.0, 1.0, 0.2, -0.05, -0.5])
@@ -377,7 +383,7 @@ def identify(docs: DataFrame, models: Models | None) -> DataFrame:
     if models is None:
         return docs.select(*(f.name for f in kept), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    shared = docs.sparkSession.sparkContext.broadcast(replace(models, blocks=[]))
+    shared = _shared(docs.sparkSession, models)
     return docs.mapInArrow(_measure(shared, True, models.blocks), f"{schema}, lang_pred string, score double")
 
 

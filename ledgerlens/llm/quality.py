@@ -15,7 +15,7 @@ logits are divided by a temperature fitted on documents it was not trained on.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
@@ -176,7 +176,8 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Network:
 
 def _apply(shared, scored: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, net = shared.value
+        vectors, parts = shared.value
+        net = parts and Network(*parts)
         for b in text_slices(batches, "text"):
             x = pool(b.column(b.schema.get_field_index("text")), vectors)
             names = [f.name for f in b.schema if f.name != "text"]
@@ -218,7 +219,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> tup
 def score(docs: DataFrame, vectors: np.ndarray, net: Network) -> DataFrame:
     """``docs`` without ``text``, plus ``score``; NULL and empty texts have
     the score of no terms."""
-    shared = docs.sparkSession.sparkContext.broadcast((vectors, net))
+    # plain values: workers need not have this package, where the class is
+    shared = docs.sparkSession.sparkContext.broadcast((vectors, tuple(getattr(net, f.name) for f in fields(net))))
     kept = [f for f in docs.schema.fields if f.name != "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     return docs.mapInArrow(_apply(shared, True), f"{schema}, score double")

@@ -41,6 +41,8 @@ _NEXT = {NOTHING: USER, SYSTEM: USER, USER: ASSISTANT, ASSISTANT: USER}
 _DONE = (NOTHING, ASSISTANT)
 ROLE = {USER: "user", ASSISTANT: "assistant"}
 FAULTS = ("", "blank", "duplicate", "truncated")
+#: Layers that a task keeps converged: prices differ little, so few recur.
+CACHED = 1 << 16
 
 
 def _kept(state: int, initial: str) -> int | None:
@@ -52,7 +54,6 @@ def _kept(state: int, initial: str) -> int | None:
     return ASSISTANT if initial == "a" and state == USER else None
 
 
-@lru_cache(maxsize=None)
 def arcs(state: int, initial: str, fault: int) -> tuple[tuple[str, int, int, bool], ...]:
     """(edit, cost, state at the head, whether the row is read) of the arcs at
     a row with this initial (one of s, u, a, -) and fault, least edit first."""
@@ -83,7 +84,6 @@ def auction(origin: int, out: dict, price: dict, converged: set) -> None:
 
 
 #: Nodes of one layer: the states before a row as 0-3, after it as 4-7.
-@lru_cache(maxsize=1 << 16)
 def layer(initial: str, fault: int, after: tuple[int, ...]) -> tuple[int, ...]:
     """Converged prices before a row, from those after it."""
     out = {q: [(cost, to + 4 * read) for _, cost, to, read in arcs(q, initial, fault)] for q in range(4)}
@@ -106,7 +106,6 @@ def _end() -> tuple[int, ...]:
 END = _end()
 
 
-@lru_cache(maxsize=1 << 16)
 def trace(initial: str | None, fault: int, after: tuple[int, ...], state: int) -> tuple[tuple[str, int, int], ...]:
     """(edit, cost, state) along the tight arcs with the least initials, from
     ``state`` before a row until the row is read; without a row
@@ -138,6 +137,7 @@ def _price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Backwards over rows: each row's fault, the rows after it, and the
     prices after it (less the least of them, a byte each)."""
     conv, after, left = object(), END, 0
+    known = lru_cache(maxsize=CACHED)(layer)
 
     def priced(rows: pa.Table, before: tuple | None) -> pa.RecordBatch:
         nonlocal conv, after, left
@@ -154,7 +154,7 @@ def _price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lefts.append(left)
             prices.append(int.from_bytes(bytes(after), "big"))
             if not gone:
-                now = layer(_code(role), fault, after)
+                now = known(_code(role), fault, after)
                 after, left = tuple(p - min(now) for p in now), left + 1
         names = [x.split()[0] for x in PRICED.split(", ")]
         made = {"fault": pa.array(faults, pa.int32()), "rows_left": pa.array(lefts, pa.int64()), "prices": pa.array(prices, pa.int32())}
@@ -187,13 +187,14 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 def _edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Forwards over priced rows: the edits, in order."""
     now: list | None = None  # conversation, edits so far, state
+    known = lru_cache(maxsize=CACHED)(trace)
 
     def inserted(cost, state):
         now[1] += 1
         return now[0], now[1] - 1, "I", cost, None, None, None, ROLE[state], ""
 
     def ended():
-        rows = [inserted(cost, state) for _, cost, state in trace(None, 0, END, now[2])]
+        rows = [inserted(cost, state) for _, cost, state in known(None, 0, END, now[2])]
         if not now[1]:
             rows.append((now[0], 0, None, 0, None, None, None, None, None))
         return rows
@@ -208,7 +209,7 @@ def _edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 now = [conv, 0, NOTHING]
             if gone:
                 continue
-            for edit, cost, state in trace(_code(role), fault, tuple(prices.to_bytes(4, "big")), now[2]):
+            for edit, cost, state in known(_code(role), fault, tuple(prices.to_bytes(4, "big")), now[2]):
                 if edit == "I":
                     rows.append(inserted(cost, state))
                 else:

@@ -72,6 +72,7 @@ class Alphabet:
     matches."""
 
     def __init__(self, characters: str):
+        self.characters = characters
         self.size = len(characters) + 1
         self.code = np.zeros(max([0x300, *map(ord, characters)]) + 2, np.int32)
         for i, c in enumerate(characters):
@@ -255,10 +256,17 @@ def _design(pooled: np.ndarray) -> np.ndarray:
                       top, np.maximum(top - 0.35, 0), np.maximum(top - 0.7, 0)])
 
 
+def _shared(spark, parts):
+    """The parts as a broadcast of plain values: a class of this package would
+    be looked for in a module that workers need not have."""
+    alphabet, weights, bias = parts
+    return spark.sparkContext.broadcast((alphabet.characters, weights, bias))
+
+
 def _score_udf(model_parts, calibration, with_text=False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alphabet, weights, bias = model_parts.value
-        memo = _memo(alphabet, weights, bias)
+        characters, weights, bias = model_parts.value
+        memo = _memo(Alphabet(characters), weights, bias)
         for b in text_slices(batches, "text"):
             pooled = _pooled(memo, b.column(b.schema.get_field_index("text")).to_pylist())
             names = [f.name for f in b.schema if with_text or f.name != "text"]
@@ -313,7 +321,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Mod
         parts = empty
     else:
         parts = fit_strings(positive, negative, mixed)
-    shared = spark.sparkContext.broadcast(parts)
+    shared = _shared(spark, parts)
     pooled = sample.mapInArrow(released(_score_udf(shared, None)),
                                "doc_id bigint, toxic int, " + ", ".join(f"p{i} double" for i in range(FEATURES))).collect()
     if not pooled:
@@ -326,7 +334,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Mod
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` without ``text``, plus ``score``. Every input row gives one
     output row; a NULL or empty text has the score of no words."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.alphabet, model.weights, model.bias))
+    shared = _shared(docs.sparkSession, (model.alphabet, model.weights, model.bias))
     kept = [f for f in docs.schema.fields if f.name != "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     return docs.mapInArrow(released(_score_udf(shared, model.calibration)), f"{schema}, score double")
@@ -346,7 +354,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
     """The rows of ``docs`` whose score is below ``threshold``, with their
     columns; the machine learns from all labelled rows of ``docs``."""
     model = fit(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
-    shared = docs.sparkSession.sparkContext.broadcast((model.alphabet, model.weights, model.bias))
+    shared = _shared(docs.sparkSession, (model.alphabet, model.weights, model.bias))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     scored = docs.mapInArrow(released(_score_udf(shared, model.calibration, True)), f"{schema}, _toxic_score double")
     return scored.where(F.col("_toxic_score") < threshold).select(*docs.columns)
