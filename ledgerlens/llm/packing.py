@@ -20,8 +20,10 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import zlib
 from collections.abc import Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -156,6 +158,18 @@ class Tokens:
         return self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("Aé") == "aé"
 
 
+def worker_tokens(path: str) -> Tokens:
+    """The worker process's own ``Tokens``: words that an earlier task of the
+    worker has read need not be read again. This module's code travels to
+    workers by value and has no module there, so a named place among the
+    interpreter's modules holds the object. A new worker starts anew."""
+    place = sys.modules.setdefault("_packing_tokens", ModuleType("_packing_tokens"))
+    held = place.__dict__.get("held")
+    if held is None or held[0] != path:
+        place.held = held = (path, Tokens(path))
+    return held[1]
+
+
 def fill(demand: np.ndarray, room: np.ndarray) -> list[list[int]]:
     """Vector bin packing by dot product: item numbers of each bin.
 
@@ -272,7 +286,7 @@ def pack(docs: DataFrame, tokenizer: str, tokens: int = TOKENS, segments: int =
     loss-bearing. Sequences are padded to ``tokens`` unless their length is a
     power of two. Every row is packed, repeated ids and rows included."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Tokens(tokenizer)
+        words = worker_tokens(tokenizer)
         packer = Packer(TaskContext.get().partitionId() << 36, tokens, segments, loss_tokens, with_ids)
         end = np.array([END_ID], np.uint32)
 
