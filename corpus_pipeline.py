@@ -4,6 +4,13 @@ Each stage takes (spark, docs, sf_dir) and returns the documents it keeps,
 with the columns of documents; the last returns packed pieces. A stage works
 on all that its predecessor kept, as written to Parquet in the shared
 checkpoint folder.
+
+NULL and empty texts pass every stage (no words, no shingles, no spans; packed
+as their end id alone). Rows with a NULL doc_id are judged by their text alone
+and are never near duplicates. Of rows that repeat a doc_id one stays, with the
+near duplicates; ties there fall to the smallest doc_id. Columns beyond those
+of documents are kept up to the last stage. Without rows every stage gives
+none; without labels no text is toxic.
 """
 
 from __future__ import annotations

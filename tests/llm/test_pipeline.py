@@ -54,3 +54,24 @@ def test_stages_by_brute_force(spark):
     for p in cp.run(spark, SF).collect():
         again[p.doc_id] = again.get(p.doc_id, 0) + p.length
     assert again == total
+
+
+def test_stages_on_odd_rows_and_on_none(spark):
+    words = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, words), (1, words), (2, words), (3, None), (4, ""), (None, words + " more"), (None, None), (5, "write to a.b@example.org now"), (6, "x")]
+    docs = spark.createDataFrame([(i, t, "en", None, 1, "kept") for i, t in rows],
+                                 "doc_id bigint, text string, lang string, source string, n_chars bigint, extra string")
+    at = docs
+    for name, step in cp.STAGES[:-1]:
+        at = stage(step(spark, at, SF), f"odd-{name}")
+        assert at.columns == docs.columns, name
+    got = sorted(((r.doc_id or 0, r.text) for r in at.collect()), key=str)
+    assert [i for i, _ in got] == [0, 0, 1, 3, 4, 5, 6]
+    assert all(r.extra == "kept" and r.source is None for r in at.collect())
+    assert dict(got)[3] is None and dict(got)[4] == "" and "example.org" not in dict(got)[5]
+    pieces = cp.STAGES[-1][1](spark, at, SF).collect()
+    assert sum(p.length for p in pieces) == sum(len(ids_of(t)) for _, t in got)
+    at = docs.limit(0)
+    for _, step in cp.STAGES:
+        at = step(spark, at, SF)
+        assert at.count() == 0
