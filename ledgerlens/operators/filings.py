@@ -18,10 +18,10 @@ from ..sources.filings import BLOCK_FIELDS
 def index_records(df: DataFrame, block: str = "block", keep: Sequence[str] = ("cik",)) -> DataFrame:
     """One record per ``form`` entry; shorter arrays pad with ''.
     (``arrays_zip`` would pad to the longest array instead.)"""
-    b = F.col(block)
-    x = df.select(*keep, b.alias("_b"), F.posexplode(F.col(f"{block}.form")).alias("_i", "_form"))
-    cols = [F.coalesce(F.get(F.col(f"_b.{f}"), F.col("_i")), F.lit("")).alias(f) for f in BLOCK_FIELDS]
-    return x.select(*keep, F.col("_i").alias("entry_no"), *cols)
+    fields = ", ".join(f"'{f}', coalesce(get(`{block}`.`{f}`, i), '')" for f in BLOCK_FIELDS)
+    # structs first, then one explode: no record carries the block's arrays
+    records = F.expr(f"transform(`{block}`.form, (x, i) -> named_struct('entry_no', i, {fields}))")
+    return df.select(*keep, F.inline(records))
 
 
 def file_listing(submissions: DataFrame) -> DataFrame:

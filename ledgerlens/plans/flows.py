@@ -43,12 +43,16 @@ def filings_to_panel(recent: DataFrame, listing: DataFrame, pages: DataFrame, ht
                     *[c for c in items.columns if c != "accession"])
 
 
-def validate(scraped: DataFrame, reference_scaled: DataFrame) -> dict[str, DataFrame]:
+def validate(scraped: DataFrame, reference_scaled: DataFrame, stage: bool = True) -> dict[str, DataFrame]:
     """Flow 1b: flags, comparison cells and summary, validated panel and
-    override counts, identity check."""
-    flags = qual.all_flags(scraped)
-    cells = qual.compare_cells(scraped, reference_scaled)
-    validated = qual.validated_panel(scraped, reference_scaled)
+    override counts, identity check. The scraped panel and what several frames
+    are made from are staged, so that filings are scraped once."""
+    from ..operators.sinks import stage_table
+    kept = stage_table if stage else (lambda df, _name: df)
+    scraped = kept(scraped, "scraped")
+    flags = kept(qual.all_flags(scraped), "flags")
+    cells = kept(qual.compare_cells(scraped, reference_scaled), "cells")
+    validated = kept(qual.validated_panel(scraped, reference_scaled), "validated")
     return {
         "flags": flags,
         "flagged": qual.flagged_rows(flags),
@@ -84,8 +88,11 @@ def combined_features(validated: DataFrame, sections: DataFrame, scaffold: DataF
     return feat.combine_outer(quant, nlp)
 
 
-def findings(combined: DataFrame) -> dict[str, DataFrame]:
-    """Flow 3a: test table, Spearman pairs (labelled), lead/lag."""
+def findings(combined: DataFrame, stage: bool = True) -> dict[str, DataFrame]:
+    """Flow 3a: test table, Spearman pairs (labelled), lead/lag, from features
+    that are staged once."""
+    from ..operators.sinks import stage_table
+    combined = stage_table(combined, "combined") if stage else combined
     corr_cols = [c for c in C.CORR_FEATURES if c in combined.columns]
     return {
         "tests": st.test_table(combined),
