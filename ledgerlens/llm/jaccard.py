@@ -15,7 +15,8 @@ To give components without all pairs of a large group, the first round
 verifies each class against one leader per shared shingle (the class whose
 rarest shingle is most frequent: the text others were copied from). The
 second round joins all pairs whose classes are still in different components,
-so no link between different texts that could change a component is left out.
+so no link between different texts that could change a component is left out;
+a pair is made at its first common shingle, not again at every later one.
 The number of links needs all of them: ``link_counts`` joins and verifies every
 pair of classes that share a shingle, also inside a component.
 """
@@ -46,6 +47,8 @@ PARTS = 64
 PICK_BITS = 1 << 23
 #: Classes with one shingle that a task pairs with another's.
 HOT = 256
+#: Shingles of a class, rarest first, that the second round knows it by.
+EARLY = 8
 
 
 def _sets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -231,12 +234,19 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
                          F.col("level")), "rows")
     head = rows.groupBy("g").agg(F.max_by("component", rank).alias("main"), F.min("component").alias("lo"),
                                  F.max("component").alias("hi")).where("lo <> hi").select("g", "main")
-    mixed = rows.join(head, "g")
+    # one shuffle by class: its rows in order, each with the few before it
+    mixed = rows.join(head, "g").groupBy("id").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "g", "n", "before", "component", "main"))).alias("own"))
+    mixed = mixed.select("id", F.transform(F.slice("own", 1, EARLY), lambda x: x["g"]).alias("early"), F.posexplode("own").alias("k", "x"))
+    mixed = stage(mixed.select("id", "x.*", F.slice("early", F.lit(1), F.least("k", F.lit(EARLY))).alias("early")), "mixed")
     others = mixed.where(F.col("component") != F.col("main"))
+    # a pair meets at its first common shingle; later ones that both know to
+    # have a common one before them do not make it again
     rest = (others.alias("m").join(mixed.alias("l"), "g")
-            .where((F.col("m.component") != F.col("l.component")) & _possible("m", "l"))
-            .select(F.least("m.id", "l.id").alias("a"), F.greatest("m.id", "l.id").alias("b")).distinct()
-            .join(first, ["a", "b"], "left_anti"))
+            .where((F.col("m.component") != F.col("l.component"))
+                   & ((F.col("l.component") == F.col("l.main")) | (F.col("m.id") < F.col("l.id")))
+                   & _possible("m", "l") & ~F.arrays_overlap("m.early", "l.early"))
+            .select(F.least("m.id", "l.id").alias("a"), F.greatest("m.id", "l.id").alias("b")).distinct())
     second = verify(docs, rest, classes)
     return sig, classes, stage(first.union(second), "links")
 
