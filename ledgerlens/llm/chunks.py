@@ -3,7 +3,7 @@
 A gear rolling hash runs over a text's bytes; a chunk ends where the top bits
 of the hash of the last ``WINDOW`` bytes are zero, so an insertion moves only
 the chunks around it. Chunks are short (at least ``LEAST`` and at most ``MOST``
-bytes, 28 on average), since up to the first common cut of a repeated passage,
+bytes, 36 on average), since up to the first common cut of a repeated passage,
 and after the last, nothing of it is found. Chunks with equal digests are
 copies; the copy in the document with the smallest id (there the first)
 stays. Copies are removed where a run of neighbouring repeated chunks has at
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import stage, text_slices, utf8
 
 #: A chunk ends at one position in 2 ** CUT_BITS.
-CUT_BITS, LEAST, MOST = 4, 12, 256
+CUT_BITS, LEAST, MOST = 4, 20, 256
 WINDOW = 16
 RUN, SAME = 160, 96
 GEAR = np.random.default_rng(31337).integers(0, 2 ** WINDOW, 256, dtype=np.uint16)
