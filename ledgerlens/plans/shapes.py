@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 
 # Lexicon and hedging list used on the benchmark documents (the study's
@@ -324,7 +324,7 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     footnote marker before an amount, 'Total liabilities and equity',
     amounts in parentheses, a value on the next line, a date before an
     amount, and a missing line."""
-    o = table(spark, sf_dir, "orders", balance=True)
+    o = spread(table(spark, sf_dir, "orders", balance=True))
     pr, stt = F.col("o_orderpriority"), F.col("o_orderstatus")
     price = F.col("o_totalprice")
     unit = (F.when(pr == "1-URGENT", F.lit("(in thousands)"))
@@ -379,7 +379,7 @@ def full_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """customer -> one long HTML statement each (doc_id, html), with the lines
     ``FULL_LINES``; amounts in parentheses by customer and line, the unit note
     by market segment."""
-    c = table(spark, sf_dir, "customer", balance=True)
+    c = spread(table(spark, sf_dir, "customer", balance=True).select("c_custkey", "c_acctbal", "c_mktsegment"))
     x = c.select(F.col("c_custkey").alias("n"), F.floor(F.abs("c_acctbal")).cast("bigint").alias("v"), "c_mktsegment")
     seg = F.col("c_mktsegment")
     unit = (F.when(seg == "BUILDING", "(Amounts in millions, except shares)").when(seg == "MACHINERY", "in thousands of dollars")

@@ -58,3 +58,16 @@ def table(spark: SparkSession, sf_dir: str, name: str, balance: bool = False) ->
     df = spark.read.schema(SCHEMAS[name]).parquet(path)
     n = spark.conf.get(INPUT_PARTITIONS, None) if balance else None
     return df.repartition(int(n)) if n else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Short rows that long work per row follows, dealt over all task slots.
+
+    A file is split at its row groups at best. A row group of a million keys is
+    a few MB, one task, and minutes of regex work once a text is built from
+    each key. Where ``INPUT_PARTITIONS`` is set, ``table`` has dealt already."""
+    spark = df.sparkSession
+    if spark.conf.get(INPUT_PARTITIONS, None):
+        return df
+    slots = spark.sparkContext.defaultParallelism
+    return df.repartition(max(4 * slots, int(spark.conf.get("spark.sql.shuffle.partitions"))))
