@@ -158,6 +158,7 @@ FIELD_PATTERNS = {
 }
 # amount token: optional "(" or "$", grouped or plain digits, optional ")"
 NUMBER_PATTERN = r"[\($]?\s*\$?\s*(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)\s*\)?"
+NUMBER_START = r"[\($\s\d]"   # what a token can start with: other places are passed over
 NUMBER_WINDOW = 500     # chars searched after a label
 NUMBER_MIN_VALUE = 10   # smaller values are footnotes / percentages
 CONTEXT_AFTER = 80

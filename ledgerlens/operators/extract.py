@@ -9,8 +9,9 @@ Sections, labels and keywords share one scan. ``pattern_hits`` marks, in a
 single regex pass, every position where one of several patterns matches: at
 such a position each pattern is tried in a look-ahead of its own, so patterns
 may overlap, and the replacement writes what each of them captured between two
-private-use code points (U+E000 / U+E001; where a text holds them itself, it
-is read with U+FFFD in their place, which keeps every position). Splitting at
+control characters (U+0001 to U+0003; where a text holds them itself, it is
+read with U+FFFD in their place, which keeps every position). They are ASCII,
+so that the JVM keeps marked ASCII texts in one byte a character. Splitting at
 the marks gives a position table, and all further choices (the last start, the
 first end after it, windows, nearest amounts) are arithmetic on it.
 
@@ -29,8 +30,11 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.text import PY_WS_LITERAL, normalize_ws_sql, py_regex
 
-M1 = ""
-M2 = ""
+M1 = "\x01"
+M2 = "\x02"
+M3 = "\x03"
+# what else equals an ASCII letter where Java ignores case in Unicode
+FOLDED = {"i": "\u0130\u0131", "k": "\u212a", "s": "\u017f"}
 FLAGS_I = "(?iud)"      # case-insensitive (Unicode), '.' stops only at \n
 FLAGS_IM = "(?iudm)"    # plus MULTILINE anchors
 
@@ -54,13 +58,15 @@ def _lit(value) -> str:
 
 
 def _let(name: str, value: str, body: str) -> str:
-    """SQL: evaluate ``value`` once under a name that ``body`` uses."""
-    return f"get(transform(array({value}), {name} -> {body}), 0)"
+    """SQL: evaluate ``value`` once under a name that ``body`` uses. The fold of
+    no elements hands the value on as it is; ``transform`` would copy it, and
+    each level of names all that lies below."""
+    return f"aggregate(array()::array<int>, {value}, ({name}, no_element) -> {name}, {name} -> {body})"
 
 
 def _apply(text, body: str) -> Column:
     """``body``, SQL over a text named ``t``, of a column."""
-    return F.get(F.call_function("transform", F.array(_c(text)), F.expr(f"t -> {body}")), 0)
+    return F.call_function("aggregate", F.expr("array()::array<int>"), _c(text), F.expr("(t, no_element) -> t"), F.expr(f"t -> {body}"))
 
 
 def literal_start(pattern: str) -> str | None:
@@ -76,11 +82,13 @@ def literal_start(pattern: str) -> str | None:
 def hits_regex(patterns: Sequence[str], after: int, flags: str) -> tuple[str, str]:
     """(regex, replacement) of the one scan. The regex matches the empty string
     wherever a pattern does and captures, per pattern, match and text after
-    it; the replacement is a mark and all captures, each closed by a mark."""
+    it; the replacement is a mark and all captures, each closed by a mark (match
+    and text after it parted by a third)."""
     starts = [literal_start(p) for p in patterns]
     if all(starts):
-        letters = "".join(sorted({w[0] for w in starts}))
-        gate = f"(?=[{letters}])(?={'|'.join(sorted(set(starts)))})"
+        letters = {w[0] for w in starts}
+        every = "".join(sorted(letters | {x.upper() for x in letters} | set("".join(FOLDED.get(x, "") for x in letters))))
+        gate = f"(?=(?-iu:[{every}]))(?={'|'.join(sorted(set(starts)))})"
     else:
         gate = "(?=" + "|".join(f"(?:{py_regex(p)})" for p in patterns) + ")"
     parts, out, group = [gate], M1, 1
@@ -88,7 +96,7 @@ def hits_regex(patterns: Sequence[str], after: int, flags: str) -> tuple[str, st
         own = re.compile(p).groups
         tail = "((?s:.{0," + str(after) + "}))" if after else ""
         parts.append(f"(?=({py_regex(p)}){tail}|)")
-        out += f"${group}" + M2 + (f"${group + own + 1}" + M2 if after else "")
+        out += f"${group}" + (f"{M3}${group + own + 1}" if after else "") + M2
         group += own + 1 + (1 if after else 0)
     return flags + "".join(parts), out
 
@@ -107,13 +115,14 @@ def _running(n: str, block: int = 64) -> str:
     return f"if(size({n}) <= {block}, {few}, {many})"
 
 
-def _hits(text: str, patterns: Sequence[str], before: int = 0, after: int = 0, flags: str = FLAGS_IM) -> str:
-    """SQL of ``pattern_hits`` over the text ``text``."""
+def _hits(text: str, patterns: Sequence[str], before: int = 0, after: int = 0, flags: str = FLAGS_IM, made=None) -> str:
+    """SQL of ``pattern_hits`` over the text ``text``; with ``made``, a function
+    from the SQL of position, match and text after it, a row is the struct
+    that it gives, so that the long texts after the matches go no further."""
     regex, out = hits_regex(patterns, after, flags)
-    per = 2 if after else 1
-    marked = f"(contains({text}, '{M1}') OR contains({text}, '{M2}'))"
-    plain = f"if({marked}, translate({text}, '{M1}{M2}', '\ufffd\ufffd'), {text})"
-    label = f"get(fi, {per} * k)"
+    marked = "(" + " OR ".join(f"contains({text}, '{m}')" for m in (M1, M2, M3)) + ")"
+    plain = f"if({marked}, translate({text}, '{M1}{M2}{M3}', '\ufffd\ufffd\ufffd'), {text})"
+    label, rest = ("get(lr, 0)", "get(lr, 1)") if after else ("get(fi, k)", "''")
     at = "length(get(sg, 0)) + get(ru, c)"
     # a text with marker characters gives its own characters back, by position
     def cut(value: str, start: str) -> str:
@@ -126,12 +135,16 @@ def _hits(text: str, patterns: Sequence[str], before: int = 0, after: int = 0, f
         last = f"right(if(length(get(be, c)) >= {before}, get(be, c), {few}), {before})"
         fields.append(f"'before', if(mk, substring({text}, greatest({at} - {before}, 0) + 1, least({at}, {before})), {last})")
     if after:
-        fields.append(f"'after', {cut(f'get(fi, {per} * k + 1)', f'{at} + length({label}) + 1')}")
-    found = (f"transform(filter(sequence(0, {len(patterns) - 1}), k -> {label} != ''), "
-             f"k -> named_struct({', '.join(fields)}))")
+        fields.append(f"'after', {cut(rest, f'{at} + length({label}) + 1')}")
+    row = made(at, cut(label, f"{at} + 1"), cut(rest, f"{at} + length({label}) + 1")) if made else f"named_struct({', '.join(fields)})"
+    if after:
+        row = _let("lr", f"split(get(fi, k), '{M3}', -1)", row)
+    held = f"left(get(fi, k), 1) != '{M3}'" if after else "get(fi, k) != ''"
+    found = f"transform(filter(ks, k -> {held}), k -> {row})"
     table = _let("ru", _running("le"), f"flatten(transform(fs, (fi, c) -> {found}))")
     if before:
         table = _let("be", "concat(slice(sg, 1, 1), transform(fs, f -> element_at(f, -1)))", table)
+    table = _let("ks", f"sequence(0, {len(patterns) - 1})", table)
     return _let("sg", f"split(regexp_replace({plain}, {_lit(regex)}, {_lit(out)}), '{M1}', -1)",
                 _let("fs", f"transform(slice(sg, 2, size(sg) - 1), s -> split(s, '{M2}', -1))",
                      _let("le", "transform(fs, f -> length(element_at(f, -1)))", _let("mk", marked, table))))
@@ -146,14 +159,15 @@ def pattern_hits(text, patterns: Sequence[str], before: int = 0, after: int = 0,
     return _apply(text, _hits("t", patterns, before, after, flags))
 
 
-def _disjoint(hits: str) -> str:
+def _disjoint(hits: str, chars: str = "length({}.label)") -> str:
     """SQL: one pattern's hits without those that start inside an earlier one
     that stays, i.e. the matches of a plain scan. Patterns whose matches never
-    overlap, as nearly all, cost one look at neighbours."""
+    overlap, as nearly all, cost one look at neighbours. ``chars`` is the SQL
+    of a hit's length."""
     apart = ("forall(sequence(1, size(dj) - 1), i -> get(dj, i).position >= "
-             "get(dj, i - 1).position + length(get(dj, i - 1).label))")
+             f"get(dj, i - 1).position + {chars.format('get(dj, i - 1)')})")
     scan = ("aggregate(dj, named_struct('end', 0, 'of', slice(dj, 1, 0)), (acc, x) -> if(x.position >= acc.end, "
-            "named_struct('end', x.position + length(x.label), 'of', array_append(acc.of, x)), acc), acc -> acc.of)")
+            f"named_struct('end', x.position + {chars.format('x')}, 'of', array_append(acc.of, x)), acc), acc -> acc.of)")
     return _let("dj", hits, f"if(size(dj) < 2 OR {apart}, dj, {scan})")
 
 
@@ -196,7 +210,8 @@ def sections_by_position(text, sections: Sequence[str],
     body = f"array({', '.join(found)})"
     if every:
         body = _let("h", _hits("u", every, flags=FLAGS_I), body)
-    marks = f"if(contains(t, '{M1}') OR contains(t, '{M2}'), translate(t, '{M1}{M2}', '\ufffd\ufffd'), t)"
+    # section texts hold no private-use U+E000 / U+E001
+    marks = "if(contains(t, '\ue000') OR contains(t, '\ue001'), translate(t, '\ue000\ue001', '\ufffd\ufffd'), t)"
     return _apply(text, _let("u", marks, body))
 
 
@@ -250,33 +265,54 @@ def _first_number(window: str, number_pattern: str, min_value: float) -> str:
     Fast path: the first token alone (``regexp_extract`` stops at the first
     match), which is the answer whenever it is large enough. Only when it
     is not (a footnote marker, a day of month) the window is scanned in
-    full; ``coalesce`` evaluates that branch lazily."""
-    num, least = _lit(py_regex(number_pattern)), f"CAST({float(min_value)} AS DOUBLE)"
+    full; ``if`` evaluates that branch lazily. A window without a token is
+    not scanned again."""
+    start = f"(?={C.NUMBER_START})" if number_pattern == C.NUMBER_PATTERN else ""
+    num, least = _lit(py_regex(start + number_pattern)), f"CAST({float(min_value)} AS DOUBLE)"
+
+    def value(raw: str) -> str:
+        return f"try_cast(replace(regexp_extract({raw}, {num}, 1), ',', '') AS DOUBLE)"
+    every = f"transform(regexp_extract_all({window}, {num}, 0), r -> named_struct('raw', r, 'v', {value('r')}))"
+    every = f"get(filter({every}, y -> y.v >= {least}), 0)"
+    first = _let("fv", value("fr"), f"if(fv >= {least}, named_struct('raw', fr, 'v', fv), {every})")
+    none = f"fr = ''{'' if start else ' AND false'}"
+    return _let("fr", f"regexp_extract({window}, {num}, 0)", f"if({none}, NULL, {first})")
+
 
-    def value(d: str) -> str:
-        return f"try_cast(replace({d}, ',', '') AS DOUBLE)"
-    first = f"named_struct('raw', regexp_extract({window}, {num}, 0), 'v', {value(f'regexp_extract({window}, {num}, 1)')})"
-    fast = _let("fn", first, f"if(fn.v >= {least}, fn, NULL)")
-    every = (f"transform(regexp_extract_all({window}, {num}, 0), r -> "
-             f"named_struct('raw', r, 'v', {value(f'regexp_extract(r, {num}, 1)')}))")
-    return f"coalesce({fast}, get(filter({every}, y -> y.v >= {least}), 0))"
+def _strip(text: str) -> str:
+    """SQL of ``py_strip``: blanks first, the whole set only where an end still
+    needs it, since a trim of many characters looks at every one of the text."""
+    ws = _lit(PY_WS_LITERAL)
+    return _let("st", f"trim({text})", f"if(contains({ws}, left(st, 1)) OR contains({ws}, right(st, 1)), btrim(st, {ws}), st)")
 
 
 def _numbers(text: str, labels: Sequence[str], window: int = C.NUMBER_WINDOW, number_pattern: str = C.NUMBER_PATTERN,
              min_value: float = C.NUMBER_MIN_VALUE, context_after: int = C.CONTEXT_AFTER,
              context_max: int | None = None, values_only: bool = False) -> str:
-    """SQL of ``numbers_near_labels``."""
-    strip = _lit(PY_WS_LITERAL)
-    fields = ["'pattern_no', x.no", "'match_no', i", "'value', if(contains(b.raw, '(') AND contains(b.raw, ')'), -b.v, b.v)"]
-    if not values_only:
-        ctx = f"btrim(translate(concat(x.label, substring(x.after, 1, {context_after})), '\n', ' '), {strip})"
-        fields += [f"'raw', btrim(b.raw, {strip})", f"'context', {ctx if context_max is None else f'substring({ctx}, 1, {context_max})'}",
-                   "'position', x.position"]
-    best = _let("b", _first_number("x.after", number_pattern, min_value), f"named_struct({', '.join(fields)})")
-    of_pattern = f"filter(transform({_disjoint('filter(h, z -> z.no = pn)')}, (x, i) -> {best}), m -> m.value IS NOT NULL)"
-    # only patterns that occur are looked at
-    return _let("h", _hits(text, labels, after=window),
-                f"flatten(transform(array_sort(array_distinct(transform(h, z -> z.no))), pn -> {of_pattern}))")
+    """SQL of ``numbers_near_labels``. Every hit gets its number where it is
+    found; what follows handles short rows only."""
+    def made(at: str, label: str, after: str) -> str:
+        fields = ["'no', k", f"'position', {at}", f"'chars', length({label})",
+                  "'value', if(contains(b.raw, '(') AND contains(b.raw, ')'), -b.v, b.v)"]
+        if not values_only:
+            ctx = _strip(f"replace(concat({label}, substring(w, 1, {context_after})), '\n', ' ')")
+            ctx = ctx if context_max is None else f"substring({ctx}, 1, {context_max})"
+            fields += [f"'raw', if(b IS NULL, NULL, {_strip('b.raw')})", f"'context', if(b IS NULL, NULL, {ctx})"]
+        return _let("w", after, _let("b", _first_number("w", number_pattern, min_value), f"named_struct({', '.join(fields)})"))
+
+    def numbered(match_no: str) -> str:
+        more = "" if values_only else ", 'raw', x.raw, 'context', x.context, 'position', x.position"
+        return f"named_struct('pattern_no', x.no, 'match_no', {match_no}, 'value', x.value{more})"
+    # few matches, none inside another of its pattern: a match's number is its
+    # distance from the first row of its pattern
+    apart = ("forall(sequence(1, size(h) - 1), i -> get(h, i).no != get(h, i - 1).no OR "
+             "get(h, i).position >= get(h, i - 1).position + get(h, i - 1).chars)")
+    nth = "if(i = 0 OR get(hn, i - 1) != x.no, 0, int(i + 1 - array_position(hn, x.no)))"
+    few = _let("hn", "h.no", f"transform(h, (x, i) -> {numbered(nth)})")
+    own = _disjoint("filter(h, z -> z.no = pn)", "{}.chars")
+    many = f"flatten(transform(array_distinct(h.no), pn -> transform({own}, (x, i) -> {numbered('i')})))"
+    found = f"if(size(h) < 2 OR (size(h) <= 64 AND {apart}), {few}, {many})"
+    return _let("h", f"sort_array({_hits(text, labels, after=window, made=made)})", f"filter({found}, m -> m.value IS NOT NULL)")
 
 
 def numbers_near_labels(text, labels: Sequence[str], **kw) -> Column:
