@@ -94,9 +94,25 @@ def html_steps(block_tags: str, dialect: str = "java") -> list[tuple[str, str, b
 
 
 def _html_common(c: Column, block_tags: str) -> Column:
-    for pat, rep, ci in html_steps(block_tags):
-        c = F.regexp_replace(c, ("(?iu)" if ci else "") + pat, rep)
-    return c
+    """The steps of ``html_steps`` in two passes over a text, four where it
+    holds an ``&amp;``.
+
+    Neighbouring steps with one replacement are one alternation: no match of
+    one holds or touches a part of the other's, and what is put in (a newline, a
+    blank) is in none. Only ``&amp;`` -> ``&`` makes text that later steps read
+    (``&amp;lt;``), so what stands before and after it is merged just without
+    one. Runs are possessive: a loop in Java, not a call per element. Literal
+    first characters stand outside the case-insensitive part."""
+    lines = f"<(?iu:br{JWS}*/?|/(?:{py_regex(block_tags)}))>"
+    tag, nbsp = "<[^>]+>", "&(?iu:nbsp);"
+    blank, entity = "[ \\t\u00a0]", r"&(?:[a-zA-Z]+|#\p{Nd}+);"
+    broken = F.regexp_replace(c, lines, "\n")
+    # a single blank before other text stays as it is
+    some = "(?=[ \\t\u00a0<&])(?! [^ \\t\u00a0<&])"
+    plain = F.regexp_replace(broken, f"{some}(?:{blank}|{tag}|{entity}|{nbsp})++", " ")
+    untagged = F.regexp_replace(F.regexp_replace(broken, f"{tag}|{nbsp}", " "), "&(?iu:amp);", "&")
+    twice = F.regexp_replace(untagged, f"{some}(?:{blank}|{entity})++", " ")
+    return F.when(c.rlike("&(?iu:amp;)"), twice).otherwise(plain)
 
 
 def html_to_text_financial(col) -> Column:

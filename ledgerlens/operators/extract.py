@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.text import PY_WS_LITERAL, normalize_ws_sql, py_regex
+from ..functions.text import PY_WS_LITERAL, normalize_ws_sql, py_regex, py_strip
 
 M1 = "\x01"
 M2 = "\x02"
@@ -79,25 +79,57 @@ def literal_start(pattern: str) -> str | None:
     return word.group() if word and "|" not in flat else None
 
 
-def hits_regex(patterns: Sequence[str], after: int, flags: str) -> tuple[str, str]:
+def hit_slots(patterns: Sequence[str]) -> list[list[int]]:
+    """Patterns whose first letters differ never match at one position: they
+    share a slot of the scan, one look-ahead with one set of captures. Each
+    slot holds at most one pattern of a letter, in the patterns' order."""
+    starts = [literal_start(p) for p in patterns]
+    if not all(starts):
+        return [[k] for k in range(len(patterns))]
+    slots: list[list[int]] = []
+    for k, w in enumerate(starts):
+        nth = sum(v[0] == w[0] for v in starts[:k])
+        slots[nth:nth + 1] = [[*slots[nth], k] if nth < len(slots) else [k]]
+    return slots
+
+
+def _letters(letter: str) -> str:
+    """All characters that equal an ASCII letter where case is ignored."""
+    return letter + letter.upper() + FOLDED.get(letter, "")
+
+
+def _pattern_no(patterns: Sequence[str], slot: str, label: str) -> str:
+    """SQL: the pattern of a match by its slot and first character."""
+    slots = hit_slots(patterns)
+    if all(len(of) == 1 for of in slots):
+        return slot
+    every = "".join(_letters(c) for c in sorted({p[0] for p in patterns}))
+    of = [next((str(k) for k in ks if c in _letters(patterns[k][0])), "-1") for ks in slots for c in every]
+    return f"get(array({', '.join(of)}), {slot} * {len(every)} + instr('{every}', left({label}, 1)) - 1)"
+
+
+def hits_regex(patterns: Sequence[str], after: int, flags: str, tail: tuple[str, int] | None = None) -> tuple[str, str]:
     """(regex, replacement) of the one scan. The regex matches the empty string
-    wherever a pattern does and captures, per pattern, match and text after
-    it; the replacement is a mark and all captures, each closed by a mark (match
-    and text after it parted by a third)."""
+    wherever a pattern does and captures, per slot (see ``hit_slots``), match
+    and text after it, or what the groups of ``tail`` (regex, their number) do;
+    the replacement is a mark and all captures, those of a slot closed by a mark
+    and parted by a third."""
+    if after:
+        tail = "((?s:.{0," + str(after) + "}))", 1
+    follow, groups = tail or ("", 0)
     starts = [literal_start(p) for p in patterns]
     if all(starts):
-        letters = {w[0] for w in starts}
-        every = "".join(sorted(letters | {x.upper() for x in letters} | set("".join(FOLDED.get(x, "") for x in letters))))
+        every = "".join(sorted(set("".join(_letters(w[0]) for w in starts))))
         gate = f"(?=(?-iu:[{every}]))(?={'|'.join(sorted(set(starts)))})"
     else:
         gate = "(?=" + "|".join(f"(?:{py_regex(p)})" for p in patterns) + ")"
     parts, out, group = [gate], M1, 1
-    for p in patterns:
-        own = re.compile(p).groups
-        tail = "((?s:.{0," + str(after) + "}))" if after else ""
-        parts.append(f"(?=({py_regex(p)}){tail}|)")
-        out += f"${group}" + (f"{M3}${group + own + 1}" if after else "") + M2
-        group += own + 1 + (1 if after else 0)
+    for ks in hit_slots(patterns):
+        own = sum(re.compile(patterns[k]).groups for k in ks)
+        label = "|".join(f"(?:{py_regex(patterns[k])})" if len(ks) > 1 else py_regex(patterns[k]) for k in ks)
+        parts.append(f"(?=({label}){follow}|)")
+        out += M3.join(f"${g}" for g in (group, *range(group + own + 1, group + own + 1 + groups))) + M2
+        group += own + 1 + groups
     return flags + "".join(parts), out
 
 
@@ -110,24 +142,31 @@ def _running(n: str, block: int = 64) -> str:
     starts = ("aggregate(bs, named_struct('at', 0, 'of', array()::array<int>), (acc, bl) -> named_struct("
               f"'at', acc.at + {total.format('bl')}, 'of', array_append(acc.of, acc.at)), acc -> acc.of)")
     inner = f"transform(bl, (e, j) -> get(so, i) + {total.format('slice(bl, 1, j)')})"
-    few = f"transform({n}, (e, j) -> {total.format(f'slice({n}, 1, j)')})"
+    few = f"aggregate(slice({n}, 1, greatest(size({n}) - 1, 0)), array(0), (sums, e) -> array_append(sums, element_at(sums, -1) + e))"
     many = _let("bs", blocks, _let("so", starts, f"flatten(transform(bs, (bl, i) -> {inner}))"))
     return f"if(size({n}) <= {block}, {few}, {many})"
 
 
-def _hits(text: str, patterns: Sequence[str], before: int = 0, after: int = 0, flags: str = FLAGS_IM, made=None) -> str:
+def _hits(text: str, patterns: Sequence[str], before: int = 0, after: int = 0, flags: str = FLAGS_IM, made=None,
+          tail: tuple[str, int, int] | None = None) -> str:
     """SQL of ``pattern_hits`` over the text ``text``; with ``made``, a function
-    from the SQL of position, match and text after it, a row is the struct
-    that it gives, so that the long texts after the matches go no further."""
-    regex, out = hits_regex(patterns, after, flags)
+    from the SQL of pattern, position, match and text after it, a row is the
+    struct that it gives, so that the long texts after the matches go no
+    further. With ``tail`` (see ``hits_regex``, and a number of characters) that
+    function gets pattern, position, captures and, where the text holds marker
+    characters, its own match and that many characters after it."""
+    regex, out = hits_regex(patterns, after, flags, tail and tail[:2])
     marked = "(" + " OR ".join(f"contains({text}, '{m}')" for m in (M1, M2, M3)) + ")"
-    plain = f"if({marked}, translate({text}, '{M1}{M2}{M3}', '\ufffd\ufffd\ufffd'), {text})"
-    label, rest = ("get(lr, 0)", "get(lr, 1)") if after else ("get(fi, k)", "''")
+    plain = f"if(mk, translate({text}, '{M1}{M2}{M3}', '\ufffd\ufffd\ufffd'), {text})"
+    per = 1 + (tail[1] if tail else 1 if after else 0)
+    caught = [f"get(lr, {i})" for i in range(per)] if per > 1 else ["get(fi, k)"]
+    label, rest = caught[0], caught[1] if after else "''"
+    no = _pattern_no(patterns, "k", label)
     at = "length(get(sg, 0)) + get(ru, c)"
     # a text with marker characters gives its own characters back, by position
     def cut(value: str, start: str) -> str:
         return f"if(mk, substring({text}, {start}, length({value})), {value})"
-    fields = ["'no', k", f"'position', {at}", f"'label', {cut(label, f'{at} + 1')}"]
+    fields = [f"'no', {no}", f"'position', {at}", f"'label', {cut(label, f'{at} + 1')}"]
     if before:
         # the end of the text since the position before, or of the last few
         # such texts, none of which is empty
@@ -136,18 +175,23 @@ def _hits(text: str, patterns: Sequence[str], before: int = 0, after: int = 0, f
         fields.append(f"'before', if(mk, substring({text}, greatest({at} - {before}, 0) + 1, least({at}, {before})), {last})")
     if after:
         fields.append(f"'after', {cut(rest, f'{at} + length({label}) + 1')}")
-    row = made(at, cut(label, f"{at} + 1"), cut(rest, f"{at} + length({label}) + 1")) if made else f"named_struct({', '.join(fields)})"
-    if after:
-        row = _let("lr", f"split(get(fi, k), '{M3}', -1)", row)
-    held = f"left(get(fi, k), 1) != '{M3}'" if after else "get(fi, k) != ''"
+    row = f"named_struct({', '.join(fields)})"
+    if tail:
+        row = made(no, at, caught, f"if(mk, substring({text}, {at} + 1, length({label}) + {tail[2]}), NULL)")
+    elif made:
+        row = made(no, at, cut(label, f"{at} + 1"), cut(rest, f"{at} + length({label}) + 1"))
+    held = "get(fi, k) != ''"
+    if per > 1:
+        row, held = _let("lr", f"split(get(fi, k), '{M3}', -1)", row), f"left(get(fi, k), 1) != '{M3}'"
     found = f"transform(filter(ks, k -> {held}), k -> {row})"
-    table = _let("ru", _running("le"), f"flatten(transform(fs, (fi, c) -> {found}))")
+    last = f"substring_index(s, '{M2}', -1)"
+    table = f"flatten(transform(fs, (s, c) -> {_let('fi', f"split(s, '{M2}', -1)", found)}))"
+    table = _let("ru", _running("le"), table)
     if before:
-        table = _let("be", "concat(slice(sg, 1, 1), transform(fs, f -> element_at(f, -1)))", table)
-    table = _let("ks", f"sequence(0, {len(patterns) - 1})", table)
-    return _let("sg", f"split(regexp_replace({plain}, {_lit(regex)}, {_lit(out)}), '{M1}', -1)",
-                _let("fs", f"transform(slice(sg, 2, size(sg) - 1), s -> split(s, '{M2}', -1))",
-                     _let("le", "transform(fs, f -> length(element_at(f, -1)))", _let("mk", marked, table))))
+        table = _let("be", f"concat(slice(sg, 1, 1), transform(fs, s -> {last}))", table)
+    table = _let("ks", f"sequence(0, {len(hit_slots(patterns)) - 1})", table)
+    table = _let("fs", "slice(sg, 2, size(sg) - 1)", _let("le", f"transform(fs, s -> length({last}))", table))
+    return _let("mk", marked, _let("sg", f"split(regexp_replace({plain}, {_lit(regex)}, {_lit(out)}), '{M1}', -1)", table))
 
 
 def pattern_hits(text, patterns: Sequence[str], before: int = 0, after: int = 0, flags: str = FLAGS_IM) -> Column:
@@ -291,8 +335,8 @@ def _numbers(text: str, labels: Sequence[str], window: int = C.NUMBER_WINDOW, nu
              context_max: int | None = None, values_only: bool = False) -> str:
     """SQL of ``numbers_near_labels``. Every hit gets its number where it is
     found; what follows handles short rows only."""
-    def made(at: str, label: str, after: str) -> str:
-        fields = ["'no', k", f"'position', {at}", f"'chars', length({label})",
+    def made(no: str, at: str, label: str, after: str) -> str:
+        fields = [f"'no', {no}", f"'position', {at}", f"'chars', length({label})",
                   "'value', if(contains(b.raw, '(') AND contains(b.raw, ')'), -b.v, b.v)"]
         if not values_only:
             ctx = _strip(f"replace(concat({label}, substring(w, 1, {context_after})), '\n', ' ')")
@@ -327,6 +371,71 @@ def numbers_near_labels(text, labels: Sequence[str], **kw) -> Column:
     return _apply(text, _numbers("t", labels, **kw))
 
 
+def _near_number() -> str:
+    """What follows a label in the scan of ``number_rows``, in three groups: the
+    context after it without the blanks at its end; the number, where it stands near and is of the usual form;
+    else the whole window, to be searched by itself.
+
+    The way to the number leads over text without tokens and over tokens of one
+    digit. All runs are bounded: 28 pieces of at most 16 characters and a number
+    of at most 52 end beyond no window, so the first number in the window is the
+    same. Anything longer or odd (leading zeros, other digits than ASCII's)
+    leaves its window."""
+    assert C.NUMBER_WINDOW >= 28 * 16 + 52 and C.NUMBER_MIN_VALUE == 10
+    start, end = r"[\($]?\s{0,3}+\$?\s{0,3}+", r"(?:\s{0,2}+\)|(?!\s*+\)))"
+    decimals = r"(?:\.[0-9]{1,3}+(?!\d)|(?!\.\d))"
+    digit = rf"{start}\d(?!\d|,\d{{3}}){decimals}{end}"
+    plain = r"[^\($\s\d]{1,16}+|(?![\($]?\s*+\$?\s*+\d)[\($\s]"
+    grouped = r"[1-9][0-9]{0,2}(?:,[0-9]{3}){1,6}(?!,\d{3})"
+    whole = r"(?!\d{1,3},\d{3})[1-9][0-9]{1,14}+(?!\d)"
+    number = rf"\s{{0,9}}+((?!\s){start}(?:{grouped}|{whole}){decimals}{end})"
+    context = rf"(?=((?s:.{{0,{C.CONTEXT_AFTER}}}){py_regex(r'(?<!\s)')}|))"
+    return (context + py_regex(rf"(?:(?:{plain}|{digit}){{0,28}}+{number}")
+            + rf"|((?s:.{{0,{C.NUMBER_WINDOW}}})))")
+
+
+def number_rows(df: DataFrame, text: str, labels: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """T6 as rows (``keep``, pattern_no, match_no, value, raw, context,
+    position), the elements of ``numbers_near_labels`` by its defaults.
+
+    The scan takes the number with its label. The matches then leave their text
+    as short rows, and what is done to each is plain columns, which Spark
+    compiles; in an array's lambdas they are interpreted node by node."""
+    num = py_regex(f"(?={C.NUMBER_START})" + C.NUMBER_PATTERN)
+    names = ("label", "after", "near", "window")
+
+    def made(no: str, at: str, caught: Sequence[str], own: str) -> str:
+        of = ", ".join(f"'{name}', {value}" for name, value in zip(names, caught))
+        return f"named_struct('no', {no}, 'match_no', 0, 'position', {at}, {of}, 'own', {own})"
+    # a match counts where it does not start inside an earlier one of its pattern
+    short = "transform(h, (x, i) -> named_struct('no', x.no, 'position', x.position, 'chars', length(x.label), 'i', i))"
+    apart = _disjoint("filter(hs, z -> z.no = pn)", "{}.chars")
+    same = ", ".join(f"'{name}', get(h, x.i).{name}" for name in (*names, "own"))
+    nth = f"named_struct('no', x.no, 'match_no', n, 'position', x.position, {same})"
+    again = _let("hs", short, f"flatten(transform(array_distinct(hs.no), pn -> transform({apart}, (x, n) -> {nth})))")
+    found = _let("h", _hits("t", labels, tail=(_near_number(), 3, C.NUMBER_WINDOW), made=made),
+                 _let("hn", "h.no", f"if(size(array_distinct(hn)) = size(hn), h, {again})"))
+    x = df.select(*keep, F.inline(_apply(text, found)))
+
+    def value(raw: Column) -> Column:
+        return F.replace(F.regexp_extract(raw, num, 1), F.lit(","), F.lit("")).try_cast("double")
+    near, whole = F.col("near") != "", F.col("own").isNotNull()
+    window = F.when(whole, F.substring("own", F.length("label") + 1, F.length("window"))).otherwise(F.col("window"))
+    first = F.get(F.filter(F.regexp_extract_all(window, F.lit(num), F.lit(0)), lambda r: value(r) >= F.lit(float(C.NUMBER_MIN_VALUE))), 0)
+    x = x.where(near | first.isNotNull())
+    context = F.replace(F.when(whole, F.substring("own", F.lit(1), F.length("label") + C.CONTEXT_AFTER)).otherwise(F.concat("label", "after")),
+                        F.lit("\n"), F.lit(" "))
+    # ``after`` ends in no blank; a first character between ' ' and DEL is none
+    stripped = ~whole & (F.col("after") != "") & (F.left("label", F.lit(1)) > " ") & (F.left("label", F.lit(1)) < "\x7f")
+    x = x.select(*keep, F.col("no").alias("pattern_no"), "match_no", "position", F.when(near, F.col("near")).otherwise(py_strip(first)).alias("raw"),
+                 F.when(stripped, context).otherwise(py_strip(context)).alias("context"))
+    signs = F.contains(F.lit("($"), F.left("raw", F.lit(1))) | F.endswith("raw", F.lit(")"))
+    digits = F.when(signs, F.btrim("raw", F.lit("($)" + PY_WS_LITERAL))).otherwise(F.col("raw"))
+    v = F.replace(digits, F.lit(","), F.lit("")).try_cast("double")
+    negative = F.contains("raw", F.lit("(")) & F.contains("raw", F.lit(")"))
+    return x.select(*keep, "pattern_no", "match_no", F.when(negative, -v).otherwise(v).alias("value"), "raw", "context", "position")
+
+
 def numbers_near_label(text, label: str, **kw) -> Column:
     """T6 on one label pattern (see ``numbers_near_labels``)."""
     return numbers_near_labels(text, [label], **kw)

@@ -1024,9 +1024,8 @@ def _label_numbers(t):
     """T6 rows of a text table, for the labels of all fields."""
     labels = [(field, k, p) for field, pats in qual.C.FIELD_PATTERNS.items() for k, p in enumerate(pats)]
     names = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(k).alias("pattern_no")) for f, k, _ in labels])
-    out = t.select("doc_id", F.explode(ex.numbers_near_labels("text", [p for *_, p in labels])).alias("m"))
-    out = out.withColumn("of", F.get(names, F.col("m.pattern_no")))
-    return out.select("doc_id", "of.field", "of.pattern_no", "m.match_no", "m.value", "m.raw", "m.context", "m.position")
+    out = ex.number_rows(t, "text", [p for *_, p in labels], keep=["doc_id"]).withColumn("of", F.get(names, F.col("pattern_no")))
+    return out.select("doc_id", "of.field", "of.pattern_no", "match_no", "value", "raw", "context", "position")
 
 
 @register("numbers_near_label", _STMT_BASE + "SELECT * FROM nums")
